@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,10 @@ BATCH_ROWS = 512
 STEP_BYTES = 1 << 20
 
 _seeded = np.random.default_rng(0x10DE)
-_BYTE = _seeded.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = _seeded.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+_BYTES[:, 65:91] = _BYTES[:, 97:123]  # A-Z count as a-z
+SEPARATOR = np.zeros(256, dtype=bool)
+SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = _seeded.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,7 +31,11 @@ _inverses = np.ones(1, dtype=np.uint64)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, so that a Python worker's memory does not follow the text length."""
+    """Bound Arrow batches by rows, so that a Python worker's memory does not follow the text length; and let workers
+    find this package where the driver found it (same path or installed)."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (root, known.get("PYTHONPATH")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
@@ -78,7 +84,7 @@ def _grown(table: np.ndarray, base: int, n: int) -> np.ndarray:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and per text the offset of its first word (n + 1)."""
-    inside = ~_SEPARATOR[data]
+    inside = ~SEPARATOR[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -91,19 +97,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (A-Z as a-z), and per text the offset of its first word (n + 1).
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (A-Z as a-z); ``which`` (0 or 1) picks one of two independent functions.
 
-    A polynomial in the bytes' random images, read off one running sum, so that no Python runs per word.
+    A polynomial in the bytes' random images, read off one running sum, so that no Python runs per span.
     """
     global _powers, _inverses
+    n = len(data) + 1
+    _powers, _inverses = _grown(_powers, _BASE, n), _grown(_inverses, _BASE_INVERSE, n)
+    total = np.zeros(n, np.uint64)
+    np.cumsum(_BYTES[which][data] * _powers[: n - 1], out=total[1:])
+    return mix((total[ends] - total[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (A-Z as a-z), and per text the offset of its first word (n + 1)."""
     starts, ends, at = word_spans(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), at
-    _powers, _inverses = _grown(_powers, _BASE, len(data)), _grown(_inverses, _BASE_INVERSE, len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64)), at
+    return span_hashes(data, starts, ends), at
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -118,26 +128,30 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def global_offsets(df: DataFrame, order: list[str], value: str, out: str, name: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows before a row in the total order of ``order``.
+def global_offsets(df: DataFrame, order: list[str], value: str, out: str, name: str, row_id: str = "row_id") -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows before a row in the total order of ``order``, and ``row_id``,
+    a number that follows the same order and is a row's own.
 
     A range partitioning on all order columns (a hot prefix spreads over partitions) with running sums inside
     each; only one total per partition reaches the driver.
     """
-    kept = [*df.columns, "_before", "_part"]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    names = df.columns
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
+        from pyspark import TaskContext
+
+        part, before, rows = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             v = column(b, value).to_numpy(zero_copy_only=False).astype(np.int64)
             total = np.cumsum(v) + before
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in kept if c not in ("_before", "_part")), pa.array(total - v), column(b, "_part")], names=kept)
-            before = int(total[-1]) if len(total) else before
+            ids = (np.int64(part) << np.int64(40)) + rows + np.arange(len(v), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), pa.array(total - v), pa.array(ids)], names=[*names, "_before", row_id])
+            before, rows = int(total[-1]) if len(total) else before, rows + len(v)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _before long, _part int"
-    rows = materialize(ranged.mapInArrow(run, schema), name)
-    totals = dict(rows.groupBy("_part").agg(F.max(F.struct("_before", value)).alias("x")).select("_part", F.expr(f"x._before + x.{value}")).collect())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", _before long, {row_id} long"
+    rows = materialize(ranged.mapInArrow(run, schema), name).withColumn("_part", F.shiftright(row_id, 40).cast("int"))
+    totals = dict(rows.groupBy("_part").agg(F.max(F.col("_before") + F.col(value))).collect())
     base, bases = 0, []
     for p in range(max(totals, default=-1) + 1):
         bases.append(base)

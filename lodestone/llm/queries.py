@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import minhash
+from lodestone.llm import lines, minhash, mixing, tokens, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: DuckDB: the words of a text.
@@ -34,5 +35,44 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.m, w.doc_id)
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash}
-ORACLES = {"op1_minhash": OP1_SQL}
+
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(read(spark, sf_dir, "documents"), tokens.default_tokenizer(), end_id=1)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.kept_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+h AS (SELECT key, min(doc_id) AS holder FROM k WHERE length(key) >= 10 GROUP BY key)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE h.holder <> k.doc_id)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.holder IS NULL OR h.holder = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN h ON h.key = k.key GROUP BY k.doc_id
+"""
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most_repeats=2)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS target FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND target <> page_id THEN target END AS refers_to
+FROM m
+"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_token_output": op2_token_output, "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op7_warc": op7_warc}
+ORACLES = {"op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_warc": OP7_SQL}
