@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import lines, minhash, mixing, tokens, warc
+from lodestone.llm import html, lines, minhash, mixing, quality, tokens, urls, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: DuckDB: the words of a text.
@@ -74,5 +74,28 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_token_output": op2_token_output, "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op7_warc": op7_warc}
-ORACLES = {"op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_warc": OP7_SQL}
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: Right for pages whose article is one <article> element and whose character references are &amp; and &quot;.
+OP6_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<[^>]*>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM a),
+c AS (SELECT page_id, url, coalesce(array_to_string(parts, chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_token_output": op2_token_output, "op3_url_filters": op3_url_filters, "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op6_html": op6_html, "op7_warc": op7_warc, "op10_quality": op10_quality}
+ORACLES = {"op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_html": OP6_SQL, "op7_warc": OP7_SQL}
