@@ -4,17 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import minhash
+from lodestone.llm import decontam, langid, minhash, mixing, tokens
 from lodestone.storage import materialize
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is unknown (no text, or no letter in it) go."""
+    return langid.known_language(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each near-duplicate group stays."""
+    """One document (the smallest doc_id) of each near-duplicate group stays: five-word shingles, similarity 0.8."""
     return minhash.keep_one(docs, k=5, percent=80)
 
 
-STAGES = [("near_dedup", near_dedup)]
-#: The stages classify, hash and tokenise: SQL cannot express them; tests hold the result against a brute-force version.
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at weights 5, 2, 1: a row per document and pass, with the words which that pass takes."""
+    return mixing.mixed_documents(docs, weights=(5, 2, 1), share=1.5, most_repeats=2)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix in PFOR shards, as read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.token_table(docs, tokens.default_tokenizer(), end_id=1)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
+#: The stages learn, hash and tokenise, which SQL cannot express; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 

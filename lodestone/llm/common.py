@@ -82,9 +82,10 @@ def _grown(table: np.ndarray, base: int, n: int) -> np.ndarray:
     return np.cumprod(table, dtype=np.uint64)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and per text the offset of its first word (n + 1)."""
-    inside = ~SEPARATOR[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words (runs of bytes outside ``gaps``; by default ``[^\\x20\\x09-\\x0D]+``), and per
+    text the offset of its first word (n + 1)."""
+    inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

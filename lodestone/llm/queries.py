@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html, lines, minhash, mixing, quality, tokens, urls, warc
+from lodestone.llm import decontam, html, langid, lines, minhash, mixing, quality, tokens, urls, warc
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: DuckDB: the words of a text.
@@ -92,10 +92,19 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
 """
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_token_output": op2_token_output, "op3_url_filters": op3_url_filters, "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op6_html": op6_html, "op7_warc": op7_warc, "op10_quality": op10_quality}
+QUERIES = {"op1_minhash": op1_minhash, "op2_token_output": op2_token_output, "op3_url_filters": op3_url_filters, "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op6_html": op6_html, "op7_warc": op7_warc, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality}
 ORACLES = {"op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_html": OP6_SQL, "op7_warc": OP7_SQL}
