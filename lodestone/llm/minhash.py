@@ -4,8 +4,9 @@
    multiply-add hashes, 40 band keys of six minima each, 480 signature bits and a 128-bit key of the set.
 2. Texts with equal sets collapse to their smallest doc_id, so groups of exact copies cost one row.
 3. Documents in a band bucket are paired with one hub of it; pairs that pass the signature are confirmed on the
-   full sets.  Buckets that still hold several components get other hubs, then every pair across components, so a
-   large group needs about one pair per member and no link between components is lost.
+   full sets, so a large group needs about one pair per member.  Where a bucket still holds several components, the
+   documents outside its largest one are compared on full sets with that component and with each other, in blocks
+   inside tasks: no link between components is lost, and no pair becomes a row.
 4. Components come from alternating large-star and small-star rounds on tables in the shared folder.
 
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^40 < 6e-6, and its signature estimate falls
@@ -37,12 +38,10 @@ _ROW = _seeded.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(
 _SALT = _seeded.integers(0, 1 << 64, BANDS, dtype=np.uint64)
 #: Signature estimates this far below the threshold (over four standard deviations) are not confirmed on the sets.
 MARGIN = 0.15
-#: Rounds of one hub per bucket before all pairs across components are taken.
-HUB_ROUNDS = 3
-#: Members that one task confirms against a copy of a hub's text.
-HUB_SHARE = 2048
-#: Requests for texts up to this number are broadcast to the documents; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Documents whose shingle sets a group holds at once, and documents that are streamed past them in one group.
+CHUNK, SHARE = 64, 2048
+#: Up to this number of documents that share a bucket, their ids are broadcast to fetch their texts; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long, s4 long, s5 long, s6 long, s7 long"
 
@@ -97,33 +96,71 @@ def _most_mismatches(threshold: float) -> int:
     return int(480 * (1 - max(0.0, threshold - MARGIN)) / 2)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def confirmed(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) with 100 * intersection >= percent * union of the full shingle sets.
 
-    Each text is fetched once per role; members of a hub a are dealt over shares of HUB_SHARE, each with its own copy
-    of the hub's text, and streamed past it: a task holds one hub's sets and one member.
+    :param groups: c, chunk, share, role, node, label: in each group (c, chunk, share) the few nodes of role 0 are held,
+        as one table from shingle to holders, and those of role 1 are streamed past it.  Of the links between a held
+        node and the streamed nodes of one label, the first is returned: more would not change the components.
     """
-    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_SHARE).cast("long").alias("n"))
-    members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).alias("share"), F.lit(1).alias("role"), F.col("b").alias("node"))
-    hubs = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("share"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    wanted = materialize(hubs.unionByName(members), "minhash-wanted")
-    asked = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.join(asked, docs.doc_id == asked.node).select("a", "share", "role", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, []
+        key, nodes, sets, said, table = None, [], [], set(), None
         for b in batches:
             found = []
-            for a, share, role, node, s in zip(column(b, "a").to_pylist(), column(b, "share").to_pylist(), column(b, "role").to_pylist(), column(b, "node").to_pylist(), shingle_sets(column(b, "text"), k)):
-                if (a, share) != key:
-                    key, sets = (a, share), []
+            keys = zip(*(column(b, c).to_pylist() for c in ("c", "chunk", "share", "role", "node", "label")))
+            for (c, chunk, share, role, node, label), s in zip(keys, shingle_sets(column(b, "text"), k)):
+                if (c, chunk, share) != key:
+                    key, nodes, sets, said, table = (c, chunk, share), [], [], set(), None
                 if role == 0:
-                    sets.append(s)
-                elif any(len(s) and 100 * (both := len(np.intersect1d(s, h, assume_unique=True))) >= percent * (len(s) + len(h) - both) for h in sets):
-                    found.append((a, node))
+                    nodes.append(node), sets.append(s)
+                    continue
+                if not sets or not len(s):
+                    continue
+                if table is None:
+                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                    order = np.argsort(flat, kind="stable")
+                    table = flat[order], owner[order], np.array([len(x) for x in sets])
+                flat, owner, sizes = table
+                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                n = hi - lo
+                at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[at], minlength=len(sets))
+                for i in np.flatnonzero(100 * both >= percent * (sizes + len(s) - both)):
+                    if nodes[i] != node and (nodes[i], label) not in said and both[i]:
+                        said.add((nodes[i], label))
+                        found.append((nodes[i], node))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return rows.repartition("a", "share").sortWithinPartitions("a", "share", "role").mapInArrow(run, "a long, b long").distinct()
+    rows = groups.join(texts, groups.node == texts.doc_id).select("c", "chunk", "share", "role", "node", "label", "text")
+    links = rows.repartition("c", "chunk", "share").sortWithinPartitions("c", "chunk", "share", "role").mapInArrow(run, "a long, b long")
+    return materialize(links.distinct(), "minhash-links")
+
+
+def hub_groups(pairs: DataFrame) -> DataFrame:
+    """Pairs (a hub, b) as groups: the hub is held, its members are dealt over shares of SHARE."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("n"))
+    none = F.lit(0).cast("long")
+    held = shares.select(F.col("a").alias("c"), none.alias("chunk"), F.explode(F.sequence(none, F.col("n") - 1)).alias("share"), F.lit(0).alias("role"), F.col("a").alias("node"), F.col("a").alias("label"))
+    streamed = pairs.join(shares, "a").select(F.col("a").alias("c"), none.alias("chunk"), F.pmod(F.xxhash64("b"), F.col("n")).alias("share"), F.lit(1).alias("role"), F.col("b").alias("node"), F.col("b").alias("label"))
+    return held.unionByName(streamed)
+
+
+def block_groups(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets that hold several components as groups: of each bucket, the documents outside its largest component
+    (held, in chunks of CHUNK) meet that component and each other (streamed, in shares of SHARE)."""
+    sizes = open_.groupBy("band", "component").count()
+    major = sizes.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("c"))
+    held = open_.join(major, "band").where("component <> c").select("c", F.col("rep").alias("node"), F.col("component").alias("label")).distinct()
+    members = labels.select(F.col("component").alias("c"), "node", F.col("component").alias("label")).join(held.select("c").distinct(), "c", "left_semi")
+    lone = held.select("c", F.col("c").alias("node"), F.col("c").alias("label"))  # a component of one document has no label row
+    streamed = members.unionByName(lone).unionByName(held).distinct()
+    counts = held.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).join(streamed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("shares")), "c")
+    counts = materialize(counts, "minhash-counts")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = held.join(counts, "c").select("c", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), spread("shares").alias("share"), F.lit(0).alias("role"), "node", "label")
+    right = streamed.join(counts, "c").select("c", spread("chunks").alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).alias("share"), F.lit(1).alias("role"), "node", "label")
+    return left.unionByName(right)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,39 +192,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = materialize(signatures(docs, k), "minhash-signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "minhash-sets")
-    reps = usable.join(sets.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own_key"))).select("rep", "bands", *(f"s{i}" for i in range(8)))
+    reps = usable.join(sets.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own_key"))).select("rep", "bands", F.col("n_shingles").alias("n"), *(f"s{i}" for i in range(8)))
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("band", "hub")
     shared = materialize(buckets.join(hubs, "band").select("band", "hub", "rep"), "minhash-buckets")  # only documents that share a bucket
-    signs = materialize(reps.drop("bands").join(shared.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "minhash-signs")
-    most = _most_mismatches(percent / 100)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        a, b = signs.alias("x"), signs.alias("y")
-        close = pairs.join(a, F.col("a") == F.col("x.rep")).join(b, F.col("b") == F.col("y.rep")).where(_mismatch("x", "y") <= most).select("a", "b")
-        return materialize(verified(materialize(close, "minhash-close"), docs, k, percent), "minhash-links")
-
-    links = confirm(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    tried = 0
-    while True:
-        labels = components(links)
-        named = shared.join(labels, shared.rep == labels.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        open_ = materialize(named.join(mixed, "band", "left_semi"), "minhash-open")
-        if tried > HUB_ROUNDS or open_.isEmpty():
-            break
-        tried += 1
-        if tried <= HUB_ROUNDS:
-            hub = open_.groupBy("band").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(tried))).alias("h"))
-            pairs = open_.join(hub, "band").where("component <> h.component").select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
-        else:
-            # every pair across components; the largest component of a bucket is compared with the rest, never with itself
-            sizes = open_.groupBy("band", "component").count()
-            major = sizes.groupBy("band").agg(F.max_by("component", "count").alias("major"))
-            minor = open_.join(major, "band").where("component <> major").select(F.col("band"), F.col("rep").alias("r"), F.col("component").alias("c")).join(signs.withColumnRenamed("rep", "r"), "r").alias("x")
-            other = open_.join(signs, "rep").alias("y")
-            pairs = minor.join(other, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.component")) & (_mismatch("x", "y") <= most)).select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
-        links = materialize(links.unionByName(confirm(pairs)).distinct(), "minhash-links")
+    nodes = materialize(shared.select(F.col("rep").alias("node")).distinct(), "minhash-nodes")
+    asked = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    texts = materialize(docs.join(asked, docs.doc_id == asked.node, "left_semi"), "minhash-texts")
+    signs = reps.drop("bands").join(nodes, reps.rep == nodes.node, "left_semi").dropDuplicates(["rep"])
+    signs = materialize(signs, "minhash-signs")
+    first = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    x, y = signs.alias("x"), signs.alias("y")
+    near = first.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+    near = near.where((_mismatch("x", "y") <= _most_mismatches(percent / 100)) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    links = confirmed(hub_groups(materialize(near.select("a", "b"), "minhash-close")), texts, k, percent)
+    labels = components(links)
+    named = shared.join(labels, shared.rep == labels.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    open_ = materialize(named.join(mixed, "band", "left_semi"), "minhash-open")
+    if not open_.isEmpty():
+        more = confirmed(materialize(block_groups(open_, labels), "minhash-blocks"), texts, k, percent)
+        labels = components(links.unionByName(more))
     of_set = sets.join(labels, sets.rep == labels.node, "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (
