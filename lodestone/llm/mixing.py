@@ -152,8 +152,9 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         rows.where("size > 0").select("row_id", "src", "size", place_in.alias("a"), F.explode(F.sequence(F.floor(place_in / block_words), F.floor((place_in + F.col("size") - 1) / block_words))).alias("block"))
         .select("row_id", "src", "block", F.greatest(F.col("a"), F.col("block") * block_words).alias("from"), F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block_words).alias("to"), "a")
     )
+    # the slots come from a small local table, which Spark would take for small themselves and broadcast
     taken_to = F.least(F.col("to"), F.col("block") * block_words + F.col("words"))
-    takes = pieces.join(chosen, ["src", "block"]).where(taken_to > F.col("from")).select("row_id", "shard", "slot", "pass", (F.col("from") - F.col("a")).alias("start"), (taken_to - F.col("from")).alias("words"))
+    takes = pieces.join(chosen.hint("merge"), ["src", "block"]).where(taken_to > F.col("from")).select("row_id", "shard", "slot", "pass", (F.col("from") - F.col("a")).alias("start"), (taken_to - F.col("from")).alias("words"))
     return rows.drop("at", "origin", "src"), takes
 
 
