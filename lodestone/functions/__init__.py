@@ -1 +1 @@
-
+"""Column builders: tokenisers, vector maths, identity keys."""

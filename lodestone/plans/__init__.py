@@ -1 +1 @@
-
+"""Question classification, decomposition, routing and execution."""

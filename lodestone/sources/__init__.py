@@ -1 +1 @@
-
+"""Sources: repository discovery and cloning."""
