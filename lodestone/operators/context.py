@@ -124,7 +124,8 @@ def available_ranges(chunks: DataFrame, texts: DataFrame | None = None) -> DataF
     found = chunks.select("file_path", F.col("start_line").cast("bigint").alias("lo"), F.col("end_line").cast("bigint").alias("hi"))
     if texts is None:
         return found
-    lines = texts.select(F.monotonically_increasing_id().alias("_t"), F.posexplode(lines_of("text")).alias("pos", "line"))
+    numbered_texts = texts.select(F.monotonically_increasing_id().alias("_t"), "text")
+    lines = numbered_texts.select("_t", F.posexplode(lines_of("text")).alias("pos", "line"))
     header = F.regexp_extract("line", HEADER, 1)
     lines = lines.withColumn("own", F.nullif(header, F.lit("")))
     under = lines.withColumn("file_path", F.last("own", ignorenulls=True).over(Window.partitionBy("_t").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
