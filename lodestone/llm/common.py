@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lodestone.storage import materialize
+from lodestone.storage import shared_folder
 
 #: Rows of an Arrow batch; texts of up to a few hundred kB then keep a batch within tens of MB.
 BATCH_ROWS = 512
@@ -151,7 +153,7 @@ def global_offsets(df: DataFrame, order: list[str], value: str, out: str, name:
             before, rows = int(total[-1]) if len(total) else before, rows + len(v)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", _before long, {row_id} long"
-    rows = materialize(ranged.mapInArrow(run, schema), name).withColumn("_part", F.shiftright(row_id, 40).cast("int"))
+    rows = arrow_table(ranged, run, schema, name).withColumn("_part", F.shiftright(row_id, 40).cast("int"))
     totals = dict(rows.groupBy("_part").agg(F.max(F.col("_before") + F.col(value))).collect())
     base, bases = 0, []
     for p in range(max(totals, default=-1) + 1):
@@ -161,6 +163,43 @@ def global_offsets(df: DataFrame, order: list[str], value: str, out: str, name:
     return rows.withColumn(out, F.col("_before") + start).drop("_before", "_part")
 
 
+def sealed(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """The documents with all columns but the used ones under names that clash with nothing, and the columns that give
+    the original names and order back."""
+    names = {c: c if c in used else f"_sealed{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
+def arrow_table(df: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> DataFrame:
+    """``df.mapInArrow(rows_of, schema)`` written by the Python workers as Parquet in the shared folder, and reread.
+
+    One file per partition, published whole, so retried tasks do no harm; the driver gets one row per file.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        rows = [0]
+
+        def write(stream) -> None:
+            with pq.ParquetWriter(stream, arrow, compression="zstd", use_dictionary=False) as out:
+                for b in rows_of(batches):
+                    rows[0] += b.num_rows
+                    if b.num_rows:
+                        out.write_table(pa.Table.from_batches([b]).cast(arrow))
+
+        publish(f"{folder}/part-{TaskContext.get().partitionId():06d}.parquet", write)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array(rows, pa.int64())})
+
+    files = df.mapInArrow(run, "rows long").count()
+    return spark.read.schema(struct).parquet(folder) if files else spark.createDataFrame([], struct)
+
+
 def open_shared(uri: str):
     """The file system and path of a URI in the shared storage (local mounts, HDFS, S3, ...)."""
     from pyarrow import fs
@@ -178,7 +217,8 @@ def publish(uri: str, write) -> None:
 
     store, path = open_shared(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    folder, _, name = path.rpartition("/")
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"  # readers skip names that start with a dot
     with store.open_output_stream(own) as f:
         write(f)
     store.move(own, path)

@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, small_batches, steps, text_bytes
+from lodestone.llm.common import column, sealed, small_batches, steps, text_bytes
 
 #: Labelled documents that train the models, over all languages.
 SAMPLE = 4000
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 UNKNOWN = "und"
 #: Families of the language codes that corpora commonly carry; any other code is a family of its own.
 FAMILIES = {
@@ -91,23 +91,25 @@ def frequencies(texts: pa.Array) -> np.ndarray:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30, seed: int = 3) -> np.ndarray:
-    """Weights (the bias last) of a linear SVM with squared hinge loss, by dual coordinate descent; y is -1 or 1."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)]).astype(np.float32)
-    w, a = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    norm, rng = (x.astype(np.float64) ** 2).sum(axis=1) + 0.5 / c, np.random.default_rng(seed)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 30, seed: int = 3) -> np.ndarray:
+    """Weights (the bias last) of a linear SVM with squared hinge loss on the given rows, by dual coordinate descent; y
+    is -1 or 1."""
+    w, bias, a = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(rows))
+    norm, rng = np.einsum("ij,ij->i", x, x)[rows] + 1 + 0.5 / c, np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * float(w @ x[i]) - 1 + a[i] * 0.5 / c
+        for i in rng.permutation(len(rows)):
+            own = x[rows[i]]
+            g = y[i] * (float(w @ own) + bias) - 1 + a[i] * 0.5 / c
             step = max(a[i] - g / norm[i], 0.0) - a[i]
             if step:
-                w += np.float32(step * y[i]) * x[i]
+                w += np.float32(step * y[i]) * own
+                bias += step * y[i]
                 a[i] += step
                 most = max(most, abs(step))
         if most < 1e-4:
             break
-    return w
+    return np.append(w, np.float32(bias))
 
 
 class Model:
@@ -117,14 +119,16 @@ class Model:
         self.langs = sorted(set(langs))
         self.families = sorted({family(v) for v in self.langs})
         self.members = {f: [v for v in self.langs if family(v) == f] for f in self.families}
-        self.scale = (1 / np.sqrt((x.astype(np.float64) ** 2).mean(axis=0) + 1e-9)).clip(max=1e4).astype(np.float32) / np.float32(np.sqrt(max(1, (x > 0).sum(axis=1).mean())))
-        scaled, lang = x * self.scale, np.array(langs, object)
+        mean = np.einsum("ij,ij->j", x, x) / max(1, len(x))
+        self.scale = (1 / np.sqrt(mean + 1e-9)).clip(max=1e4).astype(np.float32) / np.float32(np.sqrt(max(1.0, np.count_nonzero(x) / max(1, len(x)))))
+        x *= self.scale  # the matrix is the caller's to give: no copy is made of it
+        lang = np.array(langs, object)
         fam = np.array([family(v) for v in langs], object)
         columns, self.column = [], {}
 
         def learn(key, rows: np.ndarray, positive: np.ndarray) -> None:
             self.column[key] = len(columns)
-            columns.append(svm(scaled[rows], np.where(positive, 1.0, -1.0)))
+            columns.append(svm(x, rows, np.where(positive, 1.0, -1.0)))
 
         if len(self.families) > 1:
             for f in self.families:
@@ -217,11 +221,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = docs.join(F.broadcast(wanted), (docs.doc_id == wanted.wanted) & (docs.lang == wanted.as_lang)).where("text is not null").select("wanted", "as_lang", "text")
     table = rows.repartition(4, "wanted").mapInArrow(vectors, "wanted long, as_lang string, at binary, x binary").toArrow()
-    order = np.lexsort((np.array(table.column("x").to_pylist(), object), table.column("wanted").to_numpy())) if table.num_rows else []
+    table = table.sort_by([("wanted", "ascending"), ("as_lang", "ascending"), ("x", "ascending")])
     x, langs = np.zeros((table.num_rows, BUCKETS), np.float32), table.column("as_lang").to_pylist()
     for r, (at, v) in enumerate(zip(table.column("at").to_pylist(), table.column("x").to_pylist())):
         x[r, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f4")
-    return Model(x[order], [langs[i] for i in order])
+    return Model(x, langs)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -243,6 +247,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The documents (their own columns) whose language is known; ``und`` ones go."""
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}" if c not in ("text", "lang", "doc_id") else c) for i, c in enumerate(docs.columns)))
-    kept = identify(renamed, train(docs)).where(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*(F.col(f"c{i}" if c not in ("text", "lang", "doc_id") else c).alias(c) for i, c in enumerate(docs.columns)))
+    rows, names = sealed(docs, "doc_id", "text", "lang")
+    return identify(rows, train(rows)).where(F.col("lang_pred") != UNKNOWN).select(*names)
