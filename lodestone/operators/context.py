@@ -161,3 +161,15 @@ def validated(cited: DataFrame, ranges: DataFrame, id_: str) -> DataFrame:
 def coverage(cited: DataFrame) -> DataFrame:
     """The share of valid citations; 0.0 without citations."""
     return cited.agg(F.coalesce(F.avg(F.col("valid").cast("double")), F.lit(0.0)).alias("coverage"))
+
+
+def linked_ranges(links: DataFrame, link: str) -> DataFrame:
+    """path, first and last line of links ``path:a-b`` or ``path:a``; a reversed range is put right, other text has none."""
+    part = lambda i: F.regexp_extract(link, r"^(.*?):(\d+)(?:-(\d+))?$", i)
+    a = F.nullif(part(2), F.lit("")).cast("bigint")
+    b = F.coalesce(F.nullif(part(3), F.lit("")).cast("bigint"), a)
+    return links.withColumns({"file_path": F.nullif(part(1), F.lit("")), "first_line": F.least(a, b), "last_line": F.greatest(a, b)})
+
+
+def is_highlighted(line: Column, first: Column, last: Column) -> Column:
+    return F.coalesce(line.between(first, last), F.lit(False))

@@ -130,3 +130,18 @@ def filtered_graph(nodes: DataFrame, edges: DataFrame, module: str | None = None
         low = needle.lower()
         nodes = nodes.where(F.lower("name").contains(low) | F.lower("id").contains(low))
     return nodes, induced(edges, nodes.select("id"))
+
+
+def module_layout(nodes: DataFrame, radius: float = 300.0, inner: float = 80.0) -> DataFrame:
+    """x and y of each node: modules on a circle, a module's nodes on a circle around it, both in name order."""
+    from math import pi
+
+    from pyspark.sql import Window
+
+    modules = nodes.groupBy("module").agg(F.count(F.lit(1)).alias("members"))
+    place = Window.orderBy("module")  # modules, not nodes
+    modules = modules.withColumn("_m", F.row_number().over(place) - 1).crossJoin(F.broadcast(modules.agg(F.count(F.lit(1)).alias("_of"))))
+    own = Window.partitionBy("module").orderBy("id")
+    placed = nodes.join(modules, "module").withColumn("_n", F.row_number().over(own) - 1)
+    a, b = 2 * pi * F.col("_m") / F.col("_of"), 2 * pi * F.col("_n") / F.col("members")
+    return placed.select("id", "module", (radius * F.cos(a) + inner * F.cos(b)).alias("x"), (radius * F.sin(a) + inner * F.sin(b)).alias("y"))

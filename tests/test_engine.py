@@ -264,9 +264,12 @@ def test_decompose_route_execute(spark):
 
         return executor
 
-    out = questions.execute(spark, plan, {k: run(k) for k in ("bm25", "graph", "vector")})
+    questions.execute(spark, plan, {k: run(k) for k in ("bm25", "graph", "vector")})
     assert seen["q1"][0] == "bm25" and seen["q2"] == ("graph", ["q1"])
-    assert column(out["q3"], "source") == ["bm25", "vector", "graph"]
+    both = questions.Plan("q", "multi-hop", 1.0, (questions.SubQuery("h", "combine what is known"), questions.SubQuery("v", "what is it like", "explanation")))
+    out = questions.execute(spark, both, {k: run(k) for k in ("bm25", "graph", "vector")})
+    assert column(out["h"], "source") == ["bm25", "vector", "graph"] and column(out["v"], "id") == ["vector"]
+    assert questions.execute(spark, both, {}) == {}
     with pytest.raises(ValueError, match="cycle"):
         questions.execution_order(questions.Plan("q", "multi-hop", 1.0, (questions.SubQuery("a", "x", context_from=("b",)), questions.SubQuery("b", "y", context_from=("a",)))))
 
@@ -317,3 +320,22 @@ def test_file_tree_and_users(spark):
     logins = spark.createDataFrame([("new@x", "g", "p1", "A2"), ("b@x", "g", "p9", "B2"), ("c@x", "g", "p3", "C")], "email string, provider string, provider_user_id string, name string")
     got = {r.id: (r.email, r.name) for r in service.merged_users(users, logins).collect()}
     assert got == {"1": ("new@x", "A2"), "2": ("b@x", "B2"), "c@x": ("c@x", "C")}
+
+
+def test_service_tables(spark):
+    from lodestone import schemas
+
+    users = spark.createDataFrame([("1", "a@x"), ("2", "a@x")], "id string, email string")
+    assert [(r.rule, r.key, r.n) for r in schemas.violations("users", users).collect()] == [("unique", "a@x", 2)]
+    jobs = spark.createDataFrame([("j", "r1"), ("k", "r2")], "id string, repository_id string")
+    assert [r.key for r in schemas.violations("ingestion_jobs", jobs, {"repositories": spark.createDataFrame([("r1",)], "id string")}).collect()] == ["r2"]
+    with pytest.raises(ValueError):
+        schemas.validated_request("u", "p")
+
+
+def test_links_and_layout(spark):
+    rows = spark.createDataFrame([("a.py:9-3",), ("C:/b.py:4",), ("plain",)], "link string")
+    assert [(r.file_path, r.first_line, r.last_line) for r in context.linked_ranges(rows, "link").collect()] == [("a.py", 3, 9), ("C:/b.py", 4, 4), (None, None, None)]
+    nodes = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "n")], "id string, module string")
+    got = {r.id: (round(r.x, 6), round(r.y, 6)) for r in traverse.module_layout(nodes).collect()}
+    assert got == {"a": (380.0, 0.0), "b": (220.0, 0.0), "c": (-220.0, 0.0)}
