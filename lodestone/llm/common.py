@@ -215,10 +215,18 @@ def publish(uri: str, write) -> None:
     """Write a file under an attempt's own name, then move it to ``uri``: retried tasks leave one whole file."""
     import uuid
 
+    from pyarrow.fs import FileType
+
     store, path = open_shared(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     folder, _, name = path.rpartition("/")
     own = f"{folder}/.{name}.{uuid.uuid4().hex}"  # readers skip names that start with a dot
     with store.open_output_stream(own) as f:
         write(f)
-    store.move(own, path)
+    try:
+        store.move(own, path)
+    except OSError:  # stores that do not replace: an earlier attempt's file is as good, but ours is whole for sure
+        if store.get_file_info(path).type == FileType.NotFound:
+            raise
+        store.delete_file(path)
+        store.move(own, path)

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, mix, shingle_hashes, small_batches, span_hashes, steps, text_bytes, word_spans
-from lodestone.storage import materialize
+from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, small_batches, span_hashes, steps, text_bytes, word_spans
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 PART_ITEMS, PART_WORDS = 20_000, 2_000_000
@@ -162,7 +161,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             rows.append((doc[i + r], hashed[i + r], part.ids[item], s, start, n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in HITS.split(", ")])
 
-        return materialize(docs.mapInArrow(run, HITS), "leaks")
+        return arrow_table(docs, run, HITS, "leaks")
 
     for r in items.toLocalIterator():
         ids.append(r.item_id), texts.append(r.text)
@@ -190,4 +189,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) that contain no benchmark item."""
     bad = hits(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_d")) & (F.xxhash64(docs.text) == F.col("_t")), "left_anti")
+    rows, names = sealed(docs, "doc_id", "text")
+    return rows.join(bad, rows.doc_id.eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti").select(*names)

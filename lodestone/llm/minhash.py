@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, mix, shingle_hashes, small_batches, steps, text_bytes, word_hashes
+from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, small_batches, steps, text_bytes, word_hashes
 from lodestone.storage import materialize
 
 BANDS, ROWS = 40, 6
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)), pa.array(bands[~empty].reshape(-1)))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), lists, *(pa.array(bits[:, i].copy()) for i in range(8))], names=[x.split()[0] for x in SIGNATURE.split(", ")])
 
-    return docs.mapInArrow(run, SIGNATURE)
+    return arrow_table(docs, run, SIGNATURE, "minhash-signatures")
 
 
 def _mismatch(a: str, b: str):
@@ -133,8 +133,7 @@ def confirmed(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     rows = groups.join(texts, groups.node == texts.doc_id).select("c", "chunk", "share", "role", "node", "label", "text")
-    links = rows.repartition("c", "chunk", "share").sortWithinPartitions("c", "chunk", "share", "role").mapInArrow(run, "a long, b long")
-    return materialize(links.distinct(), "minhash-links")
+    return arrow_table(rows.repartition("c", "chunk", "share").sortWithinPartitions("c", "chunk", "share", "role"), run, "a long, b long", "minhash-links")
 
 
 def hub_groups(pairs: DataFrame) -> DataFrame:
@@ -189,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(signatures(docs, k), "minhash-signatures")
+    signed = signatures(docs, k)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "minhash-sets")
     reps = usable.join(sets.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own_key"))).select("rep", "bands", F.col("n_shingles").alias("n"), *(f"s{i}" for i in range(8)))
@@ -225,4 +224,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents (all columns) of which one per near-duplicate group stays."""
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    rows, names = sealed(docs, "doc_id")
+    return rows.join(gone, rows.doc_id == gone._gone, "left_anti").select(*names)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, global_offsets, mix, small_batches
+from lodestone.llm.common import column, global_offsets, mix, sealed, small_batches
 from lodestone.storage import materialize
 
 BLOCK_WORDS = 64
@@ -184,21 +184,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document that the mix does not take is left out; n_chars, where there is such a column, follows the text.
     """
-    names = docs.columns
     rows, takes = mix_plan(docs, **options)
     parts = takes.groupBy("row_id", "pass").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))  # a document's blocks at most
     copies = materialize(rows.join(parts, "row_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "size", "ranges"), "mix-copies")
-    keyed = docs.withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "_k"])
-    joined = keyed.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))).select(*(F.col(f"`{c}`") for c in names), "size", "ranges")
-    counted = [i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and f.dataType.simpleString() == "bigint"]
+    counted = dict(docs.dtypes).get("n_chars") == "bigint"
+    sealed_docs, restored = sealed(docs, "doc_id", "text", *["n_chars"] * counted)
+    names = sealed_docs.columns
+    keyed = sealed_docs.withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "_k"])
+    joined = keyed.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))).select(*names, "size", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [cut(t or "", [(r["start"], r["words"]) for r in rs], n) for t, rs, n in zip(column(b, "text").to_pylist(), column(b, "ranges").to_pylist(), column(b, "size").to_pylist())]
             arrays = [b.column(i) for i in range(len(names))]
             arrays[names.index("text")] = pa.array(texts, pa.string())
-            for i in counted:
-                arrays[i] = pa.array([len(t) for t in texts], pa.int64())
+            if counted:
+                arrays[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, sealed_docs.schema).select(*restored)
