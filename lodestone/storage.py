@@ -50,4 +50,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return located(spark.read.schema(df.schema).parquet(path), path)
+
+
+def located(df: DataFrame, path: str) -> DataFrame:
+    """The table, knowing its folder, so that it can be released before the driver ends."""
+    df._lodestone_path = path
+    return df
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of intermediate tables that nothing will read any more."""
+    for t in tables:
+        if path := getattr(t, "_lodestone_path", None):
+            _remove(t.sparkSession, path)
