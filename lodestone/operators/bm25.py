@@ -30,7 +30,7 @@ def profiled(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """The documents with ``_length`` (tokens) and ``_tf`` (frequency of each term) instead of the text."""
     others = [c for c in docs.columns if c != text]
     tokens = docs.select(*others, code_tokens(text).alias("_tokens"))
-    frequency = F.transform(F.array(*(F.lit(t) for t in terms)), lambda t: F.size(F.filter(F.col("_tokens"), lambda x: x == t)))
+    frequency = F.array(*(F.size("_tokens") - F.size(F.array_remove("_tokens", t)) for t in terms))
     return tokens.select(*others, F.size("_tokens").alias("_length"), frequency.alias("_tf"))
 
 

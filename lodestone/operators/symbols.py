@@ -62,14 +62,17 @@ def from_json(rows: DataFrame, schema) -> DataFrame:
 # -- call graph -----------------------------------------------------------------------------------------------------
 
 
-def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], line: str, ident: list[str]) -> DataFrame:
+def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], line: str, ident: list[str], bucket: int = 64) -> DataFrame:
     """Each point with the innermost span that holds its line: the latest start, then the shortest.
 
-    A range join within an equi-join on ``keys``; points outside all spans are dropped.
+    A range join as an equi-join: a span is listed in each bucket of lines that it touches, a point lies in one, so a
+    pair meets once and points only meet spans near them.  Points outside all spans are dropped.
     """
     s = spans.select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(*(c for c in spans.columns if c not in keys)).alias("span"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(line).between(F.col("span.start_line"), F.col("span.end_line"))]
-    joined = points.join(s, on).drop(*(f"_{k}" for k in keys))
+    s = s.where("span.start_line <= span.end_line").select("*", F.explode(F.sequence(F.floor(F.col("span.start_line") / bucket), F.floor(F.col("span.end_line") / bucket))).alias("_bucket"))
+    placed = points.withColumn("_at", F.floor(F.col(line) / bucket))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") == F.col("_bucket"), F.col(line).between(F.col("span.start_line"), F.col("span.end_line"))]
+    joined = placed.join(s, on)
     rest = [c for c in points.columns if c not in ident]
     rank = F.struct(F.col("span.start_line"), F.col("span.start_line") - F.col("span.end_line"), -F.col("span.ord"))
     best = joined.groupBy(*ident).agg(F.max_by(F.struct(*rest, "span"), rank).alias("_b"))
