@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, small_batches, steps, text_bytes, word_hashes
-from lodestone.storage import materialize
+from lodestone.storage import materialize, release
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -173,7 +173,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "small-star")
+        before, edges = edges, materialize(small, "small-star")
+        release(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -204,14 +205,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     x, y = signs.alias("x"), signs.alias("y")
     near = first.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
     near = near.where((_mismatch("x", "y") <= _most_mismatches(percent / 100)) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    links = confirmed(hub_groups(materialize(near.select("a", "b"), "minhash-close")), texts, k, percent)
+    close = materialize(near.select("a", "b"), "minhash-close")
+    links = confirmed(hub_groups(close), texts, k, percent)
     labels = components(links)
     named = shared.join(labels, shared.rep == labels.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     open_ = materialize(named.join(mixed, "band", "left_semi"), "minhash-open")
     if not open_.isEmpty():
-        more = confirmed(materialize(block_groups(open_, labels), "minhash-blocks"), texts, k, percent)
+        blocks = materialize(block_groups(open_, labels), "minhash-blocks")
+        more = confirmed(blocks, texts, k, percent)
         labels = components(links.unionByName(more))
+        release(blocks, more)
+    release(shared, nodes, texts, signs, close, links, open_)
     of_set = sets.join(labels, sets.rep == labels.node, "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (
