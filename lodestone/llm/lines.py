@@ -16,7 +16,6 @@ all others.  Rows that share a doc_id are one document when holders are counted;
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SEPARATOR, column, mix, small_batches, span_hashes, steps, text_bytes
-from lodestone.storage import materialize
+from lodestone.llm.common import SEPARATOR, arrow_table, column, mix, small_batches, span_hashes, steps, text_bytes
 
 #: Keys with fewer code points than this are never dropped.
 LEAST_CHARS = 10
@@ -112,7 +110,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
         if last is not None:
             yield rows(LAST, [last[0]], [last[1]], [last[2]], [0], [0], [0])
 
-    streamed = materialize(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(stream, "kind int, part int, h long, g long, doc long, text_hash long, n int, pos int"), "lines-streamed")
+    streamed = arrow_table(keys.repartitionByRange(*order).sortWithinPartitions(*order), stream, "kind int, part int, h long, g long, doc long, text_hash long, n int, pos int", "lines-streamed")
     carried, held, begun = [(-1, 0)], None, {}
     for r in streamed.where(F.col("kind") >= FIRST).orderBy("part", "kind").collect():  # two rows per partition
         if r.kind == FIRST:
@@ -178,7 +176,3 @@ def kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
     return joined.mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept_text string")
-
-
-def line_digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
