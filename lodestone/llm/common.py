@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lodestone.storage import shared_folder
+from lodestone.storage import located, shared_folder
 
 #: Rows of an Arrow batch; texts of up to a few hundred kB then keep a batch within tens of MB.
 BATCH_ROWS = 512
@@ -197,7 +197,7 @@ def arrow_table(df: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Ite
         yield pa.RecordBatch.from_pydict({"rows": pa.array(rows, pa.int64())})
 
     files = df.mapInArrow(run, "rows long").count()
-    return spark.read.schema(struct).parquet(folder) if files else spark.createDataFrame([], struct)
+    return located(spark.read.schema(struct).parquet(folder), folder) if files else spark.createDataFrame([], struct)
 
 
 def open_shared(uri: str):

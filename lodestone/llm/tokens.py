@@ -19,26 +19,38 @@ name and then moved, so a retried task leaves one whole file.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, open_shared, publish, small_batches
+from lodestone.llm.common import SEPARATOR, column, open_shared, publish, small_batches, steps, text_bytes, word_spans
 from lodestone.storage import shared_folder
 
 MAGIC = b"LTPF1\n"
 BLOCK = 1024
 PERCENTILE = 90
 _HEAD = struct.Struct("<IHBBH")
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 _FOOT = struct.Struct("<QQQQ6s")
-#: Distinct words whose ids a task remembers at once.
-MEMORY_WORDS = 400_000
+#: Kinds of bytes: 0 between words, 1 letters (ASCII, and Latin-1 in its two bytes), 2 punctuation that never joins
+#: letters, 3 all else.  Bytes 80 to BF also follow other first bytes, which are of kind 3 and so mark the word.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[SEPARATOR] = 0
+_KIND[[i for i in range(128) if chr(i).isalpha()]] = 1
+_KIND[0x80:0xC0] = _KIND[0xC3] = 1
+_KIND[list(b".,;:!?|")] = 2
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[.,;:!?|]+")
+#: Distinct units whose ids a Python worker remembers at once.
+MEMORY_WORDS = 800_000
 
 
 # -- blocks ---------------------------------------------------------------------------------------------------------
@@ -55,8 +67,11 @@ def pack_block(ids: np.ndarray) -> bytes:
     cost = over[least:] * 48 + np.arange(least, 33) * len(rest)
     width = least + int(np.argmin(cost))
     at = np.flatnonzero(widths > width)
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    body = np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+    if width in _WHOLE:  # whole bytes are stored as they are
+        body = rest.astype(_WHOLE[width]).tobytes()
+    else:
+        bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+        body = np.packbits(bits.reshape(-1), bitorder="little").tobytes()
     high = (rest[at].astype(np.uint64) >> np.uint64(width)).astype("<u4")
     return _HEAD.pack(low, len(ids), width, 0, len(at)) + body + at.astype("<u2").tobytes() + high.tobytes()
 
@@ -65,10 +80,13 @@ def unpack_block(data: memoryview, at: int) -> np.ndarray:
     low, n, width, _, wrong = _HEAD.unpack_from(data, at)
     at += _HEAD.size
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :width] = bits
-    ids = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(n).astype(np.uint64)
+    if width in _WHOLE:
+        ids = np.frombuffer(data, _WHOLE[width], n, at).astype(np.uint64)
+    else:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :width] = bits
+        ids = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(n).astype(np.uint64)
     at += size
     if wrong:
         where = np.frombuffer(data, "<u2", wrong, at)
@@ -147,16 +165,24 @@ class Shard:
 
 
 class WordEncoder:
-    """Encodes whole texts with a ``tokenizers`` file, each distinct white-space separated word once.
+    """Encodes whole texts with a ``tokenizers`` file, each distinct unit (a word or a part of one) once.
 
-    Right only for tokenizers that split at white space and drop it (no id crosses a word); others must be given
-    ``by_word=False`` and encode each text in one piece.
+    Right only for tokenizers that split at white space and drop it, so that no id crosses a word; others must be given
+    ``by_word=False`` and encode each text in one piece.  If ids also end each piece with their own word-end token and
+    case does not count, words of Latin letters and common punctuation are cut between the two, letters are
+    lower-cased, and many such units are encoded in one call: the word-end tokens tell them apart.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        described = json.loads(self.tokenizer.to_str())
+        suffix = described["model"].get("end_of_word_suffix") or ""
+        self.cut = bool(suffix) and "Lowercase" in json.dumps(described.get("normalizer"))
+        vocabulary = self.tokenizer.get_vocab() if self.cut else {}
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -167,41 +193,95 @@ class WordEncoder:
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False) if hasattr(self.tokenizer, "encode_batch_fast") else self.tokenizer.encode_batch(part, add_special_tokens=False)
-            lists = [e.ids for e in got]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((x for y in lists for x in y), np.uint32, int(sizes.sum()))
-            n, m = len(part), len(flat)
-            while self.known + n > len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            while self.used + m > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + m] = flat
-            self.sizes[self.known : self.known + n] = sizes
-            self.starts[self.known : self.known + n] = self.used + np.cumsum(sizes) - sizes
-            self.place.update(zip(part, range(self.known, self.known + n)))
-            self.known, self.used = self.known + n, self.used + m
-
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = texts.fill_null("")
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and each text's number of ids."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def _remember(self, units: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(units), len(flat)
+        while self.known + n > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while self.used + m > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + m] = flat
+        self.sizes[self.known : self.known + n] = sizes
+        self.starts[self.known : self.known + n] = self.used + np.cumsum(sizes) - sizes
+        self.place.update(zip(units, range(self.known, self.known + n)))
+        self.known, self.used = self.known + n, self.used + m
+
+    def _learn(self, units: list[str]) -> None:
+        plain: list[str] = []
+        odd: list[str] = []
+        for u in units:
+            (plain if self.cut and _PLAIN.fullmatch(u) else odd).append(u)
+        for i in range(0, len(odd), 8192):
+            self._remember(odd[i : i + 8192], *self._encode(odd[i : i + 8192]))
+        for i in range(0, len(plain), 8192):
+            part = plain[i : i + 8192]
+            flat, _ = self._encode([" ".join(part[k : k + 512]) for k in range(0, len(part), 512)])
+            ends = np.flatnonzero(self.last[flat]) + 1
+            if len(ends) == len(part) and ends[-1] == len(flat):
+                self._remember(part, flat, np.diff(ends, prepend=0))
+            else:  # some unit is more than one piece here
+                self._remember(part, *self._encode(part))
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-        lists = pc.split_pattern_regex(texts, r"[ \t\n\x0b\x0c\r]+")
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+            yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False))
+            return
+        data, offsets = text_bytes(texts)
+        for i, j in steps(offsets, 4 << 20):
+            yield from self._step(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+    def _units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with plain words lower-cased, and the starts and ends of the units."""
+        kind = _KIND[data]
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+        kind[latin[(data[latin] == 0x97) | (data[latin] == 0xB7)]] = 3  # the signs among the letters
+        odd = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(kind == 3, out=odd[1:])
+        plain = odd[ends] == odd[starts]
+        word = lambda at: np.searchsorted(starts, at, "right") - 1
+        turn = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        w = word(turn)
+        turn = turn[plain[w] & (turn > starts[w])]
+        upper = np.concatenate([np.flatnonzero((data >= 65) & (data <= 90)), latin[(data[latin] <= 0x9E)]])
+        upper = upper[plain[word(upper)]]
+        data = data.copy()
+        data[upper] += 32
+        return data, np.sort(np.concatenate([starts, turn])), np.sort(np.concatenate([ends, turn]))
+
+    def _step(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        starts, ends, _ = word_spans(data, offsets)
+        if self.cut and len(starts):
+            data, starts, ends = self._units(data, starts, ends)
+        solid = data[~SEPARATOR[data]]  # the units without what is between them, end to end
+        edges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(solid)).dictionary_encode()
+        units = coded.dictionary.to_pylist()
         if len(self.place) > MEMORY_WORDS:
             self._clear()
-        self._learn([w for w in words if w not in self.place])
-        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        sizes, starts = self.sizes[at], self.starts[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
-        edges = np.concatenate([[0], ends])[np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]]
-        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        self._learn([u for u in units if u not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy()]
+        sizes = self.sizes[at]
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.arange(int(sums[-1])) + np.repeat(self.starts[at] - sums[:-1], sizes)]
+        cuts = sums[np.searchsorted(starts, offsets)]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def encoder(path: str, by_word: bool = True) -> WordEncoder:
+    """The encoder of this Python worker: words learned by one task serve the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
+    key = (path, by_word)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, by_word)
+    return _encoders[key]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, by_word: bool = True, folder: str | None = None) -> tuple[str, DataFrame]:
@@ -225,7 +305,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, by_word: bool
         said: list = []
 
         def write(stream) -> None:
-            encode, shard = WordEncoder(tokenizer, by_word), ShardWriter(stream)
+            encode, shard = encoder(tokenizer, by_word), ShardWriter(stream)
             end = np.array([end_id], np.uint32)
             for b in batches:
                 for d, ids in zip(column(b, "doc_id").to_pylist(), encode(column(b, "text"))):
@@ -270,7 +350,8 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
     shards = max(1, manifest.count())
-    return manifest.repartition(shards, "shard").mapInArrow(run, schema)
+    rows = manifest.repartition(shards, "shard").mapInArrow(run, schema)
+    return rows if with_ids else rows.repartition("doc_id")  # digests are small: a few files rather than one per shard
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

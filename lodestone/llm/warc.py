@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, open_shared, publish, small_batches
+from lodestone.llm.common import arrow_table, column, open_shared, publish, small_batches
 from lodestone.storage import materialize, shared_folder
 
 MAGIC = b"WARC/1.1\r\n"
@@ -42,7 +42,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     if page_id is not None:
         lines.append(b"WARC-Record-ID: <urn:page:%d>" % page_id)
     if url is not None:
-        lines.append(b"WARC-Target-URI: " + "".join(c if c.isprintable() and c != "%" or c == "%" else "".join(f"%{x:02X}" for x in c.encode()) for c in url).encode())
+        lines.append(b"WARC-Target-URI: " + "".join(c if c.isprintable() else "".join(f"%{x:02X}" for x in c.encode()) for c in url).encode())
     lines += [b"WARC-Date: " + _EPOCH, b"WARC-Payload-Digest: sha1:" + digest.encode(), b"X-Payload-Bytes: %d" % size]
     if refers_to is not None:
         lines += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -131,7 +131,6 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
     Payload size and digest are computed from the payload of a response and read from the header of a revisit.
     """
-    spark = files.sparkSession
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("from"))
     tasks = max(1, ranges.count())
     schema = "path string, start long, next long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -161,7 +160,7 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                         at = data.find(MAGIC, at + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=names)
 
-    found = materialize(ranges.repartition(tasks, "path", "from").mapInArrow(candidates, schema), "warc-candidates")
+    found = arrow_table(ranges.repartition(tasks, "path", "from"), candidates, schema, "warc-candidates")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
