@@ -68,15 +68,18 @@ def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], line: str, i
     A range join as an equi-join: a span is listed in each bucket of lines that it touches, a point lies in one, so a
     pair meets once and points only meet spans near them.  Points outside all spans are dropped.
     """
-    s = spans.select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(*(c for c in spans.columns if c not in keys)).alias("span"))
-    s = s.where("span.start_line <= span.end_line").select("*", F.explode(F.sequence(F.floor(F.col("span.start_line") / bucket), F.floor(F.col("span.end_line") / bucket))).alias("_bucket"))
+    # start and shortness as one number, so that the many meetings are reduced by a hash aggregation over longs
+    width = 1 << 31
+    s = spans.where("start_line <= end_line").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("start_line").cast("long").alias("_a"), F.col("end_line").cast("long").alias("_b"))
+    listed = s.select("*", F.explode(F.sequence(F.floor(F.col("_a") / bucket), F.floor(F.col("_b") / bucket))).alias("_bucket"))
     placed = points.withColumn("_at", F.floor(F.col(line) / bucket))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") == F.col("_bucket"), F.col(line).between(F.col("span.start_line"), F.col("span.end_line"))]
-    joined = placed.join(s, on)
-    rest = [c for c in points.columns if c not in ident]
-    rank = F.struct(F.col("span.start_line"), F.col("span.start_line") - F.col("span.end_line"), -F.col("span.ord"))
-    best = joined.groupBy(*ident).agg(F.max_by(F.struct(*rest, "span"), rank).alias("_b"))
-    return best.select(*ident, *(F.col(f"_b.{c}").alias(c) for c in rest), F.col("_b.span").alias("span"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_at") == F.col("_bucket"), F.col(line).between(F.col("_a"), F.col("_b"))]
+    inner = placed.join(listed, on).groupBy(*ident).agg(F.max(F.col("_a") * width + (width - 1 - F.col("_b") + F.col("_a"))).alias("_rank"))
+    start = F.floor(F.col("_rank") / width).cast("long")
+    best = inner.select(*ident, start.alias("_start"), (start + width - 1 - F.pmod(F.col("_rank"), F.lit(width))).alias("_end"))
+    first = spans.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.col("start_line").cast("long").alias("_s"), F.col("end_line").cast("long").alias("_e")).agg(F.min_by(F.struct(*(c for c in spans.columns if c not in keys)), "ord").alias("span"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_start") == F.col("_s"), F.col("_end") == F.col("_e")]
+    return points.join(best, ident).join(first, on).select(*points.columns, "span")
 
 
 def name_index(symbols: DataFrame) -> DataFrame:
@@ -195,26 +198,34 @@ def contains_edges(table: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("_id", F.concat(F.lit("module:"), "module")).alias("source_id"), F.col("symbol_id").alias("target_id"), F.lit("CONTAINS").alias("type"))
 
 
-def _by_name(wanted: DataFrame, table: DataFrame, ident: list[str], name: str, file: str | None) -> DataFrame:
-    """The symbol of a name: exact short name, else its last dotted part; the same file first, then the sort order."""
+def resolved_names(wanted: DataFrame, table: DataFrame, ident: list[str], name: str, file: str | None) -> DataFrame:
+    """The symbol of each wanted name: exact short name, else its last dotted part; the same file first, then the sort
+    order.  The table is reduced to the first symbol of each name (and file) before it is joined, so common names cost
+    one row each."""
     own = table.where(F.col("type") != "import").select(F.col("name").alias("_n"), F.col("symbol_id").alias("found"), F.col("file_path").alias("_file"), F.struct(*ORDER).alias("_order"))
-    keys = wanted.select(*ident, *([file] if file and file not in ident else []), F.posexplode(F.array_distinct(F.array(name, F.element_at(F.split(name, r"\."), -1)))).alias("_pos", "_n"))
-    far = F.lit(0) if file is None else F.when(F.col("_file") == F.col(file), 0).otherwise(1)
-    return keys.join(own, "_n").groupBy(*ident).agg(F.min_by("found", F.struct("_pos", far.alias("far"), "_order")).alias("found"))
+    part = F.element_at(F.split(name, r"\."), -1)
+    keys = wanted.select(*ident, *([file] if file and file not in ident else []), F.posexplode(F.array_distinct(F.array(name, part))).alias("_pos", "_n"))
+    found = keys.join(own.groupBy("_n").agg(F.min_by("found", "_order").alias("_any")), "_n")
+    best = F.col("_any")
+    if file is not None:
+        near = own.groupBy(F.col("_n").alias("_m"), "_file").agg(F.min_by("found", "_order").alias("_same"))
+        found = found.join(near, (F.col("_n") == F.col("_m")) & (F.col(file) == F.col("_file")), "left")
+        best = F.coalesce("_same", "_any")
+    return found.groupBy(*ident).agg(F.min_by(best, "_pos").alias("found"))
 
 
 def inherits_edges(table: DataFrame) -> DataFrame:
     """Class to each base that the table knows by name."""
     rows = table.where(F.col("type") == "class").select(F.col("symbol_id").alias("source_id"), F.explode("bases").alias("base"))
-    found = _by_name(rows, table, ["source_id", "base"], "base", None)
+    found = resolved_names(rows, table, ["source_id", "base"], "base", None)
     return found.select("source_id", F.col("found").alias("target_id"), F.lit("INHERITS").alias("type")).distinct()
 
 
 def calls_edges(edges: DataFrame, table: DataFrame) -> DataFrame:
     """Call edges between symbols that the table knows; each side is looked up by name, its file first."""
     rows = edges.withColumn("_callee_file", F.coalesce("callee_file", F.lit("")))
-    a = _by_name(rows, table, ["caller", "call_site_file"], "caller", "call_site_file").withColumnRenamed("found", "source_id")
-    b = _by_name(rows, table, ["callee", "_callee_file"], "callee", "_callee_file").withColumnRenamed("found", "target_id")
+    a = resolved_names(rows, table, ["caller", "call_site_file"], "caller", "call_site_file").withColumnRenamed("found", "source_id")
+    b = resolved_names(rows, table, ["callee", "_callee_file"], "callee", "_callee_file").withColumnRenamed("found", "target_id")
     joined = rows.join(a, ["caller", "call_site_file"]).join(b, ["callee", "_callee_file"])
     return joined.select("source_id", "target_id", F.lit("CALLS").alias("type"), "call_site_file", "call_site_line", "call_text")
 

@@ -300,14 +300,13 @@ def enclosing_span(spark, d):
 
 
 @query("name_resolution", """
-WITH w AS (SELECT p_partkey AS k, p_brand AS b, p_type AS f FROM part WHERE p_partkey % 10 = 0), s AS (SELECT p_partkey AS id, p_brand AS b, p_type AS f FROM part WHERE p_partkey % 3 = 0),
-r AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY w.f <> s.f, s.f, id) AS n FROM w JOIN s ON w.b = s.b)
+WITH r AS (SELECT w.p_partkey AS k, s.p_partkey AS id, row_number() OVER (PARTITION BY w.p_partkey ORDER BY w.p_type <> s.p_type, s.p_type, s.p_partkey) AS n
+  FROM part w JOIN (SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY ALL) s ON w.p_brand = s.p_brand)
 SELECT k AS p_partkey, id AS found FROM r WHERE n = 1""")
 def name_resolution(spark, d):
     part = read(spark, d, "part")
-    table = part.where("p_partkey % 3 = 0").select(F.lit("function").alias("type"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("file_path"), F.col("p_brand").alias("qualified_name"), F.col("p_partkey").alias("start_line"), F.lit(0).alias("end_line"))
-    wanted = part.where("p_partkey % 10 = 0").select("p_partkey", "p_brand", "p_type")
-    return symbols._by_name(wanted, table, ["p_partkey"], "p_brand", "p_type")
+    table = part.select(F.lit("function").alias("type"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("file_path"), F.col("p_brand").alias("qualified_name"), F.col("p_partkey").alias("start_line"), F.lit(0).alias("end_line"))
+    return symbols.resolved_names(part.select("p_partkey", "p_brand", "p_type"), table, ["p_partkey"], "p_brand", "p_type")
 
 
 # -- context and citations ------------------------------------------------------------------------------------------
@@ -331,16 +330,23 @@ def merge_overlaps(spark, d):
     return context.merged(context.normalized(_ranges(spark, d))).select("file_path", "start_line", "end_line", "id", "score", "text")
 
 
+def _whole_chunks(spark, d) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(T.lines_of("text")).alias("end_line"), "text", (F.col("n_chars") % 1000 / 1000.0).alias("score"), F.col("doc_id").cast("int").alias("ord"), "source")
+
+
 @query("context_budget")
 def context_budget(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat("source", F.lit(".md")).alias("file_path"), F.lit(1).alias("start_line"), F.size(T.lines_of("text")).alias("end_line"), "text", (F.col("n_chars") % 1000 / 1000.0).alias("score"), F.col("doc_id").cast("int").alias("ord"), "source")
-    return context.budgeted(docs, 4000, ["source"]).select("source", "id", "start_line", "end_line", "truncated")
+    """One context per source, of its 50 best documents."""
+    best = store.top_per_key(_whole_chunks(spark, d), ["source"], [F.desc("score"), F.asc("ord")], 50)
+    return context.budgeted(best, 4000, ["source"]).select("source", "id", "start_line", "end_line", "truncated")
 
 
-@query("format_chunk", "SELECT doc_id, array_to_string(list_concat(['### ' || source || ':1-5'], list_transform(string_split(text, chr(10))[1:5], lambda x, i: i || ': ' || x)), chr(10)) AS formatted FROM documents")
+@query("format_chunk", """
+WITH l AS (SELECT doc_id, source, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS lines FROM documents)
+SELECT doc_id, array_to_string(list_concat(['### ' || source || ':1-' || len(lines)], list_transform(lines, lambda x, i: i || ': ' || x)), chr(10)) AS formatted FROM l""")
 def format_chunk(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.lit(5).alias("end_line"), F.array_join(F.slice(F.split("text", "\n"), 1, 5), "\n").alias("text"))
-    return docs.select("doc_id", context.formatted().alias("formatted"))
+    return _whole_chunks(spark, d).select(F.col("ord").cast("long").alias("doc_id"), context.formatted().alias("formatted"))
 
 
 @query("logical_groups", """
@@ -406,8 +412,9 @@ def citations_coverage(spark, d):
 
 @query("prompt_budget")
 def prompt_budget(spark, d):
-    docs = read(spark, d, "documents").orderBy("doc_id").limit(5)
-    chunks = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(T.lines_of("text")).alias("end_line"), "text", F.lit(1.0).alias("score"))
+    """The prompt of a question over the context of its best documents."""
+    best = bm25.search(read(spark, d, "documents").select("doc_id", "text"), QUERY, "doc_id", top_k=20)
+    chunks = _whole_chunks(spark, d).drop("score", "source").join(best.select(F.col("doc_id").cast("string").alias("id"), "score"), "id")
     text = context.assembled(chunks, 4000)[1].first().text
     p = prompts.build_prompt("What is the data about?", text, "exploratory", 500)
     return spark.createDataFrame([(p.query_type, p.token_count, p.truncated)], "query_type string, token_count int, truncated boolean")
