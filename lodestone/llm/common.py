@@ -23,6 +23,7 @@ STEP_BYTES = 1 << 20
 _seeded = np.random.default_rng(0x10DE)
 _BYTES = _seeded.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _BYTES[:, 65:91] = _BYTES[:, 97:123]  # A-Z count as a-z
+_BYTES = np.concatenate([_BYTES, _seeded.integers(0, 1 << 64, (2, 256), dtype=np.uint64)])  # and two functions that tell case apart
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -101,7 +102,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SEPARAT
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes (A-Z as a-z); ``which`` (0 or 1) picks one of two independent functions.
+    """A 64-bit hash of each span of bytes by one of four independent functions: ``which`` 0 and 1 take A-Z as a-z, 2 and
+    3 tell them apart.
 
     A polynomial in the bytes' random images, read off one running sum, so that no Python runs per span.
     """

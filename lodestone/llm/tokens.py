@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SEPARATOR, column, open_shared, publish, small_batches, steps, text_bytes, word_spans
+from lodestone.llm.common import SEPARATOR, column, open_shared, publish, small_batches, span_hashes, steps, text_bytes, word_spans
 from lodestone.storage import shared_folder
 
 MAGIC = b"LTPF1\n"
@@ -186,21 +186,30 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        # known units by a 128-bit hash of their bytes: two sorted columns, and each unit's place in the lists of ids
+        self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        self.places = np.zeros(0, np.int32)
         self.known = 0
         self.starts = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """The places of units by their hashes, -1 where unknown."""
+        if not len(self.places):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys[0], h), len(self.places) - 1)
+        return np.where((self.keys[0][at] == h) & (self.keys[1][at] == g), self.places[at], -1).astype(np.int64)
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and each text's number of ids."""
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
-    def _remember(self, units: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(units), len(flat)
+    def _remember(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(sizes), len(flat)
         while self.known + n > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         while self.used + m > len(self.ids):
@@ -208,24 +217,29 @@ class WordEncoder:
         self.ids[self.used : self.used + m] = flat
         self.sizes[self.known : self.known + n] = sizes
         self.starts[self.known : self.known + n] = self.used + np.cumsum(sizes) - sizes
-        self.place.update(zip(units, range(self.known, self.known + n)))
         self.known, self.used = self.known + n, self.used + m
 
-    def _learn(self, units: list[str]) -> None:
-        plain: list[str] = []
-        odd: list[str] = []
-        for u in units:
-            (plain if self.cut and _PLAIN.fullmatch(u) else odd).append(u)
+    def _learn(self, units: list[str], h: np.ndarray, g: np.ndarray) -> None:
+        plain, odd = [], []
+        for i, u in enumerate(units):
+            (plain if self.cut and _PLAIN.fullmatch(u) else odd).append(i)
+        first = self.known
         for i in range(0, len(odd), 8192):
-            self._remember(odd[i : i + 8192], *self._encode(odd[i : i + 8192]))
+            self._remember(*self._encode([units[k] for k in odd[i : i + 8192]]))
         for i in range(0, len(plain), 8192):
-            part = plain[i : i + 8192]
+            part = [units[k] for k in plain[i : i + 8192]]
             flat, _ = self._encode([" ".join(part[k : k + 512]) for k in range(0, len(part), 512)])
             ends = np.flatnonzero(self.last[flat]) + 1
             if len(ends) == len(part) and ends[-1] == len(flat):
-                self._remember(part, flat, np.diff(ends, prepend=0))
+                self._remember(flat, np.diff(ends, prepend=0))
             else:  # some unit is more than one piece here
-                self._remember(part, *self._encode(part))
+                self._remember(*self._encode(part))
+        order = np.array(odd + plain, np.int64)
+        h, g, places = h[order], g[order], np.arange(first, self.known, dtype=np.int32)
+        order = np.argsort(h, kind="stable")
+        at = np.searchsorted(self.keys[0], h[order])
+        self.keys = [np.insert(k, at, v[order]) for k, v in zip(self.keys, (h, g))]
+        self.places = np.insert(self.places, at, places[order])
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         if not self.by_word:
@@ -260,12 +274,15 @@ class WordEncoder:
         solid = data[~SEPARATOR[data]]  # the units without what is between them, end to end
         edges = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(solid)).dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        if len(self.place) > MEMORY_WORDS:
+        raw, edges = text_bytes(coded.dictionary)
+        h, g = (span_hashes(raw, edges[:-1], edges[1:], which) for which in (2, 3))
+        if self.known > MEMORY_WORDS:
             self._clear()
-        self._learn([u for u in units if u not in self.place])
-        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy()]
-        sizes = self.sizes[at]
+        new = np.flatnonzero(self._find(h, g) < 0)
+        if len(new):
+            self._learn(coded.dictionary.take(pa.array(new)).to_pylist(), h[new], g[new])
+        at = self._find(h, g)[coded.indices.to_numpy()]
+        sizes = self.sizes[at].astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.ids[np.arange(int(sums[-1])) + np.repeat(self.starts[at] - sums[:-1], sizes)]
         cuts = sums[np.searchsorted(starts, offsets)]
