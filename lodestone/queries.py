@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lodestone.functions.vectors import l2_normalized, norm
 from lodestone.operators import bm25, context, embed, parse, search, service, store, symbols, traverse
 from lodestone.plans import prompts, questions
 from lodestone.sources import repository
+from lodestone.storage import importable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -18,7 +21,12 @@ QUERY = "the license of retention data"
 
 def query(name: str, sql: str | None = None):
     def register(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            importable(spark)
+            return f(spark, d)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f

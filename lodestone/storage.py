@@ -8,12 +8,21 @@ tests) a temporary folder is chosen and set.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it (same path, or installed)."""
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (root, known.get("PYTHONPATH")) if x)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one is set where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
