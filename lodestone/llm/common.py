@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lodestone.storage import located, shared_folder
+from lodestone.storage import importable, located, shared_folder
 
 #: Rows of an Arrow batch; texts of up to a few hundred kB then keep a batch within tens of MB.
 BATCH_ROWS = 512
@@ -36,9 +34,7 @@ _inverses = np.ones(1, dtype=np.uint64)
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows, so that a Python worker's memory does not follow the text length; and let workers
     find this package where the driver found it (same path or installed)."""
-    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
-        known["PYTHONPATH"] = os.pathsep.join(x for x in (root, known.get("PYTHONPATH")) if x)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
