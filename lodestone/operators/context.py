@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import first_filled, lines_of, word_estimate
 from lodestone.operators.checks import positive
+from lodestone.operators.store import top_per_key
+from lodestone.storage import materialize
 
 #: Fixed value: a citation marker, [path:start-end].
 CITATION = r"\[([^\[\]]+?):(\d+)-(\d+)\]"
 #: Fixed value: the header line of a formatted chunk.
 HEADER = r"^### (.+):(\d+)-(\d+)$"
+#: First chunks of a context that tell which later ones cannot fit; a large context's are found in SALTS parts.
+HEAD, SALTS = 50, 16
+#: Contexts up to this number have their heads broadcast.
+BROADCAST_KEYS = 200_000
 
 
 def normalized(results: DataFrame) -> DataFrame:
@@ -59,32 +70,77 @@ def formatted(path: str = "file_path", start: str = "start_line", end: str = "en
     return F.array_join(F.concat(F.array(header), numbered), "\n")
 
 
+def _heads(rows: DataFrame, keys: list[str], order: list[str], max_tokens: int) -> DataFrame:
+    """Per key (as _k0, _k1, ...): the last of its first HEAD rows, the budget that these leave, and the number of all rows."""
+    salted = rows.select(*keys, *order).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    part = top_per_key(salted, [*keys, "_salt"], order, HEAD).drop("_salt")  # a large key is cut down in several tasks first
+    best = top_per_key(part, keys, order, HEAD) if keys else part.orderBy(*order).limit(HEAD)
+    lists = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("c"))
+
+    def take(used: Column, x: Column) -> Column:
+        # below 0: the very first did not fit, nothing follows it
+        return F.when(used < 0, used).when(used + x["_tokens"] <= max_tokens, used + x["_tokens"]).when(used == 0, F.lit(-1)).otherwise(used)
+
+    used = F.aggregate("c", F.lit(0), take)
+    left = F.when(used < 0, F.lit(-1)).otherwise(max_tokens - used)
+    names = [f"_k{i}" for i in range(len(keys))]
+    heads = lists.where(F.size("c") > 0).select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.element_at("c", -1).alias("_last"), left.alias("_left"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*(F.col(k).alias(f"_c{n}") for k, n in zip(keys, names)), "_n")
+    both = heads.join(counts, reduce(and_, (F.col(n).eqNullSafe(F.col(f"_c{n}")) for n in names), F.lit(True)))
+    return both.select(*names, "_last", "_left", "_n")
+
+
 def budgeted(chunks: DataFrame, max_tokens: int = 4000, keys: list[str] = ()) -> DataFrame:
     """Chunks that fit a budget, best score first; one that does not fit is skipped and later ones still tried.
 
     If the very first is too large, its first lines that fit are kept and nothing else.  ``keys`` holds one context per
-    key.  Adds ``truncated`` (of the whole context).  A context's candidates are a retrieval's top k, folded in order.
+    key.  Adds ``truncated`` (of the whole context).
+
+    All chunks of a key are tried.  The budget that its first HEAD chunks leave only shrinks after them, so a later chunk
+    larger than that is skipped in any case and does not travel; the others are streamed in order past the used budget,
+    and only kept ones are held.
     """
     positive("max_tokens", max_tokens)
-    keyed = chunks.withColumn("_tokens", word_estimate(formatted())).withColumn("_sort", -F.col("score"))
-    part = F.struct("_sort", "ord", "id", "file_path", "start_line", "end_line", "text", "score", "_tokens")
-    lists = keyed.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("c"))
-
-    def take(a: Column, x: Column) -> Column:
-        first = F.size(a["kept"]) == 0
-        fits = a["used"] + x["_tokens"] <= max_tokens
-        skip = a["stop"] | (~first & ~fits)
-        cut = ~a["stop"] & first & ~fits
-        return F.struct(
-            F.when(skip, a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"),
-            F.when(skip | cut, a["used"]).otherwise(a["used"] + x["_tokens"]).alias("used"),
-            (a["truncated"] | (skip & ~a["stop"]) | cut).alias("truncated"),
-            (a["stop"] | cut).alias("stop"),
-        )
-
-    empty = F.struct(F.filter("c", lambda _: F.lit(False)).alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("truncated"), F.lit(False).alias("stop"))
-    folded = lists.select(*keys, F.aggregate("c", empty, take).alias("r"))
-    rows = folded.select(*keys, F.explode("r.kept").alias("x"), F.col("r.truncated").alias("truncated"), F.col("r.stop").alias("_cut")).select(*keys, "x.*", "truncated", "_cut")
+    keys, spark = list(keys), chunks.sparkSession
+    columns = ["ord", "id", "file_path", "start_line", "end_line", "text", "score"]
+    rows = chunks.select(*keys, *columns, word_estimate(formatted()).alias("_tokens"), (-F.col("score")).alias("_sort"))
+    order = ["_sort", "ord", "id", "file_path", "start_line", "end_line", "_tokens"]
+    heads = materialize(_heads(rows, keys, order, max_tokens), "budget-heads")
+    small = heads.count() <= BROADCAST_KEYS
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.lit(True))
+    tried = rows.join(F.broadcast(heads) if small else heads, same).where((F.struct(*order) <= F.col("_last")) | (F.col("_tokens") <= F.col("_left")))
+    tried = tried.select(*keys, *columns, "_tokens", "_sort", "_n")
+    names = tried.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, kept, used, cut, total = None, [], 0, 0, False, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for x in held:
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array([cut or kept < total] * len(x), pa.bool_()), pa.array([cut] * len(x), pa.bool_())], names=[*names, "truncated", "_cut"])
+
+        for b in batches:
+            values = lambda name: b.column(names.index(name)).to_pylist()  # noqa: E731, B023
+            of = list(zip(*(values(k) for k in keys))) if keys else [()] * len(b)
+            take: list[int] = []
+            for i, (key, tokens, n) in enumerate(zip(of, values("_tokens"), values("_n"))):
+                if key != current:
+                    if take:
+                        held.append(b.take(pa.array(take)))
+                    yield from done()
+                    current, held, take, kept, used, cut, total = key, [], [], 0, 0, False, n
+                if cut or (kept and used + tokens > max_tokens):
+                    continue
+                take.append(i)
+                kept, cut = kept + 1, used + tokens > max_tokens
+                used += tokens
+            if take:
+                held.append(b.take(pa.array(take)))
+        yield from done()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tried.schema.fields) + ", truncated boolean, _cut boolean"
+    dealt = tried.repartition(*keys) if keys else tried.repartition(1)
+    rows = dealt.sortWithinPartitions(*keys, *order, "text").mapInArrow(run, schema)
     header = word_estimate(F.concat(F.lit("### "), F.col("file_path"), F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line")))
     lines = lines_of("text")
 

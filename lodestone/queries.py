@@ -345,9 +345,8 @@ def _whole_chunks(spark, d) -> DataFrame:
 
 @query("context_budget")
 def context_budget(spark, d):
-    """One context per source, of its 50 best documents."""
-    best = store.top_per_key(_whole_chunks(spark, d), ["source"], [F.desc("score"), F.asc("ord")], 50)
-    return context.budgeted(best, 4000, ["source"]).select("source", "id", "start_line", "end_line", "truncated")
+    """One context per source, all of its documents tried."""
+    return context.budgeted(_whole_chunks(spark, d), 4000, ["source"]).select("source", "id", "start_line", "end_line", "truncated")
 
 
 @query("format_chunk", """

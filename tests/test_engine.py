@@ -1,10 +1,12 @@
 """Facts of the retrieval operators on small inline tables."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import queries
 from lodestone.functions import text as T
 from lodestone.functions.vectors import cosine, cosine_to, l2_normalized
 from lodestone.operators import bm25, context, embed, search, service, store, traverse
@@ -217,6 +219,40 @@ def test_a_skipped_chunk_uses_no_budget(spark):
     assert sorted(column(context.assembled(rows, 12)[0], "id")) == ["a", "c"]
 
 
+def greedy(chunks, budget):
+    """The reference assembler's rule: ids kept of (sort, ord, id, tokens), and whether any chunk was left out."""
+    kept, used = [], 0
+    for _, _, id_, tokens in sorted(chunks):
+        if kept and used + tokens > budget:
+            continue
+        kept.append(id_)
+        if tokens > budget:
+            return kept, True
+        used += tokens
+    return kept, len(kept) < len(chunks)
+
+
+def test_budget_tries_every_chunk(spark):
+    rng = random.Random(1)
+    rows = [(k, f"{k}{i}", "f", 1, 1, "w " * rng.choice([rng.randint(1, 30), rng.randint(30, 200)]), rng.randint(0, 40) / 40, i) for k, n in (("a", 700), ("b", 120), ("c", 3), (None, 90)) for i in range(n)]
+    rows += [("d", f"d{i}", "f", 1, 1, "w " * (400 if i == 0 else 2), 1 - i / 100, i) for i in range(80)]  # the first is too large
+    rows += [("e", f"e{i}", "f", 1, 1, "w " * (300 if 0 < i < 70 else 5), 1 - i / 100, i) for i in range(100)]  # what fits comes late
+    table = spark.createDataFrame(rows, "k string, id string, file_path string, start_line int, end_line int, text string, score double, ord int")
+    got = context.budgeted(table, 300, ["k"]).collect()
+    for key in ("a", "b", "c", "d", "e", None):
+        kept, truncated = greedy([(-r[6], r[7], r[1], len(r[5].split()) + 3) for r in rows if r[0] == key], 300)
+        mine = [r for r in got if r.k == key]
+        assert sorted(r.id for r in mine) == sorted(kept) and {r.truncated for r in mine} == {truncated}
+
+
+def test_context_budget_reaches_documents_of_low_rank(spark, tmp_path):
+    rows = [(i, "w " * (3000 if i < 60 else 3), "src", 999 - i) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["context_budget"](spark, str(tmp_path)).collect()
+    kept, truncated = greedy([(-(r[3] % 1000), r[0], str(r[0]), len(r[1].split()) + 3) for r in rows], 4000)
+    assert sorted(r.id for r in got) == sorted(kept) and len(kept) == 41 and all(r.truncated == truncated for r in got)
+
+
 def test_citations(spark):
     answers = spark.createDataFrame([(1, "ok [app/a.py:2-3], gone [x.py:1-1], far [app/a.py:3-9], odd [C:/b.py:9-2], not [one]")], "id int, answer string")
     chunks = results(spark, [("c", "app/a.py", 1, 4, "x", 1.0, 0)])
