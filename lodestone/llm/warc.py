@@ -5,9 +5,9 @@ largest page_id is the response, the others are revisit records without payload.
 travel: they are broadcast if their counted number is small, joined by shuffle otherwise.
 
 Reading: an archive is cut into byte ranges.  A task looks for the record magic in its range, parses a header at each
-hit and emits (offset, successor offset) candidates, also for magic inside payloads.  Pointer jumping from the start
-of the file then keeps the reachable records only: each round doubles the jump, so a file of n records takes log2(n)
-rounds, in numpy, on a file's offsets.
+hit, however long, and emits (offset, successor offset) candidates, also for magic inside payloads.  Pointer jumping
+from the start of the file then keeps the reachable records only: each round doubles the jump, so a file of n records
+takes log2(n) rounds, in numpy, on a file's offsets.  A file whose chain does not end at its last byte is an error.
 
 Nulls and ties: a null html is an empty payload; a null url writes no target header; among equal payloads rows without
 page_id are never the response unless all are; repeated rows of the winning page_id are all responses.
@@ -31,6 +31,8 @@ MAGIC = b"WARC/1.1\r\n"
 LEAST_BYTES = 1000
 #: Bytes of an archive that one task searches; records may reach beyond.
 RANGE_BYTES = 8 << 20
+#: Bytes first searched for a header's end; doubled while it is not found.
+HEADER_BYTES = 1 << 16
 #: Revisits up to this number are broadcast to the writers.
 BROADCAST_ROWS = 200_000
 _EPOCH = b"1970-01-01T00:00:00Z"
@@ -86,9 +88,13 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, folder: str
     return folder, spark.createDataFrame(files, "path string, bytes long")
 
 
-def parse_header(data: memoryview | bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """The headers of a record at ``at`` and where its block starts; None if it is no record header."""
-    raw = bytes(data[at : at + (1 << 16)])
+def unfinished(raw: bytes) -> bool:
+    """Whether the bytes may begin a record header that ends after them."""
+    return raw.find(b"\r\n\r\n") < 0 and all(b":" in line for line in raw[len(MAGIC) :].split(b"\r\n")[:-1])
+
+
+def parse_header(raw: bytes) -> tuple[dict[str, str], int] | None:
+    """The headers of a record and where its block starts; None if the bytes do not begin with a whole record header."""
     end = raw.find(b"\r\n\r\n")
     if not raw.startswith(MAGIC) or end < 0:
         return None
@@ -100,7 +106,7 @@ def parse_header(data: memoryview | bytes, at: int) -> tuple[dict[str, str], int
         fields.setdefault(name.decode("latin1").strip().lower(), value.decode("utf8", "replace").strip())
     if not fields.get("content-length", "").isdecimal():
         return None
-    return fields, at + end + 4
+    return fields, end + 4
 
 
 def reachable(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -146,10 +152,15 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                     data = f.read_at(end - begin + len(MAGIC) - 1, begin)
                     at = data.find(MAGIC)
                     while 0 <= at < end - begin:
-                        head = parse_header(data, at) if at + (1 << 16) <= len(data) else parse_header(f.read_at(min(1 << 16, size - begin - at), begin + at), 0)
+                        window = HEADER_BYTES
+                        while True:
+                            raw = data[at : at + window] if at + window <= len(data) else f.read_at(min(window, size - begin - at), begin + at)
+                            if window >= size - begin - at or not unfinished(raw):
+                                break
+                            window *= 2
+                        head = parse_header(raw)
                         if head is not None:
                             fields, block = head
-                            block = block - at if at + (1 << 16) <= len(data) else block
                             length = int(fields["content-length"])
                             start, body = begin + at, begin + at + block
                             if body + length + 4 <= size:
@@ -158,6 +169,8 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                                 revisit = fields.get("warc-type") == "revisit"
                                 out.append((path, start, body + length + 4, _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), int(fields.get("x-payload-bytes", 0)) if revisit else length, fields.get("warc-payload-digest", "").rpartition(":")[2] if revisit else hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", _number(fields.get("warc-refers-to"))))
                         at = data.find(MAGIC, at + 1)
+                    if end == size:  # the file's end, which the chain must reach
+                        out.append((path, size, -1, None, None, None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=names)
 
     found = arrow_table(ranges.repartition(tasks, "path", "from"), candidates, schema, "warc-candidates")
@@ -168,8 +181,11 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
         def done() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            keep = reachable(column(whole, "start").to_numpy(), column(whole, "next").to_numpy())
-            return whole.filter(pa.array(keep)).select(["path", "start"])
+            starts, ends = column(whole, "start").to_numpy(), column(whole, "next").to_numpy()
+            keep = reachable(starts, ends)
+            if ends[-1] != -1 or not keep[-1]:
+                raise ValueError(f"{current}: no record at offset {ends[keep].max(initial=0)}, before the file's end")
+            return whole.filter(pa.array(keep & (ends >= 0))).select(["path", "start"])
 
         for b in batches:  # files follow each other in a sorted partition; a file's offsets are held together
             paths = column(b, "path").to_pylist()

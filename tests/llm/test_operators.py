@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -346,6 +347,25 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_long_headers(spark):
+    rows = [(1, "http://a/1", "one"), (2, "http://a/" + "u" * 100_000, "two"), (3, "http://a/" + "\n" * 50_000, "three WARC/1.1\r\nx: " + "z" * 70_000), (4, "http://a/4", "four")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    _, files = warc.write_archives(pages.coalesce(1))
+    for size in (warc.RANGE_BYTES, 40_000):
+        got = sorted((r.page_id, r.url, r.payload_bytes) for r in warc.read_archives(files, size).collect())
+        assert got == [(i, u.replace("\n", "%0A"), len(t)) for i, u, t in rows]
+
+
+def test_warc_broken_archives_fail(spark):
+    _, files = warc.write_archives(spark.createDataFrame([(i, "u", "text") for i in range(5)], "page_id long, url string, html string").coalesce(1))
+    path = files.first().path.removeprefix("file:")
+    whole = Path(path).read_bytes()
+    for broken in (whole[:-10], b"x" + whole, whole + b"more"):
+        Path(path).write_bytes(broken)
+        with pytest.raises(Exception, match="before the file's end"):
+            warc.read_archives(files.withColumn("bytes", F.lit(len(broken)).cast("long"))).collect()
+
+
 def test_pointer_jumping():
     starts, ends = np.array([0, 10, 15, 30, 40]), np.array([10, 30, 40, 40, 50])
     assert warc.reachable(starts, ends).tolist() == [True, True, False, True, True]
