@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, small_batches, span_hashes, steps, text_bytes, word_spans
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
+#: At a similarity of 0.8 a window of distinct words is further away than this with probability below 4e-5.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 22
 PART_ITEMS, PART_WORDS = 20_000, 2_000_000
 _GAP = np.ones(256, bool)
 _GAP[[i for i in range(128) if chr(i).isalnum()]] = False

@@ -448,6 +448,15 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.contaminated(frame, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_finds_windows_at_the_threshold(spark):
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**9)}"
+    items = [(i, " ".join(word() for _ in range(100))) for i in range(400)]
+    docs = [(i, " ".join([*t.split()[:90], *(word() for _ in range(10))])) for i, t in items]
+    rows = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x.doc_id: list(x.item_ids) for x in rows if x.contaminated} == {i: [i] for i, _ in items}
+
+
 def test_hamming_blocks_guarantee_the_radius():
     rng = np.random.default_rng(2)
     for _ in range(300):
