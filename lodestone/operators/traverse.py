@@ -16,8 +16,6 @@ from lodestone.operators.checks import one_of, positive
 from lodestone.storage import materialize
 
 DIRECTIONS = ("out", "in", "both")
-#: Cycles longer than this are not looked for.
-MAX_CYCLE = 25
 
 
 def projected(edges: DataFrame, direction: str = "both", edge_types: list[str] | None = None) -> DataFrame:
@@ -95,15 +93,16 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     return done(spark.createDataFrame([], level.schema))
 
 
-def simple_cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
+def simple_cycles(edges: DataFrame) -> DataFrame:
     """Each directed simple cycle once, as ``chain`` from its smallest node back to it; a self edge is [a, a].
 
     Paths start at their smallest node and only visit larger ones, so a cycle is found in one rotation only.
+    Paths are simple, so the search ends.
     """
     steps = materialize(edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).distinct(), "steps")
     found = [steps.where("u = v").select(F.array("u", "v").alias("chain"))]
     paths = steps.where("v > u").select(F.col("u").alias("first"), F.col("v").alias("last"), F.array("u", "v").alias("path"))
-    for _ in range(max_length):
+    while True:
         paths = materialize(paths, "paths")
         if paths.isEmpty():
             break

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.checks import one_of
+from lodestone.storage import materialize
 
 CATEGORIES = ("simple-lookup", "multi-hop", "exploratory")
 ANSWER_TYPES = ("symbol", "path", "files", "explanation", "evidence")
@@ -189,15 +190,15 @@ def execute(spark: SparkSession, plan: Plan, executors: dict[str, Executor]) ->
     return results
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the longest chain of (source, target) dependencies that leads to each node; a ValueError for a cycle."""
     level = nodes.select("id", F.lit(0).alias("level"))
-    for _ in range(most):
+    for _ in range(max(level.count(), 1)):  # without a cycle, the longest chain has one level for each node
         deeper = level.join(edges, level.id == edges.source).groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("_deeper"))
         fresh = level.join(deeper, "id", "left").select("id", F.greatest("level", F.coalesce("_deeper", F.lit(0))).alias("level"))
         rows = fresh.collect() if fresh.count() <= 1000 else None  # plans are small; larger graphs stay distributed
         same = fresh.join(level.withColumnRenamed("level", "_old"), "id").where("level <> _old").isEmpty()
-        level = nodes.sparkSession.createDataFrame(rows, fresh.schema) if rows is not None else fresh
+        level = nodes.sparkSession.createDataFrame(rows, fresh.schema) if rows is not None else materialize(fresh, "levels")
         if same:
             return level
     raise ValueError("the dependencies form a cycle")

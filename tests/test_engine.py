@@ -176,6 +176,16 @@ def test_cycles(spark):
     assert sorted(column(traverse.simple_cycles(edges), "chain")) == [["a", "b", "c", "a"], ["d", "d"]]
 
 
+def test_long_cycles_and_chains(spark):
+    names = [f"n{i:03d}" for i in range(102)]
+    ring = spark.createDataFrame([(names[i], names[(i + 1) % 28]) for i in range(28)], "source_id string, target_id string")
+    assert column(traverse.simple_cycles(ring), "chain") == [[*names[:28], names[0]]]
+    nodes, chain = spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(list(zip(names, names[1:])), "source string, target string")
+    assert {r.id: r.level for r in questions.topological_levels(nodes, chain).collect()} == {n: i for i, n in enumerate(names)}
+    with pytest.raises(ValueError):
+        questions.topological_levels(nodes.limit(2), spark.createDataFrame([(names[0], names[1]), (names[1], names[0])], "source string, target string"))
+
+
 def test_store(graph, spark):
     s = store.GraphStore(*graph)
     s.put_nodes(spark.createDataFrame([("run", "Class", None), ("new", "Module", "new")], "id string, label string, name string"))
