@@ -1,8 +1,9 @@
 """Shared intermediate storage: tables that cut lineage and survive lost executors.
 
 Everything is written under the folder that the cluster names in
-``spark.checkpoint.dir``.  Only where that setting is absent (single-machine
-tests) a temporary folder is chosen and set.
+``spark.checkpoint.dir``.  Only where that setting is absent on a single
+machine (a local master, as in tests) a temporary folder is chosen and set;
+a cluster without the setting is an error, as its executors share no folder.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +27,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set where the cluster names none."""
+    """The checkpoint folder of the session; a temporary one is set where a local master names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -51,9 +56,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared root, removed when the driver ends."""
     path = f"{shared_root(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove_quietly, spark, path)
+    for made in _scopes:
+        made.append(path)
     return path
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving every intermediate table that was made inside: results must have been written or read by then.
+
+    Without it they stay until they are released or the driver ends, as lazy results still read them.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _remove_quietly(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it reread (lineage is cut)."""
     spark = df.sparkSession
