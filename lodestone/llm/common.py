@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from lodestone.storage import importable, located, shared_folder
 
 #: Rows of an Arrow batch; texts of up to a few hundred kB then keep a batch within tens of MB.
 BATCH_ROWS = 512
+#: Keys with more than one in HOT of all rows, and more than LEAST_HOT, are dealt over several tasks.
+HOT, LEAST_HOT = 2000, 1024
 #: Text bytes handled in one vectorised step (a longer text is a step of its own).
 STEP_BYTES = 1 << 20
 
@@ -31,11 +34,25 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, so that a Python worker's memory does not follow the text length; and let workers
-    find this package where the driver found it (same path or installed)."""
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While it lasts, Arrow batches are bounded by rows, so that a worker's memory does not follow the text length; the
+    session's own setting comes back afterwards.  Workers find this package where the driver found it."""
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of BATCH_ROWS, for plans that run after ``small_batches`` is over."""
+    for b in batches:
+        for i in range(0, max(b.num_rows, 1), BATCH_ROWS):
+            yield b.slice(i, BATCH_ROWS)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -152,13 +169,33 @@ def global_offsets(df: DataFrame, order: list[str], value: str, out: str, name:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", _before long, {row_id} long"
     rows = arrow_table(ranged, run, schema, name).withColumn("_part", F.shiftright(row_id, 40).cast("int"))
-    totals = dict(rows.groupBy("_part").agg(F.max(F.col("_before") + F.col(value))).collect())
-    base, bases = 0, []
-    for p in range(max(totals, default=-1) + 1):
-        bases.append(base)
-        base += totals.get(p, 0)
-    start = F.element_at(F.array(*(F.lit(b).cast("long") for b in bases)), F.col("_part") + 1) if bases else F.lit(0).cast("long")
-    return rows.withColumn(out, F.col("_before") + start).drop("_before", "_part")
+    totals = sorted(rows.groupBy("_part").agg(F.max(F.col("_before") + F.col(value))).collect())  # one row per partition
+    bases, base = [], 0
+    for p, n in totals:
+        bases.append((p, base))
+        base += n
+    begun = F.broadcast(df.sparkSession.createDataFrame(bases, "_part int, _base long"))
+    return rows.join(begun, "_part").withColumn(out, F.col("_before") + F.col("_base")).drop("_before", "_base", "_part")
+
+
+def joined_evenly(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """``big.join(small, keys)`` for unique keys in ``small``, however many rows of ``big`` share one.
+
+    :param rows: column of ``small``: how many rows of ``big`` have the key (it is dropped).
+
+    A key with more than one in HOT of all rows (and more than LEAST_HOT) is dealt over as many tasks as it holds such
+    parts, and its row of ``small`` is copied to each: fewer than HOT keys and 2 * HOT copies, which are broadcast.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    part = max(LEAST_HOT, -(-total // HOT))
+    salts = F.ceil(F.col(rows) / part).cast("int")
+    hot = small.where(F.col(rows) > part).select(*keys, salts.alias("_salts"))
+    if hot.isEmpty():
+        return big.join(small.drop(rows), keys)
+    marked = big.join(F.broadcast(hot), keys, "left")
+    dealt = marked.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    copies = small.select("*", F.explode(F.when(F.col(rows) > part, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    return dealt.join(copies.drop(rows), [*keys, "_salt"]).drop("_salt")
 
 
 def sealed(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
@@ -194,7 +231,8 @@ def arrow_table(df: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Ite
         publish(f"{folder}/part-{TaskContext.get().partitionId():06d}.parquet", write)
         yield pa.RecordBatch.from_pydict({"rows": pa.array(rows, pa.int64())})
 
-    files = df.mapInArrow(run, "rows long").count()
+    with small_batches(spark):
+        files = df.mapInArrow(run, "rows long").count()
     return located(spark.read.schema(struct).parquet(folder), folder) if files else spark.createDataFrame([], struct)
 
 

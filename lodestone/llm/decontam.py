@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, small_batches, span_hashes, steps, text_bytes, word_spans
+from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, span_hashes, steps, text_bytes, word_spans
 
 #: At a similarity of 0.8 a window of distinct words is further away than this with probability below 4e-5.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 22
@@ -136,8 +136,6 @@ class Items:
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, similarity, start, words: the best window of each item that a document contains."""
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text")
     out, ids, texts, size = [], [], [], 0

@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, global_offsets, small_batches
+from lodestone.llm.common import column, global_offsets, pieces
 from lodestone.llm.urls import host_and_path
+from lodestone.storage import importable
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -207,12 +208,12 @@ def _shared_prefix(a: str, b: str) -> int:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of every page (page_id, url, html; other columns are ignored)."""
-    small_batches(pages.sparkSession)
+    importable(pages.sparkSession)
     host, path = host_and_path("url")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("url", "html").alias("key"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             lines = [[_hash(t) for t, _, _ in blocks(h)] for h in column(b, "html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("page_id", "host", "path", "key")), pa.array(lines, pa.list_(pa.int64())), pa.array([1] * b.num_rows, pa.int64())], names=["page_id", "host", "path", "key", "lines", "one"])
 
@@ -228,7 +229,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # blocks rather than pages travel, and compressed: text, out flag and zone of each
-        for b in batches:
+        for b in pieces(batches):
             found = []
             for h in column(b, "html").to_pylist():
                 raw = "\0".join(f"{'01'[o]}{z}{t}" for t, o, z in blocks(h)).encode("utf8", "surrogatepass")
@@ -239,7 +240,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     paired = parts.join(near, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left").select("page_id", "url", "path", "blocks", "pp", "pl", "np", "nl")
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = []
             for path, data, pp, pl, np_, nl in zip(*(column(b, c).to_pylist() for c in ("path", "blocks", "pp", "pl", "np", "nl"))):
                 raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).decode("utf8", "surrogatepass") if data[:8] != b"\0" * 8 else ""

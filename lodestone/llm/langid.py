@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, sealed, small_batches, steps, text_bytes
+from lodestone.llm.common import column, pieces, sealed, small_batches, steps, text_bytes
+from lodestone.storage import importable
 
 #: Labelled documents that train the models, over all languages.
 SAMPLE = 4000
@@ -220,7 +221,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([column(b, "wanted"), column(b, "as_lang"), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([v[i].astype("<f4").tobytes() for v, i in zip(x, at)], pa.binary())], names=["wanted", "as_lang", "at", "x"])
 
     rows = docs.join(F.broadcast(wanted), (docs.doc_id == wanted.wanted) & (docs.lang == wanted.as_lang)).where("text is not null").select("wanted", "as_lang", "text")
-    table = rows.repartition(4, "wanted").mapInArrow(vectors, "wanted long, as_lang string, at binary, x binary").toArrow()
+    with small_batches(docs.sparkSession):
+        table = rows.repartition(4, "wanted").mapInArrow(vectors, "wanted long, as_lang string, at binary, x binary").toArrow()
     table = table.sort_by([("wanted", "ascending"), ("as_lang", "ascending"), ("x", "ascending")])
     x, langs = np.zeros((table.num_rows, BUCKETS), np.float32), table.column("as_lang").to_pylist()
     for r, (at, v) in enumerate(zip(table.column("at").to_pylist(), table.column("x").to_pylist())):
@@ -230,12 +232,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score; lang, source and doc_id play no part in a prediction."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     model = model or train(docs)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(names.index("text")).fill_null("")
             langs, scores = model.predict(texts)
             lettered = pc.match_substring_regex(texts, r"\pL").to_pylist()

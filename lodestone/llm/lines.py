@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SEPARATOR, arrow_table, column, mix, small_batches, span_hashes, steps, text_bytes
+from lodestone.llm.common import SEPARATOR, arrow_table, column, mix, pieces, span_hashes, steps, text_bytes
 
 #: Keys with fewer code points than this are never dropped.
 LEAST_CHARS = 10
@@ -62,7 +62,6 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, text) -> doc_id, text_hash, bitmap: the compressed keep bitmap (bit 0 of byte 0 is line 0) of every
     document that loses a line."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +163,7 @@ def kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     joined = base.join(maps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left").select("doc_id", "text", "bitmap")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             counts, gone, texts = [], [], []
             for text, bitmap in zip(column(b, "text").to_pylist(), column(b, "bitmap").to_pylist()):
                 lines = (text or "").split("\n")

@@ -5,10 +5,14 @@
 2. Texts with equal sets collapse to their smallest doc_id, so groups of exact copies cost one row.
 3. Documents in a band bucket are paired with one hub of it; pairs that pass the signature are confirmed on the
    full sets, so a large group needs about one pair per member.  Where a bucket still holds several components, the
-   documents outside its largest one are compared on full sets with that component and with each other, in blocks
-   inside tasks: no link between components is lost, and no pair becomes a row.
+   documents outside its largest one are compared with that component and with each other, in blocks inside tasks: by
+   signatures first, then those that pass with some partner on full sets.  No link between components is lost, and no
+   pair becomes a row.
 4. Components come from alternating large-star and small-star rounds on tables in the shared folder.
 
+A band or a star centre may hold a third of all documents: such keys are dealt over many tasks in every join, and all
+groupings are aggregations with map-side partials.
+
 At similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^40 < 6e-6, and its signature estimate falls
 below the bound with about the same probability.
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, small_batches, steps, text_bytes, word_hashes
+from lodestone.llm.common import arrow_table, column, joined_evenly, mix, sealed, shingle_hashes, steps, text_bytes, word_hashes
 from lodestone.storage import materialize, release
 
 BANDS, ROWS = 40, 6
@@ -38,11 +42,13 @@ _ROW = _seeded.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(
 _SALT = _seeded.integers(0, 1 << 64, BANDS, dtype=np.uint64)
 #: Signature estimates this far below the threshold (over four standard deviations) are not confirmed on the sets.
 MARGIN = 0.15
+_SIGNS = [f"s{i}" for i in range(8)]
 #: Documents whose shingle sets a group holds at once, and documents that are streamed past them in one group.
 CHUNK, SHARE = 64, 2048
 #: Up to this number of documents that share a bucket, their ids are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
+GROUP = ["c", "chunk", "share", "role", "node", "label"]
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long, s4 long, s5 long, s6 long, s7 long"
 
 
@@ -132,10 +138,56 @@ def confirmed(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
                         found.append((nodes[i], node))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    rows = groups.join(texts, groups.node == texts.doc_id).select("c", "chunk", "share", "role", "node", "label", "text")
+    rows = groups.join(texts, groups.node == texts.doc_id).select(*GROUP, "text")
     return arrow_table(rows.repartition("c", "chunk", "share").sortWithinPartitions("c", "chunk", "share", "role"), run, "a long, b long", "minhash-links")
 
 
+def promising(groups: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The rows of the groups that have a partner of the other role and another label whose signature and set size allow
+    the similarity: only their texts need to be compared."""
+    names = [*GROUP, "n", *_SIGNS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, hit = None, [], np.zeros(0, bool)
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * len(GROUP)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if g == "role" else pa.int64()) for c, g in zip(columns, GROUP)], names=GROUP)
+
+        def partners() -> pa.RecordBatch:
+            return table([(*key, 0, node, label) for (node, label, _, _), h in zip(held, hit) if h])
+
+        for b in batches:
+            signed = np.column_stack([column(b, c).to_numpy() for c in _SIGNS]).astype(np.int64).view(np.uint64)
+            own = list(zip(*(column(b, c).to_pylist() for c in (*GROUP, "n"))))
+            i = 0
+            while i < len(own):
+                j = i
+                while j < len(own) and own[j][:4] == own[i][:4]:
+                    j += 1
+                if own[i][:3] != key:
+                    if key is not None:
+                        yield partners()
+                    key, held, hit = own[i][:3], [], np.zeros(0, bool)
+                if own[i][3] == 0:
+                    held += [(r[4], r[5], r[6], signed[k]) for k, r in enumerate(own[i:j], i)]
+                    hit = np.zeros(len(held), bool)
+                elif held:
+                    far = np.bitwise_count(signed[i:j, None, :] ^ np.array([h[3] for h in held])[None, :, :]).sum(axis=2)
+                    n, m = np.array([r[6] for r in own[i:j]])[:, None], np.array([h[2] for h in held])[None, :]
+                    other = np.array([r[5] for r in own[i:j]])[:, None] != np.array([h[1] for h in held])[None, :]
+                    near = (far <= _most_mismatches(percent / 100)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & other
+                    hit |= near.any(axis=0)
+                    yield table([(*key, 1, r[4], r[5]) for r, ok in zip(own[i:j], near.any(axis=1)) if ok])
+                i = j
+        if key is not None:
+            yield partners()
+
+    rows = groups.join(signs, groups.node == signs.rep).select(*names)
+    schema = "c long, chunk long, share long, role int, node long, label long"
+    return arrow_table(rows.repartition("c", "chunk", "share").sortWithinPartitions("c", "chunk", "share", "role"), run, schema, "minhash-promising")
+
+
 def hub_groups(pairs: DataFrame) -> DataFrame:
     """Pairs (a hub, b) as groups: the hub is held, its members are dealt over shares of SHARE."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("n"))
@@ -149,8 +201,8 @@ def block_groups(open_: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that hold several components as groups: of each bucket, the documents outside its largest component
     (held, in chunks of CHUNK) meet that component and each other (streamed, in shares of SHARE)."""
     sizes = open_.groupBy("band", "component").count()
-    major = sizes.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("c"))
-    held = open_.join(major, "band").where("component <> c").select("c", F.col("rep").alias("node"), F.col("component").alias("label")).distinct()
+    major = sizes.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("c"), F.sum("count").alias("_n"))
+    held = joined_evenly(open_, materialize(major, "minhash-majors"), ["band"], "_n").where("component <> c").select("c", F.col("rep").alias("node"), F.col("component").alias("label")).distinct()
     members = labels.select(F.col("component").alias("c"), "node", F.col("component").alias("label")).join(held.select("c").distinct(), "c", "left_semi")
     lone = held.select("c", F.col("c").alias("node"), F.col("c").alias("label"))  # a component of one document has no label row
     streamed = members.unionByName(lone).unionByName(held).distinct()
@@ -168,13 +220,15 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")), "star-low")
+        large = joined_evenly(both, low, ["u"], "_n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        release(low)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "star-low")
+        small = joined_evenly(large, low, ["u"], "_n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         before, edges = edges, materialize(small, "small-star")
-        release(before, large)
+        release(before, large, low)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -187,15 +241,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     :param docs: a DataFrame with doc_id and text; other columns are ignored.
     :param k: words of a shingle.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = signatures(docs, k)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "minhash-sets")
-    reps = usable.join(sets.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own_key"))).select("rep", "bands", F.col("n_shingles").alias("n"), *(f"s{i}" for i in range(8)))
+    reps = usable.join(sets.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own_key"))).select("rep", "bands", F.col("n_shingles").alias("n"), *_SIGNS)
     buckets = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("band", "hub")
-    shared = materialize(buckets.join(hubs, "band").select("band", "hub", "rep"), "minhash-buckets")  # only documents that share a bucket
+    hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("_n")).where("hub < top").select("band", "hub", "_n")
+    hubs = materialize(hubs, "minhash-hubs")
+    shared = materialize(joined_evenly(buckets, hubs, ["band"], "_n").select("band", "hub", "rep"), "minhash-buckets")  # only documents that share a bucket
     nodes = materialize(shared.select(F.col("rep").alias("node")).distinct(), "minhash-nodes")
     asked = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     texts = materialize(docs.join(asked, docs.doc_id == asked.node, "left_semi"), "minhash-texts")
@@ -209,14 +263,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = confirmed(hub_groups(close), texts, k, percent)
     labels = components(links)
     named = shared.join(labels, shared.rep == labels.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = materialize(named.join(mixed, "band", "left_semi"), "minhash-open")
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi").select("band", "_n")
+    open_ = materialize(joined_evenly(named, materialize(mixed, "minhash-mixed"), ["band"], "_n"), "minhash-open")
     if not open_.isEmpty():
-        blocks = materialize(block_groups(open_, labels), "minhash-blocks")
+        blocks = promising(block_groups(open_, labels), signs, percent)
         more = confirmed(blocks, texts, k, percent)
         labels = components(links.unionByName(more))
         release(blocks, more)
-    release(shared, nodes, texts, signs, close, links, open_)
+    release(hubs, shared, nodes, texts, signs, close, links, open_)
     of_set = sets.join(labels, sets.rep == labels.node, "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return (

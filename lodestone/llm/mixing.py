@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, global_offsets, mix, sealed, small_batches
+from lodestone.llm.common import column, global_offsets, mix, pieces, sealed
 from lodestone.storage import materialize
 
 BLOCK_WORDS = 64
@@ -107,7 +107,6 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         takes(row_id, shard, slot, pass, start, words): words [start, start + words) of a document in an output slot.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), word_count("text").alias("size"), F.col("source").isNull().alias("unnamed"))
     placed = global_offsets(sized, ["unnamed", "source", "doc_id", "text_hash"], "size", "at", "mix-places", row_id="row_id")
     totals = placed.groupBy("source").agg(F.sum("size").alias("size"), F.min("at").alias("at")).limit(MAX_SOURCES + 1).collect()
@@ -194,7 +193,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     joined = keyed.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))).select(*names, "size", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = [cut(t or "", [(r["start"], r["words"]) for r in rs], n) for t, rs, n in zip(column(b, "text").to_pylist(), column(b, "ranges").to_pylist(), column(b, "size").to_pylist())]
             arrays = [b.column(i) for i in range(len(names))]
             arrays[names.index("text")] = pa.array(texts, pa.string())

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import SEPARATOR, column, open_shared, publish, small_batches, span_hashes, steps, text_bytes, word_spans
-from lodestone.storage import shared_folder
+from lodestone.storage import importable, shared_folder
 
 MAGIC = b"LTPF1\n"
 BLOCK = 1024
@@ -310,7 +310,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, by_word: bool
     follow in the order of their texts.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or shared_folder(spark, "tokens")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
@@ -334,7 +333,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, by_word: bool
         n, total = said[0]
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [path], "n_docs": [n], "n_tokens": [total]})
 
-    shards = sorted(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long").collect())  # one row per file
+    with small_batches(spark):
+        shards = sorted(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long").collect())  # one row per file
     rows, start = [], 0
     for s in shards:
         rows.append((s.shard, s.path, s.n_docs, start, s.n_tokens))
@@ -366,6 +366,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
+    importable(manifest.sparkSession)
     shards = max(1, manifest.count())
     rows = manifest.repartition(shards, "shard").mapInArrow(run, schema)
     return rows if with_ids else rows.repartition("doc_id")  # digests are small: a few files rather than one per shard

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, small_batches, text_bytes
+from lodestone.llm.common import column, pieces, small_batches, text_bytes
 from lodestone.storage import materialize
 
 #: The production rules: (rule, verdict).
@@ -142,7 +142,6 @@ def tree_scores(model: tuple[float, list], x: np.ndarray) -> np.ndarray:
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, host, path, rule, verdict and blocked (the trees' probability, null where a rule decides)."""
-    small_batches(pages.sparkSession)
     host, path = host_and_path("url")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(rules)
@@ -152,17 +151,18 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample:
     rows = base.join(stats, "suffix").drop("suffix")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([column(b, "ruled"), pa.array(list(lexical(b)), pa.list_(pa.float64()))], names=["ruled", "x"])
 
-    drawn = [rows.where(F.col("ruled") == v).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).mapInArrow(featured, "ruled string, x array<double>").toArrow() for v in ("allow", "block")]
+    with small_batches(pages.sparkSession):
+        drawn = [rows.where(F.col("ruled") == v).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).mapInArrow(featured, "ruled string, x array<double>").toArrow() for v in ("allow", "block")]
     x = [np.array(t.column("x").to_pylist(), float).reshape(-1, len(FEATURES)) for t in drawn]
     counts = [len(v) for v in x]
     model = fit_trees(np.concatenate(x), np.concatenate([np.zeros(counts[0]), np.ones(counts[1])])) if min(counts) else None
     constant = float(counts[1] > counts[0])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ruled = column(b, "ruled").to_pylist()
             p = tree_scores(model, lexical(b)) if model else np.full(b.num_rows, constant)
             verdicts = [r or ("block" if v >= 0.5 else "allow") for r, v in zip(ruled, p)]

@@ -56,7 +56,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
 def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, folder: str | None = None) -> tuple[str, DataFrame]:
     """Write page_id, url, html as WARC files, one per partition of the pages; returns the folder and (path, bytes)."""
     spark = pages.sparkSession
-    small_batches(spark)
     folder = folder or shared_folder(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     long_ = pages.where(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("n"))
@@ -84,7 +83,8 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, folder: str
         publish(path, write)
         yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array(size, pa.int64())})
 
-    files = rows.mapInArrow(run, "path string, bytes long").collect()  # one row per file
+    with small_batches(spark):
+        files = rows.mapInArrow(run, "path string, bytes long").collect()  # one row per file
     return folder, spark.createDataFrame(files, "path string, bytes long")
 
 
