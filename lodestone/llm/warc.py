@@ -8,6 +8,7 @@ Reading: an archive is cut into byte ranges.  A task looks for the record magic
 hit, however long, and emits (offset, successor offset) candidates, also for magic inside payloads.  Pointer jumping
 from the start of the file then keeps the reachable records only: each round doubles the jump, so a file of n records
 takes log2(n) rounds, in numpy, on a file's offsets.  A file whose chain does not end at its last byte is an error.
+Only the payloads of records that are kept are read and hashed, in pieces of PIECE bytes.
 
 Nulls and ties: a null html is an empty payload; a null url writes no target header; among equal payloads rows without
 page_id are never the response unless all are; repeated rows of the winning page_id are all responses.
@@ -33,6 +34,8 @@ LEAST_BYTES = 1000
 RANGE_BYTES = 8 << 20
 #: Bytes first searched for a header's end; doubled while it is not found.
 HEADER_BYTES = 1 << 16
+#: Bytes of a payload that are hashed at once.
+PIECE = 4 << 20
 #: Revisits up to this number are broadcast to the writers.
 BROADCAST_ROWS = 200_000
 _EPOCH = b"1970-01-01T00:00:00Z"
@@ -106,6 +109,8 @@ def parse_header(raw: bytes) -> tuple[dict[str, str], int] | None:
         fields.setdefault(name.decode("latin1").strip().lower(), value.decode("utf8", "replace").strip())
     if not fields.get("content-length", "").isdecimal():
         return None
+    if len(fields["content-length"]) > 18:
+        return None
     return fields, end + 4
 
 
@@ -132,6 +137,10 @@ def _number(uri: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdecimal() else None
 
 
+def _size(text: str | None) -> int:
+    return int(text) if (text or "").isdecimal() else 0
+
+
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of the archives (path, bytes): page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -139,7 +148,7 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     """
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("from"))
     tasks = max(1, ranges.count())
-    schema = "path string, start long, next long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = "path string, start long, next long, body long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +173,13 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                             length = int(fields["content-length"])
                             start, body = begin + at, begin + at + block
                             if body + length + 4 <= size:
-                                inside = body + length - begin <= len(data)
-                                payload = data[body - begin : body - begin + length] if inside else f.read_at(length, body)
                                 revisit = fields.get("warc-type") == "revisit"
-                                out.append((path, start, body + length + 4, _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), int(fields.get("x-payload-bytes", 0)) if revisit else length, fields.get("warc-payload-digest", "").rpartition(":")[2] if revisit else hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", _number(fields.get("warc-refers-to"))))
+                                said = (_size(fields.get("x-payload-bytes")), fields.get("warc-payload-digest", "").rpartition(":")[2]) if revisit else (length, None)
+                                out.append((path, start, body + length + 4, body, _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), *said, "revisit" if revisit else "response", _number(fields.get("warc-refers-to"))))
                         at = data.find(MAGIC, at + 1)
                     if end == size:  # the file's end, which the chain must reach
-                        out.append((path, size, -1, None, None, None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=names)
+                        out.append((path, size, -1, *[None] * 7))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), (pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=names)
 
     found = arrow_table(ranges.repartition(tasks, "path", "from"), candidates, schema, "warc-candidates")
 
@@ -205,7 +213,34 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
     offsets = found.select("path", "start", "next").repartition("path").sortWithinPartitions("path", "start")
     good = offsets.mapInArrow(chain, "path string, start long")
-    return found.join(good, ["path", "start"], "left_semi").drop("path", "start", "next")
+    kept = found.join(good, ["path", "start"], "left_semi").drop("next").withColumn("_range", F.floor(F.col("start") / range_bytes))
+    read = [f.name for f in kept.schema.fields if f.name not in ("path", "start", "body", "_range")]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begin, data, stream = None, 0, b"", None
+        for b in batches:
+            digests = []
+            for path, start, body, n, digest, at in zip(*(column(b, c).to_pylist() for c in ("path", "start", "body", "payload_bytes", "payload_digest", "_range"))):
+                if digest is None:
+                    if held != (path, at):  # a range's records follow each other: one read serves all
+                        if stream is not None:
+                            stream.close()
+                        store, place = open_shared(path)
+                        stream, held, begin = store.open_input_file(place), (path, at), at * range_bytes
+                        data = stream.read_at(range_bytes, begin)
+                    sha, done = hashlib.sha1(memoryview(data)[body - begin : body - begin + n] if body - begin < len(data) else b""), max(0, min(n, begin + len(data) - body))
+                    while done < n:
+                        piece = stream.read_at(min(PIECE, n - done), body + done)
+                        sha.update(piece)
+                        done += len(piece)
+                    digest = sha.hexdigest()
+                digests.append(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()) if c == "payload_digest" else column(b, c) for c in read], names=read)
+        if stream is not None:
+            stream.close()
+
+    dealt = kept.repartition("path", "_range").sortWithinPartitions("path", "start")
+    return dealt.mapInArrow(hashed, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
