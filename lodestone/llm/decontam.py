@@ -5,9 +5,14 @@ n words slide over every document.
 
 1. A window can only reach the similarity if enough of its shingles occur in the benchmark at all; running counts
    of such shingles drop the other windows without loss.
-2. The window's 64-bit SimHash is cut into RADIUS + 1 blocks.  Fingerprints within RADIUS of an item's agree with it
-   in one block at least, so block tables find every item within the radius.
-3. The window and a found item are compared by the weighted (counted) Jaccard similarity of their five-word shingles.
+2. The window's 256-bit SimHash is cut into 16 blocks of 16 bits.  A fingerprint within RADIUS of an item's differs
+   from it in at most NEAR bits of some block, so lists of the items by block value, read at all values within NEAR,
+   find every item within the radius (about one other item in six comes along).  Only these are compared in full.
+3. The window and an item within the radius are compared by the weighted (counted) Jaccard similarity of their
+   five-word shingles.
+
+Windows are taken in runs of at most WINDOWS and words in pieces of at most PIECE, so what a task holds besides a batch
+of texts does not follow the length of a document, nor windows times items.
 
 The benchmark is shipped to the tasks in parts of at most PART_ITEMS items and PART_WORDS words, one pass over the
 documents for each part, so what travels has a fixed bound.
@@ -28,9 +33,17 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_table, column, mix, sealed, shingle_hashes, span_hashes, steps, text_bytes, word_spans
 
-#: At a similarity of 0.8 a window of distinct words is further away than this with probability below 4e-5.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 22
+SHINGLE, SIMILARITY = 5, 0.8
+#: At a similarity of 0.8 a window of distinct words is further away than this, of 256 bits, with probability below 1e-4.
+RADIUS = 63
+BLOCKS, WIDTH = 16, 16
+#: Bits in which some block of two fingerprints within the radius differs at most.
+NEAR = RADIUS // BLOCKS
+WINDOWS, PIECE, PAIRS = 512, 4096, 1 << 18
 PART_ITEMS, PART_WORDS = 20_000, 2_000_000
+_SEEDS = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x5117_0000_0000_0001)
+#: All differences of two blocks that count as near.
+_MASKS = np.flatnonzero(np.bitwise_count(np.arange(1 << WIDTH, dtype=np.uint32)) <= NEAR).astype(np.uint16)
 _GAP = np.ones(256, bool)
 _GAP[[i for i in range(128) if chr(i).isalnum()]] = False
 _GAP[128:] = False
@@ -49,13 +62,29 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHashes of the n-word windows at ``starts``: per bit, whether more words have it set than not."""
-    lo, hi = int(starts.min()), int(starts.max()) + n
-    bits = np.unpackbits(mix(words[lo:hi] ^ np.uint64(0x5117)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.zeros((hi - lo + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:], dtype=np.int32)
-    on = 2 * (total[starts - lo + n] - total[starts - lo]) > n
-    return np.packbits(on, axis=1, bitorder="little").view("<u8").reshape(-1)
+    """SimHashes of the n-word windows at the ascending ``starts``, 16 blocks of 16 bits each: per bit, whether more words
+    have it set than not.  Running counts go over the words in pieces and are kept at the windows' ends only."""
+    ends = starts + n
+    at = np.unique(np.concatenate([starts, ends]))
+    counts = np.zeros((len(at), 256), np.int32)
+    base, lo, last = np.zeros(256, np.int32), int(at[0]), int(at[-1])
+    while lo < last:
+        hi = min(lo + PIECE, last)
+        if not ((starts < hi) & (ends > lo)).any():  # no window reaches here
+            lo = int(starts[starts >= hi].min())
+            continue
+        own = mix(words[lo:hi, None] ^ _SEEDS[None, :])
+        bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(hi - lo, 32), axis=1, bitorder="little")
+        sums = np.cumsum(bits, axis=0, dtype=np.int32)
+        sums += base
+        a, b = np.searchsorted(at, [lo + 1, hi + 1])
+        counts[a:b] = sums[at[a:b] - lo - 1]
+        first = np.searchsorted(at, lo)
+        if at[first] == lo:
+            counts[first] = base
+        base, lo = sums[-1].copy(), hi
+    on = 2 * (counts[np.searchsorted(at, ends)] - counts[np.searchsorted(at, starts)]) > n
+    return np.packbits(on, axis=1, bitorder="little").view("<u2").reshape(len(starts), BLOCKS)
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -66,31 +95,57 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def _blocks() -> list[tuple[int, int]]:
-    edges = np.linspace(0, 64, RADIUS + 2).round().astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:])]
+class BlockLists:
+    """Items by the value of each block of their fingerprints: sorted distinct values, and the items of each."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.tables = []
+        for k in range(BLOCKS):
+            order = np.argsort(prints[:, k], kind="stable").astype(np.int32)
+            values, begin = np.unique(prints[order, k], return_index=True)
+            self.tables.append((values, np.append(begin, len(order)), order))
+
+    def _values(self, values: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place in ``values``) of all values within NEAR bits: a short list is compared, a long one is probed at
+        all near differences, whose number does not grow with it."""
+        if len(values) <= 8 * len(_MASKS):  # a comparison costs about an eighth of a probe
+            return np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= NEAR)
+        wanted = own[:, None] ^ _MASKS[None, :]
+        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        w, m = np.nonzero(values[at] == wanted)
+        return w, at[w, m]
+
+    def within(self, own: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) of all pairs within RADIUS, for some windows' fingerprints."""
+        step = max(1, PAIRS // max(len(_MASKS), len(self.prints)))
+        for i in range(0, len(own), step):
+            part, pairs = own[i : i + step], []
+            for k, (values, begin, order) in enumerate(self.tables):
+                w, v = self._values(values, part[:, k])
+                n = begin[v + 1] - begin[v]
+                at = np.arange(int(n.sum())) + np.repeat(begin[v] - (np.cumsum(n) - n), n)
+                pairs.append(np.repeat(w, n) * len(self.prints) + order[at])
+            pairs = np.unique(np.concatenate(pairs))
+            w, item = pairs // len(self.prints), pairs % len(self.prints)
+            near = np.bitwise_count(part[w] ^ self.prints[item]).sum(axis=1) <= RADIUS
+            yield from zip((w[near] + i).tolist(), item[near].tolist())
 
 
 class Items:
-    """A part of the benchmark: its shingles, and per item length the items' block tables."""
+    """A part of the benchmark: its shingles, and per item length the items' block lists."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
         words, at = words_of(data, offsets)
         self.ids, self.words = ids, [words[a:b] for a, b in zip(at[:-1], at[1:])]
         self.shingles = [shingle_hashes(w, SHINGLE) for w in self.words]
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = {}
+        self.lengths: dict[int, tuple[np.ndarray, BlockLists]] = {}
         widths: dict[int, list[np.ndarray]] = {}
         for n in sorted({len(w) for w in self.words if len(w)}):
             of = np.array([i for i, w in enumerate(self.words) if len(w) == n])
             prints = np.concatenate([fingerprints(self.words[i], np.array([0]), n) for i in of])
-            tables = []
-            for at_, size in _blocks():
-                value = (prints >> np.uint64(at_)) & np.uint64((1 << size) - 1)
-                table = np.zeros((1 << size, len(of)), bool)
-                table[value.astype(int), np.arange(len(of))] = True
-                tables.append(table)
-            self.lengths[n] = (of, prints, tables)
+            self.lengths[n] = (of, BlockLists(prints))
             widths.setdefault(min(SHINGLE, n), []).extend(self.shingles[i] for i in of)
         self.known = {k: np.unique(np.concatenate(v)) for k, v in widths.items()}
         self.filters = {}
@@ -111,7 +166,7 @@ class Items:
         """Item position -> best similarity, its window's start and words; ``members`` flags known shingles by width."""
         best: dict[int, tuple[float, int, int]] = {}
         counts = {k: np.concatenate([[0], np.cumsum(v)]) for k, v in members.items()}
-        for n, (of, prints, tables) in self.lengths.items():
+        for n, (of, lists) in self.lengths.items():
             k, size = min(SHINGLE, n), min(n, len(words))
             if size < k or k not in counts:
                 continue
@@ -121,16 +176,13 @@ class Items:
             starts = np.flatnonzero(inside >= SIMILARITY * (n - k + 1) - 1e-9)
             if not len(starts):
                 continue
-            own = fingerprints(words, starts, size)
-            maybe = np.zeros((len(starts), len(of)), bool)
-            for (at, width), table in zip(_blocks(), tables):
-                maybe |= table[((own >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(int)]
-            far = np.bitwise_count(own[:, None] ^ prints[None, :])
-            for i, j in zip(*np.nonzero(maybe & (far <= RADIUS))):
-                start, item = int(starts[i]), int(of[j])
-                s = weighted_jaccard(shingle_hashes(words[start : start + size], SHINGLE), self.shingles[item])
-                if s >= SIMILARITY - 1e-12 and (item not in best or s > best[item][0]):
-                    best[item] = (s, start, size)
+            for i in range(0, len(starts), WINDOWS):
+                run = starts[i : i + WINDOWS]
+                for w, j in lists.within(fingerprints(words, run, size)):
+                    start, item = int(run[w]), int(of[j])
+                    s = weighted_jaccard(shingle_hashes(words[start : start + size], SHINGLE), self.shingles[item])
+                    if s >= SIMILARITY - 1e-12 and (item not in best or s > best[item][0]):
+                        best[item] = (s, start, size)
         return best
 
 
