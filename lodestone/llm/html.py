@@ -1,19 +1,23 @@
-"""Main text of HTML pages: markup roles, then nearest-URL page differencing.
-
-1. A tolerant scanner turns a page into blocks: text between block-level tags, character references decoded, white
-   space folded.  A block is *marked out* inside menus, headers, footers, sidebars, notices, adverts, forms, comments
-   and the like (by element, role, or class and id words), and *marked in* inside an article (else a main) element.
-2. Pages are ordered by (host, path, page_id) over range partitions, so a hot host spreads; each page is paired with
-   the neighbour in that order whose path shares the longer prefix.  Only hashes of block texts travel.
-3. The blocks of a pair are aligned by their longest common subsequence; shared blocks are deleted, unless they are
-   marked in.  Where a page shares at least half of its unmarked text with its neighbour, the pair are copies rather
-   than one template, and nothing is deleted.
+"""Main text of HTML pages: markup roles and nearest-URL page differencing.
+
+1. A tolerant scanner turns a page, once, into blocks: text between block-level tags, character references decoded,
+   white space folded.  A block carries its zone (inside an article, a main element, or neither) and its mark:
+   OUT inside menus, headers, footers, forms, adverts, comments and the like, by element, role, or a class or id that
+   says nothing else ("ad-box"); DOUBT where such a word is one of several ("legal-analysis").
+2. Pages are ordered by (host, path, page_id) over range partitions, so a hot host spreads; windows of that order bring
+   each page its NEIGHBOURS nearest urls: the same host, the longest common start of the path first.  Only hashes of
+   block texts travel.
+3. The page's lines are aligned with each neighbour's by their longest common subsequence.  Shared lines are the site's
+   template: they are deleted where no article or main element speaks for them, and inside one where they are in DOUBT
+   or mostly links.  Copies of the page are left out, and the next neighbour is taken.
+4. Where an article (else a main element) has text, only what is inside stays.
 
 Differencing alone is not right for pages: menus and adverts drawn at random are shared with no neighbour, and
-passages that articles share would be lost; hence the marks of step 1 decide where there are any.
+passages that articles share would be lost; hence marks and zones decide where there are any.
 
 Nulls and ties: a null html has no blocks (text ''); a null url has host and path ''; rows that are equal in page_id,
-url and html get equal texts; pages alone on their host are not differenced.
+url and html get equal texts and are one page; pages alone on their host are not differenced; an unclosed quote ends its
+tag at the next >.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, global_offsets, pieces
+from lodestone.llm.common import arrow_table, column, global_offsets, pieces
 from lodestone.llm.urls import host_and_path
-from lodestone.storage import importable
+from lodestone.storage import importable, materialize
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -52,59 +56,92 @@ OUT_WORDS = frozenset(
 )
 
 
+#: Words that may stand beside one of OUT_WORDS in a class or id that says nothing else.
+BESIDE = frozenset(
+    "a area bar body bottom box btn button buttons col column container content count cta fixed full grid group head hero icon icons id in inline inner item items js large label left link links list mobile "
+    "module mount outer panel right row section site sized slot small space sticky text thread title top unit wrap wrapper".split()
+)
+KEEP, DOUBT, OUT_MARK = range(3)
+#: Zones.
+NONE, MAIN, ARTICLE = range(3)
+#: Neighbours that a page is aligned with, and how far away in the order of urls they may be.
+NEIGHBOURS, REACH = 2, 6
+#: Pages that share so much of their lines are alike: copies, or stubs on one template.
+COPY = 0.9
+#: A block inside an article whose text is links to this part is deleted if its line is shared.
+LINKS = 0.5
+#: Pages of one window of the order.
+WINDOW = 256
+
+
 class _Open:
-    __slots__ = ("name", "out", "zone")
+    __slots__ = ("name", "mark", "zone")
 
-    def __init__(self, name: str, out: bool, zone: int):
-        self.name, self.out, self.zone = name, out, zone
+    def __init__(self, name: str, mark: int, zone: int):
+        self.name, self.mark, self.zone = name, mark, zone
+
+
+def _named(value: str, inside: bool) -> int:
+    """What a class or id says: OUT_MARK if one of its names is made of OUT_WORDS and words BESIDE them, DOUBT if such a
+    word is one of several.  An article's own header holds its title."""
+    found = KEEP
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        out = words & OUT_WORDS - ({"header", "banner", "masthead"} if inside else set())
+        if out:
+            found = max(found, DOUBT if any(w not in OUT_WORDS and w not in BESIDE and not w.isdigit() for w in words) else OUT_MARK)
+    return found
 
 
-def _marks(tag: str, name: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element is marked out, and its zone: 2 article, 1 main, 0 none."""
+def _marks(tag: str, name: str, inside: bool) -> tuple[int, int]:
+    """The mark of an element, and its zone."""
     attributes = {k.lower(): _html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(tag[len(name) + 1 :])} if len(tag) > len(name) + 2 else {}
     role = attributes.get("role", "").lower()
-    words = {w.lower() for w in _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}
-    comment = bool(words & {"comment", "comments", "reply", "replies"})
-    zone = 2 if (name == "article" or attributes.get("itemprop", "").lower() == "articlebody" or role == "article") and not comment else 1 if name == "main" or role == "main" else 0
+    said = max(_named(attributes.get("class", ""), inside), _named(attributes.get("id", ""), inside))
+    comment = said == OUT_MARK and bool({w.lower() for w in _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))} & {"comment", "comments", "reply", "replies"})
+    zone = ARTICLE if (name == "article" or attributes.get("itemprop", "").lower() == "articlebody" or role == "article") and not comment else MAIN if name == "main" or role == "main" else NONE
     if zone or name in ("html", "body"):
-        return False, zone
+        return KEEP, zone
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    head = {"header", "banner", "masthead"}
-    found = words & OUT_WORDS
-    if inside:  # an article's own header holds its title
-        found = found - head
-    return name in OUT or (name == "header" and not inside) or hidden or role in OUT_ROLES - ({"banner"} if inside else set()) or bool(found), 0
+    out = name in OUT or (name == "header" and not inside) or hidden or role in OUT_ROLES - ({"banner"} if inside else set())
+    return OUT_MARK if out else said, NONE
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, int]]:
-    """(text, marked out, zone) of each non-empty block of a page, in page order."""
-    out: list[tuple[str, bool, int]] = []
+def blocks(page: str | None) -> list[tuple[str, int, int, bool]]:
+    """(text, mark, zone, mostly links) of each non-empty block of a page, in page order."""
+    out: list[tuple[str, int, int, bool]] = []
     stack: list[_Open] = []
     parts: list[str] = []
-    state = [False, 0]
+    state = [KEEP, NONE, 0, 0]  # mark, zone, open links, characters inside links
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, state[0], state[1]))
+                out.append((text, state[0], state[1], state[3] >= LINKS * len(text)))
             parts.clear()
+        state[3] = 0
+
+    def say(text: str) -> None:
+        parts.append(text)
+        state[3] += len(text) * (state[2] > 0)
 
     def settle() -> None:
-        state[0], state[1] = (stack[-1].out, stack[-1].zone) if stack else (False, 0)
+        state[0], state[1] = (stack[-1].mark, stack[-1].zone) if stack else (KEEP, NONE)
+        state[2] = sum(x.name == "a" for x in stack)
 
     page, at = page or "", 0
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            say(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            say(page[at : m.start()])
         at, tag = m.end(), m.group()
         if tag[1] in "!?":
             if tag.startswith("<![CDATA["):
-                parts.append(_html.escape(tag[9:].removesuffix("]]>")))
+                say(_html.escape(tag[9:].removesuffix("]]>")))
             continue
         name = _NAME.match(tag).group(1).lower()
         if tag[1] == "/":
@@ -115,6 +152,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, int]]:
             if name not in INLINE:
                 flush()
             if depth is not None and not (name in INLINE and any(x.name not in INLINE for x in stack[depth + 1 :])):
+                if name in INLINE and stack[depth].mark != state[0]:
+                    flush()
                 del stack[depth:]
                 settle()
             continue
@@ -141,12 +180,12 @@ def blocks(page: str | None) -> list[tuple[str, bool, int]]:
                 if stack[i].name not in INLINE:
                     break
             settle()
-        out_, zone = _marks(tag, name, state[1] > 0)
-        if out_ and name in INLINE and not state[0]:
+        mark, zone = _marks(tag, name, state[1] > NONE)
+        if mark > state[0] and name in INLINE:
             flush()
         if tag.endswith("/>"):
             continue
-        stack.append(_Open(name, state[0] or out_, max(zone, state[1])))
+        stack.append(_Open(name, max(state[0], mark), max(zone, state[1])))
         settle()
     flush()
     return out
@@ -181,16 +220,30 @@ def common(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def main_text(page: list[tuple[str, bool, int]], hashes: list[int], near: list[int] | None) -> str:
-    """The blocks that stay, given the hashes of the nearest page's blocks (None: there is none)."""
-    zone = max((z for _, out, z in page if not out), default=0)
-    keep = [not out and z >= zone for _, out, z in page]
-    if zone == 0 and near:
-        shared = common(hashes, near)
-        size = sum(len(t) for (t, _, _), k in zip(page, keep) if k)
-        if 2 * sum(len(page[i][0]) for i in shared if keep[i]) < size:
-            keep = [k and i not in shared for i, k in enumerate(keep)]
-    return "\n".join(t for (t, _, _), k in zip(page, keep) if k)
+def template_lines(hashes: list[int], near: list[list[int]]) -> set[int]:
+    """Positions of the lines that the nearest NEIGHBOURS pages share, copies of the page left out.
+
+    A page with the same lines is a copy.  Pages with nearly the same lines are copies too, unless most neighbours are
+    such: then it is a template that is longer than the pages' own texts.
+    """
+    aligned = [(common(hashes, other), other) for other in near if other != hashes]
+    alike = [len(shared) >= COPY * max(len(hashes), len(other)) for shared, other in aligned]
+    template = sum(alike) >= 2 and 2 * sum(alike) > len(aligned)
+    used = [shared for (shared, _), same in zip(aligned, alike) if template or not same]
+    return set().union(*used[:NEIGHBOURS])
+
+
+def main_text(page: list[tuple[str, int, int, bool]], shared: set[int]) -> str:
+    """The blocks that stay, given the positions of the lines that nearest pages share."""
+    zone = max((z for _, mark, z, _ in page if mark < OUT_MARK), default=NONE)
+    kept = []
+    for i, (text, mark, z, links) in enumerate(page):
+        if mark == OUT_MARK or z < zone:
+            continue
+        if i in shared and (zone == NONE or mark == DOUBT or links):
+            continue
+        kept.append(text)
+    return "\n".join(kept)
 
 
 def _hash(text: str) -> int:
@@ -206,47 +259,83 @@ def _shared_prefix(a: str, b: str) -> int:
     return n
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url and main text of every page (page_id, url, html; other columns are ignored)."""
-    importable(pages.sparkSession)
+def _pack(page: list[tuple[str, int, int, bool]]) -> bytes:
+    raw = "\0".join(f"{mark}{zone}{links:d}{text}" for text, mark, zone, links in page).encode("utf8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> list[tuple[str, int, int, bool]]:
+    size = int.from_bytes(data[:8], "little")
+    if not size:
+        return []
+    raw = pa.decompress(data[8:], size, "zstd", asbytes=True).decode("utf8", "surrogatepass")
+    return [(x[3:], int(x[0]), int(x[1]), x[2] == "1") for x in raw.split("\0")]
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, path, key, lines (hashes of the block texts), one and blocks (packed), a table in the shared
+    folder: each page is parsed once."""
     host, path = host_and_path("url")
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("url", "html").alias("key"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("key"), "html")
+    names = ["page_id", "url", "host", "path", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [blocks(h) for h in column(b, "html").to_pylist()]
+            lines = pa.array([[_hash(t) for t, *_ in page] for page in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), lines, pa.array([1] * b.num_rows, pa.int64()), pa.array(map(_pack, found), pa.binary())], names=[*names, "lines", "one", "blocks"])
+
+    return arrow_table(rows, run, "page_id long, url string, host string, path string, key long, lines array<bigint>, one long, blocks binary", "html-parsed")
+
+
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """key, shared: positions of the lines that a page's nearest pages by url share, for pages that share any.
+
+    :param pages: the table of ``parsed``; equal pages count once.
+    """
+    lines = pages.select("host", "path", "page_id", "key", "lines", "one").dropDuplicates(["key"])
+    ranked = global_offsets(lines, ["host", "path", "page_id", "key"], "one", "rank", "html-lines")
+    # a page is decided in the window of its own rank, and is also shown to a window within REACH
+    ends = F.array_distinct(F.array(*(F.floor((F.col("rank") + d) / WINDOW) for d in (-REACH, 0, REACH))))
+    shown = ranked.select("key", "host", "path", "lines", "rank", F.explode(ends).alias("window")).where("window >= 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def decided() -> pa.RecordBatch:
+            keys, found = [], []
+            for i, (key, host, path, own, rank, window) in enumerate(held):
+                if rank // WINDOW != window or not own:
+                    continue
+                beside = [(-_shared_prefix(path, held[j][2]), abs(i - j), held[j][3]) for j in range(max(0, i - REACH), min(len(held), i + REACH + 1)) if j != i and held[j][1] == host]
+                shared = template_lines(own, [x[2] for x in sorted(beside, key=lambda x: x[:2])])
+                if shared:
+                    keys.append(key), found.append(sorted(shared))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["key", "shared"])
+
+        for b in batches:
+            for row in zip(*(column(b, c).to_pylist() for c in ("key", "host", "path", "lines", "rank", "window"))):
+                if held and held[0][5] != row[5]:
+                    yield decided()
+                    held = []
+                held.append(row)
+        if held:
+            yield decided()
+
+    dealt = shown.repartition("window").sortWithinPartitions("window", "rank")
+    return dealt.mapInArrow(run, "key long, shared array<int>")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            lines = [[_hash(t) for t, _, _ in blocks(h)] for h in column(b, "html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("page_id", "host", "path", "key")), pa.array(lines, pa.list_(pa.int64())), pa.array([1] * b.num_rows, pa.int64())], names=["page_id", "host", "path", "key", "lines", "one"])
-
-    lines = pages.mapInArrow(hashed, "page_id long, host string, path string, key long, lines array<bigint>, one long")
-    order = ["host", "path", "page_id", "key"]
-    ranked = global_offsets(lines, order, "one", "rank", "html-lines")
-    beside = ranked.select("rank", "host", "path", "lines")
-    previous = beside.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("ph"), F.col("path").alias("pp"), F.col("lines").alias("pl"))
-    following = beside.select((F.col("rank") - 1).alias("rank"), F.col("host").alias("nh"), F.col("path").alias("np"), F.col("lines").alias("nl"))
-    same = lambda c, h: F.when(F.col("host") == F.col(h), F.col(c)).alias(c)
-    near = ranked.join(previous, "rank", "left").join(following, "rank", "left").select(F.col("page_id").alias("p"), F.col("key").alias("k"), same("pp", "ph"), same("pl", "ph"), same("np", "nh"), same("nl", "nh"))
-    near = near.dropDuplicates(["p", "k"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # blocks rather than pages travel, and compressed: text, out flag and zone of each
-        for b in pieces(batches):
-            found = []
-            for h in column(b, "html").to_pylist():
-                raw = "\0".join(f"{'01'[o]}{z}{t}" for t, o, z in blocks(h)).encode("utf8", "surrogatepass")
-                found.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("page_id", "url", "path", "key")), pa.array(found, pa.binary())], names=["page_id", "url", "path", "key", "blocks"])
 
-    parts = pages.mapInArrow(packed, "page_id long, url string, path string, key long, blocks binary")
-    paired = parts.join(near, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left").select("page_id", "url", "path", "blocks", "pp", "pl", "np", "nl")
+def main_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url and main text of every page (page_id, url, html; other columns are ignored)."""
+    importable(pages.sparkSession)
+    table = parsed(pages)
+    shared = materialize(shared_lines(table), "html-shared").withColumnRenamed("key", "k")
+    paired = table.join(shared, F.col("key") == F.col("k"), "left").select("page_id", "url", "blocks", "shared")
 
-    def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            texts = []
-            for path, data, pp, pl, np_, nl in zip(*(column(b, c).to_pylist() for c in ("path", "blocks", "pp", "pl", "np", "nl"))):
-                raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True).decode("utf8", "surrogatepass") if data[:8] != b"\0" * 8 else ""
-                page = [(x[2:], x[0] == "1", int(x[1])) for x in raw.split("\0")] if raw else []
-                other = pl if nl is None or (pl is not None and _shared_prefix(path, pp) >= _shared_prefix(path, np_)) else nl
-                texts.append(main_text(page, [_hash(t) for t, _, _ in page], other))
+            texts = [main_text(_unpack(data), set(at or ())) for data, at in zip(column(b, "blocks").to_pylist(), column(b, "shared").to_pylist())]
             yield pa.RecordBatch.from_arrays([column(b, "page_id"), column(b, "url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return paired.mapInArrow(differenced, "page_id long, url string, text string")
+    return paired.mapInArrow(run, "page_id long, url string, text string")
