@@ -3,14 +3,21 @@
 Rules (host/path, allow or block) fit a host and its subdomains where the url's path starts with the rule's; the
 longest fitting rule decides.  Urls that a rule decides are labels: a bounded sample of them trains boosted trees on
 length, depth, digit ratio, entropy, parameter counts, host shape and suffix statistics, and the trees judge the urls
-that no rule fits.  Suffix statistics are counted over all urls.
+that no rule fits.
 
-Nulls and ties: a null url, or one without ``://``, has host and path '' and fits no rule; the trees judge it.
+Suffix statistics say how often urls that share a part of the url are blocked: the last one, two or three labels of the
+host, the first directory of the path, and the suffix of its last name.  They are counted over all labelled urls of
+*other* hosts (cross-fitted: a host never speaks for itself, as it cannot for an unlisted host), and drawn to the share
+of all labelled urls by WEIGHT imagined urls, so a part that is new says nothing.
+
+Nulls and ties: a null url, or one without ``://``, has host and path '' and fits no rule; the trees judge it.  Repeated
+rows get equal verdicts; an empty table gives an empty result; very long urls are read whole.
 Without labelled urls of both kinds, every url without a rule gets the commoner verdict (allow if there is none).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +25,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, pieces, small_batches, text_bytes
-from lodestone.storage import materialize
+from lodestone.llm.common import column, joined_evenly, pieces, small_batches, text_bytes
+from lodestone.storage import importable, materialize
 
 #: The production rules: (rule, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: At most this many labelled urls of each verdict train the trees.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 40, 3, 32, 0.2, 20
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "hyphens", "path_length", "fragment", "suffix_count", "suffix_allowed", "suffix_blocked")
+#: Imagined urls of the common share in each suffix statistic, and held-out parts of the hosts in ``held_out_auc``.
+WEIGHT, FOLDS = 10.0, 5
+#: Parts of a url that have statistics: labels at the host's end, first directory, suffix of the last name.
+PARTS = ("host1", "host2", "host3", "dir", "ext")
+FEATURES = (
+    "length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "host_labels", "hyphens", "path_length", "fragment",
+    *(f"{p}_{x}" for p in PARTS for x in ("blocked", "labelled")),
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,15 +83,54 @@ def lexical(batch: pa.RecordBatch) -> np.ndarray:
     host_row = np.repeat(np.arange(n), np.diff(at))
     paths, path_at = text_bytes(column(batch, "path"))
     path_row = np.repeat(np.arange(n), np.diff(path_at))
-    of = lambda c: column(batch, c).to_numpy(zero_copy_only=False).astype(float)
-    seen, allowed, blocked = of("seen"), of("allowed"), of("blocked")
+    said = [column(batch, f"{p}_{x}").to_numpy(zero_copy_only=False).astype(float) for p in PARTS for x in ("blocked", "labelled")]
     return np.column_stack([
         np.diff(offsets), np.bincount(path_row[paths == ord("/")], minlength=n), count((data >= 48) & (data <= 57)) / size, entropy,
         queries + count(data == ord("&")), np.diff(at), np.bincount(host_row[hosts == ord(".")], minlength=n), count(data == ord("-")), np.diff(path_at), count(data == ord("#")) > 0,
-        np.log1p(seen), (allowed + 1) / (allowed + blocked + 2), (blocked + 1) / (seen + 2),
+        *said,
     ]).astype(float)
 
 
+def url_parts() -> list[Column]:
+    """The parts of (host, path) that have statistics."""
+    last = F.element_at(F.split("path", "/"), -1)
+    return [*(F.substring_index("host", ".", -k).alias(f"host{k}") for k in (1, 2, 3)), F.regexp_extract("path", "^/([^/]+)/", 1).alias("dir"), F.lower(F.regexp_extract(last, r"\.([^.]+)$", 1)).alias("ext")]
+
+
+def suffix_statistics(base: DataFrame) -> DataFrame:
+    """Per (host, dir, ext) of the urls: how many there are (``seen``), and per part its blocked share and the number
+    (log) of labelled urls of other hosts that have the part.
+
+    Urls are counted by (host, dir, ext) first, so the parts' totals are sums over a table of hosts, and a part that a
+    third of all hosts have is no hot task.
+    """
+    sums = [F.sum(c).alias(c) for c in ("seen", "labels", "blocks")]
+    counts = base.groupBy("host", "dir", "ext", "host1", "host2", "host3").agg(F.count(F.lit(1)).alias("seen"), F.count("ruled").alias("labels"), F.count_if(F.col("ruled") == "block").alias("blocks"))
+    counts = materialize(counts, "url-counts")
+    blocked, labelled = counts.agg(F.sum("blocks"), F.sum("labels")).first()
+    common = (blocked or 0) / labelled if labelled else 0.0
+
+    def said(rows: DataFrame, part: str) -> DataFrame:
+        """``rows`` (labels, blocks of one host) with the part's statistics over the other hosts."""
+        total = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"), F.sum("labels").alias("_labels"), F.sum("blocks").alias("_blocks"))
+        n, b = F.col("_labels") - F.col("labels"), F.col("_blocks") - F.col("blocks")
+        found = joined_evenly(rows, materialize(total, f"url-{part}"), [part], "_n")
+        return found.withColumns({f"{part}_blocked": (b + WEIGHT * common) / (n + WEIGHT), f"{part}_labelled": F.log1p(n)}).drop("_labels", "_blocks")
+
+    hosts = materialize(counts.groupBy("host", "host1", "host2", "host3").agg(*sums), "url-hosts")
+    for part in PARTS[:3]:
+        hosts = said(hosts, part)
+    out = counts.select("host", "dir", "ext", "seen")
+    tables = [(["host"], materialize(hosts.select("host", *(f"{p}_{x}" for p in PARTS[:3] for x in ("blocked", "labelled"))), "url-host-statistics"))]
+    for part in PARTS[3:]:
+        own = said(materialize(counts.groupBy("host", part).agg(*sums), f"url-host-{part}"), part)
+        tables.append((["host", part], materialize(own.select("host", part, f"{part}_blocked", f"{part}_labelled"), f"url-{part}-statistics")))
+    for keys, table in tables:
+        of = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        out = joined_evenly(out, materialize(table.join(of, keys), "url-statistics"), keys, "_n")
+    return materialize(out, "url-statistics")
+
+
 # -- trees ----------------------------------------------------------------------------------------------------------
 
 
@@ -140,26 +193,49 @@ def tree_scores(model: tuple[float, list], x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
 
-def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """page_id, url, host, path, rule, verdict and blocked (the trees' probability, null where a rule decides)."""
+def auc(p: np.ndarray, y: np.ndarray) -> float:
+    """The chance that a blocked url (y = 1) scores above an allowed one, ties half."""
+    values, at = np.unique(p, return_inverse=True)
+    counts = np.bincount(at, minlength=len(values))
+    rank = np.cumsum(counts) - (counts - 1) / 2
+    ones = y.sum()
+    return float((rank[at][y > 0].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones)))
+
+
+def held_out_auc(x: np.ndarray, y: np.ndarray, hosts: np.ndarray) -> float:
+    """AUC of trees on the urls of hosts that they have not seen: each of FOLDS parts of the hosts is held out once."""
+    fold = np.array([zlib.crc32(h.encode()) % FOLDS for h in hosts])
+    p = np.zeros(len(y))
+    for k in range(FOLDS):
+        p[fold == k] = tree_scores(fit_trees(x[fold != k], y[fold != k]), x[fold == k])
+    return auc(p, y)
+
+
+def labelled_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The urls with all features' columns; and of the sample that trains the trees: features, labels (1: block), hosts."""
     host, path = host_and_path("url")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(rules)
-    base = base.select("*", rule.alias("rule"), verdict.alias("ruled"), F.substring_index("host", ".", -1).alias("suffix"))
-    stats = base.groupBy("suffix").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    stats = materialize(stats, "url-suffixes")
-    rows = base.join(stats, "suffix").drop("suffix")
+    base = base.select("*", rule.alias("rule"), verdict.alias("ruled"), *url_parts())
+    rows = joined_evenly(base.drop("host1", "host2", "host3"), suffix_statistics(base), ["host", "dir", "ext"], "seen")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([column(b, "ruled"), pa.array(list(lexical(b)), pa.list_(pa.float64()))], names=["ruled", "x"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([column(b, "host"), pa.array(list(lexical(b)), pa.list_(pa.float64()))], names=["host", "x"])
 
     with small_batches(pages.sparkSession):
-        drawn = [rows.where(F.col("ruled") == v).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).mapInArrow(featured, "ruled string, x array<double>").toArrow() for v in ("allow", "block")]
+        drawn = [rows.where(F.col("ruled") == v).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).mapInArrow(featured, "host string, x array<double>").toArrow() for v in ("allow", "block")]
     x = [np.array(t.column("x").to_pylist(), float).reshape(-1, len(FEATURES)) for t in drawn]
-    counts = [len(v) for v in x]
-    model = fit_trees(np.concatenate(x), np.concatenate([np.zeros(counts[0]), np.ones(counts[1])])) if min(counts) else None
-    constant = float(counts[1] > counts[0])
+    hosts = np.array([h for t in drawn for h in t.column("host").to_pylist()], object)
+    return rows, np.concatenate(x), np.repeat([0.0, 1.0], [len(v) for v in x]), hosts
+
+
+def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
+    """page_id, url, host, path, rule, verdict and blocked (the trees' probability, null where a rule decides)."""
+    importable(pages.sparkSession)
+    rows, x, y, _ = labelled_urls(pages, rules, sample)
+    model = fit_trees(x, y) if 0 < y.sum() < len(y) else None
+    constant = float(2 * y.sum() > len(y))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
