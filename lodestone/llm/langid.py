@@ -4,11 +4,13 @@ A text becomes frequencies of hashed letter 1- to 3-grams (UTF-8 bytes, letters
 language family predicts the family first; within it, one-versus-one linear SVMs for each pair of languages vote.
 The models are a matrix of weights, so a prediction is one gather and sum over a whole text's n-grams.
 
-Training takes at most SAMPLE labelled documents, shared evenly by the languages and drawn by a hash of doc_id; the
-bound does not grow with the corpus.
+Training takes at most SAMPLE labelled documents of the LANGUAGES commonest languages, shared evenly and drawn by a hash
+of doc_id; neither bound grows with the corpus, and rarer labels (mostly typing errors) are not learned.
 
 Nulls and ties: a null text or one without a letter is ``und`` with score 0; so is every text if there is nothing to
-learn from.  Rows without lang or doc_id teach nothing.  Equal votes are settled by the sum of margins, then by name.
+learn from.  Rows without lang or doc_id teach nothing; of rows that share a doc_id and a lang, one text teaches.  Very
+long texts are read whole, a piece at a time; repeated rows get equal results; an empty table gives an empty result.
+Equal votes are settled by the sum of margins, then by name.  Columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from lodestone.storage import importable
 
 #: Labelled documents that train the models, over all languages.
 SAMPLE = 4000
+#: Languages that are learned, the commonest first.
+LANGUAGES = 100
 BUCKETS = 1 << 12
 UNKNOWN = "und"
 #: Families of the language codes that corpora commonly carry; any other code is a family of its own.
@@ -197,17 +201,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """A model from the labelled documents that are not held out."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     known = ids.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return Model(np.zeros((0, BUCKETS), np.float32), [])
-    each = max(8, sample // len(counts))
+    each = max(1, sample // len(counts))
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
     rates = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (1.5 * each + 50) / n))))
-    drawn = known.where(place < F.element_at(rates, F.col("lang"))).distinct().select("doc_id", "lang", place.alias("place")).collect()  # about 1.5 * sample rows
+    drawn = known.where(place < F.try_element_at(rates, F.col("lang"))).distinct().select("doc_id", "lang", place.alias("place")).collect()  # about 1.5 * sample rows
     picked: dict[str, list[int]] = {}
     for r in sorted(drawn, key=lambda r: (r.place, r.doc_id)):
         if len(own := picked.setdefault(r["lang"], [])) < each:
@@ -221,6 +225,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([column(b, "wanted"), column(b, "as_lang"), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([v[i].astype("<f4").tobytes() for v, i in zip(x, at)], pa.binary())], names=["wanted", "as_lang", "at", "x"])
 
     rows = docs.join(F.broadcast(wanted), (docs.doc_id == wanted.wanted) & (docs.lang == wanted.as_lang)).where("text is not null").select("wanted", "as_lang", "text")
+    rows = rows.groupBy("wanted", "as_lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most ``sample`` rows
     with small_batches(docs.sparkSession):
         table = rows.repartition(4, "wanted").mapInArrow(vectors, "wanted long, as_lang string, at binary, x binary").toArrow()
     table = table.sort_by([("wanted", "ascending"), ("as_lang", "ascending"), ("x", "ascending")])
@@ -231,9 +236,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score; lang, source and doc_id play no part in a prediction."""
+    """All columns of ``docs`` with lang_pred and score (former ones of these names are replaced); lang, source and doc_id
+    play no part in a prediction."""
     importable(docs.sparkSession)
     model = model or train(docs)
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,19 +4,21 @@
    place, so a hot source is no hot task.  A source's words are packed into blocks of a fixed length; a block may hold
    the end of one document and the start of the next.
 2. Targets: each source's share by weight, at most ``most_repeats`` times its size, the excess reshared by weight.
-3. A source's target becomes slots (one block each).  Output shards draw their source counts from a multinomial over
-   the slots still owed, shard after shard, so every source ends with exactly its slots.
+3. A source's target becomes slots (one block each).  Output shards draw their source counts from multinomials over the
+   slots still owed: all slots are halved between the first and the second half of the shards, these again, and so on,
+   so every source ends with exactly its slots, and a task finds its own shard's counts by itself.
 4. Slot j of a source takes block perm(j), a keyed Feistel permutation of its full blocks (one per pass over the
    source); the short block at the source's end comes last in a pass, and the very last slot takes only the words
    still missing.  Hence a source's taken words are its target rounded, and no block is taken more often than
    ``most_repeats`` times.
 5. Slots and blocks are joined on (source, block).
 
-The driver holds one row per source (at most MAX_SOURCES, checked) and one count per source and shard (at most
-MAX_SHARDS shards, which grow instead).
+The driver and each task hold one row per source (at most MAX_SOURCES, checked); counts per source and shard exist
+only in the shard's task.
 
 Nulls and ties: a null text has no words (size 0, taken 0); the null source is a source of its own, in the last place;
-repeated rows are separate documents; rows without doc_id come first in their source.
+repeated rows are separate documents, each with its own source and columns; rows that are equal in all columns are
+interchangeable; rows without doc_id come first in their source.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ from lodestone.storage import materialize
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 1 << 14
-MAX_SHARDS = 4096
 MAX_SOURCES = 100_000
 _SPACE = "[ \\t-\\r]+"
 
@@ -72,16 +73,29 @@ def slots_of(size: int, target: float, block: int = BLOCK_WORDS) -> tuple[int, i
     return passes * -(-size // block) + whole + (part > 0), part
 
 
-def shard_counts(slots: np.ndarray, capacity: int, seed: int) -> Iterator[np.ndarray]:
-    """Per output shard the slots of each source: multinomial over the slots still owed, never more than owed."""
-    owed, rng = slots.astype(np.int64).copy(), np.random.default_rng(seed)
-    while owed.sum():
-        n, drawn = int(min(capacity, owed.sum())), np.zeros_like(owed)
-        while drawn.sum() < n:
-            left = owed - drawn
-            drawn += np.minimum(rng.multinomial(n - int(drawn.sum()), left / left.sum()), left)
-        owed -= drawn
-        yield drawn
+def drawn_counts(owed: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` of the owed slots by source: multinomial over what is still owed, never more than owed."""
+    drawn = np.zeros_like(owed)
+    while (missing := n - int(drawn.sum())) > 0:
+        left = owed - drawn
+        drawn += np.minimum(rng.multinomial(missing, left / left.sum()), left)
+    return drawn
+
+
+def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one output shard: each source's first slot and number of slots.  Shards hold equal numbers of slots; the way from
+    all shards down to one halves them, and each half's counts are a draw that only depends on the seed."""
+    first, owed, lo, hi = np.zeros_like(slots), slots.copy(), 0, shards
+    total = int(slots.sum())
+    edge = lambda k: total * k // shards
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = drawn_counts(owed, edge(mid) - edge(lo), np.random.default_rng([seed, lo, hi]))
+        if shard < mid:
+            owed, hi = left, mid
+        else:
+            first, owed, lo = first + left, owed - left, mid
+    return first, owed
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -99,16 +113,17 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: int = 2, block_words: int = BLOCK_WORDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: int = 2, block_words: int = BLOCK_WORDS, seed: int = 7, row_keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The documents' places and the mix.
 
     :param docs: doc_id, source, text; weights go to the sources in code point order (null last), repeating.
+    :param row_keys: columns that tell apart rows of one doc_id and text; they come back in rows.
     :returns: rows(row_id, doc_id, text_hash, size, source_size, target) and
         takes(row_id, shard, slot, pass, start, words): words [start, start + words) of a document in an output slot.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), word_count("text").alias("size"), F.col("source").isNull().alias("unnamed"))
-    placed = global_offsets(sized, ["unnamed", "source", "doc_id", "text_hash"], "size", "at", "mix-places", row_id="row_id")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), word_count("text").alias("size"), F.col("source").isNull().alias("unnamed"), *row_keys)
+    placed = global_offsets(sized, ["unnamed", "source", "doc_id", "text_hash", *row_keys], "size", "at", "mix-places", row_id="row_id")
     totals = placed.groupBy("source").agg(F.sum("size").alias("size"), F.min("at").alias("at")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -117,43 +132,39 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     owed = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most_repeats)
     plan = [slots_of(s, t, block_words) for s, t in zip(sizes, owed)]
     slots = np.array([n for n, _ in plan], np.int64)
-    capacity = max(SHARD_BLOCKS, -(-int(slots.sum()) // MAX_SHARDS)) if len(slots) else SHARD_BLOCKS
-    draws, done = [], np.zeros(len(slots), np.int64)
-    for shard, counts in enumerate(shard_counts(slots, capacity, seed)):
-        draws += [(shard, int(s), int(done[s]), int(counts[s])) for s in np.flatnonzero(counts)]
-        done += counts
+    shards = max(1, -(-int(slots.sum()) // SHARD_BLOCKS)) if len(slots) else 0
     size_of, last_of = sizes, [p for _, p in plan]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, s, first, n in zip(*(column(b, c).to_pylist() for c in ("shard", "src", "first", "n"))):
-                for i in range(first, first + n, 1 << 16):
-                    j = np.arange(i, min(i + (1 << 16), first + n))
-                    full, tail = divmod(size_of[s], block_words)
-                    per = full + (tail > 0)
-                    turn, k = j // per, j % per
-                    block = np.full(len(j), full)
-                    for t in np.unique(turn):
-                        at = (turn == t) & (k < full)
-                        block[at] = permute(k[at], full, seed + 1_000_003 * s + int(t))
-                    words = np.where(block == full, tail, block_words)
-                    if last_of[s] and j[-1] == slots[s] - 1:
-                        words[-1] = last_of[s]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), s, np.int32)), pa.array(j), pa.array(turn.astype(np.int32)), pa.array(block), pa.array(words)], names=["shard", "src", "slot", "pass", "block", "words"])
-
-    drawn = spark.createDataFrame(draws, "shard int, src int, first long, n long")
-    tasks = max(1, min(len(draws), 2 * spark.sparkContext.defaultParallelism, 10_000))
-    chosen = drawn.repartition(tasks).mapInArrow(place, "shard int, src int, slot long, pass int, block long, words long")
+            for shard, (begun, counts) in ((k, shard_counts(slots, shards, k, seed)) for k in column(b, "shard").to_pylist()):
+                for s, first, n in ((int(s), int(begun[s]), int(counts[s])) for s in np.flatnonzero(counts)):
+                    for i in range(first, first + n, 1 << 16):
+                        j = np.arange(i, min(i + (1 << 16), first + n))
+                        full, tail = divmod(size_of[s], block_words)
+                        per = full + (tail > 0)
+                        turn, k = j // per, j % per
+                        block = np.full(len(j), full)
+                        for t in np.unique(turn):
+                            at = (turn == t) & (k < full)
+                            block[at] = permute(k[at], full, seed + 1_000_003 * s + int(t))
+                        words = np.where(block == full, tail, block_words)
+                        if last_of[s] and j[-1] == slots[s] - 1:
+                            words[-1] = last_of[s]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), s, np.int32)), pa.array(j), pa.array(turn.astype(np.int32)), pa.array(block), pa.array(words)], names=["shard", "src", "slot", "pass", "block", "words"])
+
+    drawn = spark.range(0, shards, 1, max(1, min(shards, 100_000))).select(F.col("id").cast("int").alias("shard"))
+    chosen = drawn.mapInArrow(place, "shard int, src int, slot long, pass int, block long, words long")
     names = spark.createDataFrame([(i, r.source, r.at, float(t), r["size"]) for i, (r, t) in enumerate(zip(totals, owed))], "src int, name string, origin long, target double, source_size long")
     rows = placed.join(F.broadcast(names), placed.source.eqNullSafe(names.name)).drop("name", "unnamed", "source")  # at most MAX_SOURCES rows
     place_in = F.col("at") - F.col("origin")
-    pieces = (
+    places = (
         rows.where("size > 0").select("row_id", "src", "size", place_in.alias("a"), F.explode(F.sequence(F.floor(place_in / block_words), F.floor((place_in + F.col("size") - 1) / block_words))).alias("block"))
         .select("row_id", "src", "block", F.greatest(F.col("a"), F.col("block") * block_words).alias("from"), F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block_words).alias("to"), "a")
     )
     # the slots come from a small local table, which Spark would take for small themselves and broadcast
     taken_to = F.least(F.col("to"), F.col("block") * block_words + F.col("words"))
-    takes = pieces.join(chosen.hint("merge"), ["src", "block"]).where(taken_to > F.col("from")).select("row_id", "shard", "slot", "pass", (F.col("from") - F.col("a")).alias("start"), (taken_to - F.col("from")).alias("words"))
+    takes = places.join(chosen.hint("merge"), ["src", "block"]).where(taken_to > F.col("from")).select("row_id", "shard", "slot", "pass", (F.col("from") - F.col("a")).alias("start"), (taken_to - F.col("from")).alias("words"))
     return rows.drop("at", "origin", "src"), takes
 
 
@@ -181,16 +192,20 @@ def cut(text: str, ranges: list[tuple[int, int]], size: int) -> str:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents (all columns of ``docs``): one row per document and pass, with the words that pass takes.
 
-    A document that the mix does not take is left out; n_chars, where there is such a column, follows the text.
+    A document that the mix does not take is left out; n_chars, where there is such a column, follows the text.  Rows keep
+    their own columns: they are told apart by two hashes of all of them, by which texts and takes are joined in one
+    shuffle; only where rows are equal in all columns are they reduced to one before.
     """
-    rows, takes = mix_plan(docs, **options)
-    parts = takes.groupBy("row_id", "pass").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))  # a document's blocks at most
-    copies = materialize(rows.join(parts, "row_id").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "size", "ranges"), "mix-copies")
     counted = dict(docs.dtypes).get("n_chars") == "bigint"
-    sealed_docs, restored = sealed(docs, "doc_id", "text", *["n_chars"] * counted)
-    names = sealed_docs.columns
-    keyed = sealed_docs.withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "_k"])
-    joined = keyed.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t"))).select(*names, "size", "ranges")
+    sealed_docs, restored = sealed(docs, "doc_id", "text", "source", *["n_chars"] * counted)
+    names, keys = sealed_docs.columns, ["_row1", "_row2"]
+    keyed = sealed_docs.withColumns({k: F.xxhash64(F.lit(i), *names) for i, k in enumerate(keys)})
+    rows, takes = mix_plan(keyed, row_keys=tuple(keys), **options)
+    parts = takes.groupBy("row_id", "pass").agg(F.collect_list(F.struct("start", "words")).alias("ranges"))  # a document's blocks at most
+    copies = materialize(rows.join(parts, "row_id").select(*keys, "size", "ranges"), "mix-copies")
+    if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(keys)
+    joined = keyed.join(copies, keys).select(*names, "size", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,33 +110,28 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[
     """EM over (votes, documents): the share of good documents, and per rule how often a vote is right on a good
     and on a bad document.  An abstention says nothing.  Counts are smoothed by one imagined document that agrees
     with the start values, so a rule that never votes keeps them and no estimate reaches 0 or 1."""
-    rules_ = len(patterns[0][0]) if patterns else 0
-    prior, right = PRIOR, [(RIGHT_GOOD, RIGHT_BAD)] * rules_
-    total = sum(n for _, n in patterns)
+    if not patterns:
+        return PRIOR, []
+    votes, n = np.array([v for v, _ in patterns], float), np.array([n for _, n in patterns], float)
+    prior, right = PRIOR, np.tile([RIGHT_GOOD, RIGHT_BAD], (votes.shape[1], 1))
     for _ in range(EM_ROUNDS):
-        good = [posterior(v, prior, right) for v, _ in patterns]
-        mass = sum(g * n for g, (_, n) in zip(good, patterns))
-        now = (mass + PRIOR) / (total + 1)
-        fresh = []
-        for j in range(rules_):
-            hit_g = sum(g * n for g, (v, n) in zip(good, patterns) if v[j] > 0)
-            all_g = sum(g * n for g, (v, n) in zip(good, patterns) if v[j])
-            hit_b = sum((1 - g) * n for g, (v, n) in zip(good, patterns) if v[j] < 0)
-            all_b = sum((1 - g) * n for g, (v, n) in zip(good, patterns) if v[j])
-            fresh.append(((hit_g + RIGHT_GOOD) / (all_g + 1), (hit_b + RIGHT_BAD) / (all_b + 1)))
-        moved = abs(now - prior) + sum(abs(a - c) + abs(b - d) for (a, b), (c, d) in zip(fresh, right))
+        good = posteriors(votes, prior, right)
+        now = float(((good * n).sum() + PRIOR) / (n.sum() + 1))
+        fresh = np.empty_like(right)
+        for k, (mass, side, start) in enumerate(((good * n, 1, RIGHT_GOOD), ((1 - good) * n, -1, RIGHT_BAD))):
+            fresh[:, k] = (mass @ (votes == side) + start) / (mass @ (votes != 0) + 1)
+        moved = abs(now - prior) + np.abs(fresh - right).sum()
         prior, right = now, fresh
         if moved < 1e-9:
             break
-    return prior, right
+    return prior, [(float(g), float(b)) for g, b in right]
 
 
-def posterior(votes: tuple[int, ...], prior: float, right: list[tuple[float, float]]) -> float:
-    score = math.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
-    for v, (g, b) in zip(votes, right):
-        if v:
-            score += math.log(g / (1 - b)) if v > 0 else math.log((1 - g) / b)
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, score))))
+def posteriors(votes: np.ndarray, prior: float, right: np.ndarray) -> np.ndarray:
+    """The probability of being good for each row of votes."""
+    g, b = right[:, 0], right[:, 1]
+    score = (votes > 0) @ np.log(g / (1 - b)) + (votes < 0) @ np.log((1 - g) / b) + math.log(prior / (1 - prior))
+    return 1 / (1 + np.exp(-np.clip(score, -700, 700)))
 
 
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -24,7 +24,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -137,49 +137,92 @@ class ShardWriter:
 
 
 class Shard:
-    """Reads a shard; ``ids(i)`` unpacks only the blocks that cover document i."""
+    """Reads a shard through ``read(size, offset)``: its tables at once, and only the blocks that cover what is asked for."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        n, self.total, blocks, at, magic = _FOOT.unpack_from(self.data, len(data) - _FOOT.size)
-        if magic != MAGIC or bytes(self.data[: len(MAGIC)]) != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        n, self.total, blocks, at, magic = _FOOT.unpack(read(_FOOT.size, size - _FOOT.size))
+        if magic != MAGIC or bytes(read(len(MAGIC), 0)) != MAGIC:
             raise ValueError("not a token shard")
-        self.doc_ids = np.frombuffer(self.data, "<i8", n, at)
-        self.null = np.frombuffer(self.data, "u1", n, at + 8 * n)
-        self.first = np.frombuffer(self.data, "<u8", n + 1, at + 9 * n)
-        self.index = np.frombuffer(self.data, "<u8", blocks, at + 17 * n + 8)
-        self._held: tuple[int, np.ndarray] | None = None
+        tables = memoryview(read(size - _FOOT.size - at, at))
+        self.doc_ids = np.frombuffer(tables, "<i8", n)
+        self.null = np.frombuffer(tables, "u1", n, 8 * n)
+        self.first = np.frombuffer(tables, "<u8", n + 1, 9 * n)
+        self.index = np.append(np.frombuffer(tables, "<u8", blocks, 17 * n + 8), np.uint64(at)).astype(np.int64)
+
+    def documents(self, most: int = 1 << 18) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first document, ids of each) of runs of documents with at most ``most`` ids together, one document at least."""
+        i, n = 0, len(self.doc_ids)
+        while i < n:
+            j = max(i + 1, min(int(np.searchsorted(self.first, self.first[i] + np.uint64(most), "right")) - 1, n, i + 1024))
+            yield i, self.ids(i, j)
+            i = j
+
+    def ids(self, i: int, j: int) -> list[np.ndarray]:
+        """The ids of each of the documents i to j - 1."""
+        cuts = self.first[i : j + 1].astype(np.int64)
+        a, b = int(cuts[0]) // BLOCK, -(-int(cuts[-1]) // BLOCK)
+        if cuts[0] == cuts[-1]:
+            return [np.zeros(0, np.uint32)] * (j - i)
+        data = memoryview(self.read(int(self.index[b] - self.index[a]), int(self.index[a])))
+        flat = np.concatenate([unpack_block(data, int(self.index[k] - self.index[a])) for k in range(a, b)])
+        return [flat[x - a * BLOCK : y - a * BLOCK] for x, y in zip(cuts[:-1], cuts[1:])]
 
-    def _block(self, k: int) -> np.ndarray:
-        if self._held is None or self._held[0] != k:
-            self._held = (k, unpack_block(self.data, int(self.index[k])))
-        return self._held[1]
 
-    def ids(self, i: int) -> np.ndarray:
-        a, b = int(self.first[i]), int(self.first[i + 1])
-        parts = [self._block(k)[max(a - k * BLOCK, 0) : b - k * BLOCK] for k in range(a // BLOCK, (b - 1) // BLOCK + 1)] if b > a else []
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+# -- encoding -------------------------------------------------------------------------------------------------------
 
 
-# -- encoding -------------------------------------------------------------------------------------------------------
+#: Alternatives of a split pattern that keep runs of letters, and runs of neither letters, digits nor white space, apart.
+CUTS_LETTERS = {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"}
+#: Normalizers that change nothing across white space.
+_LOCAL = {"NFC", "Lowercase"}
+
+
+def listed(step: dict | None, inner: str) -> list[dict]:
+    """A tokenizer file's step as the list of its parts."""
+    if step is None:
+        return []
+    return [y for x in step[inner] for y in listed(x, inner)] if step["type"] == "Sequence" else [step]
+
+
+def _patterns(step: dict) -> list[str]:
+    """The alternatives of a split that keeps what it matches and drops the rest."""
+    keeps = step["type"] == "Split" and step.get("invert") and step.get("behavior") == "Removed"
+    return step["pattern"].get("Regex", "").split("|") if keeps else []
+
+
+def splits_words(described: dict) -> bool:
+    """Whether white space surely parts what a tokenizer encodes and is dropped: it folds white space, if anything, and
+    then keeps only matches of patterns that match no white space."""
+    folds = lambda x: x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+" and x["content"] == " "
+    local = all(x["type"] in _LOCAL or folds(x) for x in listed(described.get("normalizer"), "normalizers"))
+    plain = re.compile(r"'[a-z]+|\[(?:\\p\{[LN]\})+\]\+?|\[\^\\s(?:\\p\{[LN]\})*\]\+?")  # such as 's, [\p{L}]+, [^\s\p{L}]+
+    first = next(iter(listed(described.get("pre_tokenizer"), "pretokenizers")), None)
+    if first is None or not local:
+        return False
+    return first["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer") or bool(_patterns(first)) and all(map(plain.fullmatch, _patterns(first)))
 
 
 class WordEncoder:
     """Encodes whole texts with a ``tokenizers`` file, each distinct unit (a word or a part of one) once.
 
-    Right only for tokenizers that split at white space and drop it, so that no id crosses a word; others must be given
-    ``by_word=False`` and encode each text in one piece.  If ids also end each piece with their own word-end token and
-    case does not count, words of Latin letters and common punctuation are cut between the two, letters are
-    lower-cased, and many such units are encoded in one call: the word-end tokens tell them apart.
+    Right only for tokenizers that split at white space and drop it, so that no id crosses a word.  The file's own
+    description decides that (``splits_words``); texts are encoded in one piece with any other tokenizer.  If pieces
+    also end with a word-end token, are cut between letters and other signs, and case does not count, words of Latin
+    letters and common punctuation are cut between the two, letters are lower-cased, and many such units are encoded in
+    one call: the word-end tokens tell them apart.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer = Tokenizer.from_file(path)
         described = json.loads(self.tokenizer.to_str())
+        steps_ = listed(described.get("pre_tokenizer"), "pretokenizers")
+        self.by_word = by_word and splits_words(described)
         suffix = described["model"].get("end_of_word_suffix") or ""
-        self.cut = bool(suffix) and "Lowercase" in json.dumps(described.get("normalizer"))
+        lower = any(x["type"] == "Lowercase" for x in listed(described.get("normalizer"), "normalizers"))
+        self.cut = self.by_word and bool(suffix) and lower and any(CUTS_LETTERS <= set(_patterns(x)) for x in steps_)
         vocabulary = self.tokenizer.get_vocab() if self.cut else {}
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
@@ -351,20 +394,18 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
             for path, base in zip(column(b, "path").to_pylist(), column(b, "start").to_pylist()):
                 store, place = open_shared(path)
                 with store.open_input_file(place) as f:
-                    shard = Shard(f.read())
-                n = len(shard.doc_ids)
-                for i in range(0, n, 1024):
-                    part = range(i, min(i + 1024, n))
-                    ids = [shard.ids(j) for j in part]
-                    out = [
-                        pa.array(shard.doc_ids[i : part.stop], mask=shard.null[i : part.stop].astype(bool)),
-                        pa.array((shard.first[i : part.stop] + np.uint64(base)).astype(np.int64)),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                    ]
-                    if with_ids:
-                        out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
-                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
+                    shard = Shard(f.read_at, f.size())
+                    for i, ids in shard.documents():
+                        part = slice(i, i + len(ids))
+                        out = [
+                            pa.array(shard.doc_ids[part], mask=shard.null[part].astype(bool)),
+                            pa.array((shard.first[part] + np.uint64(base)).astype(np.int64)),
+                            pa.array([len(x) for x in ids], pa.int64()),
+                            pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                        ]
+                        if with_ids:
+                            out.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
+                        yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
     importable(manifest.sparkSession)
     shards = max(1, manifest.count())
