@@ -78,6 +78,66 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _rules_sql() -> str:
+    """DuckDB: the longest rule that fits (host, path), as a CASE over the rules from long to short."""
+    cases = []
+    for text, _ in sorted(urls.RULES, key=lambda r: (-len(r[0]), r[0])):
+        host, _, rest = text.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR suffix(host, '.{host}')) AND starts_with(path, '/{rest}') THEN '{text}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every url."""
+    found = urls.judged(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+_VERDICTS = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in urls.RULES) + " END"
+URL_RULES_SQL = f"""
+WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT *, {_rules_sql()} AS rule FROM h)
+SELECT page_id, host, path, rule, {_VERDICTS} AS ruled FROM r
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the documents and their sources, and the words that the mix takes of each source, to a whole word."""
+    taken = op4_mixing(spark, sf_dir)
+    sources = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "source")
+    rows = taken.join(sources, F.col("doc_id") == F.col("d"))
+    return rows.groupBy("source").agg(F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"), F.sum("taken").alias("taken"))
+
+
+MIX_TARGETS_SQL = f"""
+WITH RECURSIVE w AS (SELECT source, sum(len({_WORDS.format("coalesce(text, '')")}))::BIGINT AS size FROM documents GROUP BY source),
+s AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM w),
+r AS (SELECT 0 AS step, source, size, weight, NULL::DOUBLE AS fixed, 1.5 * (SELECT sum(size) FROM s) AS owed, (SELECT sum(weight) FROM s) AS of FROM s
+  UNION ALL SELECT step + 1, source, size, weight, f, owed - coalesce(sum(CASE WHEN fixed IS NULL THEN f END) OVER (), 0), sum(CASE WHEN f IS NULL THEN weight ELSE 0 END) OVER ()
+  FROM (SELECT *, coalesce(fixed, CASE WHEN owed * weight / of > 2 * size THEN 2.0 * size END) AS f FROM r WHERE step < 40) x),
+t AS (SELECT source, size, coalesce(fixed, owed * weight / of) AS target FROM r WHERE step = 40)
+SELECT source, size, size AS source_size, round(target, 6) AS target, round(target)::BIGINT AS taken FROM t
+"""
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts behind the rules and the base rules' verdict."""
+    return op10_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w WHERE len(ws) > 2),
+d AS (SELECT doc_id, p FROM i QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM d) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS base_failed
+FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -106,5 +166,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_token_output": op2_token_output, "op3_url_filters": op3_url_filters, "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup, "op6_html": op6_html, "op7_warc": op7_warc, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality}
-ORACLES = {"op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_html": OP6_SQL, "op7_warc": OP7_SQL}
+QUERIES = {
+    "op1_minhash": op1_minhash, "op2_token_output": op2_token_output, "op3_url_filters": op3_url_filters, "op4_mixing": op4_mixing, "op5_line_dedup": op5_line_dedup,
+    "op6_html": op6_html, "op7_warc": op7_warc, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality,
+    "url_rules": url_rules, "mix_targets": mix_targets, "quality_measures": quality_measures,
+}
+ORACLES = {"op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_html": OP6_SQL, "op7_warc": OP7_SQL, "url_rules": URL_RULES_SQL, "mix_targets": MIX_TARGETS_SQL, "quality_measures": QUALITY_SQL}

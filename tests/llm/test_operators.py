@@ -294,7 +294,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_main_text_of_a_marked_page(spark):
     want = "A & B\nFirst bold text here.\nSecond one.\nitem 1\nitem 2"
-    assert "\n".join(t for t, out, z in html.blocks(PAGE) if not out and z == 2) == want
+    assert "\n".join(t for t, mark, z, _ in html.blocks(PAGE) if mark < html.OUT_MARK and z == html.ARTICLE) == want
     pages = spark.createDataFrame([(1, "http://a/x", PAGE), (2, None, None), (3, "http://a/y", ""), (1, "http://a/x", PAGE), (None, "u", "<p>only"), (5, "http://b/z", "no markup &lt;here")], "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("host", "path", "key", "lines", "rank")})
     got = sorted([(r.page_id is None, r.page_id, r.text) for r in html.main_texts(pages).collect()], key=str)
     assert got == sorted([(False, 1, want), (False, 1, want), (False, 2, ""), (False, 3, ""), (True, None, "only"), (False, 5, "no markup <here")], key=str)
@@ -309,6 +309,27 @@ def test_differencing_removes_what_neighbours_share(spark):
     assert got[10].startswith("Our site") and got[11] == got[12] and "Own text of page 11" in got[11]
 
 
+def test_words_of_a_class_delete_article_text_only_if_shared(spark):
+    names = ("legal-analysis", "notice-of-appeal", "market-share", "search-results")
+    body = "".join(f'<div class="{n}">About {n}</div>' for n in names)
+    page = lambda i, more="": f'<article><h1>Title {i}</h1>{body if not i else ""}<p>Text {i} <p title="a>hello {i}{more}<div class="ad-box2 left">Buy</div><div id="comments"><p>Nice</div></article>'
+    promoted = '<div class="related-reading">More of our site</div><ul><li><a href="/x">Our links</a></ul>'
+    rows = [(i, f"http://h/a/{i}", page(i, promoted if i > 1 else "")) for i in range(6)]
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "\n".join(["Title 0", *(f"About {n}" for n in names), "Text 0", "hello 0"])
+    assert all(got[i] == f"Title {i}\nText {i}\nhello {i}" for i in range(1, 6))
+
+
+def test_templates_longer_than_the_text_and_windows(spark):
+    """Stub pages on a heavy template, copies beside them, one host over several windows, very long and repeated pages."""
+    head = "".join(f"<p>A long line of the site's own template, number {i}</p>" for i in range(40))
+    rows = [(i, f"http://h/s/{i:04d}", f"<body>{head}<p>Stub {i // 2 * 2}</p></body>") for i in range(700)]
+    rows += [(9000, "http://h/s/long", "<body>" + head + "".join(f"<p>own {i}</p>" for i in range(20_000)) + "</body>"), rows[0], (9001, "http://other/", head)]
+    got = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got[9000] == "\n".join(f"own {i}" for i in range(20_000)) and got[9001].count("\n") == 39
+    assert len(got) == 702 and html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 703
+
+
 def test_longest_common_subsequence():
     def length(a, b):
         row = [0] * (len(b) + 1)
@@ -348,7 +369,7 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_long_headers(spark):
-    rows = [(1, "http://a/1", "one"), (2, "http://a/" + "u" * 100_000, "two"), (3, "http://a/" + "\n" * 50_000, "three WARC/1.1\r\nx: " + "z" * 70_000), (4, "http://a/4", "four")]
+    rows = [(1, "http://a/1", "one"), (2, "http://a/" + "u" * 1_000_000, "two"), (3, "http://a/" + "\n" * 50_000, "three WARC/1.1\r\nx: " + "z" * 70_000), (4, "http://a/4", "four")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     _, files = warc.write_archives(pages.coalesce(1))
     for size in (warc.RANGE_BYTES, 40_000):
@@ -356,6 +377,16 @@ def test_warc_long_headers(spark):
         assert got == [(i, u.replace("\n", "%0A"), len(t)) for i, u, t in rows]
 
 
+def test_warc_payload_of_headers(spark):
+    """A payload full of well-formed headers of large lengths: only what is kept is hashed, and in pieces."""
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 100000\r\n\r\n" * 3000 + "x" * 100_000
+    rows = [(1, "u", inner), (2, "u", "between"), (3, "u", inner + "y"), (4, "u", None)]
+    _, files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    for size in (warc.RANGE_BYTES, 50_000):
+        got = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_archives(files, size).collect())
+        assert got == [(i, len(t or ""), hashlib.sha1((t or "").encode()).hexdigest()) for i, _, t in rows]
+
+
 def test_warc_broken_archives_fail(spark):
     _, files = warc.write_archives(spark.createDataFrame([(i, "u", "text") for i in range(5)], "page_id long, url string, html string").coalesce(1))
     path = files.first().path.removeprefix("file:")
@@ -457,14 +488,44 @@ def test_decontamination_finds_windows_at_the_threshold(spark):
     assert {x.doc_id: list(x.item_ids) for x in rows if x.contaminated} == {i: [i] for i, _ in items}
 
 
-def test_hamming_blocks_guarantee_the_radius():
-    rng = np.random.default_rng(2)
-    for _ in range(300):
-        a = int(rng.integers(0, 1 << 63))
-        b = a
-        for bit in rng.choice(64, decontam.RADIUS, replace=False):
-            b ^= 1 << int(bit)
-        assert any((a >> at) & ((1 << n) - 1) == (b >> at) & ((1 << n) - 1) for at, n in decontam._blocks())
+@pytest.mark.parametrize("n", [1, 40, 20_000])
+def test_block_lists_find_all_within_the_radius(n):
+    """Short lists are compared, long ones probed; either finds just what a scan finds."""
+    rng = np.random.default_rng(n)
+    prints = rng.integers(0, 1 << 16, (n, decontam.BLOCKS)).astype(np.uint16)
+    bits = np.unpackbits(prints[rng.integers(0, n, 30)].view(np.uint8), axis=1)
+    for row in bits:
+        row[rng.choice(256, int(rng.integers(0, decontam.RADIUS + 9)), replace=False)] ^= 1
+    own = np.packbits(bits, axis=1).view(np.uint16)
+    far = np.bitwise_count(own[:, None, :] ^ prints[None, :, :]).sum(axis=2)
+    assert sorted(decontam.BlockLists(prints).within(own)) == sorted(zip(*(x.tolist() for x in np.nonzero(far <= decontam.RADIUS))))
+
+
+def test_fingerprints_in_pieces():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    own = np.unpackbits(common.mix(words[:, None] ^ decontam._SEEDS[None, :]).astype("<u8").view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
+    for n, starts in ((7, np.arange(0, 19_990, 3)), (6000, np.array([0, 5, 13_999])), (3, np.array([4, 19_997])), (20_000, np.array([0]))):
+        want = [np.packbits(2 * own[s : s + n].sum(axis=0, dtype=int) > n, bitorder="little").view("<u2") for s in starts]
+        assert (decontam.fingerprints(words, starts, n) == np.array(want)).all()
+
+
+def test_a_document_made_of_many_items_stays_small():
+    import tracemalloc
+
+    r = random.Random(1)
+    texts_ = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(1000)]
+    part = decontam.Items(list(range(1000)), texts_)
+    peaks = []
+    for m in (100, 1000):
+        data, offsets = common.text_bytes(pa.array([" ".join(texts_[:m])]))
+        words, _ = decontam.words_of(data, offsets)
+        flags = {k: part.member(common.shingle_hashes(words, k), k) for k in part.known}
+        tracemalloc.start()
+        assert len(part.found(words, flags)) == m
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 3 * peaks[0] and peaks[1] < 80e6
 
 
 # -- 10 -------------------------------------------------------------------------------------------------------------
@@ -495,7 +556,8 @@ def test_em_finds_the_bad_class():
         rows.append((good, tuple(0 if r.random() < 0.2 else (1 if (r.random() < right[good]) == good else -1) for _ in range(6))))
     prior, model = quality.fit(sorted(Counter(v for _, v in rows).items()))
     assert abs(prior - 0.8) < 0.05
-    assert sum((quality.posterior(v, prior, model) >= 0.5) == bool(g) for g, v in rows) / len(rows) > 0.95
+    assert ((quality.posteriors(np.array([v for _, v in rows]), prior, np.array(model)) >= 0.5) == np.array([bool(g) for g, _ in rows])).mean() > 0.95
+    assert quality.fit([]) == (quality.PRIOR, [])
 
 
 def test_quality_follows_the_labels(spark):
