@@ -1,7 +1,8 @@
 """BM25 ranking over a table of documents, and incremental maintenance of the indexed table.
 
-A search makes one pass over the texts: each document is reduced to its length and the frequencies of the query's
-terms, a narrow table.  Collection statistics and scores come from that table, so nothing but the top k is shuffled.
+For a table without an index, a search makes one pass over the texts: each document is reduced to its length and the
+frequencies of the query's terms, a narrow table in the shared folder, from which statistics and scores come.  Tables that are
+searched more than once have an index (``operators.index``), of which a search reads its terms' buckets only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import code_tokens, identifier_forms
 from lodestone.operators.checks import positive
+from lodestone.storage import materialize
 
 K1, B = 1.5, 0.75
 EXACT_BOOST = 5.0
@@ -56,7 +58,7 @@ def scored(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text]
     if not terms:
         return docs.select(*others, F.lit(0.0).alias("score")).where(F.lit(False))
-    profile = profiled(docs, text, list(terms)).persist()
+    profile = materialize(profiled(docs, text, list(terms)), "bm25-profile")
     hit = profile.where(F.exists("_tf", lambda x: x > 0))
     return hit.crossJoin(F.broadcast(statistics(profile, len(terms)))).select(*others, _score(list(terms.values())).alias("score"))  # one statistics row
 
@@ -78,15 +80,19 @@ def is_exact(query: str, kind: Column | None, names: list[Column]) -> Column:
 
 def search_symbols(docs: DataFrame, query: str, id_: str, text: str = "text", top_k: int = 20, filters: dict | None = None, kind: str | None = None, names: tuple[str, ...] = ()) -> DataFrame:
     """Filtered search with a boost of 5.0 for exact names; statistics stay those of the whole table."""
+    return boosted(scored(docs, query, text), query, id_, top_k, filters, kind, names)
+
+
+def boosted(hits: DataFrame, query: str, id_: str, top_k: int, filters: dict | None, kind: str | None, names: tuple[str, ...]) -> DataFrame:
+    """The best of scored documents after filters and the boost for exact names."""
     positive("top_k", top_k)
-    hits = scored(docs, query, text)
     for c, v in (filters or {}).items():
         if v is not None:
             hits = hits.where(F.col(c) == v)
     exact = is_exact(query, F.col(kind) if kind else None, [F.col(c) for c in names])
-    boosted = hits.withColumnRenamed("score", "bm25_score").withColumn("exact_name_match", exact)
-    boosted = boosted.withColumn("score", F.col("bm25_score") + F.when(F.col("exact_name_match"), EXACT_BOOST).otherwise(0.0))
-    return boosted.orderBy(F.desc("score"), F.asc(id_)).limit(top_k)
+    found = hits.withColumnRenamed("score", "bm25_score").withColumn("exact_name_match", exact)
+    found = found.withColumn("score", F.col("bm25_score") + F.when(F.col("exact_name_match"), EXACT_BOOST).otherwise(0.0))
+    return found.orderBy(F.desc("score"), F.asc(id_)).limit(top_k)
 
 
 def postings(docs: DataFrame, id_: str, text: str = "text") -> DataFrame:

@@ -19,6 +19,8 @@ from lodestone.storage import materialize
 CITATION = r"\[([^\[\]]+?):(\d+)-(\d+)\]"
 #: Fixed value: the header line of a formatted chunk.
 HEADER = r"^### (.+):(\d+)-(\d+)$"
+#: What is wrong with a citation whose line number is too long to be one.
+NO_NUMBER = "line number out of range"
 #: First chunks of a context that tell which later ones cannot fit; a large context's are found in SALTS parts.
 HEAD, SALTS = 50, 16
 #: Contexts up to this number have their heads broadcast.
@@ -45,22 +47,22 @@ def islands(rows: DataFrame, keys: list[str], start: str = "start_line", end: st
 
 
 def merged(chunks: DataFrame) -> DataFrame:
-    """Chunks of a file that overlap or touch become one: lines past the overlap are appended, the higher score and
-    its id stay (the earlier at a tie)."""
-    grouped = islands(chunks, ["file_path"], tie=["ord", "id"])
-    part = F.struct("start_line", "end_line", "ord", "id", "score", lines_of("text").alias("lines"))
-    ordered = grouped.groupBy("file_path", "island").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # one island's chunks
-
-    def join(a: Column, x: Column) -> Column:
-        overlap = F.greatest(F.lit(0), a["end_line"] - x["start_line"] + 1)
-        better = a["score"] >= x["score"]
-        fresh = F.filter(x["lines"], lambda _, i: i >= overlap)
-        return F.struct(F.concat(a["lines"], fresh).alias("lines"), F.greatest(a["end_line"], x["end_line"]).alias("end_line"), F.when(better, a["id"]).otherwise(x["id"]).alias("id"), F.greatest(a["score"], x["score"]).alias("score"), F.least(a["ord"], x["ord"]).alias("ord"))
+    """Chunks of a file that overlap or touch become one: lines past the overlap are appended, the highest score and
+    its id stay (the earliest at a tie).
 
-    head = F.col("parts")[0]
-    begin = F.struct(head["lines"].alias("lines"), head["end_line"].alias("end_line"), head["id"].alias("id"), head["score"].alias("score"), head["ord"].alias("ord"))
-    folded = ordered.select("file_path", head["start_line"].alias("start_line"), F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1))), begin, join).alias("m"))
-    return folded.select(F.col("m.id").alias("id"), "file_path", "start_line", F.col("m.end_line").alias("end_line"), F.array_join("m.lines", "\n").alias("text"), F.col("m.score").alias("score"), F.col("m.ord").alias("ord"))
+    A chunk adds its lines behind the furthest end before it, so each line is handled once however long an island is.
+    """
+    grouped = islands(chunks, ["file_path"], tie=["ord", "id"])
+    order = Window.partitionBy("file_path", "island").orderBy("start_line", "end_line", "ord", "id")
+    reach = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    overlap = F.coalesce(F.greatest(F.lit(0), reach - F.col("start_line") + 1), F.lit(0))
+    placed = grouped.withColumns({"_nth": F.row_number().over(order), "_fresh": F.filter(lines_of("text"), lambda _, i: i >= overlap)})
+    parts = F.array_sort(F.collect_list(F.struct("_nth", "_fresh")))  # one island's chunks
+    one = placed.groupBy("file_path", "island").agg(
+        F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("score").alias("score"), F.min("ord").alias("ord"),
+        F.max_by("id", F.struct("score", -F.col("_nth"))).alias("id"), F.flatten(F.transform(parts, lambda p: p["_fresh"])).alias("lines"),
+    )
+    return one.select("id", "file_path", "start_line", "end_line", F.array_join("lines", "\n").alias("text"), "score", "ord")
 
 
 def formatted(path: str = "file_path", start: str = "start_line", end: str = "end_line", text: str = "text") -> Column:
@@ -166,13 +168,17 @@ def assembled(results: DataFrame, max_tokens: int = 4000) -> tuple[DataFrame, Da
 
 
 def citations(answers: DataFrame, id_: str, answer: str = "answer") -> DataFrame:
-    """Markers of each answer in order: id, ord, file_path, start_line, end_line, marker, valid, reason."""
+    """Markers of each answer in order: id, ord, file_path, start_line, end_line, marker, valid, reason.
+
+    A number of more digits than any line has is null, and the citation is not valid.
+    """
     group = lambda i: F.regexp_extract_all(answer, F.lit(CITATION), F.lit(i))
     zipped = F.arrays_zip(group(1).alias("file_path"), group(2).alias("start_line"), group(3).alias("end_line"), group(0).alias("marker"))
     rows = answers.select(id_, F.posexplode(zipped).alias("ord", "c"))
-    rows = rows.select(id_, "ord", "c.file_path", F.col("c.start_line").cast("bigint").alias("start_line"), F.col("c.end_line").cast("bigint").alias("end_line"), "c.marker")
-    valid = F.col("start_line") <= F.col("end_line")
-    return rows.withColumn("valid", valid).withColumn("reason", F.when(valid, "").otherwise("start_line exceeds end_line"))
+    rows = rows.select(id_, "ord", "c.file_path", F.col("c.start_line").try_cast("bigint").alias("start_line"), F.col("c.end_line").try_cast("bigint").alias("end_line"), "c.marker")
+    valid = F.coalesce(F.col("start_line") <= F.col("end_line"), F.lit(False))
+    reason = F.when(F.col("start_line").isNull() | F.col("end_line").isNull(), NO_NUMBER).when(valid, "").otherwise("start_line exceeds end_line")
+    return rows.withColumn("valid", valid).withColumn("reason", reason)
 
 
 def available_ranges(chunks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -186,8 +192,8 @@ def available_ranges(chunks: DataFrame, texts: DataFrame | None = None) -> DataF
     lines = lines.withColumn("own", F.nullif(header, F.lit("")))
     under = lines.withColumn("file_path", F.last("own", ignorenulls=True).over(Window.partitionBy("_t").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     number = F.regexp_extract("line", r"^\s*(\d+)\s*(?::|$)", 1)
-    numbered = under.where(F.col("own").isNull() & F.col("file_path").isNotNull() & (number != "")).select("file_path", number.cast("bigint").alias("lo"), number.cast("bigint").alias("hi"))
-    headed = lines.where(F.col("own").isNotNull()).select(F.col("own").alias("file_path"), F.regexp_extract("line", HEADER, 2).cast("bigint").alias("lo"), F.regexp_extract("line", HEADER, 3).cast("bigint").alias("hi"))
+    numbered = under.where(F.col("own").isNull() & F.col("file_path").isNotNull() & (number != "")).select("file_path", number.try_cast("bigint").alias("lo"), number.try_cast("bigint").alias("hi"))
+    headed = lines.where(F.col("own").isNotNull()).select(F.col("own").alias("file_path"), F.regexp_extract("line", HEADER, 2).try_cast("bigint").alias("lo"), F.regexp_extract("line", HEADER, 3).try_cast("bigint").alias("hi"))
     return found.unionByName(headed).unionByName(numbered)
 
 
@@ -206,7 +212,8 @@ def validated(cited: DataFrame, ranges: DataFrame, id_: str) -> DataFrame:
     cover = cover.join(files, F.col("file_path") == files._f, "left")
     missing = F.when(F.col("hi").isNull(), F.col("start_line")).when(F.col("hi") < F.col("end_line"), F.col("hi") + 1)
     reason = (
-        F.when(F.col("start_line") > F.col("end_line"), "start_line exceeds end_line")
+        F.when(F.col("start_line").isNull() | F.col("end_line").isNull(), NO_NUMBER)
+        .when(F.col("start_line") > F.col("end_line"), "start_line exceeds end_line")
         .when(F.col("_f").isNull(), "file not found in retrieved context")
         .when(missing.isNotNull(), F.concat(F.lit("lines not found in retrieved context: "), missing))
         .otherwise("valid")
@@ -222,8 +229,8 @@ def coverage(cited: DataFrame) -> DataFrame:
 def linked_ranges(links: DataFrame, link: str) -> DataFrame:
     """path, first and last line of links ``path:a-b`` or ``path:a``; a reversed range is put right, other text has none."""
     part = lambda i: F.regexp_extract(link, r"^(.*?):(\d+)(?:-(\d+))?$", i)
-    a = F.nullif(part(2), F.lit("")).cast("bigint")
-    b = F.coalesce(F.nullif(part(3), F.lit("")).cast("bigint"), a)
+    a = F.nullif(part(2), F.lit("")).try_cast("bigint")
+    b = F.coalesce(F.nullif(part(3), F.lit("")).try_cast("bigint"), a)
     return links.withColumns({"file_path": F.nullif(part(1), F.lit("")), "first_line": F.least(a, b), "last_line": F.greatest(a, b)})
 
 

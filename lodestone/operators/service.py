@@ -17,7 +17,8 @@ def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int = LI
     count.  ``ts`` is in seconds (double).
 
     A decision depends on earlier decisions, so a key's events are streamed in order past the times of its accepted
-    ones: at most ``limit`` values are held, however many events a key has.
+    ones: at most ``limit`` values are held, however many events a key has.  An event without a time cannot be placed: it is
+    denied and does not count.  Events without a key are one key.
     """
     names = events.columns
 
@@ -28,6 +29,9 @@ def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int = LI
             for k, t in zip(b.column(names.index(key)).to_pylist(), b.column(names.index(ts)).to_pylist()):
                 if k != current:
                     current, accepted = k, deque()
+                if t is None:
+                    allowed.append(False)
+                    continue
                 while accepted and accepted[0] <= t - window:
                     accepted.popleft()
                 allowed.append(len(accepted) < limit)
@@ -72,3 +76,27 @@ def merged_users(users: DataFrame, logins: DataFrame) -> DataFrame:
     new = both.select(F.coalesce("id1", "id2", "email").alias("id"), "email", "provider", "provider_user_id", "name")
     kept = users.join(new.select("id"), "id", "left_anti").select("id", "email", "provider", "provider_user_id", "name")
     return kept.unionByName(new)
+
+
+def listed_repositories(repositories: DataFrame) -> DataFrame:
+    """All repositories, the oldest first."""
+    return repositories.orderBy("created_at", "id")
+
+
+def health(environment: str, components: dict[str, bool]) -> dict:
+    """The state of a deployment: ok if every component is."""
+    parts = {name: {"status": "ok" if up else "failed"} for name, up in components.items()}
+    return {"status": "ok" if all(components.values()) else "degraded", "environment": environment, "components": parts}
+
+
+def error_envelope(code: str, message: str, request_id: str | None = None, details: object = None) -> dict:
+    """The one shape in which failures are told to clients."""
+    body = {"code": code, "message": message, "request_id": request_id}
+    return {"error": body | ({"details": details} if details is not None else {})}
+
+
+def request_faults(requests: DataFrame) -> DataFrame:
+    """Question requests (query, start_line, end_line of their context) with ``fault``: what is wrong, or null."""
+    blank = F.coalesce(F.col("query"), F.lit("")) == ""
+    low = (F.col("start_line") < 1) | (F.col("end_line") < 1)
+    return requests.withColumn("fault", F.when(blank, "empty query").when(low, "line below 1"))

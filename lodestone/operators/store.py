@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import materialize, release
+
 NODE_LABELS = ("Module", "Function", "Class")
 EDGE_TYPES = ("CALLS", "IMPORTS", "INHERITS", "CONTAINS")
 
@@ -18,8 +20,17 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*rows.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], merge: bool = False) -> DataFrame:
-    """``old`` with the rows of ``new`` put in by key; with ``merge``, null values of a new row keep the old ones."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], merge: bool = False, order: list[str] | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` put in by key.
+
+    Of several new rows of one key the last wins, by ``order`` (columns of ``new`` that need not be in ``old``) or else in
+    the order in which the rows come.  With ``merge``, a null value keeps the value before it.
+    """
+    new = new.withColumn("_at", F.struct(*order) if order else F.monotonically_increasing_id())
+    if merge:
+        new = new.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in old.columns if c not in keys))
+    else:
+        new = latest(new.select(*old.columns, "_at"), keys, ["_at"]).drop("_at")
     if not merge:
         kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
         return kept.unionByName(new)
@@ -52,19 +63,34 @@ def distinct_edges(edges: DataFrame, order: list[str]) -> DataFrame:
 
 
 class GraphStore:
-    """Nodes and edges as two tables with the three stored graph queries."""
+    """Nodes and edges as two tables with the three stored graph queries.
+
+    What is put in is written in the shared folder, so plans do not grow with the number of puts; the table that a put
+    replaces is removed, and results taken before must have been read by then.
+    """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes, self.edges = nodes, edges
 
-    def put_nodes(self, rows: DataFrame) -> None:
-        self.nodes = upsert(self.nodes, checked(rows, "label", NODE_LABELS), ["id"], merge=True)
+    def put_nodes(self, rows: DataFrame, order: list[str] | None = None) -> None:
+        """Nodes by id; later properties win, null ones keep what was there."""
+        self.nodes = self._replaced(self.nodes, upsert(self.nodes, checked(rows, "label", NODE_LABELS), ["id"], merge=True, order=order), "graph-nodes")
+
+    def put_edges(self, rows: DataFrame, order: list[str] | None = None) -> None:
+        """Edges by (source, target, type) between known nodes; the last of parallel ones wins."""
+        rows = with_endpoints(checked(rows, "type", EDGE_TYPES), self.nodes)
+        self.edges = self._replaced(self.edges, upsert(self.edges, rows, ["source_id", "target_id", "type"], order=order), "graph-edges")
 
-    def put_edges(self, rows: DataFrame) -> None:
-        self.edges = upsert(self.edges, with_endpoints(checked(rows, "type", EDGE_TYPES), self.nodes), ["source_id", "target_id", "type"])
+    @staticmethod
+    def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+        table = materialize(new, name)
+        release(old)
+        return table
 
     def clear(self) -> None:
-        self.nodes, self.edges = self.nodes.limit(0), self.edges.limit(0)
+        release(self.nodes, self.edges)
+        spark = self.nodes.sparkSession
+        self.nodes, self.edges = spark.createDataFrame([], self.nodes.schema), spark.createDataFrame([], self.edges.schema)
 
     def node(self, id_: str) -> DataFrame:
         return self.nodes.where(F.col("id") == id_)

@@ -6,14 +6,16 @@ shared folder so that the plan does not grow with the distance.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import first_filled
 from lodestone.operators.checks import one_of, positive
-from lodestone.storage import materialize
+from lodestone.storage import importable, materialize
 
 DIRECTIONS = ("out", "in", "both")
 
@@ -93,13 +95,63 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     return done(spark.createDataFrame([], level.schema))
 
 
+#: Graphs up to this number of edges are searched for cycles by one task per start node, each with all edges.
+SMALL_EDGES = 100_000
+
+
+def _cycles_from(first: str, after: dict[str, list[str]], before: dict[str, list[str]]) -> Iterator[list[str]]:
+    """The simple cycles whose smallest node is ``first``, depth first: only nodes above it that lead back to it are
+    entered."""
+    back, waiting = {first}, [first]
+    while waiting:
+        for u in before.get(waiting.pop(), ()):
+            if u > first and u not in back:
+                back.add(u)
+                waiting.append(u)
+    path, on_path, choices = [first], {first}, [iter(after.get(first, ()))]
+    while choices:
+        v = next(choices[-1], None)
+        if v is None:
+            choices.pop()
+            on_path.discard(path.pop())
+        elif v == first:
+            yield [*path, first]
+        elif v in back and v not in on_path:
+            path.append(v)
+            on_path.add(v)
+            choices.append(iter(after.get(v, ())))
+
+
 def simple_cycles(edges: DataFrame) -> DataFrame:
     """Each directed simple cycle once, as ``chain`` from its smallest node back to it; a self edge is [a, a].
 
-    Paths start at their smallest node and only visit larger ones, so a cycle is found in one rotation only.
-    Paths are simple, so the search ends.
+    A cycle is found from its smallest node only, over larger nodes.  Small graphs travel whole to a task per start node;
+    in others, paths grow by joins, a step each.  Paths are simple, so either search ends.
     """
+    spark = edges.sparkSession
     steps = materialize(edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v")).distinct(), "steps")
+    small = steps.limit(SMALL_EDGES + 1).collect()
+    if len(small) <= SMALL_EDGES:
+        importable(spark)
+        after: dict[str, list[str]] = {}
+        before: dict[str, list[str]] = {}
+        for u, v in sorted(small):
+            after.setdefault(u, []).append(v)
+            before.setdefault(v, []).append(u)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[str]] = []
+            for b in batches:
+                for first in b.column(0).to_pylist():
+                    for chain in _cycles_from(first, after, before):
+                        held.append(chain)
+                        if len(held) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["chain"])
+                            held = []
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["chain"])
+
+        starts = steps.select("u").distinct()
+        return starts.repartition(spark.sparkContext.defaultParallelism, "u").mapInArrow(run, "chain array<string>")
     found = [steps.where("u = v").select(F.array("u", "v").alias("chain"))]
     paths = steps.where("v > u").select(F.col("u").alias("first"), F.col("v").alias("last"), F.array("u", "v").alias("path"))
     while True:

@@ -16,17 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.checks import one_of
-from lodestone.storage import materialize
+from lodestone.storage import materialize, release
 
 CATEGORIES = ("simple-lookup", "multi-hop", "exploratory")
 ANSWER_TYPES = ("symbol", "path", "files", "explanation", "evidence")
 STRATEGIES = ("bm25", "graph", "vector", "hybrid")
+#: The least confidence, and those of each class.
 THRESHOLD = 0.55
+SURE = {"multi-hop": 0.86, "exploratory": 0.82, "simple-lookup": 0.84, "blank": 0.0, "unknown": 0.4}
 #: The patterns of each class, tried in this order (multi-hop, exploratory, simple-lookup).
 MULTI_HOP = (r"\bhow\s+does\b.*\bflow\b", r"\bpath\s+between\b", r"\btrace\b", r"\bcall\s+chain\b", r"\bend[- ]?to[- ]?end\b", r"\bimpact\b", r"\bdependencies?\b", r"\bfrom\b.*\bto\b")
 EXPLORATORY = (r"\boverview\b", r"\barchitecture\b", r"\bexplain\b", r"\bwhat\s+should\s+i\s+read\b", r"\bcompare\b", r"\bsummarize\b", r"\bexplore\b", r"\bunderstand\b")
 SIMPLE = (r"\bwhere\s+is\b", r"\bdefined\b", r"\bdefinition\b", r"\bfind\s+(function|class|method|symbol)\b", r"\bwhat\s+(calls|imports)\b", r"\bshow\s+(function|class|method|symbol)\b", r"\bfile\s+contains\b")
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$"
+#: The patterns of the router.
 STRUCTURAL = r"\b(path|trace|call chain|calls|imports|dependencies|flow|graph)\b"
 LOOKUP = r"\b(where|find|show)\b.*\b(function|class|method|symbol)\b"
 EVIDENCE = r"\b(collect|supporting|evidence|combine)\b"
@@ -49,7 +52,7 @@ def classified(questions: DataFrame, query: str = "query", threshold: float = TH
     blank = F.regexp_replace(text, r"(?U)\s", "") == ""
     raw = F.when(blank, "blank").when(_matches(low, MULTI_HOP), "multi-hop").when(_matches(low, EXPLORATORY), "exploratory").when(_matches(low, SIMPLE) | _identifier(text), "simple-lookup").otherwise("unknown")
     rows = questions.withColumn("_raw", raw)
-    sure = F.when(F.col("_raw") == "multi-hop", 0.86).when(F.col("_raw") == "exploratory", 0.82).when(F.col("_raw") == "simple-lookup", 0.84).when(F.col("_raw") == "blank", 0.0).otherwise(0.4)
+    sure = F.element_at(F.create_map(*(F.lit(x) for kv in SURE.items() for x in kv)), F.col("_raw"))
     rows = rows.withColumn("confidence", sure)
     weak = (F.col("confidence") < threshold) | F.col("_raw").isin("unknown", "blank")
     return rows.withColumn("category", F.when(weak, "multi-hop").otherwise(F.col("_raw"))).withColumn("used_fallback", weak).withColumnRenamed("_raw", "raw_category")
@@ -117,11 +120,29 @@ class Plan:
     transitions: tuple[str, ...] = field(default=())
 
 
+#: What a model is shown before a question: one of each class.
+SHOTS = (
+    ("Where is the tokenizer defined?", "simple-lookup", 0.95, "asks for one definition"),
+    ("How does a request get from the endpoint to the store?", "multi-hop", 0.93, "follows calls through several files"),
+    ("Which parts does the package have, and what are they for?", "exploratory", 0.9, "asks for an overview"),
+)
+
+
+def classification_prompt(query: str) -> str:
+    """The question that a model is asked: the classes, one worked case of each, and the form of the answer."""
+    meaning = {"simple-lookup": "one fact about one symbol or file", "multi-hop": "facts that must be followed from place to place", "exploratory": "an overview or comparison"}
+    cases = [json.dumps({"query": q, "category": c, "confidence": s, "reason": r}) for q, c, s, r in SHOTS]
+    return "\n".join([
+        "Which kind of question about a source repository is this?", *(f"* {c}: {meaning[c]}" for c in CATEGORIES),
+        "Answer with one JSON object: category, confidence from 0 to 1, reason.", "", *cases, "", json.dumps({"query": query}),
+    ])
+
+
 def classify(spark: SparkSession, query: str, threshold: float = THRESHOLD, model: Callable[[str], str] | None = None) -> dict:
     """category, confidence, raw_category and used_fallback of one question; a model answers in JSON."""
     if model is None or not query.strip():
         return classified(spark.createDataFrame([(query,)], "query string"), threshold=threshold).first().asDict()
-    said = salvaged_json(model(query))
+    said = salvaged_json(model(classification_prompt(query)))
     raw = str(said.get("category", ""))
     try:
         sure = min(max(float(said.get("confidence", 0)), 0.0), 1.0)
@@ -190,15 +211,51 @@ def execute(spark: SparkSession, plan: Plan, executors: dict[str, Executor]) ->
     return results
 
 
+#: Graphs up to this number of nodes and of edges are levelled on the driver.
+SMALL = 100_000
+
+
+def _levels(ids: list[str], edges: list[tuple[str, str]]) -> dict[str, int] | None:
+    """The level of each node, None if there is a cycle: nodes leave once all they depend on has left."""
+    level, waits, after = dict.fromkeys(ids, 0), dict.fromkeys(ids, 0), {}
+    for a, b in edges:
+        waits[b] += 1
+        after.setdefault(a, []).append(b)
+    ready, done = [i for i, n in waits.items() if not n], 0
+    while ready:
+        a = ready.pop()
+        done += 1
+        for b in after.get(a, ()):
+            level[b] = max(level[b], level[a] + 1)
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    return level if done == len(level) else None
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): the longest chain of (source, target) dependencies that leads to each node; a ValueError for a cycle."""
-    level = nodes.select("id", F.lit(0).alias("level"))
-    for _ in range(max(level.count(), 1)):  # without a cycle, the longest chain has one level for each node
-        deeper = level.join(edges, level.id == edges.source).groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("_deeper"))
-        fresh = level.join(deeper, "id", "left").select("id", F.greatest("level", F.coalesce("_deeper", F.lit(0))).alias("level"))
-        rows = fresh.collect() if fresh.count() <= 1000 else None  # plans are small; larger graphs stay distributed
-        same = fresh.join(level.withColumnRenamed("level", "_old"), "id").where("level <> _old").isEmpty()
-        level = nodes.sparkSession.createDataFrame(rows, fresh.schema) if rows is not None else materialize(fresh, "levels")
-        if same:
-            return level
+    """(id, level): the longest chain of (source, target) dependencies that leads to each node; a ValueError for a cycle.
+
+    Edges with an unknown end do not count.  Small graphs, as plans are, are levelled in one pass on the driver; others by
+    joins, a level each.
+    """
+    ids = nodes.select("id").distinct()
+    inner = edges.select("source", "target").distinct().join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
+    few, links = ids.limit(SMALL + 1).collect(), inner.limit(SMALL + 1).collect()
+    if len(few) <= SMALL and len(links) <= SMALL:
+        level = _levels([r.id for r in few], [(r.source, r.target) for r in links])
+        if level is None:
+            raise ValueError("the dependencies form a cycle")
+        return nodes.sparkSession.createDataFrame(list(level.items()), f"id {dict(ids.dtypes)['id']}, level int")
+    inner = materialize(inner, "dependencies")
+    level, total = materialize(ids.withColumn("level", F.lit(0)), "levels"), ids.count()
+    for _ in range(total):  # without a cycle, the longest chain has one level for each node
+        deeper = level.join(inner, level.id == inner.source).groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("_deeper"))
+        fresh = level.join(deeper, "id", "left").select("id", F.greatest("level", F.coalesce("_deeper", F.lit(0))).alias("level"), (F.col("level") < F.coalesce("_deeper", F.lit(0))).alias("_moved"))
+        fresh = materialize(fresh, "levels")
+        release(level)
+        level = fresh
+        if fresh.where("_moved").isEmpty():
+            return fresh.drop("_moved")
+        level = level.drop("_moved")
     raise ValueError("the dependencies form a cycle")

@@ -37,17 +37,34 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, target = _store(spark, path)
+    return store.exists(target)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds."""
+    store, target = _store(spark, path)
+    return store.getFileStatus(target).getModificationTime()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder and all in it, if it is there."""
+    if spark.sparkContext._jvm is None or spark.sparkContext._jsc is None:
         return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = _store(spark, path)
+    store.delete(target, True)
 
 
 def _remove_quietly(spark: SparkSession, path: str) -> None:
     try:
-        _remove(spark, path)
+        remove(spark, path)
     except Exception:  # at exit the JVM may already be gone
         pass
 
@@ -98,4 +115,4 @@ def release(*tables: DataFrame) -> None:
     """Remove the folders of intermediate tables that nothing will read any more."""
     for t in tables:
         if path := getattr(t, "_lodestone_path", None):
-            _remove(t.sparkSession, path)
+            remove(t.sparkSession, path)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.operators.index import InvertedIndex
 from lodestone.operators.service import LIMIT, WINDOW
-from lodestone.operators.store import latest, upsert
 
 
 def rate_limited_stream(events: DataFrame, key: str, ts: str, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
@@ -40,35 +40,10 @@ def rate_limited_stream(events: DataFrame, key: str, ts: str, limit: int = LIMIT
     return timed.groupBy("key").applyInPandasWithState(decide, "key string, t double, allowed boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def maintain_index(changes: DataFrame, folder: str, id_: str, order: str, checkpoint: str):
-    """Keep a table of documents current with a stream of changes (``deleted`` boolean): the newest row of an id wins.
+def maintain_index(changes: DataFrame, index: InvertedIndex, order: str, checkpoint: str):
+    """Keep an inverted index current with a stream of changes (``deleted`` boolean): the highest ``order`` of an id wins,
+    also if it comes before an older one, and against deletions.
 
-    Each micro-batch writes the next version of the table and then moves a pointer, so a repeated batch is harmless.
+    Each micro-batch becomes one segment of the index, written from the batch alone; a repeated batch writes it again.
     """
-    spark = changes.sparkSession
-
-    def apply(batch: DataFrame, number: int) -> None:
-        news = latest(batch, [id_], [order])
-        old = current_index(spark, folder, news.schema)
-        merged = upsert(old, news, [id_]).where("not deleted")
-        merged.write.mode("overwrite").parquet(f"{folder}/version={number:012d}")
-        spark.createDataFrame([(number,)], "version long").write.mode("overwrite").parquet(f"{folder}/pointer-{number:012d}")
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-
-
-def _versions(spark, folder: str) -> list[int]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(path):
-        return []
-    names = [s.getPath().getName() for s in store.listStatus(path)]
-    return sorted(int(n.removeprefix("pointer-")) for n in names if n.startswith("pointer-"))
-
-
-def current_index(spark, folder: str, schema) -> DataFrame:
-    """The table that ``maintain_index`` keeps, empty at first."""
-    versions = _versions(spark, folder)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/version={versions[-1]:012d}")
+    return changes.writeStream.foreachBatch(lambda batch, number: index.apply(batch, order, segment=number)).option("checkpointLocation", checkpoint)
