@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import schemas
 from lodestone.functions import text as T
 from lodestone.functions.vectors import l2_normalized, norm
-from lodestone.operators import bm25, context, embed, parse, search, service, store, symbols, traverse
-from lodestone.plans import prompts, questions
+from lodestone.operators import bm25, context, embed, nearest, parse, search, service, store, symbols, traverse
+from lodestone.operators.index import InvertedIndex
+from lodestone.plans import ask, prompts, questions
 from lodestone.sources import repository
-from lodestone.storage import importable
+from lodestone.storage import importable, modified, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -73,16 +75,54 @@ def corpus_stats(spark, d):
     return bm25.corpus_statistics(read(spark, d, "documents")).select("document_count", F.round("average_document_length", 6).alias("average_document_length"))
 
 
+_indexes: dict = {}
+
+
+def documents_index(spark, d) -> InvertedIndex:
+    """The inverted index of the documents, built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d, modified(spark, f"{d}/documents.parquet"))
+    if key not in _indexes:
+        _indexes[key] = InvertedIndex(spark, shared_folder(spark, "documents-index"), "doc_id").build(read(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    return _indexes[key]
+
+
+@query("bm25_index_build", f"WITH {_DOCS}, p AS (SELECT doc_id, unnest(toks) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term")
+def bm25_index_build(spark, d):
+    """Documents into a fresh inverted index, and the frequencies of all its terms."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return InvertedIndex(spark, shared_folder(spark, "documents-index"), "doc_id").build(docs).term_frequencies()
+
+
+@query("index_changes", f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'renewed ' || source ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0),
+p AS (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM d)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term""")
+def index_changes(spark, d):
+    """Two batches of changes on an index: new versions (old ones among them come too late), deletions, repeats in a batch."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "source")
+    index = InvertedIndex(spark, shared_folder(spark, "changed-index"), "doc_id").build(docs.where("doc_id % 3 <> 0").select("doc_id", "text"))
+    version = lambda rows, text, at, gone: rows.select("doc_id", text.alias("text"), F.lit(at).cast("long").alias("version"), F.lit(gone).alias("deleted"))
+    newest = version(docs.where("doc_id % 2 = 0"), F.concat(F.lit("renewed "), "source"), 5, False)
+    index.apply(version(docs.where("doc_id % 3 = 0"), F.col("text"), 1, False).unionByName(newest).unionByName(version(docs.where("doc_id % 2 = 0"), F.lit("too old"), 4, False)), "version")
+    index.apply(version(docs.where("doc_id % 7 = 0"), F.col("text"), 6, True).unionByName(version(docs.where("doc_id % 14 = 2"), F.lit("late"), 2, False)), "version")
+    return index.term_frequencies()
+
+
 @query("bm25_topk", _bm25_sql(_DOCS, QUERY))
 def bm25_topk(spark, d):
+    return documents_index(spark, d).search(QUERY, top_k=20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_scan_topk", _bm25_sql(_DOCS, "retention of the license"))
+def bm25_scan_topk(spark, d):
+    """The same search on a table without an index."""
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return bm25.search(docs, QUERY, "doc_id", top_k=20).select("doc_id", F.round("score", 6).alias("score"))
+    return bm25.search(docs, "retention of the license", "doc_id", top_k=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_filtered", _bm25_sql(_DOCS, QUERY, "lang = 'de'"))
 def bm25_filtered(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
-    return bm25.search_symbols(docs, QUERY, "doc_id", filters={"lang": "de"}).select("doc_id", F.round("score", 6).alias("score"))
+    return documents_index(spark, d).search_symbols(QUERY, filters={"lang": "de"}).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_exact_boost", _bm25_sql(_DOCS, "The", columns="doc_id, round(bm25, 6) AS bm25_score, lower(regexp_extract(text, '^[A-Za-z]+')) = 'the' AS exact_name_match", score="score + CASE WHEN lower(regexp_extract(text, '^[A-Za-z]+')) = 'the' THEN 5 ELSE 0 END", order="score + CASE WHEN lower(regexp_extract(text, '^[A-Za-z]+')) = 'the' THEN 5 ELSE 0 END"))
@@ -123,6 +163,37 @@ def vector_topk(spark, d):
     return search.vector_topk(read(spark, d, "embeddings"), _query_vector(spark, d), "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("vector_topk_queries", f"""
+WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round({_COS}, 9) AS score FROM embeddings e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 20""")
+def vector_topk_queries(spark, d):
+    """The exact nearest rows of every row whose id is divisible by 100."""
+    rows = read(spark, d, "embeddings")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return nearest.topk_of_queries(rows, queries, "vec_id", "embedding").select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_cell_index")
+def vector_cell_index(spark, d):
+    """The same queries through the index of cells; tests measure its recall."""
+    rows = read(spark, d, "embeddings")
+    index = nearest.CellIndex(spark, shared_folder(spark, "cells"), "vec_id", "embedding").build(rows)
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.search(queries, probes=44)
+
+
+@query("vector_upsert_delete", f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 10 <> 4), {_Q}
+SELECT vec_id, round({_COS}, 6) AS score FROM e, q ORDER BY {_COS} DESC, vec_id LIMIT 20""")
+def vector_upsert_delete(spark, d):
+    """A collection after new versions (each key twice in the batch, the last wins) and deletions."""
+    rows = embed.checked_dimension(read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 64)
+    turned = rows.where("vec_id % 10 = 3").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(2).alias("at"))
+    twice = turned.unionByName(rows.where("vec_id % 10 = 3").withColumn("at", F.lit(1)))
+    kept = store.delete(store.upsert(rows, twice, ["vec_id"], order=["at"]), rows.where("vec_id % 10 = 4"), ["vec_id"])
+    return search.vector_topk(kept, _query_vector(spark, d), "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query("vector_filtered", f"WITH {_Q} SELECT vec_id, round({_COS}, 6) AS score FROM embeddings e, q WHERE label = 3 ORDER BY {_COS} DESC, vec_id LIMIT 20")
 def vector_filtered(spark, d):
     return search.vector_topk(read(spark, d, "embeddings"), _query_vector(spark, d), "vec_id", "embedding", label=3).select("vec_id", F.round("score", 6).alias("score"))
@@ -149,7 +220,7 @@ def cache_key_dedup(spark, d):
     return keyed.groupBy("cache_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("embed_cached")
+@query("embed_cached", "SELECT doc_id, 'hashing-code:' || sha256(text) AS cache_key, CASE WHEN regexp_matches(text, '[A-Za-z]+|[0-9]+|[^\\w\\s]') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents")
 def embed_cached(spark, d):
     rows = read(spark, d, "documents").select("doc_id", "text")
     cache = embed.embed_code(rows.where("doc_id % 3 = 0"), dim=32)[1]
@@ -170,7 +241,7 @@ top AS (SELECT * FROM f ORDER BY score DESC, first, id LIMIT 20)"""
 
 def _fused(spark, d):
     docs = read(spark, d, "documents")
-    sparse = bm25.search(docs.select("doc_id", "text"), QUERY, "doc_id", top_k=20).withColumn("score", F.round("score", 6))
+    sparse = documents_index(spark, d).search(QUERY, top_k=20).withColumn("score", F.round("score", 6))
     dense = search.vector_topk(read(spark, d, "embeddings"), _query_vector(spark, d), "vec_id", "embedding")
     graph = docs.select("doc_id", (-F.col("doc_id")).cast("double").alias("score")).orderBy("doc_id").limit(20)
     lists = search.ranked(dense, "vector", "vec_id", 0).unionByName(search.ranked(sparse, "bm25", "doc_id", 1)).unionByName(search.ranked(graph, "graph", "doc_id", 2))
@@ -222,9 +293,43 @@ def graph(spark, d) -> tuple[DataFrame, DataFrame]:
     return nodes, inside.unionByName(store.distinct_edges(calls, ["seq"]).drop("seq"))
 
 
-@query("graph_nodes", f"WITH {_NODES} SELECT label, count(*) AS n, min(id) AS first_id FROM nodes GROUP BY label")
+def stored_graph(spark, d) -> store.GraphStore:
+    """The graph put into a store: nodes twice, the second time with names in lower case for suppliers and no name for parts
+    (which keeps the name they have)."""
+    nodes, edges = graph(spark, d)
+    held = store.GraphStore(nodes.limit(0), edges.limit(0))
+    again = F.when(F.col("id").startswith("part:"), F.lit(None)).when(F.col("id").startswith("supplier:"), F.lower("name")).otherwise(F.col("name"))
+    held.put_nodes(nodes.withColumn("at", F.lit(1)).unionByName(nodes.withColumns({"name": again, "at": F.lit(2)})), ["at"])
+    held.put_edges(edges)
+    return held
+
+
+@query("graph_nodes", f"WITH {_NODES} SELECT id, label, CASE WHEN id LIKE 'supplier:%' THEN lower(name) ELSE name END AS name FROM nodes")
 def graph_nodes(spark, d):
-    return graph(spark, d)[0].groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return stored_graph(spark, d).query("MATCH (n) RETURN n")
+
+
+@query("graph_put_again", f"WITH {_NODES}, {_EDGES} SELECT type, count(*) AS n, sum(CASE WHEN type = 'CALLS' THEN 100 + line ELSE line END)::BIGINT AS lines FROM edges GROUP BY type")
+def graph_put_again(spark, d):
+    """Edges that come again take their last properties; ends that are no node are dropped."""
+    held = stored_graph(spark, d)
+    calls = held.edges.where("type = 'CALLS'")
+    lost = calls.limit(5).withColumn("target_id", F.lit("part:none"))
+    later = calls.withColumn("line", F.col("line") + 100)
+    held.put_edges(calls.withColumn("at", F.lit(1)).unionByName(later.withColumn("at", F.lit(2))).unionByName(lost.withColumn("at", F.lit(3))), ["at"])
+    return held.edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("line").alias("lines"))
+
+
+@query("graph_node_by_id", f"WITH {_NODES} SELECT id, label, name FROM nodes WHERE id = 'nation:7'")
+def graph_node_by_id(spark, d):
+    return stored_graph(spark, d).query("MATCH (n {id: $id}) RETURN n", id="nation:7")
+
+
+@query("graph_clear", "SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges FROM region LIMIT 1")
+def graph_clear(spark, d):
+    held = stored_graph(spark, d)
+    held.clear()
+    return held.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(held.edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each
 
 
 @query("graph_edge_scan", f"WITH {_NODES}, {_EDGES} SELECT a.name AS source, e.type, b.name AS target FROM edges e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id WHERE e.type = 'CONTAINS'")
@@ -241,7 +346,11 @@ def graph_outgoing(spark, d):
 
 @query("edge_upsert_last_wins", f"WITH {_EDGES} SELECT source_id, target_id, type, line FROM edges WHERE type = 'CALLS'")
 def edge_upsert_last_wins(spark, d):
-    return graph(spark, d)[1].where("type = 'CALLS'").select("source_id", "target_id", "type", "line")
+    nodes, edges = graph(spark, d)
+    calls = read(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey").alias("source_id"), F.concat(F.lit("part:"), "l_partkey").alias("target_id"), F.lit("CALLS").alias("type"), F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    held = store.GraphStore(nodes, edges.limit(0))
+    held.put_edges(calls, ["seq"])
+    return held.edges.select("source_id", "target_id", "type", "line")
 
 
 @query("dangling_edges_dropped", f"WITH {_NODES}, {_EDGES} SELECT type, count(*) AS n FROM edges WHERE source_id NOT LIKE 'supplier:%3' AND target_id NOT LIKE 'supplier:%3' GROUP BY type")
@@ -259,6 +368,27 @@ def graph_neighbors_2hop(spark, d):
     return traverse.neighbors(*graph(spark, d), "supplier:3", hops=2)
 
 
+@query("graph_neighbors_typed", f"""
+WITH RECURSIVE {_EDGES}, r AS (SELECT 'nation:5' AS id, 0 AS distance UNION SELECT source_id, distance + 1 FROM r JOIN edges ON target_id = id AND type = 'CONTAINS' WHERE distance < 3)
+SELECT id, distance, 1.0::DOUBLE / distance AS score FROM r WHERE distance > 0
+UNION ALL SELECT DISTINCT target_id, 10, 0.0::DOUBLE FROM edges WHERE source_id = 'nation:5' AND type = 'CONTAINS'""")
+def graph_neighbors_typed(spark, d):
+    """Edge types and directions: containers inwards (distance up to 3), contained ones outwards (listed at 10)."""
+    nodes, edges = graph(spark, d)
+    up = traverse.neighbors(nodes, edges, "nation:5", hops=3, direction="in", edge_types=["CONTAINS"])
+    down = traverse.neighbors(nodes, edges, "nation:5", direction="out", edge_types=["CONTAINS"])
+    return up.unionByName(down.select("id", F.lit(10).alias("distance"), F.lit(0.0).alias("score")))
+
+
+@query("graph_layout", f"""
+WITH {_NODES}, n AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY label) AS members FROM nodes),
+m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k, count(*) OVER () AS total FROM (SELECT DISTINCT label FROM nodes))
+SELECT id, round(300 * cos(2 * pi() * k / total) + 80 * cos(2 * pi() * i / members), 6) + 0.0 AS x, round(300 * sin(2 * pi() * k / total) + 80 * sin(2 * pi() * i / members), 6) + 0.0 AS y FROM n JOIN m USING (label)""")
+def graph_layout(spark, d):
+    placed = traverse.module_layout(graph(spark, d)[0].withColumnRenamed("label", "module"))
+    return placed.select("id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
+
+
 @query("graph_shortest_path", f"""
 WITH RECURSIVE {_EDGES},
 r AS (SELECT 'region:1' AS id, ['region:1'] AS path UNION ALL SELECT target_id, list_append(path, target_id) FROM r JOIN edges ON source_id = id WHERE len(path) < 4)
@@ -343,12 +473,39 @@ def _whole_chunks(spark, d) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(T.lines_of("text")).alias("end_line"), "text", (F.col("n_chars") % 1000 / 1000.0).alias("score"), F.col("doc_id").cast("int").alias("ord"), "source")
 
 
-@query("context_budget")
+#: DuckDB: chunks of whole documents with the words of their formatted text, ranked in each source.
+_CHUNKS = r"""
+l AS (SELECT doc_id, source, n_chars % 1000 / 1000.0 AS score, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, source, score, len(lines) AS n, len(list_filter(regexp_split_to_array(array_to_string(list_concat(['### ' || source || ':1-' || len(lines)], list_transform(lines, lambda x, i: i || ': ' || x)), chr(10)), '\s+'), lambda x: x <> '')) AS words FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY source) AS total FROM w)"""
+
+
+@query("context_budget", f"""
+WITH RECURSIVE {_CHUNKS},
+g AS (SELECT source, r, CASE WHEN words <= 4000 THEN words ELSE 0 END AS used, words <= 4000 AS took FROM k WHERE r = 1
+  UNION ALL SELECT k.source, k.r, CASE WHEN used + words <= 4000 THEN used + words ELSE used END, used + words <= 4000 FROM g JOIN k ON k.source = g.source AND k.r = g.r + 1),
+t AS (SELECT source, count(*) FILTER (WHERE took) AS kept, bool_or(r = 1 AND took) AS begun FROM g GROUP BY source),
+x AS (SELECT k.source, k.doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM k JOIN t ON t.source = k.source JOIN l ON l.doc_id = k.doc_id WHERE r = 1 AND NOT begun),
+y AS (SELECT source, doc_id, 2 + sum(1 + len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> ''))) OVER (PARTITION BY source ORDER BY i) AS used FROM x)
+SELECT source, doc_id::VARCHAR AS id, 1 AS start_line, n::INT AS end_line, kept < total AS truncated FROM g JOIN k USING (source, r) JOIN t USING (source) WHERE took AND begun
+UNION ALL SELECT source, doc_id::VARCHAR, 1, greatest(count(*) FILTER (WHERE used <= 4000), 1)::INT, true FROM y GROUP BY source, doc_id""")
 def context_budget(spark, d):
-    """One context per source, all of its documents tried."""
+    """One context per source, all of its documents tried; of a best document that is too large alone, its first lines."""
     return context.budgeted(_whole_chunks(spark, d), 4000, ["source"]).select("source", "id", "start_line", "end_line", "truncated")
 
 
+@query("context_assembled", """
+WITH c AS (SELECT doc_id, source AS f, doc_id % 300 * 3 + 1 AS a, doc_id % 300 * 3 + 1 + n_chars % 12 AS b FROM documents WHERE doc_id < 40),
+m AS (SELECT *, max(b) OVER (PARTITION BY f ORDER BY a, b, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+i AS (SELECT *, sum(CASE WHEN a <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY f ORDER BY a, b, doc_id) AS island FROM m),
+g AS (SELECT f, min(a) AS a, max(b) AS b FROM i GROUP BY f, island),
+t AS (SELECT string_agg('### ' || f || ':' || a || '-' || b || chr(10) || array_to_string(list_transform(range(a, b + 1), lambda x: x || ': line ' || x), chr(10)), chr(10) || chr(10) ORDER BY f, a) AS text FROM g)
+SELECT text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS token_count, false AS truncated FROM t""")
+def context_assembled(spark, d):
+    """Merged, formatted and joined: the context of forty retrieved ranges under a budget that all fit."""
+    return context.assembled(_ranges(spark, d).where("ord < 40"), 100_000)[1]
+
+
 @query("format_chunk", """
 WITH l AS (SELECT doc_id, source, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS lines FROM documents)
 SELECT doc_id, array_to_string(list_concat(['### ' || source || ':1-' || len(lines)], list_transform(lines, lambda x, i: i || ': ' || x)), chr(10)) AS formatted FROM l""")
@@ -357,16 +514,20 @@ def format_chunk(spark, d):
 
 
 @query("logical_groups", """
-WITH l AS (SELECT doc_id, unnest(string_split(text, '. ')) AS line, generate_subscripts(string_split(text, '. '), 1) AS n FROM documents),
-f AS (SELECT *, sum(CASE WHEN len(line) < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM l)
-SELECT doc_id, g::BIGINT AS group_no, min(n)::INT AS first_line, max(n)::INT AS last_line FROM f WHERE len(line) >= 20 GROUP BY doc_id, g""")
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, max(l_quantity) > 25 AS gap FROM lineitem GROUP BY ALL),
+p AS (SELECT *, 2 + sum(CASE WHEN gap THEN 2 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) - 1 AS ln, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM l),
+q AS (SELECT k, i, coalesce(g, 0) AS g, ln - CASE WHEN gap THEN 1 ELSE 0 END AS ln FROM p)
+SELECT 'o' || k || '.py' AS file_path, min(ln)::INT AS start_line, max(ln)::INT AS end_line FROM q GROUP BY k, g""")
 def logical_groups(spark, d):
-    from pyspark.sql import Window
-
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("n", "line"))
-    w = Window.partitionBy("doc_id").orderBy("n")
-    marked = lines.withColumn("group_no", F.sum(F.when(F.length("line") < 20, 1).otherwise(0)).over(w))
-    return marked.where(F.length("line") >= 20).groupBy("doc_id", "group_no").agg((F.min("n") + 1).alias("first_line"), (F.max("n") + 1).alias("last_line"))
+    """The chunker on one large function per order: a statement per line item, a blank line after each of over 25 pieces.
+    The budget holds just one group."""
+    i = F.col("l_linenumber")
+    line = F.concat(F.lit("    x"), i, F.lit(" = call"), i, F.lit("(a, b, c, d)"), F.when(F.col("l_quantity") > 25, "\n").otherwise(""))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("t")))), lambda x: x["t"]), "\n")
+    items = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    files = items.groupBy("l_orderkey").agg(body.alias("body"))
+    named = files.select(F.concat(F.lit("o"), "l_orderkey", F.lit(".py")).alias("file_path"), F.concat(F.lit("def order(a, b, c, d, " + ", ".join(f"e{k}" for k in range(40)) + "):\n"), "body").alias("source"))
+    return parse.chunks(named, max_tokens=87).select("file_path", "start_line", "end_line")
 
 
 @query("import_groups", """
@@ -412,6 +573,40 @@ def citations_validate(spark, d):
     return _validated(spark, d).select("doc_id", "ord", "valid", "reason")
 
 
+@query("citations_overflow", """
+SELECT doc_id, (doc_id % 2)::INT AS ord, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 3 END::BIGINT AS start_line, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE NULL END::BIGINT AS end_line, false AS valid, 'line number out of range' AS reason FROM documents""")
+def citations_overflow(spark, d):
+    """Line numbers of twenty digits, as a model may write them: the citation is not valid, the query goes on."""
+    long_ = F.lit("9" * 20)
+    first = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[a.py:"), long_, F.lit("-3]"))).otherwise(F.concat(F.lit("[a.py:1-2] [a.py:3-"), long_, F.lit("]")))
+    found = context.citations(read(spark, d, "documents").select("doc_id", first.alias("answer")), "doc_id").where("reason <> ''")
+    ranges = spark.createDataFrame([("a.py", 1, 9)], "file_path string, lo long, hi long")
+    return context.validated(found, ranges, "doc_id").select("doc_id", "ord", "start_line", "end_line", "valid", "reason")
+
+
+@query("citations_in_text", """
+WITH c AS (SELECT doc_id, source, doc_id % 5 + 1 AS a, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n FROM documents WHERE text <> ''), m AS (SELECT source, max(n) AS n FROM c GROUP BY source)
+SELECT doc_id, c.a <= m.n AS valid FROM c JOIN m USING (source)""")
+def citations_in_text(spark, d):
+    """Citations against numbered context texts instead of chunks: headers and numbers of lines are read back."""
+    texts = _whole_chunks(spark, d).where("text <> ''").select(F.regexp_replace(context.formatted(), r"^### (.*):1-\d+", "### $1:1-1").alias("text"))
+    line = F.col("doc_id") % 5 + 1
+    answers = read(spark, d, "documents").where("text <> ''").select("doc_id", F.concat(F.lit("["), "source", F.lit(":"), line, F.lit("-"), line, F.lit("]")).alias("answer"))
+    none = spark.createDataFrame([], "file_path string, start_line int, end_line int")
+    return context.validated(context.citations(answers, "doc_id"), context.available_ranges(none, texts), "doc_id").select("doc_id", "valid")
+
+
+@query("linked_ranges", """
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN source END AS file_path, CASE doc_id % 3 WHEN 0 THEN least(doc_id, n_chars) WHEN 1 THEN doc_id END AS first_line, CASE doc_id % 3 WHEN 0 THEN greatest(doc_id, n_chars) WHEN 1 THEN doc_id END AS last_line,
+  coalesce(CASE doc_id % 3 WHEN 0 THEN 100 BETWEEN least(doc_id, n_chars) AND greatest(doc_id, n_chars) WHEN 1 THEN doc_id = 100 END, false) AS highlighted FROM documents""")
+def linked_ranges(spark, d):
+    """Links to a range (either way round), to one line, and to none; whether line 100 is lit."""
+    k, text = F.col("doc_id") % 3, F.concat("source", F.lit(":"), "doc_id")
+    links = read(spark, d, "documents").select("doc_id", F.when(k == 0, F.concat(text, F.lit("-"), "n_chars")).when(k == 1, text).otherwise(F.lit("no link")).alias("link"))
+    found = context.linked_ranges(links, "link")
+    return found.select("doc_id", "file_path", "first_line", "last_line", context.is_highlighted(F.lit(100), F.col("first_line"), F.col("last_line")).alias("highlighted"))
+
+
 @query("citations_coverage", f"WITH {_VALIDATED} SELECT round(avg((reason = 'valid')::INT), 6) AS coverage FROM v")
 def citations_coverage(spark, d):
     return context.coverage(_validated(spark, d)).select(F.round("coverage", 6).alias("coverage"))
@@ -420,7 +615,7 @@ def citations_coverage(spark, d):
 @query("prompt_budget")
 def prompt_budget(spark, d):
     """The prompt of a question over the context of its best documents."""
-    best = bm25.search(read(spark, d, "documents").select("doc_id", "text"), QUERY, "doc_id", top_k=20)
+    best = documents_index(spark, d).search(QUERY, top_k=20)
     chunks = _whole_chunks(spark, d).drop("score", "source").join(best.select(F.col("doc_id").cast("string").alias("id"), "score"), "id")
     text = context.assembled(chunks, 4000)[1].first().text
     p = prompts.build_prompt("What is the data about?", text, "exploratory", 500)
@@ -463,19 +658,62 @@ def route_subqueries(spark, d):
     return questions.routed(rows, "text", "kind").select("conv_id", "turn", "strategy")
 
 
-@query("topo_levels", "SELECT * FROM (VALUES ('q1', 0), ('q2', 1), ('q3', 2), ('q4', 0), ('q5', 3)) t(id, level)")
+@query("topo_levels", """
+WITH n AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)
+SELECT id::VARCHAR AS id, CASE WHEN k < 600 THEN k ELSE k // 600 END::INT AS level FROM n""")
 def topo_levels(spark, d):
-    nodes = spark.createDataFrame([(f"q{i}",) for i in range(1, 6)], "id string")
-    edges = spark.createDataFrame([("q1", "q2"), ("q2", "q3"), ("q1", "q3"), ("q4", "q5"), ("q3", "q5")], "source string, target string")
-    return questions.topological_levels(nodes, edges)
+    """A chain of the first 600 orders; each later one depends on the one 600 before it (the first ones on the first)."""
+    ranked = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("k"))
+    before = F.when(F.col("k") < 600, F.col("k") - 1).when(F.col("k") < 1200, F.lit(0)).otherwise(F.col("k") - 600)
+    edges = ranked.select(before.alias("b"), F.col("id").alias("target")).join(ranked.select(F.col("k").alias("b"), F.col("id").alias("source")), "b").select("source", "target")
+    return questions.topological_levels(ranked.select("id"), edges)
+
+
+@query("execute_plan", """
+SELECT 'q1' AS sub_query, r_name AS id FROM region UNION ALL SELECT 'q2', n_name FROM nation WHERE n_regionkey < 2
+UNION ALL SELECT 'q3', r_name FROM region UNION ALL SELECT 'q3', s_name FROM supplier UNION ALL SELECT 'q3', n_name FROM nation WHERE n_regionkey < 2""")
+def execute_plan(spark, d):
+    """A multi-hop question: its sub-queries in order, each with what it depends on; hybrid is all executors together."""
+    regions = read(spark, d, "region").select(F.col("r_name").alias("id"), F.col("r_regionkey").alias("k"))
+
+    def near(step, needed, earlier):
+        known = (needed.get("q1") or regions).where("k < 2")
+        return read(spark, d, "nation").join(known, F.col("n_regionkey") == F.col("k")).select(F.col("n_name").alias("id"), F.lit(9).alias("k"))
+
+    executors = {"bm25": lambda *_: regions, "graph": near, "vector": lambda *_: read(spark, d, "supplier").select(F.col("s_name").alias("id"), F.lit(9).alias("k"))}
+    steps = (questions.SubQuery("q2", "what lies near", "path", ("q1",)), questions.SubQuery("q1", "the symbol of it", "symbol"), questions.SubQuery("q3", "all that supports it", "evidence", ("q1", "q2")))
+    found = questions.execute(spark, questions.Plan("what is it", "multi-hop", 0.9, steps), executors)
+    rows = None
+    for name, part in found.items():
+        part = part.select(F.lit(name).alias("sub_query"), "id")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("ask_question", """
+SELECT 'exploratory' AS query_type, 1::BIGINT AS citations, 1.0::DOUBLE AS coverage, true AS used_model, NULL::VARCHAR AS error FROM region LIMIT 1""")
+def ask_question(spark, d):
+    """A question from start to end over the documents, with a model that cites the first chunk of its context."""
+    chunks = _whole_chunks(spark, d).drop("score", "ord")
+    found = ask.retrieved(spark, QUERY, chunks, documents_index(spark, d), top_k=10)
+    said = ask.ask(spark, "Explain the license of retention data", found, lambda prompt: "It says so " + "".join(f"[{x[4:]}]" for x in prompt.splitlines() if x.startswith("### "))[:400].split("]")[0] + "].")
+    counted = said.citations.agg(F.count(F.lit(1)).alias("citations"))
+    return counted.select(F.lit(said.query_type).alias("query_type"), "citations", F.lit(said.coverage).alias("coverage"), F.lit(said.used_model).alias("used_model"), F.lit(said.error).cast("string").alias("error"))
 
 
 # -- service --------------------------------------------------------------------------------------------------------
 
 
-@query("rate_limit")
+@query("rate_limit", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, CASE WHEN event_id % 97 <> 0 THEN epoch_us(ts)::DOUBLE / 1e6 END AS t FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e WHERE t IS NOT NULL),
+r AS (SELECT event_id, user_id, t, n, true AS allowed, [t] AS held FROM o WHERE n = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.t, o.n, len(list_filter(r.held, lambda x: x > o.t - 21600)) < 2, CASE WHEN len(list_filter(r.held, lambda x: x > o.t - 21600)) < 2 THEN list_append(list_filter(r.held, lambda x: x > o.t - 21600), o.t) ELSE r.held END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT event_id, user_id, t, allowed FROM r UNION ALL SELECT event_id, user_id, t, false FROM e WHERE t IS NULL""")
 def rate_limit(spark, d):
-    events = read(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).withColumn("t", F.col("us") / 1e6).drop("us")
+    """Two requests per six hours; events without a time are denied and do not count."""
+    events = read(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).withColumn("t", F.when(F.col("event_id") % 97 != 0, F.col("us") / 1e6)).drop("us")
     return service.rate_limited(events, "user_id", "t", "event_id", limit=2, window=21600.0)
 
 
@@ -484,6 +722,55 @@ def job_latest_state(spark, d):
     return service.latest_state(read(spark, d, "events"), "user_id", "event_type", "ts", "event_id").select("user_id", "status", "changes")
 
 
+@query("request_keys", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'ip:h' || (event_id % 10) ELSE 'user:' || user_id END AS key, CASE WHEN event_id % 3 = 0 THEN 'r' || event_id END AS request_id, 200 + (event_id % 5)::INT AS status FROM events")
+def request_keys(spark, d):
+    """The key of the rate limit, and the log record of each request; a request without an id gets one (not shown)."""
+    e = F.col("event_id")
+    rows = read(spark, d, "events").select("event_id", F.when(e % 4 != 0, F.col("user_id")).alias("user_id"), F.concat(F.lit("h"), e % 10).alias("host"), F.when(e % 3 == 0, F.concat(F.lit("r"), e)).alias("request_id"), F.lit("GET").alias("method"), e.cast("string").alias("path"), (200 + e % 5).cast("int").alias("status"), F.lit(1.5).alias("duration_ms"))
+    told = service.request_log(rows).select(F.from_json("record", "event string, request_id string, method string, path string, status int, duration_ms double").alias("r")).select("r.*")
+    keyed = rows.select("event_id", service.limit_key().alias("key"), F.col("request_id").isNull().alias("made"))
+    both = told.join(keyed, F.col("path") == F.col("event_id").cast("string")).where("event = 'request' and request_id is not null and method = 'GET' and duration_ms = 1.5")
+    return both.select("event_id", "key", F.when(~F.col("made"), F.col("request_id")).alias("request_id"), "status")
+
+
+@query("user_logins", """
+WITH u AS (SELECT 'u' || c_custkey AS id, c_name || '@x' AS email, 'p' || (c_custkey % 2) AS provider, 'k' || c_custkey AS pid, c_name AS name FROM customer),
+l AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'new-' || c_name || '@x' ELSE c_name || '@x' END AS email, 'p' || (c_custkey % 2) AS provider, CASE WHEN c_custkey % 3 = 1 THEN 'other' || c_custkey ELSE 'k' || c_custkey END AS pid, 'N' || c_name AS name FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT 'first' || c_custkey || '@y', 'p0', 'z' || c_custkey, 'First' FROM customer WHERE c_custkey % 4 = 1),
+m AS (SELECT coalesce(a.id, b.id, l.email) AS id, l.email, l.provider, l.pid AS provider_user_id, l.name FROM l LEFT JOIN u a ON a.provider = l.provider AND a.pid = l.pid LEFT JOIN u b ON b.email = l.email)
+SELECT * FROM m UNION ALL SELECT id, email, provider, pid, name FROM u WHERE id NOT IN (SELECT id FROM m)""")
+def user_logins(spark, d):
+    """Accounts after logins: known by provider and id, else by mail, else new."""
+    c, k = read(spark, d, "customer"), F.col("c_custkey")
+    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    users = c.select(text("u", k).alias("id"), text(F.col("c_name"), "@x").alias("email"), text("p", k % 2).alias("provider"), text("k", k).alias("provider_user_id"), F.col("c_name").alias("name"))
+    back = c.where(k % 4 == 0).select(F.when(k % 3 == 0, text("new-", F.col("c_name"), "@x")).otherwise(text(F.col("c_name"), "@x")).alias("email"), text("p", k % 2).alias("provider"), F.when(k % 3 == 1, text("other", k)).otherwise(text("k", k)).alias("provider_user_id"), text("N", F.col("c_name")).alias("name"))
+    new = c.where(k % 4 == 1).select(text("first", k, "@y").alias("email"), F.lit("p0").alias("provider"), text("z", k).alias("provider_user_id"), F.lit("First").alias("name"))
+    return service.merged_users(users, back.unionByName(new)).select("id", "email", "provider", "provider_user_id", "name")
+
+
+@query("repository_list", "SELECT 'r' || o_orderkey AS id, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderdate, 'r' || o_orderkey) AS place FROM orders QUALIFY place <= 50")
+def repository_list(spark, d):
+    rows = read(spark, d, "orders").select(F.concat(F.lit("r"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    first = service.listed_repositories(rows).limit(50)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("created_at", "id")))  # fifty rows
+
+
+@query("table_violations", "SELECT 'unique' AS rule, c_mktsegment || ' b' || (c_custkey % 50) AS key, count(*) AS n FROM customer GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'repository_id -> repositories', 'r' || o_custkey, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0) GROUP BY 2")
+def table_violations(spark, d):
+    """Uniqueness of (url, branch), and jobs of repositories that do not exist."""
+    repositories = read(spark, d, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("url"), F.concat(F.lit("b"), F.col("c_custkey") % 50).alias("branch"), "c_custkey")
+    jobs = read(spark, d, "orders").select(F.concat(F.lit("r"), "o_custkey").alias("repository_id"))
+    twice = schemas.violations("repositories", repositories)
+    return twice.unionByName(schemas.violations("ingestion_jobs", jobs, {"repositories": repositories.where("c_custkey % 9 <> 0")}))
+
+
+@query("request_faults", "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 'empty query' WHEN turn < 1 THEN 'line below 1' END AS fault FROM conversations")
+def request_faults(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn").cast("string")).otherwise(F.lit("")).alias("query"), F.col("turn").alias("start_line"), (F.col("turn") + 1).alias("end_line"))
+    return service.request_faults(rows).select("conv_id", "turn", "fault")
+
+
 _PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
 
 

@@ -5,6 +5,7 @@ import time
 import pytest
 
 from lodestone.operators import parse, symbols
+from lodestone.operators.index import InvertedIndex
 from lodestone.sources import repository
 from lodestone.streaming import operators as streaming
 
@@ -129,10 +130,48 @@ def test_streaming_rate_limit_and_index(spark, tmp_path):
     assert [r.allowed for r in spark.table("limited").orderBy("t").collect()] == [True, True, False, True]
 
     schema, feed, table = "id string, text string, seq long, deleted boolean", str(tmp_path / "feed"), str(tmp_path / "table")
-    for batch in ([("a", "one", 1, False), ("b", "two", 1, False)], [("a", "new", 2, False), ("b", "", 2, True)]):
+    index = InvertedIndex(spark, table, "id")
+    batches = [("a", "one", 1, False), ("b", "two", 1, False), ("a", "zero", 0, False)], [("a", "new", 3, False), ("b", "", 2, True)], [("a", "late", 2, False), ("b", "late", 1, False)]
+    for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(feed)
-        stream = streaming.maintain_index(spark.readStream.schema(schema).parquet(feed), table, "id", "seq", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        stream = streaming.maintain_index(spark.readStream.schema(schema).parquet(feed), index, "seq", str(tmp_path / "c2")).trigger(availableNow=True).start()
         stream.awaitTermination(60)
         time.sleep(0.1)
-    got = streaming.current_index(spark, table, spark.createDataFrame([], schema).schema).collect()
-    assert [(r.id, r.text) for r in got] == [("a", "new")]
+    found = lambda: ([(r.id, r.length) for r in index.documents().collect()], [(r.term, r.df) for r in index.term_frequencies().collect()], [r.id for r in index.search("new late two").collect()])
+    assert found() == ([("a", 1)], [("new", 1)], ["a"])
+    index.apply(spark.createDataFrame(batches[1], schema), "seq", segment=1)  # a repeated batch
+    assert found() == ([("a", 1)], [("new", 1)], ["a"])
+    index.compact()
+    assert found() == ([("a", 1)], [("new", 1)], ["a"])
+    index.apply(spark.createDataFrame([("b", "late", 1, False)], schema), "seq")  # the deletion is still known
+    assert found() == ([("a", 1)], [("new", 1)], ["a"])
+
+
+def test_an_index_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(300)], "id long, text string")
+    index = InvertedIndex(spark, str(tmp_path / "index"), "id").build(docs)
+    assert [r.id for r in index.search("word7").collect()] == [7] and index.search("  ").count() == 0
+    plan = index._postings(["word7"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,word7)" in plan
+
+
+def test_recovery_inside_a_broken_class():
+    source = "class A(B):\n    def good(self):\n        return one(1)\n\n    def broken(self:\n        return 1\n\n    @property\n    def after(self):\n        return two()\n\n\ndef tail(x\n    pass\n\n\ndef last():\n    return 3\n"
+    rows = [(r["name"], r["start_line"], r["end_line"], r["decorators"]) for r in parse.symbols_of(source)]
+    assert rows == [("A", 1, 10, []), ("A.good", 2, 3, []), ("A.after", 9, 10, ["@property"]), ("last", 17, 18, [])]
+    assert [c["expression"] for c in parse.calls_of(source)] == ["one", "two"] and parse.parse(source)[1]
+
+
+def test_clone_keeps_its_files(spark, tmp_path):
+    import subprocess
+
+    origin = tmp_path / "origin"
+    (origin / "pkg").mkdir(parents=True)
+    (origin / "pkg" / "a.py").write_text("x = 1\n")
+    for command in (["init", "-q"], ["add", "."], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "first"]):
+        subprocess.run(["git", *command], cwd=origin, check=True)
+    folder, files_ = repository.clone_and_discover(str(origin), into=str(tmp_path / "shared"))
+    assert files_ == [("pkg/a.py", "python", 6)]
+    assert [r.source for r in repository.read_repository(spark, folder).collect()] == ["x = 1\n"]
+    with pytest.raises(repository.RepositoryError):
+        repository.clone_and_discover(str(tmp_path / "none"))

@@ -3,14 +3,16 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import queries
 from lodestone.functions import text as T
 from lodestone.functions.vectors import cosine, cosine_to, l2_normalized
-from lodestone.operators import bm25, context, embed, search, service, store, traverse
-from lodestone.plans import prompts, questions
+from lodestone.operators import bm25, context, embed, nearest, search, service, store, traverse
+from lodestone.plans import ask, models, prompts, questions
+from lodestone.settings import Settings
 
 
 def column(df, name):
@@ -196,9 +198,105 @@ def test_store(graph, spark):
     assert s.query("MATCH (n {id: $id}) RETURN n", id="new").count() == 1
     with pytest.raises(NotImplementedError):
         s.query("MATCH (n) DELETE n")
-    s.put_nodes(spark.createDataFrame([("bad", "Thing", None)], "id string, label string, name string"))
     with pytest.raises(Exception, match="unknown label"):
-        s.nodes.collect()
+        s.put_nodes(spark.createDataFrame([("bad", "Thing", None)], "id string, label string, name string"))
+    s.put_nodes(spark.createDataFrame([("two", "Class", "a"), ("two", "Function", None), ("run", None, "run2")], "id string, label string, name string").na.fill({"label": "Class"}))
+    assert s.node("two").first().asDict() == {"id": "two", "label": "Function", "name": "a"}
+    s.clear()
+    assert s.nodes.count() == s.edges.count() == 0
+
+
+def test_upsert_reduces_a_batch_to_one_row_per_key(spark):
+    schema = "id string, a string, b string"
+    old = spark.createDataFrame([("x", "1", "1"), ("y", "1", "1")], schema)
+    new = spark.createDataFrame([("x", "2", None), ("x", None, "3"), ("z", "4", None), ("z", "5", None)], schema)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(store.upsert(old, new, ["id"], merge=True)) == [("x", "2", "3"), ("y", "1", "1"), ("z", "5", None)]
+    assert [(i, a) for i, a, _ in rows(store.upsert(old, new, ["id"]))] == [("x", None), ("y", "1"), ("z", "5")]
+    ordered = new.withColumn("at", F.when(F.col("a").isin("2", "4"), 9).otherwise(1))
+    assert rows(store.upsert(old, ordered, ["id"], order=["at"])) == [("x", "2", None), ("y", "1", "1"), ("z", "4", None)]
+
+
+def test_nearest_exact_and_by_cells(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)]
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [1.0]), (5003, [float(v) for v in x[7]])], "id long, v array<double>").repartition(6)
+    queries_ = rows.where("id % 100 = 0 and id < 5000").select(F.col("id").alias("query_id"), "v")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 3000, 100):
+        s = {**{i: round(float(v), 9) for i, v in enumerate(unit @ unit[q])}, 5003: round(float(unit[7] @ unit[q]), 9)}
+        want[q] = sorted(s, key=lambda i: (-s[i], i))[:5]
+    exact = nearest.topk_of_queries(rows, queries_, "id", "v", 5)
+    got = {}
+    for r in exact.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == want
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 600)
+    assert sorted(map(tuple, nearest.topk_of_queries(rows, queries_, "id", "v", 5).collect())) == sorted(map(tuple, exact.collect()))
+    index = nearest.CellIndex(spark, str(tmp_path / "cells"), "id", "v").build(rows, cells=24)
+    assert spark.read.parquet(f"{index.folder}/rows").count() == 3003
+    assert nearest.recall(index.search(queries_, 5, probes=6), exact, "query_id", "id") >= 0.9
+    assert nearest.recall(index.search(queries_, 5, probes=24), exact, "query_id", "id") == 1.0
+    assert nearest.topk_of_queries(rows.limit(0), queries_, "id", "v").count() == 0 and nearest.topk_of_queries(rows, queries_.limit(0), "id", "v").count() == 0
+
+
+def test_recall_of_the_cell_index_on_the_driver_tables(spark):
+    d = "/root/testdata/sf0.1"
+    exact = queries.QUERIES["vector_topk_queries"](spark, d)
+    assert nearest.recall(queries.QUERIES["vector_cell_index"](spark, d), exact, "query_id", "vec_id") >= 0.9
+
+
+def test_models_over_http():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = {"choices": [{"message": {"content": "yes"}}]} if self.path == "/a" else {"content": [{"text": "one"}, {"other": 1}, {"text": "two"}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert models.choices_model(f"{base}/a", "m", "k")("hello") == "yes"
+    assert models.parts_model(f"{base}/b", "m", "k", "v")("hello") == "one\ntwo"
+    server.shutdown()
+    assert all(body["temperature"] == 0 and body["messages"][-1]["content"] == "hello" for _, body in asked)
+
+
+def test_settings(monkeypatch):
+    assert Settings().path_prefix == "/api/v1" and Settings(path_prefix="/").path_prefix == "/"
+    for wrong in ({"environment": "x"}, {"log_level": "loud"}, {"rate_limit_per_minute": 0}, {"path_prefix": "v1"}, {"model_url": "ftp://x"}, {"environment": "production"}):
+        with pytest.raises(ValueError):
+            Settings(**wrong)
+    monkeypatch.setenv("lodestone_rate_limit_per_minute", "5")
+    assert Settings.from_environment().rate_limit_per_minute == 5
+    assert Settings(environment="production", model_key="real").environment == "production"
+
+
+def test_health_and_errors():
+    assert service.health("test", {"spark": True, "model": False})["status"] == "degraded"
+    assert service.error_envelope("http_error", "no", "r1") == {"error": {"code": "http_error", "message": "no", "request_id": "r1"}}
+    assert service.error_envelope("x", "y", details=[1])["error"]["details"] == [1]
+
+
+def test_a_question_without_a_model(spark):
+    chunks = spark.createDataFrame([("a", "a.py", 1, 2, "one\ntwo", 1.0)], "id string, file_path string, start_line int, end_line int, text string, score double")
+    said = ask.ask(spark, "explain it", chunks)
+    assert (said.answer, said.context_chunks, said.used_model, said.query_type) == (ask.NO_MODEL, 1, False, "exploratory")
+    assert ask.ask(spark, "explain it", chunks, lambda p: 1 / 0).error.startswith("ZeroDivisionError")
+    with pytest.raises(ValueError):
+        ask.ask(spark, " ", chunks)
 
 
 # -- context and citations ------------------------------------------------------------------------------------------
