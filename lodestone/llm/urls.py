@@ -8,7 +8,8 @@ that no rule fits.
 Suffix statistics say how often urls that share a part of the url are blocked: the last one, two or three labels of the
 host, the first directory of the path, and the suffix of its last name.  They are counted over all labelled urls of
 *other* hosts (cross-fitted: a host never speaks for itself, as it cannot for an unlisted host), and drawn to the share
-of all labelled urls by WEIGHT imagined urls, so a part that is new says nothing.
+of all labelled urls by WEIGHT imagined urls, so a part that is new says nothing.  Rules label whole suffixes, and the
+trees must judge suffixes that no rule names; so each labelled url is also learned from as if its host's parts were new.
 
 Nulls and ties: a null url, or one without ``://``, has host and path '' and fits no rule; the trees judge it.  Repeated
 rows get equal verdicts; an empty table gives an empty result; very long urls are read whole.
@@ -97,8 +98,8 @@ def url_parts() -> list[Column]:
     return [*(F.substring_index("host", ".", -k).alias(f"host{k}") for k in (1, 2, 3)), F.regexp_extract("path", "^/([^/]+)/", 1).alias("dir"), F.lower(F.regexp_extract(last, r"\.([^.]+)$", 1)).alias("ext")]
 
 
-def suffix_statistics(base: DataFrame) -> DataFrame:
-    """Per (host, dir, ext) of the urls: how many there are (``seen``), and per part its blocked share and the number
+def suffix_statistics(base: DataFrame) -> tuple[DataFrame, float]:
+    """The blocked share of all labelled urls; and per (host, dir, ext) of the urls: how many there are (``seen``), and per part its blocked share and the number
     (log) of labelled urls of other hosts that have the part.
 
     Urls are counted by (host, dir, ext) first, so the parts' totals are sums over a table of hosts, and a part that a
@@ -128,7 +129,7 @@ def suffix_statistics(base: DataFrame) -> DataFrame:
     for keys, table in tables:
         of = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         out = joined_evenly(out, materialize(table.join(of, keys), "url-statistics"), keys, "_n")
-    return materialize(out, "url-statistics")
+    return materialize(out, "url-statistics"), common
 
 
 # -- trees ----------------------------------------------------------------------------------------------------------
@@ -202,22 +203,40 @@ def auc(p: np.ndarray, y: np.ndarray) -> float:
     return float((rank[at][y > 0].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones)))
 
 
-def held_out_auc(x: np.ndarray, y: np.ndarray, hosts: np.ndarray) -> float:
-    """AUC of trees on the urls of hosts that they have not seen: each of FOLDS parts of the hosts is held out once."""
+def unseen(x: np.ndarray, share: float) -> np.ndarray:
+    """The features as they were if the parts of the host were new."""
+    out = x.copy()
+    for p in PARTS[:3]:
+        out[:, FEATURES.index(f"{p}_blocked")], out[:, FEATURES.index(f"{p}_labelled")] = share, 0
+    return out
+
+
+def url_model(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, list]:
+    """Trees from labelled urls, each also as a url of new host parts."""
+    return fit_trees(np.concatenate([x, unseen(x, share)]), np.concatenate([y, y]))
+
+
+def held_out_auc(x: np.ndarray, y: np.ndarray, hosts: np.ndarray, share: float) -> tuple[float, float]:
+    """AUC on the urls of hosts that the trees have not seen, and the same if those hosts' parts were new too.  Each of FOLDS
+    parts of the hosts is held out once."""
     fold = np.array([zlib.crc32(h.encode()) % FOLDS for h in hosts])
-    p = np.zeros(len(y))
+    known, new = np.zeros(len(y)), np.zeros(len(y))
     for k in range(FOLDS):
-        p[fold == k] = tree_scores(fit_trees(x[fold != k], y[fold != k]), x[fold == k])
-    return auc(p, y)
+        own = fold == k
+        model = url_model(x[~own], y[~own], share)
+        known[own], new[own] = tree_scores(model, x[own]), tree_scores(model, unseen(x[own], share))
+    return auc(known, y), auc(new, y)
 
 
-def labelled_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """The urls with all features' columns; and of the sample that trains the trees: features, labels (1: block), hosts."""
+def labelled_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, float]:
+    """The urls with all features' columns; of the sample that trains the trees: features, labels (1: block) and hosts; and
+    the blocked share of all labelled urls."""
     host, path = host_and_path("url")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(rules)
     base = base.select("*", rule.alias("rule"), verdict.alias("ruled"), *url_parts())
-    rows = joined_evenly(base.drop("host1", "host2", "host3"), suffix_statistics(base), ["host", "dir", "ext"], "seen")
+    statistics, share = suffix_statistics(base)
+    rows = joined_evenly(base.drop("host1", "host2", "host3"), statistics, ["host", "dir", "ext"], "seen")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,14 +246,14 @@ def labelled_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES,
         drawn = [rows.where(F.col("ruled") == v).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).mapInArrow(featured, "host string, x array<double>").toArrow() for v in ("allow", "block")]
     x = [np.array(t.column("x").to_pylist(), float).reshape(-1, len(FEATURES)) for t in drawn]
     hosts = np.array([h for t in drawn for h in t.column("host").to_pylist()], object)
-    return rows, np.concatenate(x), np.repeat([0.0, 1.0], [len(v) for v in x]), hosts
+    return rows, np.concatenate(x), np.repeat([0.0, 1.0], [len(v) for v in x]), hosts, share
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, host, path, rule, verdict and blocked (the trees' probability, null where a rule decides)."""
     importable(pages.sparkSession)
-    rows, x, y, _ = labelled_urls(pages, rules, sample)
-    model = fit_trees(x, y) if 0 < y.sum() < len(y) else None
+    rows, x, y, _, share = labelled_urls(pages, rules, sample)
+    model = url_model(x, y, share) if 0 < y.sum() < len(y) else None
     constant = float(2 * y.sum() > len(y))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
