@@ -30,6 +30,8 @@ from lodestone.storage import importable
 SAMPLE = 4000
 #: Languages that are learned, the commonest first.
 LANGUAGES = 100
+#: Documents of a lower score have no known language.
+LEAST_SCORE = 0.4
 BUCKETS = 1 << 12
 UNKNOWN = "und"
 #: Families of the language codes that corpora commonly carry; any other code is a family of its own.
@@ -254,7 +256,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def known_language(docs: DataFrame) -> DataFrame:
-    """The documents (their own columns) whose language is known; ``und`` ones go."""
+def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents (their own columns) whose language is known: ``und`` ones go, and those where neither the family nor
+    the language wins clearly (a score below ``least_score``; two even contests score 0.25).  Where there is nothing to
+    learn from, all are ``und`` and go."""
     rows, names = sealed(docs, "doc_id", "text", "lang")
-    return identify(rows, train(rows)).where(F.col("lang_pred") != UNKNOWN).select(*names)
+    return identify(rows, train(rows)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*names)
