@@ -154,6 +154,37 @@ def test_tokens_match_the_library(spark):
         start += len(ids)
 
 
+def test_encoders_know_what_splits_words():
+    import public_tokenizers
+
+    assert tokens.WordEncoder(tokens.default_tokenizer()).by_word and not tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
+    split = {"type": "Split", "pattern": {"Regex": "[\\p{L}]+|[^\\s\\p{L}]+"}, "behavior": "Removed", "invert": True}
+    assert tokens.splits_words({"normalizer": None, "pre_tokenizer": split}) and tokens.splits_words({"pre_tokenizer": {"type": "WhitespaceSplit"}})
+    assert not tokens.splits_words({"pre_tokenizer": split | {"pattern": {"Regex": "[\\p{L}]+|\\s+"}}}) and not tokens.splits_words({"pre_tokenizer": None})
+    assert not tokens.splits_words({"normalizer": {"type": "Prepend", "prepend": "_"}, "pre_tokenizer": split})
+
+
+def test_shards_are_read_in_runs():
+    import io
+
+    rng, stream = np.random.default_rng(0), io.BytesIO()
+    writer = tokens.ShardWriter(stream)
+    docs = [rng.integers(0, 50_000, int(n)).astype(np.uint32) for n in rng.integers(0, 5000, 300)] + [np.zeros(0, np.uint32)]
+    for i, d in enumerate(docs):
+        writer.add(i if i else None, d)
+    writer.close()
+    raw, most = stream.getvalue(), []
+
+    def read(n, at):
+        most.append(n)
+        return raw[at : at + n]
+
+    shard = tokens.Shard(read, len(raw))
+    got = [x for _, ids in shard.documents(20_000) for x in ids]
+    assert len(got) == len(docs) and all((a == b).all() for a, b in zip(got, docs)) and shard.null[0] == 1
+    assert max(most) < len(raw) / 10
+
+
 def test_tokens_odd_rows(spark):
     _, manifest = tokens.write_shards(odd(spark, documents(spark)), tokens.default_tokenizer())
     rows = tokens.read_shards(manifest, with_ids=True).orderBy("start").collect()
@@ -183,6 +214,28 @@ def test_url_rules(spark):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
+def test_trees_judge_unlisted_sites(spark):
+    """Labels of whole hosts held out: what they teach carries over to new hosts and to new suffixes, with no one verdict."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    _, x, y, hosts, share = urls.labelled_urls(pages)
+    known, new = urls.held_out_auc(x, y, hosts, share)
+    assert known > 0.95 and new > 0.75
+    judged = urls.judged(pages).where("rule is null").agg(F.avg((F.col("verdict") == "block").cast("int"))).first()[0]
+    assert 0.1 < judged < 0.9
+
+
+def test_suffix_statistics_leave_the_own_host_out(spark):
+    sites = [("http://a.x.com/en/1", "allow"), ("http://a.x.com/en/2", "allow"), ("http://b.x.com/en/1", "block"), ("http://c.y.org/fr/1.html", None)]
+    pages = spark.createDataFrame([(i, u, "") for i, (u, _) in enumerate(sites)] + [(9, None, ""), (8, "http://" + "z" * 100_000, "")], "page_id long, url string, html string")
+    rows, x, y, hosts, share = urls.labelled_urls(pages.unionByName(pages.limit(1)), (("a.x.com/", "allow"), ("b.x.com/", "block")))
+    assert share == 1 / 4 and sorted(zip(hosts, y)) == [("a.x.com", 0.0)] * 3 + [("b.x.com", 1.0)]
+    at = {h: x[i] for i, h in enumerate(hosts)}
+    blocked, n = urls.FEATURES.index("host1_blocked"), urls.FEATURES.index("host1_labelled")
+    assert np.isclose(at["a.x.com"][blocked], (1 + urls.WEIGHT * share) / (1 + urls.WEIGHT)) and np.isclose(at["a.x.com"][n], np.log1p(1))
+    assert np.isclose(at["b.x.com"][blocked], urls.WEIGHT * share / (3 + urls.WEIGHT)) and np.isclose(at["b.x.com"][urls.FEATURES.index("host3_blocked")], share)
+    assert rows.count() == 7 and urls.auc(np.array([0.1, 0.5, 0.5, 0.9]), np.array([0.0, 0.0, 1.0, 1.0])) == 0.875
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, len(urls.FEATURES)))
@@ -224,6 +277,29 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.taken_words(docs.limit(0)).count() == 0
 
 
+def test_mixed_rows_keep_their_own_columns(spark):
+    """Rows that share doc_id and text but not their source are taken apart; equal rows each take their own words."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text, "en", "a", 1), (1, text, "de", "b", 1), (1, text, "de", "b", 1), (None, text, "fr", None, 1), (2, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mixed = mixing.mixed_documents(docs)
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source, r.lang] += len(WORD.findall(r.text))
+    want = dict(zip(("a", "b", None), mixing.targets([300, 600, 300], [5, 2, 1], 1.5, 2)))
+    assert {k: v for (k, _), v in words.items()} == {k: round(v) for k, v in want.items()} and set(words) == {("a", "en"), ("b", "de"), (None, "fr")}
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mixed_documents(docs.repartition(3)).collect()))
+
+
+def test_shard_counts_share_out_all_slots():
+    slots = np.array([1000, 0, 7, 50_000])
+    parts = [mixing.shard_counts(slots, 9, k, 3) for k in range(9)]
+    assert (sum(n for _, n in parts) == slots).all() and max(n.sum() for _, n in parts) - min(n.sum() for _, n in parts) <= 1
+    for s in range(4):
+        runs = sorted((int(first[s]), int(n[s])) for first, n in parts if n[s])
+        assert all(a + n == b for (a, n), (b, _) in zip(runs, runs[1:])) and (not runs or runs[0][0] == 0)
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     docs = documents(spark)
     taken = {r.doc_id: r.taken for r in mixing.taken_words(docs).collect()}
@@ -427,6 +503,14 @@ def test_language_odd_rows(spark):
     one = docs.withColumn("lang", F.lit("xx"))
     assert {r.lang_pred for r in langid.identify(one).collect()} == {"xx"}
     assert langid.known_language(docs.unionByName(more)).columns == docs.columns
+    clash = docs.withColumns({"score": F.lit("x"), "lang_pred": F.lit(1)})
+    again = langid.identify(clash.unionByName(clash), langid.train(docs)).select("doc_id", "text", "lang_pred", "score").collect()
+    assert len(set(again)) * 2 == len(again) and all(isinstance(r.score, float) for r in again)
+    long = spark.createDataFrame([(1, "the and of it was " * 200_000, None, None, 1)], SCHEMA)
+    assert langid.identify(long, langid.train(docs)).first().lang_pred == "en"
+    assert langid.known_language(docs.unionByName(more), least_score=1.1).count() == 0
+    labels_ = [(i, f"text number {i}", f"l{i % 40:02d}", "s", 1) for i in range(200)]
+    assert langid.train(spark.createDataFrame(labels_, SCHEMA), languages=3).langs == ["l00", "l01", "l02"]
 
 
 # -- 9 --------------------------------------------------------------------------------------------------------------
@@ -589,6 +673,19 @@ def test_pipeline_stages_follow_brute_force(spark):
     assert sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, a very long text and columns whose names clash, from start to end."""
+    folder = str(tmp_path)
+    docs = odd(spark, documents(spark, n=20)).unionByName(odd(spark, spark.createDataFrame([(None, None, None, None, None)], SCHEMA)))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "an item"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    last = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        last = stage(spark, last, folder)
+        assert last.columns == docs.columns and last.count() > 0, name
+    assert corpus_pipeline.run(spark, folder).count() == last.count()
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     folder = str(tmp_path)
     documents(spark).limit(0).write.parquet(f"{folder}/documents.parquet")
