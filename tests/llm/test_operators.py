@@ -509,7 +509,7 @@ def test_language_odd_rows(spark):
     long = spark.createDataFrame([(1, "the and of it was " * 200_000, None, None, 1)], SCHEMA)
     assert langid.identify(long, langid.train(docs)).first().lang_pred == "en"
     assert langid.known_language(docs.unionByName(more), least_score=1.1).count() == 0
-    labels_ = [(i, f"text number {i}", f"l{i % 40:02d}", "s", 1) for i in range(200)]
+    labels_ = [(i, f"text number {i}", f"l{min(i // 50, i % 40):02d}", "s", 1) for i in range(150)] + [(i, "rare", f"x{i}", "s", 1) for i in range(200, 240)]
     assert langid.train(spark.createDataFrame(labels_, SCHEMA), languages=3).langs == ["l00", "l01", "l02"]
 
 
