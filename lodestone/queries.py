@@ -265,6 +265,63 @@ def rerank_overlap(spark, d):
     return found.select("id", F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@query("rerank_scored", "SELECT doc_id::VARCHAR AS id, round(n_chars % 1000 / 1000.0, 6)::DOUBLE AS rrf_score, length(text)::DOUBLE AS rerank_score FROM documents ORDER BY length(text) DESC, doc_id::VARCHAR LIMIT 10")
+def rerank_scored(spark, d):
+    """Reranking by a plugged-in scorer of (query, texts): here the longest texts."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", (F.col("n_chars") % 1000 / 1000.0).alias("score"))
+    found = search.rerank(rows, QUERY, 10, scorer=lambda _, texts: texts.str.len())
+    return found.select("id", F.round("rrf_score", 6).alias("rrf_score"), "rerank_score")
+
+
+@query("hybrid_concatenated", "SELECT 'bm25' AS source, doc_id::VARCHAR AS id, lang FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'vector', vec_id::VARCHAR, NULL FROM embeddings WHERE label = 1")
+def hybrid_concatenated(spark, d):
+    """Lists of different columns one after the other, each row with its source."""
+    sparse = read(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"), "lang")
+    dense = read(spark, d, "embeddings").where("label = 1").select(F.col("vec_id").cast("string").alias("id"))
+    return search.concatenated(bm25=sparse, vector=dense).select("source", "id", "lang")
+
+
+@query("search_payloads", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doc' ELSE 'code' END AS content_type, CASE doc_id % 4 WHEN 0 THEN 'name' WHEN 3 THEN NULL ELSE 'id' || doc_id END AS symbol,
+  CASE WHEN doc_id % 2 = 0 THEN source ELSE 'f' || doc_id END AS file_path, CASE WHEN doc_id % 5 = 0 THEN 'chunk' ELSE text END AS chunk_text FROM documents""")
+def search_payloads(spark, d):
+    """Payloads as results: defaults and fallbacks where a field is null or empty."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    rows = read(spark, d, "documents").select(
+        "doc_id", F.when(i % 3 == 0, "doc").when(i % 3 == 1, "").alias("content_type"), F.when(i % 4 == 0, "name").when(i % 4 == 1, "").alias("symbol"), F.when(i % 4 == 3, none).otherwise(F.concat(F.lit("id"), i)).alias("symbol_id"),
+        F.when(i % 2 == 0, F.col("source")).otherwise("").alias("source_path"), F.concat(F.lit("f"), i).alias("file_path"), F.when(i % 5 == 0, none).otherwise(F.col("text")).alias("text"), F.lit("chunk").alias("chunk_text"),
+    )
+    return search.normalized_results(rows).select("doc_id", "content_type", "symbol", "file_path", "chunk_text")
+
+
+@query("embed_docs", """
+SELECT doc_id, 'hashing-doc:doc:' || sha256(coalesce(lang, '') || chr(10) || 'docstring' || chr(10) || source || chr(10) || text) AS cache_key, 24 AS dim,
+  CASE WHEN doc_id % 10 = 0 THEN 0.0 WHEN regexp_matches(text, '[A-Za-z]+|[0-9]+|[^\\w\\s]') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END AS text FROM documents)""")
+def embed_docs(spark, d):
+    """Documentation embeddings: keys of parent, kind, path and text; blank texts get a zero vector without the model."""
+    text = F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text"))
+    rows = read(spark, d, "documents").select("doc_id", text.alias("text"), F.col("lang").alias("parent_symbol_id"), F.lit("docstring").alias("source_type"), F.col("source").alias("source_path"))
+    found = embed.checked_dimension(embed.embed_docs(rows, dim=24)[0], dim=24)
+    return found.select("doc_id", "cache_key", F.size("vector").alias("dim"), F.round(norm(F.col("vector")), 6).alias("length"))
+
+
+@query("index_rows", "SELECT 'hashing-code:' || sha256(text) AS id, 'code' AS content_type, min(source) AS source_path, count(*) AS n FROM documents WHERE doc_id % 7 = 0 GROUP BY text")
+def index_rows(spark, d):
+    """Embedded texts as rows of an index, with metadata by cache key."""
+    rows = read(spark, d, "documents").where("doc_id % 7 = 0")
+    vectors = embed.embed_code(rows.select("text"), dim=16)[0]
+    paths = rows.select(T.code_cache_key("hashing-code", F.col("text")).alias("cache_key"), "source").groupBy("cache_key").agg(F.min("source").alias("source_path"))
+    return embed.index_documents(vectors, "code", paths).groupBy("id", "content_type", "source_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vector_index_recall", "SELECT count(*) * 20 AS asked, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, d):
+    """Whether the index of cells finds at least 0.9 of what the exact search finds."""
+    exact, found = vector_topk_queries(spark, d), vector_cell_index(spark, d)
+    hit = exact.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
+    return exact.agg(F.count(F.lit(1)).alias("asked")).select("asked", (F.lit(hit) >= 0.9 * F.col("asked")).alias("enough"))
+
+
 # -- graph ----------------------------------------------------------------------------------------------------------
 
 _NODES = """
@@ -789,6 +846,16 @@ def manifest_language(spark, d):
     return read(spark, d, "pages").select("page_id", repository.language_of(url).alias("language"))
 
 
+@query("ignored_paths", """
+SELECT page_id, page_id % 6 IN (1, 2, 4) AS ignored FROM pages""")
+def ignored_paths(spark, d):
+    """Ignored and hidden folders; a file's own name does not count."""
+    i = F.col("page_id")
+    folder = F.when(i % 6 == 0, "src/").when(i % 6 == 1, "src/node_modules/").when(i % 6 == 2, ".hidden/x/").when(i % 6 == 3, "").when(i % 6 == 4, "build/lib/").otherwise("rebuild/vendored/")
+    rows = read(spark, d, "pages").select("page_id", F.concat(folder, F.when(i % 6 == 3, ".env").otherwise("build"), F.lit(".py")).alias("path"))
+    return rows.select("page_id", repository.is_ignored("path").alias("ignored"))
+
+
 # -- source code ----------------------------------------------------------------------------------------------------
 
 #: A small repository: the driver tables hold no source code.
