@@ -11,7 +11,7 @@
 5. Texts are joined with their bitmaps only to apply them.
 
 Nulls and ties: a null or empty text is one empty line, which is kept.  Rows without doc_id are one document behind
-all others.  Rows that share a doc_id are one document when holders are counted; each keeps its own lines.
+all others; the greatest 64-bit doc_id stands for them and is an error where it is given.  Rows that share a doc_id are one document when holders are counted; each keeps its own lines.
 """
 
 from __future__ import annotations
@@ -68,6 +68,8 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
         for b in batches:
             data, offsets = text_bytes(column(b, "text"))
             ids = pc.fill_null(column(b, "doc_id"), _LAST).to_numpy()
+            if (pc.sum(pc.equal(column(b, "doc_id"), _LAST)).as_py() or 0) > 0:
+                raise ValueError(f"doc_id {_LAST} stands for rows without doc_id")
             hashes = column(b, "text_hash").to_numpy()
             for i, j in steps(offsets):
                 text, position, h, g, points = line_keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
