@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import parse, store, symbols, traverse
 from lodestone.queries import query, read
+from lodestone.storage import materialize
 
 MODULES = 25
 
@@ -131,22 +132,27 @@ def code_symbol_lookups(spark, d):
 
 @query("code_call_edges", f"WITH {_CODE}, {_CALLS} SELECT caller, callee, file AS call_site_file, line::INT AS call_site_line, resolved, callee_file, callee_line::INT AS callee_line FROM k")
 def code_call_edges(spark, d):
-    files = repository(spark, d)
-    return symbols.call_edges(parse.symbols(files), parse.calls(files), files).drop("call_text")
+    files, found, calls = _parsed(spark, d)
+    return symbols.call_edges(found, calls, files).drop("call_text")
 
 
 @query("code_dependency_edges", f"""WITH {_CODE}
 SELECT module AS source, unnest(['os', 'sys', 'pkg.m' || xx, 'pkg.m' || yy]) AS target, unnest(['import', 'import', 'from_import', 'from_import']) AS import_type, unnest(['os', 'sys', 'f' || x || ' as alias' || n, 'm' || yy]) AS imported_names, unnest([false, false, true, true]) AS resolved FROM m""")
 def code_dependency_edges(spark, d):
-    files = repository(spark, d)
-    found = symbols.dependency_edges(parse.symbols(files), files)
+    files, rows, _ = _parsed(spark, d)
+    found = symbols.dependency_edges(rows, files)
     return found.select("source", "target", "import_type", F.array_join("imported_names", ",").alias("imported_names"), "resolved")
 
 
+def _parsed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The files and their stored symbols and calls: graphs read them many times, and each file is parsed once."""
+    files = materialize(repository(spark, d), "code-files")
+    return files, materialize(parse.symbols(files), "code-symbols"), materialize(parse.calls(files), "code-calls")
+
+
 def _table_and_edges(spark, d):
-    files = repository(spark, d)
-    found = parse.symbols(files)
-    return symbols.symbol_table(found), symbols.call_edges(found, parse.calls(files), files), symbols.dependency_edges(found, files)
+    files, found, calls = _parsed(spark, d)
+    return symbols.symbol_table(found), symbols.call_edges(found, calls, files), symbols.dependency_edges(found, files)
 
 
 @query("code_graph_nodes", f"""WITH {_CODE}
@@ -187,9 +193,10 @@ def code_graph_traversal(spark, d):
     table, calls, imports = _table_and_edges(spark, d)
     nodes, edges = symbols.graph_of(table)
     kept = ["source_id", "target_id", "type"]
-    graph = store.GraphStore(nodes.limit(0), edges.select(*kept).limit(0))
+    graph = store.GraphStore(spark.createDataFrame([], nodes.schema), spark.createDataFrame([], edges.select(*kept).schema))
     graph.put_nodes(nodes)
-    graph.put_edges(edges.select(*kept).unionByName(symbols.calls_edges(calls, table).select(*kept)).unionByName(symbols.imports_edges(imports).select(*kept)))
+    for part in (edges, symbols.calls_edges(calls, table), symbols.imports_edges(imports)):
+        graph.put_edges(part.select(*kept))
     return traverse.neighbors(graph.nodes, graph.edges, "module:pkg.m03", direction="out", edge_types=["IMPORTS"]).select("id", "distance")
 
 

@@ -354,7 +354,7 @@ def stored_graph(spark, d) -> store.GraphStore:
     """The graph put into a store: nodes twice, the second time with names in lower case for suppliers and no name for parts
     (which keeps the name they have)."""
     nodes, edges = graph(spark, d)
-    held = store.GraphStore(nodes.limit(0), edges.limit(0))
+    held = store.GraphStore(spark.createDataFrame([], nodes.schema), spark.createDataFrame([], edges.schema))
     again = F.when(F.col("id").startswith("part:"), F.lit(None)).when(F.col("id").startswith("supplier:"), F.lower("name")).otherwise(F.col("name"))
     held.put_nodes(nodes.withColumn("at", F.lit(1)).unionByName(nodes.withColumns({"name": again, "at": F.lit(2)})), ["at"])
     held.put_edges(edges)
@@ -405,7 +405,7 @@ def graph_outgoing(spark, d):
 def edge_upsert_last_wins(spark, d):
     nodes, edges = graph(spark, d)
     calls = read(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey").alias("source_id"), F.concat(F.lit("part:"), "l_partkey").alias("target_id"), F.lit("CALLS").alias("type"), F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    held = store.GraphStore(nodes, edges.limit(0))
+    held = store.GraphStore(nodes, spark.createDataFrame([], edges.schema))
     held.put_edges(calls, ["seq"])
     return held.edges.select("source_id", "target_id", "type", "line")
 
