@@ -7,9 +7,8 @@
 3. A source's target becomes slots (one block each).  Output shards draw their source counts from multinomials over the
    slots still owed: all slots are halved between the first and the second half of the shards, these again, and so on,
    so every source ends with exactly its slots, and a task finds its own shard's counts by itself.
-4. Slot j of a source takes block perm(j), a keyed Feistel permutation of its full blocks (one per pass over the
-   source); the short block at the source's end comes last in a pass, and the very last slot takes only the words
-   still missing.  Hence a source's taken words are its target rounded, and no block is taken more often than
+4. Slot j of a source takes block perm(j), a keyed Feistel permutation of its blocks (one per pass over the source), the
+   short one at the source's end among them; the very last slot takes only the words still missing.  Hence a source's taken words are its target rounded, and no block is taken more often than
    ``most_repeats`` times.
 5. Slots and blocks are joined on (source, block).
 
@@ -24,7 +23,8 @@ interchangeable; rows without doc_id come first in their source.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +63,26 @@ def targets(sizes: list[int], weights: list[float], share: float, most_repeats:
     return out
 
 
-def slots_of(size: int, target: float, block: int = BLOCK_WORDS) -> tuple[int, int]:
-    """Slots of a source and the words of its last slot (0: a whole block)."""
+def slots_of(size: int, target: float, block: int, key: Callable[[int], int]) -> tuple[int, int]:
+    """Slots of a source, and the words of its last slot.
+
+    :param key: the permutation's key of each pass: where the short block comes in the last pass tells how many slots that
+        pass needs.
+    """
     words = round(target)
     if not size or not words:
         return 0, 0
     passes, rest = divmod(words, size)
-    whole, part = divmod(rest, block)
-    return passes * -(-size // block) + whole + (part > 0), part
+    per, tail = -(-size // block), size % block or block
+    if not rest:
+        last = int(permute(np.array([per - 1]), per, key(passes - 1))[0])
+        return passes * per, tail if last == per - 1 else block
+    short = int(unpermute(np.array([per - 1]), per, key(passes))[0])
+    n = -(-rest // block)
+    if short < n:  # the short block is among them: what it lacks may need one more
+        n = max(-(-(rest + block - tail) // block), short + 1)
+    before = (n - 1) * block - (block - tail) * (short < n - 1)
+    return passes * per + n, rest - before
 
 
 def drawn_counts(owed: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -113,6 +125,21 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def unpermute(index: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The inverse of ``permute``."""
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    mask, keys = np.uint64((1 << half) - 1), mix(np.arange(4, dtype=np.uint64) + np.uint64(key & (1 << 63) - 1) * np.uint64(4))
+    out = index.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for k in keys[::-1]:
+            left, right = right ^ (mix(left + k) & mask), left
+        out[todo] = left << np.uint64(half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: int = 2, block_words: int = BLOCK_WORDS, seed: int = 7, row_keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The documents' places and the mix.
 
@@ -130,7 +157,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     totals.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in totals]
     owed = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most_repeats)
-    plan = [slots_of(s, t, block_words) for s, t in zip(sizes, owed)]
+    key = lambda s, turn: seed + 1_000_003 * s + turn
+    plan = [slots_of(n, t, block_words, partial(key, s)) for s, (n, t) in enumerate(zip(sizes, owed))]
     slots = np.array([n for n, _ in plan], np.int64)
     shards = max(1, -(-int(slots.sum()) // SHARD_BLOCKS)) if len(slots) else 0
     size_of, last_of = sizes, [p for _, p in plan]
@@ -141,15 +169,12 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
                 for s, first, n in ((int(s), int(begun[s]), int(counts[s])) for s in np.flatnonzero(counts)):
                     for i in range(first, first + n, 1 << 16):
                         j = np.arange(i, min(i + (1 << 16), first + n))
-                        full, tail = divmod(size_of[s], block_words)
-                        per = full + (tail > 0)
-                        turn, k = j // per, j % per
-                        block = np.full(len(j), full)
+                        per, tail = -(-size_of[s] // block_words), size_of[s] % block_words or block_words
+                        turn, block = j // per, np.zeros(len(j), np.int64)
                         for t in np.unique(turn):
-                            at = (turn == t) & (k < full)
-                            block[at] = permute(k[at], full, seed + 1_000_003 * s + int(t))
-                        words = np.where(block == full, tail, block_words)
-                        if last_of[s] and j[-1] == slots[s] - 1:
+                            block[turn == t] = permute(j[turn == t] % per, per, key(s, int(t)))
+                        words = np.where(block == per - 1, tail, block_words)
+                        if j[-1] == slots[s] - 1:
                             words[-1] = last_of[s]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), s, np.int32)), pa.array(j), pa.array(turn.astype(np.int32)), pa.array(block), pa.array(words)], names=["shard", "src", "slot", "pass", "block", "words"])
 

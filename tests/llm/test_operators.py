@@ -256,9 +256,24 @@ def test_targets_reshare_the_excess():
 def test_permutation_is_one():
     for n in (1, 2, 3, 64, 1000, 4097):
         assert sorted(mixing.permute(np.arange(n), n, 12345)) == list(range(n))
+        assert list(mixing.unpermute(mixing.permute(np.arange(n), n, 12345), n, 12345)) == list(range(n))
     assert list(mixing.permute(np.arange(100), 100, 1)) != list(mixing.permute(np.arange(100), 100, 2))
 
 
+def test_slots_hold_just_the_target():
+    """All sizes and targets of small sources: the slots' words add up, wherever the short block comes."""
+    for size in range(1, 40):
+        per = -(-size // 8)
+        for target in range(0, 2 * size + 1):
+            n, last = mixing.slots_of(size, target, 8, lambda turn: 31 * size + turn)
+            words = []
+            for j in range(n):
+                b = int(mixing.permute(np.array([j % per]), per, 31 * size + j // per)[0])
+                words.append(8 if b < per - 1 else size % 8 or 8)
+            assert not n or 0 < last <= words[-1]
+            assert sum(words[:-1]) + last == target
+
+
 def test_mix_reaches_its_targets(spark):
     docs = odd(spark, documents(spark))
     rows = mixing.taken_words(docs).collect()
