@@ -70,6 +70,8 @@ NEIGHBOURS, REACH = 2, 6
 COPY = 0.9
 #: A block inside an article whose text is links to this part is deleted if its line is shared.
 LINKS = 0.5
+#: Matches of lines up to which they are followed one by one.
+MATCHES = 1 << 16
 #: Pages of one window of the order.
 WINDOW = 256
 
@@ -192,32 +194,88 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool]]:
 
 
 def common(a: list[int], b: list[int]) -> set[int]:
-    """Positions of ``a`` in a longest common subsequence of a and b (Hunt and Szymanski)."""
+    """Positions of ``a`` in a longest common subsequence of a and b.
+
+    Equal ends are cut off.  Lines that are equal to few others are followed match by match (Hunt and Szymanski); where a
+    line is repeated so often that matches are many, rows of differences are kept as bits instead.
+    """
     lead = 0
     while lead < min(len(a), len(b)) and a[lead] == b[lead]:
         lead += 1
     tail = 0
     while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
         tail += 1
+    found = set(range(lead)) | set(range(len(a) - tail, len(a)))
     where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, lead - 1, -1):
-        where.setdefault(b[j], []).append(j)
+    for j in range(lead, len(b) - tail):
+        where.setdefault(b[j], []).append(j - lead)
+    at = [i for i in range(lead, len(a) - tail) if a[i] in where]
+    many = sum(len(where[a[i]]) for i in at) > MATCHES + 8 * (len(a) + len(b))
+    rows = [where[a[i]] for i in at]
+    return found | {at[i] for i in (_by_bits(rows, len(b) - tail - lead) if many else _by_matches(rows))}
+
+
+def _by_matches(rows: list[list[int]]) -> Iterator[int]:
+    """Rows in a longest chain of ascending matches, given each row's ascending matches."""
     ends: list[int] = []
     links: list[tuple] = []
-    for i in range(lead, len(a) - tail):
-        for j in where.get(a[i], ()):
+    for i, matches in enumerate(rows):
+        for j in reversed(matches):
             k = bisect_left(ends, j)
             link = (i, links[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j), links.append(link)
             else:
                 ends[k], links[k] = j, link
-    found = set(range(lead)) | set(range(len(a) - tail, len(a)))
     link = links[-1] if links else None
     while link is not None:
-        found.add(link[0])
+        yield link[0]
         link = link[1]
-    return found
+
+
+def _by_bits(rows: list[list[int]], width: int) -> Iterator[int]:
+    """The same by bits: bit j of a row is unset where the chain grows at j.  Every k-th row is kept, and those between are
+    made again on the way back, so memory follows the square root of the rows."""
+    whole = (1 << width) - 1
+    masks: dict[int, int] = {}
+
+    def mask(matches: list[int]) -> int:
+        if len(matches) <= 64:
+            return sum(1 << j for j in matches)
+        if id(matches) not in masks:
+            bits = bytearray(width // 8 + 1)
+            for j in matches:
+                bits[j >> 3] |= 1 << (j & 7)
+            masks[id(matches)] = int.from_bytes(bits, "little")
+        return masks[id(matches)]
+
+    def step(v: int, matches: list[int]) -> int:
+        u = v & mask(matches)
+        return ((v + u) | (v - u)) & whole
+
+    k = max(1, int(len(rows) ** 0.5))
+    kept, v = [whole], whole
+    for i, matches in enumerate(rows, 1):
+        v = step(v, matches)
+        if i % k == 0:
+            kept.append(v)
+    size, i, j, held, first = width // 8 + 1, len(rows), width, [], len(rows) + 1
+    while i > 0 and j > 0:
+        if i - 1 < first:  # make the rows from the last kept one before i - 1 up to i
+            first = (i - 1) // k * k
+            v, held = kept[(i - 1) // k], []
+            held.append(v.to_bytes(size, "little"))
+            for matches in rows[first:i]:
+                v = step(v, matches)
+                held.append(v.to_bytes(size, "little"))
+        bit = lambda r: held[r - first][(j - 1) >> 3] >> ((j - 1) & 7) & 1  # noqa: B023, E731
+        if bit(i):
+            j -= 1
+        elif not bit(i - 1):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            yield i
 
 
 def template_lines(hashes: list[int], near: list[list[int]]) -> set[int]:

@@ -421,7 +421,7 @@ def test_templates_longer_than_the_text_and_windows(spark):
     assert len(got) == 702 and html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 703
 
 
-def test_longest_common_subsequence():
+def test_longest_common_subsequence(monkeypatch):
     def length(a, b):
         row = [0] * (len(b) + 1)
         for x in a:
@@ -433,9 +433,13 @@ def test_longest_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
         a, b = ([r.randrange(6) for _ in range(r.randrange(12))] for _ in range(2))
-        found = sorted(html.common(a, b))
-        it = iter(b)
-        assert len(found) == length(a, b) and all(any(a[i] == y for y in it) for i in found)
+        for most in (0, 1 << 16):
+            monkeypatch.setattr(html, "MATCHES", most - 8 * 24 * (not most))
+            found = sorted(html.common(a, b))
+            it = iter(b)
+            assert len(found) == length(a, b) and all(any(a[i] == y for y in it) for i in found)
+    a, b = [1] + [5] * 20_000 + [2] + [5] * 20_000, [3] + [5] * 30_000 + [2, 4]
+    assert len(html.common(a, b)) == 30_000
 
 
 # -- 7 --------------------------------------------------------------------------------------------------------------
