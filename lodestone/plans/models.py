@@ -30,12 +30,15 @@ def choices_model(url: str, model: str, key: str, system: str = SYSTEM, timeout:
     return ask
 
 
-def parts_model(url: str, model: str, key: str, version: str, system: str = SYSTEM, timeout: float = 60.0) -> Callable[[str], str]:
-    """A model behind a messages endpoint that returns content parts; texts are joined by line breaks."""
+def parts_model(url: str, model: str, headers: dict[str, str], system: str = SYSTEM, timeout: float = 60.0) -> Callable[[str], str]:
+    """A model behind a messages endpoint that returns content parts; texts are joined by line breaks.
+
+    :param headers: what the endpoint asks for, such as its key and version.
+    """
 
     def ask(prompt: str) -> str:
         body = {"model": model, "temperature": 0, "max_tokens": MAX_TOKENS, "system": system, "messages": [{"role": "user", "content": prompt}]}
-        said = _post(url, {"x-api-key": key, "anthropic-version": version}, body, timeout)
+        said = _post(url, headers, body, timeout)
         return "\n".join(p["text"] for p in said["content"] if p.get("text"))
 
     return ask

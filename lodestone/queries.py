@@ -14,7 +14,7 @@ from lodestone.operators import bm25, context, embed, nearest, parse, search, se
 from lodestone.operators.index import InvertedIndex
 from lodestone.plans import ask, prompts, questions
 from lodestone.sources import repository
-from lodestone.storage import importable, modified, shared_folder
+from lodestone.storage import exists, importable, modified, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -81,7 +81,7 @@ _indexes: dict = {}
 def documents_index(spark, d) -> InvertedIndex:
     """The inverted index of the documents, built by the first query of a session that needs it."""
     key = (spark.sparkContext.applicationId, d, modified(spark, f"{d}/documents.parquet"))
-    if key not in _indexes:
+    if key not in _indexes or not exists(spark, _indexes[key].folder):
         _indexes[key] = InvertedIndex(spark, shared_folder(spark, "documents-index"), "doc_id").build(read(spark, d, "documents").select("doc_id", "text", "lang", "source"))
     return _indexes[key]
 
@@ -715,15 +715,12 @@ def route_subqueries(spark, d):
     return questions.routed(rows, "text", "kind").select("conv_id", "turn", "strategy")
 
 
-@query("topo_levels", """
-WITH n AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders)
-SELECT id::VARCHAR AS id, CASE WHEN k < 600 THEN k ELSE k // 600 END::INT AS level FROM n""")
+@query("topo_levels", "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey < 120 THEN o_orderkey ELSE o_orderkey % 120 + 1 END::INT AS level FROM orders")
 def topo_levels(spark, d):
-    """A chain of the first 600 orders; each later one depends on the one 600 before it (the first ones on the first)."""
-    ranked = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("k"))
-    before = F.when(F.col("k") < 600, F.col("k") - 1).when(F.col("k") < 1200, F.lit(0)).otherwise(F.col("k") - 600)
-    edges = ranked.select(before.alias("b"), F.col("id").alias("target")).join(ranked.select(F.col("k").alias("b"), F.col("id").alias("source")), "b").select("source", "target")
-    return questions.topological_levels(ranked.select("id"), edges)
+    """A chain of the first 120 orders; each later one depends on one of the chain."""
+    k = F.col("o_orderkey")
+    orders = read(spark, d, "orders").select(k.cast("string").alias("id"), F.when(k < 120, k - 1).otherwise(k % 120).cast("string").alias("source"))
+    return questions.topological_levels(orders.select("id"), orders.select("source", F.col("id").alias("target")))
 
 
 @query("execute_plan", """
@@ -809,8 +806,8 @@ def user_logins(spark, d):
 @query("repository_list", "SELECT 'r' || o_orderkey AS id, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderdate, 'r' || o_orderkey) AS place FROM orders QUALIFY place <= 50")
 def repository_list(spark, d):
     rows = read(spark, d, "orders").select(F.concat(F.lit("r"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
-    first = service.listed_repositories(rows).limit(50)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("created_at", "id")))  # fifty rows
+    first = service.listed_repositories(rows).limit(50)  # a page of the list
+    return first.withColumn("place", F.row_number().over(Window.orderBy("created_at", "id")))
 
 
 @query("table_violations", "SELECT 'unique' AS rule, c_mktsegment || ' b' || (c_custkey % 50) AS key, count(*) AS n FROM customer GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'repository_id -> repositories', 'r' || o_custkey, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0) GROUP BY 2")

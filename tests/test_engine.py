@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import queries
+from lodestone import queries, storage
 from lodestone.functions import text as T
 from lodestone.functions.vectors import cosine, cosine_to, l2_normalized
 from lodestone.operators import bm25, context, embed, nearest, search, service, store, traverse
@@ -269,7 +269,7 @@ def test_models_over_http():
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     assert models.choices_model(f"{base}/a", "m", "k")("hello") == "yes"
-    assert models.parts_model(f"{base}/b", "m", "k", "v")("hello") == "one\ntwo"
+    assert models.parts_model(f"{base}/b", "m", {"x-key": "k"})("hello") == "one\ntwo"
     server.shutdown()
     assert all(body["temperature"] == 0 and body["messages"][-1]["content"] == "hello" for _, body in asked)
 
@@ -284,6 +284,22 @@ def test_settings(monkeypatch):
     assert Settings(environment="production", model_key="real").environment == "production"
 
 
+def test_scratch_removes_what_was_made(spark):
+    with storage.scratch(spark):
+        path = storage.materialize(spark.range(3).toDF("a"), "made")._lodestone_path
+        assert storage.exists(spark, path) and spark.read.parquet(path).count() == 3
+    assert not storage.exists(spark, path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context_ = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_root(SimpleNamespace(conf=conf, sparkContext=context_))
+
+
 def test_health_and_errors():
     assert service.health("test", {"spark": True, "model": False})["status"] == "degraded"
     assert service.error_envelope("http_error", "no", "r1") == {"error": {"code": "http_error", "message": "no", "request_id": "r1"}}
