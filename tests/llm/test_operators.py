@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodestone.llm import common, decontam, html, langid, lines, minhash, mixing, quality, tokens, urls, warc
 from lodestone.llm.queries import QUERIES
+from lodestone.storage import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -676,16 +677,16 @@ def test_pipeline_stages_follow_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix_sources", "token_output"]
-    known = corpus_pipeline.language_id(spark, docs, d)
+    known = materialize(corpus_pipeline.language_id(spark, docs, d), "known")
     assert {r.doc_id for r in known.collect()} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
-    unique = corpus_pipeline.near_dedup(spark, known, d)
+    unique = materialize(corpus_pipeline.near_dedup(spark, known, d), "unique")
     want = {i for i, (_, c) in brute_components(known.collect(), 5).items() if i == c}
     assert {r.doc_id for r in unique.collect()} == want
-    clean = corpus_pipeline.decontaminate(spark, unique, d)
+    clean = materialize(corpus_pipeline.decontaminate(spark, unique, d), "clean")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     leaks = brute_leaks([(r.doc_id, r.text) for r in unique.collect()], items)
     assert {r.doc_id for r in clean.collect()} == want - set(leaks)
-    mixed = corpus_pipeline.mix_sources(spark, clean, d)
+    mixed = materialize(corpus_pipeline.mix_sources(spark, clean, d), "mixed")
     assert mixed.columns == docs.columns
     out = corpus_pipeline.run(spark, d).collect()
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mixed.collect())
@@ -700,9 +701,9 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "an item"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     last = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        last = stage(spark, last, folder)
+        last = materialize(stage(spark, last, folder), name)
         assert last.columns == docs.columns and last.count() > 0, name
-    assert corpus_pipeline.run(spark, folder).count() == last.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, last, folder).count() == last.count()
 
 
 def test_pipeline_on_an_empty_table(spark, tmp_path):
