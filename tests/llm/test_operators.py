@@ -165,6 +165,17 @@ def test_encoders_know_what_splits_words():
     assert not tokens.splits_words({"normalizer": {"type": "Prepend", "prepend": "_"}, "pre_tokenizer": split})
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoders_give_the_library_s_ids(file):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(file)
+    plain, rows = Tokenizer.from_file(path), [*texts(3, 30), "don't STOP <|endoftext|> x|y,  é́ ß 　 12.5% 'll", "tab\tand\n\nlines"]
+    got = list(tokens.WordEncoder(path)(pa.array(rows, pa.string())))
+    assert [g.tolist() for g in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in rows]
+
+
 def test_shards_are_read_in_runs():
     import io
 
