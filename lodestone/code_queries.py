@@ -87,7 +87,10 @@ k AS (SELECT 'C' || nn || '.make' AS caller, 'f' || n AS callee, file, 10 AS lin
 def code_symbols(spark, d):
     found = parse.symbols(repository(spark, d))
     signature = F.coalesce("signature", F.lit(""))
-    return found.select("file_path", "name", "type", "start_line", "end_line", signature.alias("signature"), "docstring", F.array_join("decorators", ",").alias("decorators"), "is_async", "is_static")
+    return found.select(
+        "file_path", "name", "type", "start_line", "end_line", signature.alias("signature"), "docstring",
+        F.array_join("decorators", ",").alias("decorators"), "is_async", "is_static",
+    )
 
 
 @query("code_import_names", f"""WITH {_CODE}
@@ -122,7 +125,10 @@ SELECT 'exact' AS kind, id FROM t WHERE short = 'make' UNION ALL SELECT 'qualifi
 UNION ALL SELECT 'file', id FROM t WHERE file = 'pkg/m07.py'""")
 def code_symbol_lookups(spark, d):
     table = symbols.symbol_table(parse.symbols(repository(spark, d)))
-    found = {"exact": symbols.lookup_exact(table, "make"), "qualified": symbols.lookup_qualified(table, "pkg.m03.f28"), "regex": symbols.lookup_regex(table, "^f1.5$"), "file": symbols.lookup_file(table, "pkg/m07.py")}
+    found = {
+        "exact": symbols.lookup_exact(table, "make"), "qualified": symbols.lookup_qualified(table, "pkg.m03.f28"),
+        "regex": symbols.lookup_regex(table, "^f1.5$"), "file": symbols.lookup_file(table, "pkg/m07.py"),
+    }
     out = None
     for kind, rows in found.items():
         part = rows.select(F.lit(kind).alias("kind"), F.col("symbol_id").alias("id"))

@@ -39,7 +39,9 @@ def profiled(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
 def statistics(profile: DataFrame, n_terms: int) -> DataFrame:
     """One row: documents, average length (1.0 if it were 0), document frequency of each term."""
     df = [F.count_if(F.col("_tf")[i] > 0) for i in range(n_terms)]
-    return profile.agg(F.count(F.lit(1)).alias("_n"), F.avg("_length").alias("_mean"), F.array(*df).alias("_df")).select("_n", F.coalesce(F.nullif("_mean", F.lit(0.0)), F.lit(1.0)).alias("_mean"), "_df")
+    return profile.agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_length").alias("_mean"), F.array(*df).alias("_df"),
+    ).select("_n", F.coalesce(F.nullif("_mean", F.lit(0.0)), F.lit(1.0)).alias("_mean"), "_df")
 
 
 def _score(repeats: list[int]) -> Column:
@@ -78,7 +80,10 @@ def is_exact(query: str, kind: Column | None, names: list[Column]) -> Column:
     return (wanted != "") & same & (kind.isin(*EXACT_KINDS) if kind is not None else F.lit(True))
 
 
-def search_symbols(docs: DataFrame, query: str, id_: str, text: str = "text", top_k: int = 20, filters: dict | None = None, kind: str | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+def search_symbols(
+    docs: DataFrame, query: str, id_: str, text: str = "text", top_k: int = 20, filters: dict | None = None, kind: str | None = None,
+    names: tuple[str, ...] = (),
+) -> DataFrame:
     """Filtered search with a boost of 5.0 for exact names; statistics stay those of the whole table."""
     return boosted(scored(docs, query, text), query, id_, top_k, filters, kind, names)
 

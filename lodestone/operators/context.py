@@ -34,7 +34,11 @@ def normalized(results: DataFrame) -> DataFrame:
     number = lambda n: F.nullif(F.col(n).cast("int"), F.lit(0)) if n in known else F.lit(None).cast("int")
     path = F.coalesce(text("file_path", "source_path"), F.lit("unknown"))
     start = F.coalesce(number("start_line"), F.lit(1))
-    keep = results.select(F.coalesce(text("id"), path).alias("id"), path.alias("file_path"), start.alias("start_line"), F.greatest(F.coalesce(number("end_line"), start), start).alias("end_line"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("score").cast("double").alias("score"), F.col("ord") if "ord" in known else F.lit(0).alias("ord"))
+    keep = results.select(
+        F.coalesce(text("id"), path).alias("id"), path.alias("file_path"), start.alias("start_line"),
+        F.greatest(F.coalesce(number("end_line"), start), start).alias("end_line"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.col("score").cast("double").alias("score"), F.col("ord") if "ord" in known else F.lit(0).alias("ord"),
+    )
     return keep.where(F.regexp_replace("text", r"(?U)\s", "") != "")
 
 
@@ -119,7 +123,10 @@ def budgeted(chunks: DataFrame, max_tokens: int = 4000, keys: list[str] = ()) ->
 
         def done() -> Iterator[pa.RecordBatch]:
             for x in held:
-                yield pa.RecordBatch.from_arrays([*x.columns, pa.array([cut or kept < total] * len(x), pa.bool_()), pa.array([cut] * len(x), pa.bool_())], names=[*names, "truncated", "_cut"])
+                yield pa.RecordBatch.from_arrays(
+                    [*x.columns, pa.array([cut or kept < total] * len(x), pa.bool_()), pa.array([cut] * len(x), pa.bool_())],
+                    names=[*names, "truncated", "_cut"],
+                )
 
         for b in batches:
             values = lambda name: b.column(names.index(name)).to_pylist()  # noqa: E731, B023
@@ -153,7 +160,12 @@ def budgeted(chunks: DataFrame, max_tokens: int = 4000, keys: list[str] = ()) ->
 
     n = F.aggregate(lines, F.struct(header.alias("used"), F.lit(0).alias("n"), F.lit(False).alias("done")), grow)["n"]
     cut = rows.withColumn("_n", F.when(F.col("_cut"), n))
-    return cut.select(*keys, "id", "file_path", "start_line", F.when(F.col("_cut"), F.col("start_line") + F.greatest(F.col("_n") - 1, F.lit(0))).otherwise(F.col("end_line")).alias("end_line"), F.when(F.col("_cut"), F.array_join(F.slice(lines, 1, F.greatest(F.col("_n"), F.lit(0))), "\n")).otherwise(F.col("text")).alias("text"), "score", "truncated")
+    return cut.select(
+        *keys, "id", "file_path", "start_line",
+        F.when(F.col("_cut"), F.col("start_line") + F.greatest(F.col("_n") - 1, F.lit(0))).otherwise(F.col("end_line")).alias("end_line"),
+        F.when(F.col("_cut"), F.array_join(F.slice(lines, 1, F.greatest(F.col("_n"), F.lit(0))), "\n")).otherwise(F.col("text")).alias("text"),
+        "score", "truncated",
+    )
 
 
 def assembled(results: DataFrame, max_tokens: int = 4000) -> tuple[DataFrame, DataFrame]:
@@ -192,8 +204,13 @@ def available_ranges(chunks: DataFrame, texts: DataFrame | None = None) -> DataF
     lines = lines.withColumn("own", F.nullif(header, F.lit("")))
     under = lines.withColumn("file_path", F.last("own", ignorenulls=True).over(Window.partitionBy("_t").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     number = F.regexp_extract("line", r"^\s*(\d+)\s*(?::|$)", 1)
-    numbered = under.where(F.col("own").isNull() & F.col("file_path").isNotNull() & (number != "")).select("file_path", number.try_cast("bigint").alias("lo"), number.try_cast("bigint").alias("hi"))
-    headed = lines.where(F.col("own").isNotNull()).select(F.col("own").alias("file_path"), F.regexp_extract("line", HEADER, 2).try_cast("bigint").alias("lo"), F.regexp_extract("line", HEADER, 3).try_cast("bigint").alias("hi"))
+    numbered = under.where(F.col("own").isNull() & F.col("file_path").isNotNull() & (number != "")).select(
+        "file_path", number.try_cast("bigint").alias("lo"), number.try_cast("bigint").alias("hi"),
+    )
+    headed = lines.where(F.col("own").isNotNull()).select(
+        F.col("own").alias("file_path"), F.regexp_extract("line", HEADER, 2).try_cast("bigint").alias("lo"),
+        F.regexp_extract("line", HEADER, 3).try_cast("bigint").alias("hi"),
+    )
     return found.unionByName(headed).unionByName(numbered)
 
 

@@ -68,12 +68,18 @@ def embedded(rows: DataFrame, cache: DataFrame | None, embed: Embed, dim: int, b
     return rows.join(known, "cache_key", "left").withColumn("vector", vector), known
 
 
-def embed_code(rows: DataFrame, model: str = "hashing-code", cache: DataFrame | None = None, embed: Embed | None = None, dim: int = CODE_DIM, batch: int = CODE_BATCH) -> tuple[DataFrame, DataFrame]:
+def embed_code(
+    rows: DataFrame, model: str = "hashing-code", cache: DataFrame | None = None, embed: Embed | None = None, dim: int = CODE_DIM,
+    batch: int = CODE_BATCH,
+) -> tuple[DataFrame, DataFrame]:
     keyed = rows.withColumn("cache_key", code_cache_key(model, F.col("text"))).withColumn("model_name", F.lit(model))
     return embedded(keyed, cache, embed or hashing_embedder(dim), dim, batch)
 
 
-def embed_docs(rows: DataFrame, model: str = "hashing-doc", cache: DataFrame | None = None, embed: Embed | None = None, dim: int = DOC_DIM, batch: int = DOC_BATCH) -> tuple[DataFrame, DataFrame]:
+def embed_docs(
+    rows: DataFrame, model: str = "hashing-doc", cache: DataFrame | None = None, embed: Embed | None = None, dim: int = DOC_DIM,
+    batch: int = DOC_BATCH,
+) -> tuple[DataFrame, DataFrame]:
     """Rows with text, parent_symbol_id, source_type and source_path; blank texts get a zero vector without the model."""
     key = doc_cache_key(model, F.coalesce("parent_symbol_id", F.lit("")), F.col("source_type"), F.col("source_path"), F.col("text"))
     return embedded(rows.withColumn("cache_key", key).withColumn("model_name", F.lit(model)), cache, embed or hashing_embedder(dim), dim, batch)

@@ -25,7 +25,10 @@ def vector_topk(rows: DataFrame, query: list[float], id_: str, vector: str, top_
     return found.orderBy(F.desc("score"), F.asc(id_)).limit(max(top_k, 0))
 
 
-def vector_search(code: DataFrame, docs: DataFrame, query: list[float] | tuple[list[float], list[float]], id_: str, vector: str, top_k: int = 20, search_code: bool = True, search_docs: bool = True, **filters) -> DataFrame:
+def vector_search(
+    code: DataFrame, docs: DataFrame, query: list[float] | tuple[list[float], list[float]], id_: str, vector: str, top_k: int = 20,
+    search_code: bool = True, search_docs: bool = True, **filters,
+) -> DataFrame:
     """The best of both collections, each cut to ``top_k`` before the merge; a conflicting content_type empties one."""
     positive("top_k", top_k)
     queries = query if isinstance(query, tuple) else (query, query)
@@ -80,7 +83,10 @@ def ranked(rows: DataFrame, source: str, id_: str, ord_: int = 0, text: str | No
     """A scored result as one list of a fusion: rank 1 is the highest score, ties by id."""
     w = Window.orderBy(F.desc("score"), F.asc(id_))  # a top-k result
     value = F.col(text) if text else F.lit("")
-    return rows.select(F.lit(source).alias("source"), F.lit(ord_).alias("source_ord"), F.row_number().over(w).alias("rank"), F.col(id_).cast("string").alias("id"), F.col("score").cast("double").alias("score"), value.alias("text"))
+    return rows.select(
+        F.lit(source).alias("source"), F.lit(ord_).alias("source_ord"), F.row_number().over(w).alias("rank"), F.col(id_).cast("string").alias("id"),
+        F.col("score").cast("double").alias("score"), value.alias("text"),
+    )
 
 
 def overlap_score(query: str, text: str = "text"):

@@ -61,7 +61,10 @@ def latest_state(events: DataFrame, job: str, status: str, ts: str, tie: str) ->
 def file_tree(files: DataFrame, path: str = "file_path") -> DataFrame:
     """Every directory and file of the paths: path, parent, name, is_dir, depth; directories sort first, then names."""
     parts = F.split(path, "/")
-    rows = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), F.array_join(F.slice(parts, 1, n - 1), "/").alias("parent"), F.element_at(parts, n).alias("name"), (n < F.size(parts)).alias("is_dir"), n.alias("depth")))).alias("x"))
+    rows = files.select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), F.array_join(F.slice(parts, 1, n - 1), "/").alias("parent"), F.element_at(parts, n).alias("name"), (n < F.size(parts)).alias("is_dir"), n.alias("depth")),
+    )).alias("x"))
     return rows.select("x.*").groupBy("path").agg(F.first("parent").alias("parent"), F.first("name").alias("name"), F.bool_or("is_dir").alias("is_dir"), F.first("depth").alias("depth"))
 
 
@@ -71,7 +74,10 @@ def merged_users(users: DataFrame, logins: DataFrame) -> DataFrame:
     Both tables have email, provider, provider_user_id, name; users also have id.  New accounts get id = email.
     """
     u = users.select("id", F.col("email").alias("u_email"), F.col("provider").alias("u_provider"), F.col("provider_user_id").alias("u_pid"))
-    by_id = logins.join(u.select("u_provider", "u_pid", F.col("id").alias("id1")), (F.col("provider") == F.col("u_provider")) & (F.col("provider_user_id") == F.col("u_pid")), "left").drop("u_provider", "u_pid")
+    by_id = logins.join(
+        u.select("u_provider", "u_pid", F.col("id").alias("id1")),
+        (F.col("provider") == F.col("u_provider")) & (F.col("provider_user_id") == F.col("u_pid")), "left",
+    ).drop("u_provider", "u_pid")
     both = by_id.join(u.select("u_email", F.col("id").alias("id2")), F.col("email") == F.col("u_email"), "left").drop("u_email")
     new = both.select(F.coalesce("id1", "id2", "email").alias("id"), "email", "provider", "provider_user_id", "name")
     kept = users.join(new.select("id"), "id", "left_anti").select("id", "email", "provider", "provider_user_id", "name")

@@ -77,7 +77,9 @@ def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], line: str, i
     inner = placed.join(listed, on).groupBy(*ident).agg(F.max(F.col("_a") * width + (width - 1 - F.col("_b") + F.col("_a"))).alias("_rank"))
     start = F.floor(F.col("_rank") / width).cast("long")
     best = inner.select(*ident, start.alias("_start"), (start + width - 1 - F.pmod(F.col("_rank"), F.lit(width))).alias("_end"))
-    first = spans.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.col("start_line").cast("long").alias("_s"), F.col("end_line").cast("long").alias("_e")).agg(F.min_by(F.struct(*(c for c in spans.columns if c not in keys)), "ord").alias("span"))
+    first = spans.groupBy(
+        *(F.col(k).alias(f"_{k}") for k in keys), F.col("start_line").cast("long").alias("_s"), F.col("end_line").cast("long").alias("_e"),
+    ).agg(F.min_by(F.struct(*(c for c in spans.columns if c not in keys)), "ord").alias("span"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_start") == F.col("_s"), F.col("_end") == F.col("_e")]
     return points.join(best, ident).join(first, on).select(*points.columns, "span")
 
@@ -86,7 +88,10 @@ def name_index(symbols: DataFrame) -> DataFrame:
     """key -> target: every callable and class under its name and its short name (a plain function is listed twice)."""
     callable_ = symbols.where(F.col("type").isin("function", "method", "class"))
     short = F.element_at(F.split("name", r"\."), -1)
-    return callable_.select(F.explode(F.array("name", short)).alias("key"), F.col("name").alias("callee"), F.col("file_path").alias("callee_file"), F.col("start_line").alias("callee_line"), F.struct("file_ord", "ord").alias("at"))
+    return callable_.select(
+        F.explode(F.array("name", short)).alias("key"), F.col("name").alias("callee"), F.col("file_path").alias("callee_file"),
+        F.col("start_line").alias("callee_line"), F.struct("file_ord", "ord").alias("at"),
+    )
 
 
 def module_index(files: DataFrame) -> DataFrame:
@@ -101,7 +106,11 @@ def import_aliases(symbols: DataFrame, modules: DataFrame) -> DataFrame:
     """(file_path, alias) -> imported path; later imports override earlier ones."""
     imports = symbols.where(F.col("type") == "import").select("file_path", "ord", "module", "is_from_import", F.posexplode("imports").alias("pos", "i"))
     name, alias = F.col("i.name"), F.col("i.alias")
-    bound = imports.select("file_path", F.struct("ord", "pos", F.lit(0).alias("k")).alias("at"), F.when(F.col("is_from_import"), F.coalesce(alias, name)).otherwise(F.coalesce(alias, F.element_at(F.split(name, r"\."), 1))).alias("alias"), F.when(F.col("is_from_import"), F.concat("module", F.lit("."), name)).otherwise(name).alias("path"))
+    bound = imports.select(
+        "file_path", F.struct("ord", "pos", F.lit(0).alias("k")).alias("at"),
+        F.when(F.col("is_from_import"), F.coalesce(alias, name)).otherwise(F.coalesce(alias, F.element_at(F.split(name, r"\."), 1))).alias("alias"),
+        F.when(F.col("is_from_import"), F.concat("module", F.lit("."), name)).otherwise(name).alias("path"),
+    )
     unknown = imports.where(~F.col("is_from_import")).join(modules, F.col("i.name") == modules.module, "left_anti")
     bound = bound.unionByName(unknown.select("file_path", F.struct("ord", "pos", F.lit(1).alias("k")).alias("at"), name.alias("alias"), name.alias("path")))
     return bound.groupBy("file_path", "alias").agg(F.max_by("path", "at").alias("path"))
@@ -129,13 +138,19 @@ def call_edges(symbols: DataFrame, calls: DataFrame, files: DataFrame) -> DataFr
     known = sites.join(aliases, (F.col("file_path") == F.col("_f")) & (F.col("parts")[0] == F.col("alias")))
     imported = F.split("path", r"\.")
     parent = F.when(F.size(imported) > 1, F.array_join(F.slice(imported, 1, F.greatest(F.size(imported) - 1, F.lit(1))), "."))
-    known = known.select(*ident, "expression", F.when(F.size("parts") > 1, last).otherwise(F.element_at(imported, -1)).alias("member"), F.when(F.size("parts") > 1, F.col("path")).otherwise(F.coalesce(parent, F.lit(""))).alias("m1"), parent.alias("m2"))
+    known = known.select(
+        *ident, "expression", F.when(F.size("parts") > 1, last).otherwise(F.element_at(imported, -1)).alias("member"),
+        F.when(F.size("parts") > 1, F.col("path")).otherwise(F.coalesce(parent, F.lit(""))).alias("m1"), parent.alias("m2"),
+    )
     m1, m2 = modules.select(F.col("module").alias("m1"), F.col("module_file").alias("f1")), modules.select(F.col("module").alias("m2"), F.col("module_file").alias("f2"))
     known = known.join(m1, "m1", "left").join(m2, "m2", "left").withColumn("want", F.coalesce("f1", "f2"))
     tried = known.select(*ident, "want", F.posexplode(F.array("member", "expression")).alias("pos", "key")).join(index, "key")
     through = _first(tried.where(F.col("want").isNull() | (F.col("want") == F.col("callee_file"))), ident, F.struct("pos", "at"))
 
-    single = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("callee").alias("callee"), F.first("callee_file").alias("callee_file"), F.first("callee_line").alias("callee_line"), F.first("at").alias("at")).where("n = 1")
+    single = index.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.first("callee").alias("callee"), F.first("callee_file").alias("callee_file"),
+        F.first("callee_line").alias("callee_line"), F.first("at").alias("at"),
+    ).where("n = 1")
     tried = sites.select(*ident, F.posexplode(F.array_distinct(F.array("expression", last))).alias("pos", "key"))
     unique = _first(tried.join(single, "key"), ident, F.struct("pos", "at"))
 
@@ -143,7 +158,11 @@ def call_edges(symbols: DataFrame, calls: DataFrame, files: DataFrame) -> DataFr
     for name, found in (("a", same), ("b", through), ("c", unique)):
         joined = joined.join(found.withColumnRenamed("t", name), ident, "left")
     t = F.coalesce("a", "b", "c")
-    return joined.select("caller", F.coalesce(t["callee"], F.col("expression")).alias("callee"), F.col("file_path").alias("call_site_file"), F.col("line").alias("call_site_line"), "call_text", t.isNotNull().alias("resolved"), t["callee_file"].alias("callee_file"), t["callee_line"].alias("callee_line"))
+    return joined.select(
+        "caller", F.coalesce(t["callee"], F.col("expression")).alias("callee"), F.col("file_path").alias("call_site_file"),
+        F.col("line").alias("call_site_line"), "call_text", t.isNotNull().alias("resolved"), t["callee_file"].alias("callee_file"),
+        t["callee_line"].alias("callee_line"),
+    )
 
 
 # -- dependency graph -----------------------------------------------------------------------------------------------
@@ -167,13 +186,28 @@ def dependency_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
     base = absolute_module(F.col("module"), F.col("source"))
     relative = F.regexp_replace("module", r"^\.+", "") == ""
     rows = imports.select("*", base.alias("base"), relative.alias("relative")).withColumn("sub", F.concat_ws(".", "base", "i.name"))
-    rows = rows.join(known.select(F.col("_m").alias("sub")), "sub", "left_semi").select("file_path", "ord", "pos", F.lit(True).alias("is_sub")).join(rows, ["file_path", "ord", "pos"], "right")
-    target = F.when(~F.col("is_from_import"), F.col("i.name")).when(F.col("relative") | (F.coalesce("is_sub", F.lit(False)) & (F.col("i.name") != "*")), F.col("sub")).otherwise(F.col("base"))
-    rows = rows.select("source", target.alias("target"), "file_path", "ord", F.when(F.col("is_from_import"), -1).otherwise(F.col("pos")).alias("part"), "pos", "is_from_import", "base", F.col("i.name").alias("name"), F.concat_ws(" as ", "i.name", F.when(F.col("is_from_import"), F.col("i.alias"))).alias("shown"))
-    grouped = rows.groupBy("source", "target", "file_path", "ord", "part", "is_from_import", "base").agg(F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("names"), F.bool_or(F.col("name") == "*").alias("star"))
+    rows = rows.join(
+        known.select(F.col("_m").alias("sub")), "sub", "left_semi",
+    ).select("file_path", "ord", "pos", F.lit(True).alias("is_sub")).join(rows, ["file_path", "ord", "pos"], "right")
+    target = F.when(~F.col("is_from_import"), F.col("i.name")).when(
+        F.col("relative") | (F.coalesce("is_sub", F.lit(False)) & (F.col("i.name") != "*")), F.col("sub"),
+    ).otherwise(F.col("base"))
+    rows = rows.select(
+        "source", target.alias("target"), "file_path", "ord", F.when(F.col("is_from_import"), -1).otherwise(F.col("pos")).alias("part"), "pos",
+        "is_from_import", "base", F.col("i.name").alias("name"),
+        F.concat_ws(" as ", "i.name", F.when(F.col("is_from_import"), F.col("i.alias"))).alias("shown"),
+    )
+    grouped = rows.groupBy("source", "target", "file_path", "ord", "part", "is_from_import", "base").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "shown"))).alias("names"), F.bool_or(F.col("name") == "*").alias("star"),
+    )
     star = F.col("star") & F.col("is_from_import")
     edges = grouped.join(known, F.col("target") == F.col("_m"), "left")
-    return edges.select("source", "target", F.when(F.col("is_from_import"), "from_import").otherwise("import").alias("import_type"), F.transform("names", lambda x: x["shown"]).alias("imported_names"), F.col("file_path").alias("source_file"), "target_file", F.col("target_file").isNotNull().alias("resolved"), star.alias("is_star_import"), F.when(star, F.concat(F.lit("Star import from "), "base", F.lit(" makes dependencies implicit"))).alias("warning"))
+    return edges.select(
+        "source", "target", F.when(F.col("is_from_import"), "from_import").otherwise("import").alias("import_type"),
+        F.transform("names", lambda x: x["shown"]).alias("imported_names"), F.col("file_path").alias("source_file"), "target_file",
+        F.col("target_file").isNotNull().alias("resolved"), star.alias("is_star_import"),
+        F.when(star, F.concat(F.lit("Star import from "), "base", F.lit(" makes dependencies implicit"))).alias("warning"),
+    )
 
 
 # -- graph rows -----------------------------------------------------------------------------------------------------
@@ -186,7 +220,11 @@ def graph_nodes(table: DataFrame) -> DataFrame:
     nodes = own.select(F.col("symbol_id").alias("id"), label.alias("label"), "name", "qualified_name", "type", "file_path", "start_line", "end_line", "signature")
     none = F.lit(None)
     modules = table.groupBy("module").agg(F.max_by("file_path", F.struct(*ORDER)).alias("file_path"))
-    modules = modules.select(F.concat(F.lit("module:"), "module").alias("id"), F.lit("Module").alias("label"), F.element_at(F.split("module", r"\."), -1).alias("name"), F.col("module").alias("qualified_name"), F.lit("module").alias("type"), "file_path", none.cast("int").alias("start_line"), none.cast("int").alias("end_line"), none.cast("string").alias("signature"))
+    modules = modules.select(
+        F.concat(F.lit("module:"), "module").alias("id"), F.lit("Module").alias("label"), F.element_at(F.split("module", r"\."), -1).alias("name"),
+        F.col("module").alias("qualified_name"), F.lit("module").alias("type"), "file_path", none.cast("int").alias("start_line"),
+        none.cast("int").alias("end_line"), none.cast("string").alias("signature"),
+    )
     return modules.unionByName(nodes)
 
 
@@ -232,7 +270,11 @@ def calls_edges(edges: DataFrame, table: DataFrame) -> DataFrame:
 
 def imports_edges(edges: DataFrame) -> DataFrame:
     """Module to module; unknown files are ''."""
-    return edges.select(F.concat(F.lit("module:"), "source").alias("source_id"), F.concat(F.lit("module:"), "target").alias("target_id"), F.lit("IMPORTS").alias("type"), "import_type", F.array_join("imported_names", ",").alias("imported_names"), F.coalesce("source_file", F.lit("")).alias("source_file"), F.coalesce("target_file", F.lit("")).alias("target_file"))
+    return edges.select(
+        F.concat(F.lit("module:"), "source").alias("source_id"), F.concat(F.lit("module:"), "target").alias("target_id"),
+        F.lit("IMPORTS").alias("type"), "import_type", F.array_join("imported_names", ",").alias("imported_names"),
+        F.coalesce("source_file", F.lit("")).alias("source_file"), F.coalesce("target_file", F.lit("")).alias("target_file"),
+    )
 
 
 def graph_of(table: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,10 @@ class Reply:
     error: str | None = None
 
 
-def retrieved(spark: SparkSession, question: str, texts: DataFrame, index: InvertedIndex, vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, top_k: int = 20) -> DataFrame:
+def retrieved(
+    spark: SparkSession, question: str, texts: DataFrame, index: InvertedIndex, vectors: DataFrame | None = None,
+    embed: Callable[[str], list[float]] | None = None, top_k: int = 20,
+) -> DataFrame:
     """The best chunks of a question: sparse and dense lists fused by rank and reranked by the words they share with it.
 
     :param texts: chunks: id (string), file_path, start_line, end_line, text.

@@ -27,7 +27,10 @@ SURE = {"multi-hop": 0.86, "exploratory": 0.82, "simple-lookup": 0.84, "blank":
 #: The patterns of each class, tried in this order (multi-hop, exploratory, simple-lookup).
 MULTI_HOP = (r"\bhow\s+does\b.*\bflow\b", r"\bpath\s+between\b", r"\btrace\b", r"\bcall\s+chain\b", r"\bend[- ]?to[- ]?end\b", r"\bimpact\b", r"\bdependencies?\b", r"\bfrom\b.*\bto\b")
 EXPLORATORY = (r"\boverview\b", r"\barchitecture\b", r"\bexplain\b", r"\bwhat\s+should\s+i\s+read\b", r"\bcompare\b", r"\bsummarize\b", r"\bexplore\b", r"\bunderstand\b")
-SIMPLE = (r"\bwhere\s+is\b", r"\bdefined\b", r"\bdefinition\b", r"\bfind\s+(function|class|method|symbol)\b", r"\bwhat\s+(calls|imports)\b", r"\bshow\s+(function|class|method|symbol)\b", r"\bfile\s+contains\b")
+SIMPLE = (
+    r"\bwhere\s+is\b", r"\bdefined\b", r"\bdefinition\b", r"\bfind\s+(function|class|method|symbol)\b", r"\bwhat\s+(calls|imports)\b",
+    r"\bshow\s+(function|class|method|symbol)\b", r"\bfile\s+contains\b",
+)
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$"
 #: The patterns of the router.
 STRUCTURAL = r"\b(path|trace|call chain|calls|imports|dependencies|flow|graph)\b"
@@ -50,7 +53,9 @@ def classified(questions: DataFrame, query: str = "query", threshold: float = TH
     text = F.coalesce(F.col(query), F.lit(""))
     low = F.lower(text)
     blank = F.regexp_replace(text, r"(?U)\s", "") == ""
-    raw = F.when(blank, "blank").when(_matches(low, MULTI_HOP), "multi-hop").when(_matches(low, EXPLORATORY), "exploratory").when(_matches(low, SIMPLE) | _identifier(text), "simple-lookup").otherwise("unknown")
+    raw = F.when(blank, "blank").when(_matches(low, MULTI_HOP), "multi-hop").when(_matches(low, EXPLORATORY), "exploratory").when(
+        _matches(low, SIMPLE) | _identifier(text), "simple-lookup",
+    ).otherwise("unknown")
     rows = questions.withColumn("_raw", raw)
     sure = F.element_at(F.create_map(*(F.lit(x) for kv in SURE.items() for x in kv)), F.col("_raw"))
     rows = rows.withColumn("confidence", sure)
@@ -84,7 +89,9 @@ def decomposed(questions: DataFrame, query: str = "query", keep: tuple[str, ...]
         part("q3", F.lit("Collect code chunks and documentation in support of the traced flow."), "evidence", ("q1", "q2")),
     )
     one = F.array(part("q1", q, F.when(F.col("category") == "exploratory", "explanation").otherwise("symbol"), ()))
-    return classified(questions, query).select(*keep, query, "category", F.explode(F.when(F.col("category") == "multi-hop", three).otherwise(one)).alias("s")).select(*keep, query, "category", "s.*")
+    return classified(questions, query).select(
+        *keep, query, "category", F.explode(F.when(F.col("category") == "multi-hop", three).otherwise(one)).alias("s"),
+    ).select(*keep, query, "category", "s.*")
 
 
 # -- one question on the driver -------------------------------------------------------------------------------------
@@ -171,7 +178,9 @@ def decompose(spark: SparkSession, query: str, model: Callable[[str], str] | Non
         if 2 <= len(mine) <= 5:
             ids = {s.id for s in mine}
             subs = tuple(mine)
-            edges = tuple((str(e.get("source")), str(e.get("target"))) for e in said.get("dependency_edges") or [] if isinstance(e, dict) and e.get("source") in ids and e.get("target") in ids)
+            edges = tuple((
+                str(e.get("source")), str(e.get("target")),
+            ) for e in said.get("dependency_edges") or [] if isinstance(e, dict) and e.get("source") in ids and e.get("target") in ids)
     return Plan(query, found["category"], found["confidence"], subs, edges, (*steps, "decompose", "validate", "finalize"))
 
 
@@ -251,7 +260,10 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     level, total = materialize(ids.withColumn("level", F.lit(0)), "levels"), ids.count()
     for _ in range(total):  # without a cycle, the longest chain has one level for each node
         deeper = level.join(inner, level.id == inner.source).groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("_deeper"))
-        fresh = level.join(deeper, "id", "left").select("id", F.greatest("level", F.coalesce("_deeper", F.lit(0))).alias("level"), (F.col("level") < F.coalesce("_deeper", F.lit(0))).alias("_moved"))
+        fresh = level.join(deeper, "id", "left").select(
+            "id", F.greatest("level", F.coalesce("_deeper", F.lit(0))).alias("level"),
+            (F.col("level") < F.coalesce("_deeper", F.lit(0))).alias("_moved"),
+        )
         fresh = materialize(fresh, "levels")
         release(level)
         level = fresh

@@ -288,8 +288,12 @@ def search_payloads(spark, d):
     """Payloads as results: defaults and fallbacks where a field is null or empty."""
     i, none = F.col("doc_id"), F.lit(None).cast("string")
     rows = read(spark, d, "documents").select(
-        "doc_id", F.when(i % 3 == 0, "doc").when(i % 3 == 1, "").alias("content_type"), F.when(i % 4 == 0, "name").when(i % 4 == 1, "").alias("symbol"), F.when(i % 4 == 3, none).otherwise(F.concat(F.lit("id"), i)).alias("symbol_id"),
-        F.when(i % 2 == 0, F.col("source")).otherwise("").alias("source_path"), F.concat(F.lit("f"), i).alias("file_path"), F.when(i % 5 == 0, none).otherwise(F.col("text")).alias("text"), F.lit("chunk").alias("chunk_text"),
+        "doc_id", F.when(i % 3 == 0, "doc").when(i % 3 == 1, "").alias("content_type"), F.when(i % 4 == 0, "name").when(i % 4 == 1, "").alias("symbol"), F.when(i % 4 == 3, none).otherwise(F.concat(
+            F.lit("id"), i,
+        )).alias("symbol_id"),
+        F.when(
+            i % 2 == 0, F.col("source"),
+        ).otherwise("").alias("source_path"), F.concat(F.lit("f"), i).alias("file_path"), F.when(i % 5 == 0, none).otherwise(F.col("text")).alias("text"), F.lit("chunk").alias("chunk_text"),
     )
     return search.normalized_results(rows).select("doc_id", "content_type", "symbol", "file_path", "chunk_text")
 
@@ -300,7 +304,10 @@ SELECT doc_id, 'hashing-doc:doc:' || sha256(coalesce(lang, '') || chr(10) || 'do
 def embed_docs(spark, d):
     """Documentation embeddings: keys of parent, kind, path and text; blank texts get a zero vector without the model."""
     text = F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text"))
-    rows = read(spark, d, "documents").select("doc_id", text.alias("text"), F.col("lang").alias("parent_symbol_id"), F.lit("docstring").alias("source_type"), F.col("source").alias("source_path"))
+    rows = read(spark, d, "documents").select(
+        "doc_id", text.alias("text"), F.col("lang").alias("parent_symbol_id"), F.lit("docstring").alias("source_type"),
+        F.col("source").alias("source_path"),
+    )
     found = embed.checked_dimension(embed.embed_docs(rows, dim=24)[0], dim=24)
     return found.select("doc_id", "cache_key", F.size("vector").alias("dim"), F.round(norm(F.col("vector")), 6).alias("length"))
 
@@ -339,14 +346,26 @@ _BOTH = "both_ AS (SELECT DISTINCT source_id AS u, target_id AS v FROM edges UNI
 def graph(spark, d) -> tuple[DataFrame, DataFrame]:
     """Regions, nations, suppliers and parts as a graph: containment, and calls from suppliers to parts."""
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
-    kinds = (("region", "r_regionkey", "r_name", "Module"), ("nation", "n_nationkey", "n_name", "Class"), ("supplier", "s_suppkey", "s_name", "Function"), ("part", "p_partkey", "p_name", "Function"))
+    kinds = (
+        ("region", "r_regionkey", "r_name", "Module"), ("nation", "n_nationkey", "n_name", "Class"), ("supplier", "s_suppkey", "s_name", "Function"),
+        ("part", "p_partkey", "p_name", "Function"),
+    )
     nodes = None
     for table, k, name, label in kinds:
         part = read(spark, d, table).select(key(table, k).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"))
         nodes = part if nodes is None else nodes.unionByName(part)
-    inside = read(spark, d, "nation").select(key("region", "n_regionkey").alias("source_id"), key("nation", "n_nationkey").alias("target_id"), F.lit("CONTAINS").alias("type"), F.lit(0).alias("line"))
-    inside = inside.unionByName(read(spark, d, "supplier").select(key("nation", "s_nationkey").alias("source_id"), key("supplier", "s_suppkey").alias("target_id"), F.lit("CONTAINS").alias("type"), F.lit(0).alias("line")))
-    calls = read(spark, d, "lineitem").select(key("supplier", "l_suppkey").alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit("CALLS").alias("type"), F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    inside = read(spark, d, "nation").select(
+        key("region", "n_regionkey").alias("source_id"), key("nation", "n_nationkey").alias("target_id"), F.lit("CONTAINS").alias("type"),
+        F.lit(0).alias("line"),
+    )
+    inside = inside.unionByName(read(spark, d, "supplier").select(
+        key("nation", "s_nationkey").alias("source_id"), key("supplier", "s_suppkey").alias("target_id"), F.lit("CONTAINS").alias("type"),
+        F.lit(0).alias("line"),
+    ))
+    calls = read(spark, d, "lineitem").select(
+        key("supplier", "l_suppkey").alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit("CALLS").alias("type"),
+        F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
     return nodes, inside.unionByName(store.distinct_edges(calls, ["seq"]).drop("seq"))
 
 
@@ -404,7 +423,10 @@ def graph_outgoing(spark, d):
 @query("edge_upsert_last_wins", f"WITH {_EDGES} SELECT source_id, target_id, type, line FROM edges WHERE type = 'CALLS'")
 def edge_upsert_last_wins(spark, d):
     nodes, edges = graph(spark, d)
-    calls = read(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey").alias("source_id"), F.concat(F.lit("part:"), "l_partkey").alias("target_id"), F.lit("CALLS").alias("type"), F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    calls = read(spark, d, "lineitem").select(
+        F.concat(F.lit("supplier:"), "l_suppkey").alias("source_id"), F.concat(F.lit("part:"), "l_partkey").alias("target_id"),
+        F.lit("CALLS").alias("type"), F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
     held = store.GraphStore(nodes, spark.createDataFrame([], edges.schema))
     held.put_edges(calls, ["seq"])
     return held.edges.select("source_id", "target_id", "type", "line")
@@ -489,7 +511,10 @@ r AS (SELECT event_id, line, doc_id, row_number() OVER (PARTITION BY event_id OR
 SELECT event_id, line, doc_id FROM r WHERE n = 1""")
 def enclosing_span(spark, d):
     n = F.col("n_chars")
-    spans = read(spark, d, "documents").select(F.col("source").alias("file_path"), (n % 500).alias("start_line"), (n % 500 + n % 97 + (n % 7) * 50).alias("end_line"), F.col("doc_id").alias("ord"))
+    spans = read(spark, d, "documents").select(
+        F.col("source").alias("file_path"), (n % 500).alias("start_line"), (n % 500 + n % 97 + (n % 7) * 50).alias("end_line"),
+        F.col("doc_id").alias("ord"),
+    )
     points = read(spark, d, "events").select("event_id", F.concat(F.lit("src"), F.col("user_id") % 20).alias("file_path"), (F.col("event_id") % 600).alias("line"))
     return symbols.enclosing(points, spans, ["file_path"], "line", ["event_id"]).select("event_id", "line", F.col("span.ord").alias("doc_id"))
 
@@ -500,7 +525,10 @@ WITH r AS (SELECT w.p_partkey AS k, s.p_partkey AS id, row_number() OVER (PARTIT
 SELECT k AS p_partkey, id AS found FROM r WHERE n = 1""")
 def name_resolution(spark, d):
     part = read(spark, d, "part")
-    table = part.select(F.lit("function").alias("type"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("file_path"), F.col("p_brand").alias("qualified_name"), F.col("p_partkey").alias("start_line"), F.lit(0).alias("end_line"))
+    table = part.select(
+        F.lit("function").alias("type"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("file_path"),
+        F.col("p_brand").alias("qualified_name"), F.col("p_partkey").alias("start_line"), F.lit(0).alias("end_line"),
+    )
     return symbols.resolved_names(part.select("p_partkey", "p_brand", "p_type"), table, ["p_partkey"], "p_brand", "p_type")
 
 
@@ -512,7 +540,11 @@ def _ranges(spark, d) -> DataFrame:
     start = F.col("doc_id") % 300 * 3 + 1
     end = start + F.col("n_chars") % 12
     lines = F.transform(F.sequence(start, end), lambda i: F.concat(F.lit("line "), i))
-    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.array_join(lines, "\n").alias("text"), (F.col("n_chars") % 1000 / 1000.0).alias("score"), F.col("doc_id").cast("int").alias("ord"))
+    return docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), start.cast("int").alias("start_line"),
+        end.cast("int").alias("end_line"), F.array_join(lines, "\n").alias("text"), (F.col("n_chars") % 1000 / 1000.0).alias("score"),
+        F.col("doc_id").cast("int").alias("ord"),
+    )
 
 
 @query("merge_overlaps", """
@@ -527,7 +559,11 @@ def merge_overlaps(spark, d):
 
 def _whole_chunks(spark, d) -> DataFrame:
     docs = read(spark, d, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(T.lines_of("text")).alias("end_line"), "text", (F.col("n_chars") % 1000 / 1000.0).alias("score"), F.col("doc_id").cast("int").alias("ord"), "source")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("file_path"), F.lit(1).alias("start_line"),
+        F.size(T.lines_of("text")).alias("end_line"), "text", (F.col("n_chars") % 1000 / 1000.0).alias("score"),
+        F.col("doc_id").cast("int").alias("ord"), "source",
+    )
 
 
 #: DuckDB: chunks of whole documents with the words of their formatted text, ranked in each source.
@@ -583,7 +619,10 @@ def logical_groups(spark, d):
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("t")))), lambda x: x["t"]), "\n")
     items = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
     files = items.groupBy("l_orderkey").agg(body.alias("body"))
-    named = files.select(F.concat(F.lit("o"), "l_orderkey", F.lit(".py")).alias("file_path"), F.concat(F.lit("def order(a, b, c, d, " + ", ".join(f"e{k}" for k in range(40)) + "):\n"), "body").alias("source"))
+    named = files.select(
+        F.concat(F.lit("o"), "l_orderkey", F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("def order(a, b, c, d, " + ", ".join(f"e{k}" for k in range(40)) + "):\n"), "body").alias("source"),
+    )
     return parse.chunks(named, max_tokens=87).select("file_path", "start_line", "end_line")
 
 
@@ -601,7 +640,10 @@ def _answers(spark, d) -> DataFrame:
     docs = read(spark, d, "documents")
     a, b, c = F.col("doc_id") % 50 + 1, F.col("n_chars") % 60 + 1, F.col("doc_id") % 300 * 3 + 2
     mark = lambda p, x, y: F.concat(F.lit("["), p, F.lit(":"), x, F.lit("-"), y, F.lit("]"))
-    return docs.select("doc_id", F.concat(F.lit("See "), mark(F.col("source"), a, b), F.lit(" and ["), F.col("lang"), F.lit("] or "), mark(F.concat(F.lit("no/"), "source"), a, a), F.lit(" or "), mark(F.col("source"), c, c + 1)).alias("answer"))
+    return docs.select(
+        "doc_id",
+        F.concat(F.lit("See "), mark(F.col("source"), a, b), F.lit(" and ["), F.col("lang"), F.lit("] or "), mark(F.concat(F.lit("no/"), "source"), a, a), F.lit(" or "), mark(F.col("source"), c, c + 1)).alias("answer"),
+    )
 
 
 _ANSWERS = """
@@ -735,7 +777,10 @@ def execute_plan(spark, d):
         return read(spark, d, "nation").join(known, F.col("n_regionkey") == F.col("k")).select(F.col("n_name").alias("id"), F.lit(9).alias("k"))
 
     executors = {"bm25": lambda *_: regions, "graph": near, "vector": lambda *_: read(spark, d, "supplier").select(F.col("s_name").alias("id"), F.lit(9).alias("k"))}
-    steps = (questions.SubQuery("q2", "what lies near", "path", ("q1",)), questions.SubQuery("q1", "the symbol of it", "symbol"), questions.SubQuery("q3", "all that supports it", "evidence", ("q1", "q2")))
+    steps = (
+        questions.SubQuery("q2", "what lies near", "path", ("q1",)), questions.SubQuery("q1", "the symbol of it", "symbol"),
+        questions.SubQuery("q3", "all that supports it", "evidence", ("q1", "q2")),
+    )
     found = questions.execute(spark, questions.Plan("what is it", "multi-hop", 0.9, steps), executors)
     rows = None
     for name, part in found.items():
@@ -750,9 +795,15 @@ def ask_question(spark, d):
     """A question from start to end over the documents, with a model that cites the first chunk of its context."""
     chunks = _whole_chunks(spark, d).drop("score", "ord")
     found = ask.retrieved(spark, QUERY, chunks, documents_index(spark, d), top_k=10)
-    said = ask.ask(spark, "Explain the license of retention data", found, lambda prompt: "It says so " + "".join(f"[{x[4:]}]" for x in prompt.splitlines() if x.startswith("### "))[:400].split("]")[0] + "].")
+    said = ask.ask(
+        spark, "Explain the license of retention data", found,
+        lambda prompt: "It says so " + "".join(f"[{x[4:]}]" for x in prompt.splitlines() if x.startswith("### "))[:400].split("]")[0] + "].",
+    )
     counted = said.citations.agg(F.count(F.lit(1)).alias("citations"))
-    return counted.select(F.lit(said.query_type).alias("query_type"), "citations", F.lit(said.coverage).alias("coverage"), F.lit(said.used_model).alias("used_model"), F.lit(said.error).cast("string").alias("error"))
+    return counted.select(
+        F.lit(said.query_type).alias("query_type"), "citations", F.lit(said.coverage).alias("coverage"), F.lit(said.used_model).alias("used_model"),
+        F.lit(said.error).cast("string").alias("error"),
+    )
 
 
 # -- service --------------------------------------------------------------------------------------------------------
@@ -767,7 +818,9 @@ r AS (SELECT event_id, user_id, t, n, true AS allowed, [t] AS held FROM o WHERE
 SELECT event_id, user_id, t, allowed FROM r UNION ALL SELECT event_id, user_id, t, false FROM e WHERE t IS NULL""")
 def rate_limit(spark, d):
     """Two requests per six hours; events without a time are denied and do not count."""
-    events = read(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).withColumn("t", F.when(F.col("event_id") % 97 != 0, F.col("us") / 1e6)).drop("us")
+    events = read(spark, d, "events").select(
+        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"),
+    ).withColumn("t", F.when(F.col("event_id") % 97 != 0, F.col("us") / 1e6)).drop("us")
     return service.rate_limited(events, "user_id", "t", "event_id", limit=2, window=21600.0)
 
 
@@ -780,7 +833,11 @@ def job_latest_state(spark, d):
 def request_keys(spark, d):
     """The key of the rate limit, and the log record of each request; a request without an id gets one (not shown)."""
     e = F.col("event_id")
-    rows = read(spark, d, "events").select("event_id", F.when(e % 4 != 0, F.col("user_id")).alias("user_id"), F.concat(F.lit("h"), e % 10).alias("host"), F.when(e % 3 == 0, F.concat(F.lit("r"), e)).alias("request_id"), F.lit("GET").alias("method"), e.cast("string").alias("path"), (200 + e % 5).cast("int").alias("status"), F.lit(1.5).alias("duration_ms"))
+    rows = read(spark, d, "events").select(
+        "event_id", F.when(e % 4 != 0, F.col("user_id")).alias("user_id"), F.concat(F.lit("h"), e % 10).alias("host"),
+        F.when(e % 3 == 0, F.concat(F.lit("r"), e)).alias("request_id"), F.lit("GET").alias("method"), e.cast("string").alias("path"),
+        (200 + e % 5).cast("int").alias("status"), F.lit(1.5).alias("duration_ms"),
+    )
     told = service.request_log(rows).select(F.from_json("record", "event string, request_id string, method string, path string, status int, duration_ms double").alias("r")).select("r.*")
     keyed = rows.select("event_id", service.limit_key().alias("key"), F.col("request_id").isNull().alias("made"))
     both = told.join(keyed, F.col("path") == F.col("event_id").cast("string")).where("event = 'request' and request_id is not null and method = 'GET' and duration_ms = 1.5")
@@ -797,8 +854,15 @@ def user_logins(spark, d):
     """Accounts after logins: known by provider and id, else by mail, else new."""
     c, k = read(spark, d, "customer"), F.col("c_custkey")
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
-    users = c.select(text("u", k).alias("id"), text(F.col("c_name"), "@x").alias("email"), text("p", k % 2).alias("provider"), text("k", k).alias("provider_user_id"), F.col("c_name").alias("name"))
-    back = c.where(k % 4 == 0).select(F.when(k % 3 == 0, text("new-", F.col("c_name"), "@x")).otherwise(text(F.col("c_name"), "@x")).alias("email"), text("p", k % 2).alias("provider"), F.when(k % 3 == 1, text("other", k)).otherwise(text("k", k)).alias("provider_user_id"), text("N", F.col("c_name")).alias("name"))
+    users = c.select(
+        text("u", k).alias("id"), text(F.col("c_name"), "@x").alias("email"), text("p", k % 2).alias("provider"),
+        text("k", k).alias("provider_user_id"), F.col("c_name").alias("name"),
+    )
+    back = c.where(k % 4 == 0).select(
+        F.when(k % 3 == 0, text("new-", F.col("c_name"), "@x")).otherwise(text(F.col("c_name"), "@x")).alias("email"),
+        text("p", k % 2).alias("provider"), F.when(k % 3 == 1, text("other", k)).otherwise(text("k", k)).alias("provider_user_id"),
+        text("N", F.col("c_name")).alias("name"),
+    )
     new = c.where(k % 4 == 1).select(text("first", k, "@y").alias("email"), F.lit("p0").alias("provider"), text("z", k).alias("provider_user_id"), F.lit("First").alias("name"))
     return service.merged_users(users, back.unionByName(new)).select("id", "email", "provider", "provider_user_id", "name")
 
@@ -813,7 +877,10 @@ def repository_list(spark, d):
 @query("table_violations", "SELECT 'unique' AS rule, c_mktsegment || ' b' || (c_custkey % 50) AS key, count(*) AS n FROM customer GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'repository_id -> repositories', 'r' || o_custkey, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0) GROUP BY 2")
 def table_violations(spark, d):
     """Uniqueness of (url, branch), and jobs of repositories that do not exist."""
-    repositories = read(spark, d, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("url"), F.concat(F.lit("b"), F.col("c_custkey") % 50).alias("branch"), "c_custkey")
+    repositories = read(spark, d, "customer").select(
+        F.concat(F.lit("r"), "c_custkey").alias("id"), F.col("c_mktsegment").alias("url"),
+        F.concat(F.lit("b"), F.col("c_custkey") % 50).alias("branch"), "c_custkey",
+    )
     jobs = read(spark, d, "orders").select(F.concat(F.lit("r"), "o_custkey").alias("repository_id"))
     twice = schemas.violations("repositories", repositories)
     return twice.unionByName(schemas.violations("ingestion_jobs", jobs, {"repositories": repositories.where("c_custkey % 9 <> 0")}))
@@ -821,7 +888,10 @@ def table_violations(spark, d):
 
 @query("request_faults", "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 'empty query' WHEN turn < 1 THEN 'line below 1' END AS fault FROM conversations")
 def request_faults(spark, d):
-    rows = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn").cast("string")).otherwise(F.lit("")).alias("query"), F.col("turn").alias("start_line"), (F.col("turn") + 1).alias("end_line"))
+    rows = read(spark, d, "conversations").select(
+        "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn").cast("string")).otherwise(F.lit("")).alias("query"),
+        F.col("turn").alias("start_line"), (F.col("turn") + 1).alias("end_line"),
+    )
     return service.request_faults(rows).select("conv_id", "turn", "fault")
 
 
@@ -848,7 +918,9 @@ SELECT page_id, page_id % 6 IN (1, 2, 4) AS ignored FROM pages""")
 def ignored_paths(spark, d):
     """Ignored and hidden folders; a file's own name does not count."""
     i = F.col("page_id")
-    folder = F.when(i % 6 == 0, "src/").when(i % 6 == 1, "src/node_modules/").when(i % 6 == 2, ".hidden/x/").when(i % 6 == 3, "").when(i % 6 == 4, "build/lib/").otherwise("rebuild/vendored/")
+    folder = F.when(i % 6 == 0, "src/").when(
+        i % 6 == 1, "src/node_modules/",
+    ).when(i % 6 == 2, ".hidden/x/").when(i % 6 == 3, "").when(i % 6 == 4, "build/lib/").otherwise("rebuild/vendored/")
     rows = read(spark, d, "pages").select("page_id", F.concat(folder, F.when(i % 6 == 3, ".env").otherwise("build"), F.lit(".py")).alias("path"))
     return rows.select("page_id", repository.is_ignored("path").alias("ignored"))
 
@@ -858,7 +930,10 @@ def ignored_paths(spark, d):
 #: A small repository: the driver tables hold no source code.
 SOURCES = [
     ("app/helpers.py", "import os\n\n\ndef normalize(value):\n    \"\"\"Trim a value.\"\"\"\n    return value.strip()\n"),
-    ("app/factory.py", "from app.helpers import normalize as clean\nfrom app import helpers\n\n\nclass Factory(Base, metaclass=Meta):\n    @staticmethod\n    def create(name):\n        return clean(name)\n\n    def build(self):\n        return self.create(helpers.normalize('x'))\n"),
+    (
+        "app/factory.py",
+        "from app.helpers import normalize as clean\nfrom app import helpers\n\n\nclass Factory(Base, metaclass=Meta):\n    @staticmethod\n    def create(name):\n        return clean(name)\n\n    def build(self):\n        return self.create(helpers.normalize('x'))\n",
+    ),
     ("app/main.py", "from . import factory\nfrom .helpers import *\n\n\nasync def run():\n    return factory.Factory.create(outer('a'))\n\n\ndef outer(x):\n    return missing(x)\n"),
 ]
 
@@ -896,7 +971,9 @@ SELECT * FROM (VALUES ('app.factory', 'app.helpers', 'from_import', 'normalize a
   ('app.main', 'app.factory', 'from_import', 'factory', true, false), ('app.main', 'app.helpers', 'from_import', '*', true, true)) t(source, target, import_type, imported_names, resolved, is_star_import)""")
 def dep_edges(spark, d):
     files = sources(spark)
-    return symbols.dependency_edges(parse.symbols(files), files).select("source", "target", "import_type", F.array_join("imported_names", ",").alias("imported_names"), "resolved", "is_star_import")
+    return symbols.dependency_edges(parse.symbols(files), files).select(
+        "source", "target", "import_type", F.array_join("imported_names", ",").alias("imported_names"), "resolved", "is_star_import",
+    )
 
 
 @query("symbol_lookup", "SELECT * FROM (VALUES ('app.factory.Factory.create', 'create', 'app.factory.Factory'), ('app.factory.Factory', 'Factory', NULL)) t(qualified_name, name, parent_symbol)")
