@@ -210,7 +210,10 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         own = {k: v[at[r] : max(at[r], at[r + 1] - k + 1)] for k, v in flags.items()}
                         for item, (s, start, n) in part.found(words[at[r] : at[r + 1]], own).items():
                             rows.append((doc[i + r], hashed[i + r], part.ids[item], s, start, n))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in HITS.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))],
+                    names=[x.split()[0] for x in HITS.split(", ")],
+                )
 
         return arrow_table(docs, run, HITS, "leaks")
 
@@ -234,7 +237,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     joined = base.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_hash") == F.col("f.text_hash")), "left")
     ids = F.coalesce("f.item_ids", F.array().cast("array<bigint>"))
-    return joined.select(F.col("d.doc_id").alias("doc_id"), (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.coalesce("f.similarity", F.lit(0.0)).alias("similarity"))
+    return joined.select(
+        F.col("d.doc_id").alias("doc_id"), (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
+        F.coalesce("f.similarity", F.lit(0.0)).alias("similarity"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -101,7 +101,9 @@ def _marks(tag: str, name: str, inside: bool) -> tuple[int, int]:
     role = attributes.get("role", "").lower()
     said = max(_named(attributes.get("class", ""), inside), _named(attributes.get("id", ""), inside))
     comment = said == OUT_MARK and bool({w.lower() for w in _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))} & {"comment", "comments", "reply", "replies"})
-    zone = ARTICLE if (name == "article" or attributes.get("itemprop", "").lower() == "articlebody" or role == "article") and not comment else MAIN if name == "main" or role == "main" else NONE
+    zone = ARTICLE if (name == "article" or attributes.get(
+        "itemprop", "",
+    ).lower() == "articlebody" or role == "article") and not comment else MAIN if name == "main" or role == "main" else NONE
     if zone or name in ("html", "body"):
         return KEEP, zone
     hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
@@ -341,7 +343,10 @@ def parsed(pages: DataFrame) -> DataFrame:
         for b in batches:
             found = [blocks(h) for h in column(b, "html").to_pylist()]
             lines = pa.array([[_hash(t) for t, *_ in page] for page in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), lines, pa.array([1] * b.num_rows, pa.int64()), pa.array(map(_pack, found), pa.binary())], names=[*names, "lines", "one", "blocks"])
+            yield pa.RecordBatch.from_arrays(
+                [*(column(b, c) for c in names), lines, pa.array([1] * b.num_rows, pa.int64()), pa.array(map(_pack, found), pa.binary())],
+                names=[*names, "lines", "one", "blocks"],
+            )
 
     return arrow_table(rows, run, "page_id long, url string, host string, path string, key long, lines array<bigint>, one long, blocks binary", "html-parsed")
 

@@ -224,7 +224,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
         for b in batches:
             x = frequencies(column(b, "text"))
             at = [np.flatnonzero(v) for v in x]
-            yield pa.RecordBatch.from_arrays([column(b, "wanted"), column(b, "as_lang"), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([v[i].astype("<f4").tobytes() for v, i in zip(x, at)], pa.binary())], names=["wanted", "as_lang", "at", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [column(b, "wanted"), column(b, "as_lang"), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([v[i].astype("<f4").tobytes() for v, i in zip(x, at)], pa.binary())],
+                names=["wanted", "as_lang", "at", "x"],
+            )
 
     rows = docs.join(F.broadcast(wanted), (docs.doc_id == wanted.wanted) & (docs.lang == wanted.as_lang)).where("text is not null").select("wanted", "as_lang", "text")
     rows = rows.groupBy("wanted", "as_lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most ``sample`` rows
@@ -250,7 +253,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             texts = b.column(names.index("text")).fill_null("")
             langs, scores = model.predict(texts)
             lettered = pc.match_substring_regex(texts, r"\pL").to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v if ok else UNKNOWN for v, ok in zip(langs, lettered)], pa.string()), pa.array([v if ok else 0.0 for v, ok in zip(scores, lettered)], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([v if ok else UNKNOWN for v, ok in zip(langs, lettered)], pa.string()), pa.array([v if ok else 0.0 for v, ok in zip(scores, lettered)], pa.float64())],
+                names=[*names, "lang_pred", "score"],
+            )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
     return docs.mapInArrow(run, schema)

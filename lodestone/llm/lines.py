@@ -76,7 +76,10 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
                 lines = np.bincount(text, minlength=j - i)
                 use = points >= least_chars
                 t = text[use]
-                yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(g[use].view(np.int64)), pa.array(ids[i:j][t]), pa.array(position[use].astype(np.int32)), pa.array(hashes[i:j][t]), pa.array(lines[t].astype(np.int32))], names=["h", "g", "doc", "pos", "text_hash", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[use].view(np.int64)), pa.array(g[use].view(np.int64)), pa.array(ids[i:j][t]), pa.array(position[use].astype(np.int32)), pa.array(hashes[i:j][t]), pa.array(lines[t].astype(np.int32))],
+                    names=["h", "g", "doc", "pos", "text_hash", "n"],
+                )
 
     keys = docs.mapInArrow(split, "h long, g long, doc long, pos int, text_hash long, n int")
     order = ["h", "g", "doc", "pos", "text_hash"]
@@ -89,7 +92,10 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
         def rows(kind: int, *columns) -> pa.RecordBatch:
             n = len(columns[0])
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())))], names=names)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())))],
+                names=names,
+            )
 
         for b in batches:
             if not b.num_rows:
@@ -111,7 +117,10 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
         if last is not None:
             yield rows(LAST, [last[0]], [last[1]], [last[2]], [0], [0], [0])
 
-    streamed = arrow_table(keys.repartitionByRange(*order).sortWithinPartitions(*order), stream, "kind int, part int, h long, g long, doc long, text_hash long, n int, pos int", "lines-streamed")
+    streamed = arrow_table(
+        keys.repartitionByRange(*order).sortWithinPartitions(*order), stream,
+        "kind int, part int, h long, g long, doc long, text_hash long, n int, pos int", "lines-streamed",
+    )
     carried, held, begun = [(-1, 0)], None, {}
     for r in streamed.where(F.col("kind") >= FIRST).orderBy("part", "kind").collect():  # two rows per partition
         if r.kind == FIRST:
@@ -148,7 +157,10 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 
 def _bitmap_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "text_hash", "bitmap"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
+        names=["doc_id", "text_hash", "bitmap"],
+    )
 
 
 def keep_bits(bitmap: bytes | None, n: int) -> np.ndarray:
@@ -174,6 +186,9 @@ def kept_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
                     continue
                 keep = keep_bits(bitmap, len(lines))
                 counts.append(len(lines)), gone.append(int((~keep).sum())), texts.append("\n".join(x for x, k in zip(lines, keep) if k))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+            yield pa.RecordBatch.from_arrays(
+                [column(b, "doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_lines", "n_dropped", "kept_text"],
+            )
 
     return joined.mapInArrow(apply, "doc_id long, n_lines long, n_dropped long, kept_text string")

@@ -86,10 +86,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     mins[r] = minima(s)
             wide = mix(mins.astype(np.uint64) + np.uint64(0x51ED270B))
             bands = mix((wide.reshape(n, BANDS, ROWS) * _ROW).sum(axis=2, dtype=np.uint64) + _SALT).view(np.int64)
-            bits = np.packbits(np.concatenate([(wide >> np.uint64(7)) & np.uint64(1), (wide >> np.uint64(33)) & np.uint64(1), np.zeros((n, 32), np.uint64)], axis=1).astype(np.uint8), axis=1).view(np.int64).reshape(n, 8)
+            bits = np.packbits(
+                np.concatenate([(wide >> np.uint64(7)) & np.uint64(1), (wide >> np.uint64(33)) & np.uint64(1), np.zeros((n, 32), np.uint64)], axis=1).astype(np.uint8),
+                axis=1,
+            ).view(np.int64).reshape(n, 8)
             empty = sizes == 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)), pa.array(bands[~empty].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), lists, *(pa.array(bits[:, i].copy()) for i in range(8))], names=[x.split()[0] for x in SIGNATURE.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [column(b, "doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), lists, *(pa.array(bits[:, i].copy()) for i in range(8))],
+                names=[x.split()[0] for x in SIGNATURE.split(", ")],
+            )
 
     return arrow_table(docs, run, SIGNATURE, "minhash-signatures")
 
@@ -192,8 +198,14 @@ def hub_groups(pairs: DataFrame) -> DataFrame:
     """Pairs (a hub, b) as groups: the hub is held, its members are dealt over shares of SHARE."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("n"))
     none = F.lit(0).cast("long")
-    held = shares.select(F.col("a").alias("c"), none.alias("chunk"), F.explode(F.sequence(none, F.col("n") - 1)).alias("share"), F.lit(0).alias("role"), F.col("a").alias("node"), F.col("a").alias("label"))
-    streamed = pairs.join(shares, "a").select(F.col("a").alias("c"), none.alias("chunk"), F.pmod(F.xxhash64("b"), F.col("n")).alias("share"), F.lit(1).alias("role"), F.col("b").alias("node"), F.col("b").alias("label"))
+    held = shares.select(
+        F.col("a").alias("c"), none.alias("chunk"), F.explode(F.sequence(none, F.col("n") - 1)).alias("share"), F.lit(0).alias("role"),
+        F.col("a").alias("node"), F.col("a").alias("label"),
+    )
+    streamed = pairs.join(shares, "a").select(
+        F.col("a").alias("c"), none.alias("chunk"), F.pmod(F.xxhash64("b"), F.col("n")).alias("share"), F.lit(1).alias("role"),
+        F.col("b").alias("node"), F.col("b").alias("label"),
+    )
     return held.unionByName(streamed)
 
 
@@ -202,15 +214,22 @@ def block_groups(open_: DataFrame, labels: DataFrame) -> DataFrame:
     (held, in chunks of CHUNK) meet that component and each other (streamed, in shares of SHARE)."""
     sizes = open_.groupBy("band", "component").count()
     major = sizes.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("c"), F.sum("count").alias("_n"))
-    held = joined_evenly(open_, materialize(major, "minhash-majors"), ["band"], "_n").where("component <> c").select("c", F.col("rep").alias("node"), F.col("component").alias("label")).distinct()
+    held = joined_evenly(open_, materialize(major, "minhash-majors"), ["band"], "_n").where("component <> c").select(
+        "c", F.col("rep").alias("node"), F.col("component").alias("label"),
+    ).distinct()
     members = labels.select(F.col("component").alias("c"), "node", F.col("component").alias("label")).join(held.select("c").distinct(), "c", "left_semi")
     lone = held.select("c", F.col("c").alias("node"), F.col("c").alias("label"))  # a component of one document has no label row
     streamed = members.unionByName(lone).unionByName(held).distinct()
-    counts = held.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).join(streamed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("shares")), "c")
+    counts = held.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).join(
+        streamed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("long").alias("shares")), "c",
+    )
     counts = materialize(counts, "minhash-counts")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = held.join(counts, "c").select("c", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), spread("shares").alias("share"), F.lit(0).alias("role"), "node", "label")
-    right = streamed.join(counts, "c").select("c", spread("chunks").alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).alias("share"), F.lit(1).alias("role"), "node", "label")
+    right = streamed.join(counts, "c").select(
+        "c", spread("chunks").alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).alias("share"), F.lit(1).alias("role"), "node",
+        "label",
+    )
     return left.unionByName(right)
 
 
@@ -245,7 +264,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = signatures(docs, k)
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "minhash-sets")
-    reps = usable.join(sets.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own_key"))).select("rep", "bands", F.col("n_shingles").alias("n"), *_SIGNS)
+    reps = usable.join(
+        sets.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("own_key")),
+    ).select("rep", "bands", F.col("n_shingles").alias("n"), *_SIGNS)
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("_n")).where("hub < top").select("band", "hub", "_n")
     hubs = materialize(hubs, "minhash-hubs")

@@ -140,7 +140,10 @@ def unpermute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: int = 2, block_words: int = BLOCK_WORDS, seed: int = 7, row_keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def mix_plan(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: int = 2, block_words: int = BLOCK_WORDS, seed: int = 7,
+    row_keys: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
     """The documents' places and the mix.
 
     :param docs: doc_id, source, text; weights go to the sources in code point order (null last), repeating.
@@ -149,7 +152,10 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         takes(row_id, shard, slot, pass, start, words): words [start, start + words) of a document in an output slot.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), word_count("text").alias("size"), F.col("source").isNull().alias("unnamed"), *row_keys)
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), word_count("text").alias("size"),
+        F.col("source").isNull().alias("unnamed"), *row_keys,
+    )
     placed = global_offsets(sized, ["unnamed", "source", "doc_id", "text_hash", *row_keys], "size", "at", "mix-places", row_id="row_id")
     totals = placed.groupBy("source").agg(F.sum("size").alias("size"), F.min("at").alias("at")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -176,20 +182,34 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
                         words = np.where(block == per - 1, tail, block_words)
                         if j[-1] == slots[s] - 1:
                             words[-1] = last_of[s]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), s, np.int32)), pa.array(j), pa.array(turn.astype(np.int32)), pa.array(block), pa.array(words)], names=["shard", "src", "slot", "pass", "block", "words"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), s, np.int32)), pa.array(j), pa.array(turn.astype(np.int32)), pa.array(block), pa.array(words)],
+                            names=["shard", "src", "slot", "pass", "block", "words"],
+                        )
 
     drawn = spark.range(0, shards, 1, max(1, min(shards, 100_000))).select(F.col("id").cast("int").alias("shard"))
     chosen = drawn.mapInArrow(place, "shard int, src int, slot long, pass int, block long, words long")
-    names = spark.createDataFrame([(i, r.source, r.at, float(t), r["size"]) for i, (r, t) in enumerate(zip(totals, owed))], "src int, name string, origin long, target double, source_size long")
+    names = spark.createDataFrame(
+        [(i, r.source, r.at, float(t), r["size"]) for i, (r, t) in enumerate(zip(totals, owed))],
+        "src int, name string, origin long, target double, source_size long",
+    )
     rows = placed.join(F.broadcast(names), placed.source.eqNullSafe(names.name)).drop("name", "unnamed", "source")  # at most MAX_SOURCES rows
     place_in = F.col("at") - F.col("origin")
     places = (
-        rows.where("size > 0").select("row_id", "src", "size", place_in.alias("a"), F.explode(F.sequence(F.floor(place_in / block_words), F.floor((place_in + F.col("size") - 1) / block_words))).alias("block"))
-        .select("row_id", "src", "block", F.greatest(F.col("a"), F.col("block") * block_words).alias("from"), F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block_words).alias("to"), "a")
+        rows.where("size > 0").select(
+            "row_id", "src", "size", place_in.alias("a"),
+            F.explode(F.sequence(F.floor(place_in / block_words), F.floor((place_in + F.col("size") - 1) / block_words))).alias("block"),
+        )
+        .select(
+            "row_id", "src", "block", F.greatest(F.col("a"), F.col("block") * block_words).alias("from"),
+            F.least(F.col("a") + F.col("size"), (F.col("block") + 1) * block_words).alias("to"), "a",
+        )
     )
     # the slots come from a small local table, which Spark would take for small themselves and broadcast
     taken_to = F.least(F.col("to"), F.col("block") * block_words + F.col("words"))
-    takes = places.join(chosen.hint("merge"), ["src", "block"]).where(taken_to > F.col("from")).select("row_id", "shard", "slot", "pass", (F.col("from") - F.col("a")).alias("start"), (taken_to - F.col("from")).alias("words"))
+    takes = places.join(chosen.hint("merge"), ["src", "block"]).where(taken_to > F.col("from")).select(
+        "row_id", "shard", "slot", "pass", (F.col("from") - F.col("a")).alias("start"), (taken_to - F.col("from")).alias("words"),
+    )
     return rows.drop("at", "origin", "src"), takes
 
 

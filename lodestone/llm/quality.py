@@ -66,7 +66,10 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.btrim(text, F.lit(_SEPARATORS))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACE))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words.alias("words"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SEPARATORS)) != "").alias("lines"))
+    base = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words.alias("words"),
+        F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SEPARATORS)) != "").alias("lines"),
+    )
     count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
     return base.select(
         "doc_id",

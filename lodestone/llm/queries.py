@@ -171,4 +171,7 @@ QUERIES = {
     "op6_html": op6_html, "op7_warc": op7_warc, "op8_language": op8_language, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality,
     "url_rules": url_rules, "mix_targets": mix_targets, "quality_measures": quality_measures,
 }
-ORACLES = {"op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_html": OP6_SQL, "op7_warc": OP7_SQL, "url_rules": URL_RULES_SQL, "mix_targets": MIX_TARGETS_SQL, "quality_measures": QUALITY_SQL}
+ORACLES = {
+    "op1_minhash": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_html": OP6_SQL, "op7_warc": OP7_SQL, "url_rules": URL_RULES_SQL,
+    "mix_targets": MIX_TARGETS_SQL, "quality_measures": QUALITY_SQL,
+}

@@ -95,7 +95,10 @@ def lexical(batch: pa.RecordBatch) -> np.ndarray:
 def url_parts() -> list[Column]:
     """The parts of (host, path) that have statistics."""
     last = F.element_at(F.split("path", "/"), -1)
-    return [*(F.substring_index("host", ".", -k).alias(f"host{k}") for k in (1, 2, 3)), F.regexp_extract("path", "^/([^/]+)/", 1).alias("dir"), F.lower(F.regexp_extract(last, r"\.([^.]+)$", 1)).alias("ext")]
+    return [
+        *(F.substring_index("host", ".", -k).alias(f"host{k}") for k in (1, 2, 3)), F.regexp_extract("path", "^/([^/]+)/", 1).alias("dir"),
+        F.lower(F.regexp_extract(last, r"\.([^.]+)$", 1)).alias("ext"),
+    ]
 
 
 def suffix_statistics(base: DataFrame) -> tuple[DataFrame, float]:
@@ -106,7 +109,9 @@ def suffix_statistics(base: DataFrame) -> tuple[DataFrame, float]:
     third of all hosts have is no hot task.
     """
     sums = [F.sum(c).alias(c) for c in ("seen", "labels", "blocks")]
-    counts = base.groupBy("host", "dir", "ext", "host1", "host2", "host3").agg(F.count(F.lit(1)).alias("seen"), F.count("ruled").alias("labels"), F.count_if(F.col("ruled") == "block").alias("blocks"))
+    counts = base.groupBy("host", "dir", "ext", "host1", "host2", "host3").agg(
+        F.count(F.lit(1)).alias("seen"), F.count("ruled").alias("labels"), F.count_if(F.col("ruled") == "block").alias("blocks"),
+    )
     counts = materialize(counts, "url-counts")
     blocked, labelled = counts.agg(F.sum("blocks"), F.sum("labels")).first()
     common = (blocked or 0) / labelled if labelled else 0.0
@@ -243,7 +248,9 @@ def labelled_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES,
             yield pa.RecordBatch.from_arrays([column(b, "host"), pa.array(list(lexical(b)), pa.list_(pa.float64()))], names=["host", "x"])
 
     with small_batches(pages.sparkSession):
-        drawn = [rows.where(F.col("ruled") == v).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).mapInArrow(featured, "host string, x array<double>").toArrow() for v in ("allow", "block")]
+        drawn = [rows.where(F.col("ruled") == v).orderBy(
+            F.xxhash64("url", "page_id"), "url", "page_id",
+        ).limit(sample).mapInArrow(featured, "host string, x array<double>").toArrow() for v in ("allow", "block")]
     x = [np.array(t.column("x").to_pylist(), float).reshape(-1, len(FEATURES)) for t in drawn]
     hosts = np.array([h for t in drawn for h in t.column("host").to_pylist()], object)
     return rows, np.concatenate(x), np.repeat([0.0, 1.0], [len(v) for v in x]), hosts, share
@@ -261,6 +268,9 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample:
             ruled = column(b, "ruled").to_pylist()
             p = tree_scores(model, lexical(b)) if model else np.full(b.num_rows, constant)
             verdicts = [r or ("block" if v >= 0.5 else "allow") for r, v in zip(ruled, p)]
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("page_id", "url", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array([None if r else float(v) for r, v in zip(ruled, p)], pa.float64())], names=["page_id", "url", "host", "path", "rule", "verdict", "blocked"])
+            yield pa.RecordBatch.from_arrays(
+                [*(column(b, c) for c in ("page_id", "url", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array([None if r else float(v) for r, v in zip(ruled, p)], pa.float64())],
+                names=["page_id", "url", "host", "path", "rule", "verdict", "blocked"],
+            )
 
     return rows.mapInArrow(judge, "page_id long, url string, host string, path string, rule string, verdict string, blocked double")

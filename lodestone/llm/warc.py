@@ -175,11 +175,17 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                             if body + length + 4 <= size:
                                 revisit = fields.get("warc-type") == "revisit"
                                 said = (_size(fields.get("x-payload-bytes")), fields.get("warc-payload-digest", "").rpartition(":")[2]) if revisit else (length, None)
-                                out.append((path, start, body + length + 4, body, _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), *said, "revisit" if revisit else "response", _number(fields.get("warc-refers-to"))))
+                                out.append((
+                                    path, start, body + length + 4, body, _number(fields.get("warc-record-id")), fields.get("warc-target-uri"), *said,
+                                    "revisit" if revisit else "response", _number(fields.get("warc-refers-to")),
+                                ))
                         at = data.find(MAGIC, at + 1)
                     if end == size:  # the file's end, which the chain must reach
                         out.append((path, size, -1, *[None] * 7))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), (pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), (pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
+                    names=names,
+                )
 
     found = arrow_table(ranges.repartition(tasks, "path", "from"), candidates, schema, "warc-candidates")
 
