@@ -49,10 +49,24 @@ def small_batches(spark: SparkSession):
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of BATCH_ROWS, for plans that run after ``small_batches`` is over."""
+    """The batches in slices of BATCH_ROWS, for plans that run after ``small_batches`` is over; what the task's arrays held
+    goes back at the end."""
     for b in batches:
         for i in range(0, max(b.num_rows, 1), BATCH_ROWS):
             yield b.slice(i, BATCH_ROWS)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers serve one task after another, and neither the C library nor Arrow would
+    give back by itself what one task's arrays left."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -229,6 +243,7 @@ def arrow_table(df: DataFrame, rows_of: Callable[[Iterator[pa.RecordBatch]], Ite
                         out.write_table(pa.Table.from_batches([b]).cast(arrow))
 
         publish(f"{folder}/part-{TaskContext.get().partitionId():06d}.parquet", write)
+        give_back()
         yield pa.RecordBatch.from_pydict({"rows": pa.array(rows, pa.int64())})
 
     with small_batches(spark):

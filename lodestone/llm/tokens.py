@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SEPARATOR, column, open_shared, publish, small_batches, span_hashes, steps, text_bytes, word_spans
+from lodestone.llm.common import SEPARATOR, column, give_back, open_shared, publish, small_batches, span_hashes, steps, text_bytes, word_spans
 from lodestone.storage import importable, shared_folder
 
 MAGIC = b"LTPF1\n"
@@ -373,6 +373,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, by_word: bool
             said.append((len(shard.docs), shard.total))
 
         publish(path, write)
+        give_back()
         n, total = said[0]
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [path], "n_docs": [n], "n_tokens": [total]})
 
