@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, pieces, sealed, small_batches, steps, text_bytes
+from lodestone.llm.common import arrow_table, column, pieces, sealed, small_batches, steps, text_bytes
 from lodestone.storage import importable
 
 #: Labelled documents that train the models, over all languages.
@@ -240,6 +240,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     return Model(x, langs)
 
 
+def judged(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """The language and score of each text; UNKNOWN and 0 where it has no letter."""
+    texts = texts.fill_null("")
+    langs, scores = model.predict(texts)
+    lettered = pc.match_substring_regex(texts, r"\pL").to_pylist()
+    return [v if ok else UNKNOWN for v, ok in zip(langs, lettered)], [v if ok else 0.0 for v, ok in zip(scores, lettered)]
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (former ones of these names are replaced); lang, source and doc_id
     play no part in a prediction."""
@@ -250,13 +258,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            texts = b.column(names.index("text")).fill_null("")
-            langs, scores = model.predict(texts)
-            lettered = pc.match_substring_regex(texts, r"\pL").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([v if ok else UNKNOWN for v, ok in zip(langs, lettered)], pa.string()), pa.array([v if ok else 0.0 for v, ok in zip(scores, lettered)], pa.float64())],
-                names=[*names, "lang_pred", "score"],
-            )
+            langs, scores = judged(model, b.column(names.index("text")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
     return docs.mapInArrow(run, schema)
@@ -265,6 +268,20 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents (their own columns) whose language is known: ``und`` ones go, and those where neither the family nor
     the language wins clearly (a score below ``least_score``; two even contests score 0.25).  Where there is nothing to
-    learn from, all are ``und`` and go."""
+    learn from, all are ``und`` and go.
+
+    Only the ids and text hashes of what goes come back from Python; no text does.
+    """
     rows, names = sealed(docs, "doc_id", "text", "lang")
-    return identify(rows, train(rows)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*names)
+    model = train(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = judged(model, column(b, "text"))
+            gone = pa.array([v == UNKNOWN or s < least_score for v, s in zip(langs, scores)], pa.bool_())
+            yield b.select(["_d", "_t"]).filter(gone)
+
+    keyed = rows.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"), "text")
+    gone = arrow_table(keyed, run, "_d long, _t long", "language-unknown").distinct()
+    same = rows.doc_id.cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    return rows.join(gone, same, "left_anti").select(*names)
