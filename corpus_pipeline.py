@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontam, langid, minhash, mixing, tokens
+from lodestone.llm.common import BATCH_ROWS
 from lodestone.storage import materialize
 
 
@@ -44,6 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The null source comes last; documents without words take nothing and go; repeated rows are documents of their own; ties
     in the order are settled by hashes of all columns.
     """
+    # the rows are made while the caller writes them: whole texts then travel to Python and back in small batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return mixing.mixed_documents(docs, weights=(5, 2, 1), share=1.5, most_repeats=2)
 
 
