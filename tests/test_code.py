@@ -175,3 +175,38 @@ def test_clone_keeps_its_files(spark, tmp_path):
     assert [r.source for r in repository.read_repository(spark, folder).collect()] == ["x = 1\n"]
     with pytest.raises(repository.RepositoryError):
         repository.clone_and_discover(str(tmp_path / "none"))
+
+
+def test_files_are_parsed_in_pieces(monkeypatch):
+    """Statements, lines and ordinals of a file do not depend on where it is cut, whole or broken; lines end where the grammar
+    ends them, not at form feeds."""
+    source = 'import a\n\nx = """\ndef no(): pass\n@a\n"""\n\x0c\n@deco\n# c\n@other(\n)\ndef f(x):\n    return g(x)\n\nif x:\n    import b\nelse:\n    import c\n\nclass C(B):\n    @p\n    def m(self):\n        return 1\n\ny = (\n1)\n\\\nz = h()\r\ndef last(): return "é" + k()\n'
+    for text in (source, source + "def open(\n", source.replace("m(self)", "m(self"), source + "x = 1 \\\n"):
+        found = []
+        for piece in (1, 20, 1 << 20):
+            monkeypatch.setattr(parse, "PIECE", piece)
+            chunker = parse.Chunker(12)
+            found.append((parse.symbols_of(text), parse.calls_of(text), parse.nodes_of(text), chunker.chunks_of(text), parse.File(text).failed))
+        assert found[0] == found[1] == found[2] and found[0][-1] == (text != source)
+    rows = {r["name"]: r for r in parse.symbols_of(source)}
+    assert [rows["f"]["start_line"], rows["f"]["signature"], rows["C.m"]["parent_ord"] == rows["C"]["ord"]] == [12, "def f(x)", True]
+    assert rows["last"]["signature"] == 'def last(): return "é" + k()'
+
+
+def test_memory_of_a_large_file_and_time_of_its_chunks():
+    """A file's rows leave while it is read: what is held does not grow with it, nor does the work for each function."""
+    import tracemalloc
+
+    def peak(n, broken=""):
+        text = "import os\n" + "".join(f'def f{i}(x: int = {i}):\n    """doc"""\n\n    y = g(x)\n    return h{i}(y)\n\n' for i in range(n)) + broken
+        tracemalloc.start()
+        count = sum(1 for _ in parse.symbol_rows(text))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == n + 1
+        return top / 1e6
+
+    assert peak(8_000) < 2 * peak(1_000) + 3 and peak(4_000, "def open(\n") < 20
+    large = "".join(f"def f{i}(): return {i}\n" for i in range(30_000))
+    began = time.time()
+    assert sum(1 for _ in parse.Chunker().chunks_in(large)) == 30_000 and time.time() - began < 30
