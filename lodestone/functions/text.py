@@ -53,6 +53,18 @@ def lines_of(text: Column | str) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\r\n|\n|\r"))
 
 
+def newline_lines(text: Column | str) -> Column:
+    """Lines cut at \\n only, without an empty one after a last \\n; an empty text is one empty line, null has none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
+
+
+def ascii_words(text: Column | str) -> Column:
+    """Number of words between ASCII white space, as RE2's ``\\s`` has it (no vertical tab)."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\t\n\f\r ]+"), lambda w: w != ""))
+
+
 def module_name(path: Column | str) -> Column:
     """Dotted module of a file path: last suffix and a trailing ``__init__`` go."""
     path = F.col(path) if isinstance(path, str) else path
@@ -74,7 +86,7 @@ def code_cache_key(model: str, code: Column) -> Column:
 
 
 def doc_cache_key(model: str, parent: Column, kind: Column, path: Column, text: Column) -> Column:
-    return F.concat(F.lit(model + ":doc:"), F.sha2(F.concat_ws("\n", parent, kind, F.coalesce(path, F.lit("")), text), 256))
+    return F.concat(F.lit(model + ":doc:"), F.sha2(F.concat(parent, F.lit("\n"), kind, F.lit("\n"), F.coalesce(path, F.lit("")), F.lit("\n"), text), 256))
 
 
 def first_filled(*columns: Column) -> Column:

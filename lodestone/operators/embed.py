@@ -24,15 +24,20 @@ DOC_DIM, DOC_BATCH = 384, 32
 
 
 def hashing_embedder(dim: int) -> Embed:
-    """Signed hashed token counts."""
+    """Signed hashed token counts; counts without signs where these cancel out, so that every text with a token has a direction."""
     import re
 
+    word = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9_\t\n\f\r ]")
+
     def embed(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dim))
         for row, text in zip(out, texts):
-            for token in re.findall(r"[A-Za-z]+|\d+|[^\w\s]", text):
-                h = zlib.crc32(token.lower().encode())
+            hashes = [zlib.crc32(token.lower().encode()) for token in word.findall(text)]
+            for h in hashes:
                 row[h % dim] += 1.0 if h & 0x80000000 else -1.0
+            if hashes and not row.any():
+                for h in hashes:
+                    row[h % dim] += 1.0
         return out.tolist()
 
     return embed
@@ -55,10 +60,13 @@ def _vectors(keyed: DataFrame, embed: Embed, dim: int, batch: int) -> DataFrame:
 
 
 def embedded(rows: DataFrame, cache: DataFrame | None, embed: Embed, dim: int, batch: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (text, cache_key, ...) with unit ``vector``, and the cache with what was added (cache_key, vector)."""
+    """Rows (text, cache_key, ...) with unit ``vector``, and the cache with what was added (cache_key, vector).
+
+    Blank and null texts get a zero vector.
+    """
     positive("dim", dim)
     positive("batch_size", batch)
-    blank = F.regexp_replace("text", r"(?U)\s", "") == ""
+    blank = F.coalesce(F.regexp_replace("text", r"(?U)\s", "") == "", F.lit(True))
     wanted = rows.where(~blank).select("cache_key", "text").dropDuplicates(["cache_key"])
     if cache is not None:
         wanted = wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
