@@ -245,20 +245,48 @@ def _levels(ids: list[str], edges: list[tuple[str, str]]) -> dict[str, int] | No
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the longest chain of (source, target) dependencies that leads to each node; a ValueError for a cycle.
 
-    Edges with an unknown end do not count.  Small graphs, as plans are, are levelled in one pass on the driver; others by
-    joins, a level each.
+    Edges with an unknown end do not count.  Small graphs, as plans are, are levelled in one pass on the driver.  Of others, nodes on
+    which nothing depends are set aside first, layer by layer, as long as that halves the edges at least; what is left is
+    levelled on the driver if it is small, else by joins, a level each, and the layers follow from it, one join each.
     """
     ids = nodes.select("id").distinct()
     inner = edges.select("source", "target").distinct().join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
-    few, links = ids.limit(SMALL + 1).collect(), inner.limit(SMALL + 1).collect()
-    if len(few) <= SMALL and len(links) <= SMALL:
-        level = _levels([r.id for r in few], [(r.source, r.target) for r in links])
+    if len(nodes.select("id").limit(SMALL + 1).collect()) <= SMALL and len(edges.select("source", "target").limit(SMALL + 1).collect()) <= SMALL:
+        level = _levels([r.id for r in ids.collect()], [(r.source, r.target) for r in inner.collect()])
         if level is None:
             raise ValueError("the dependencies form a cycle")
         return nodes.sparkSession.createDataFrame(list(level.items()), f"id {dict(ids.dtypes)['id']}, level int")
-    inner = materialize(inner, "dependencies")
-    level, total = materialize(ids.withColumn("level", F.lit(0)), "levels"), ids.count()
-    for _ in range(total):  # without a cycle, the longest chain has one level for each node
+    ids = materialize(ids, "nodes")
+    known = F.col("id")
+    inner = edges.select("source", "target").distinct().join(ids, F.col("source") == known, "left_semi").join(ids, F.col("target") == known, "left_semi")
+    core, layers = materialize(inner, "dependencies"), []
+    size = core.count()
+    while size > SMALL:
+        needed = core.select(F.col("source").alias("_needed")).distinct()
+        rest = materialize(core.join(needed, F.col("target") == F.col("_needed"), "left_semi"), "dependencies")
+        left = rest.count()
+        if 2 * left > size:
+            release(rest)
+            break
+        layers.append(core.join(needed, F.col("target") == F.col("_needed"), "left_anti"))
+        core, size = rest, left
+    if size <= SMALL:
+        links = [(r.source, r.target) for r in core.collect()]
+        found = _levels(list({i for link in links for i in link}), links)
+        if found is None:
+            raise ValueError("the dependencies form a cycle")
+        level = F.broadcast(nodes.sparkSession.createDataFrame(list(found.items()), f"id {dict(ids.dtypes)['id']}, level int"))
+    else:
+        level = _levels_by_joins(core.select(F.col("source").alias("id")).union(core.select("target")).distinct(), core)
+    for layer in reversed(layers):
+        deeper = layer.join(level, layer.source == level.id, "left").groupBy("target").agg((F.max(F.coalesce("level", F.lit(0))) + 1).alias("level"))
+        level = level.unionByName(deeper.withColumnRenamed("target", "id"))
+    return ids.join(level, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def _levels_by_joins(ids: DataFrame, inner: DataFrame) -> DataFrame:
+    level = materialize(ids.withColumn("level", F.lit(0)), "levels")
+    for _ in range(level.count()):  # without a cycle, the longest chain has one level for each node
         deeper = level.join(inner, level.id == inner.source).groupBy(F.col("target").alias("id")).agg((F.max("level") + 1).alias("_deeper"))
         fresh = level.join(deeper, "id", "left").select(
             "id", F.greatest("level", F.coalesce("_deeper", F.lit(0))).alias("level"),

@@ -499,3 +499,22 @@ def test_links_and_layout(spark):
     nodes = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "n")], "id string, module string")
     got = {r.id: (round(r.x, 6), round(r.y, 6)) for r in traverse.module_layout(nodes).collect()}
     assert got == {"a": (380.0, 0.0), "b": (220.0, 0.0), "c": (-220.0, 0.0)}
+
+
+def test_levels_of_large_graphs_set_layers_aside(spark, monkeypatch):
+    """Many nodes on a long chain: tables are written for the layers, not for each level; other graphs as on the driver; cycles."""
+    written = []
+    monkeypatch.setattr(questions, "SMALL", 40)
+    monkeypatch.setattr(questions, "materialize", lambda df, name, f=questions.materialize: written.append(name) or f(df, name))
+
+    def levels(n, links):
+        nodes = spark.createDataFrame([(str(i),) for i in range(n)], "id string")
+        edges = spark.createDataFrame([(str(a), str(b)) for a, b in links], "source string, target string")
+        return {int(r.id): r.level for r in questions.topological_levels(nodes, edges).collect()}
+
+    star = [(i, i + 1) for i in range(30)] + [(i % 31, i) for i in range(31, 400)] + [(7, 7000)]
+    assert levels(400, star) == {i: i if i < 31 else i % 31 + 1 for i in range(400)} and len(written) <= 3
+    dense = [(a, b) for b in range(60) for a in range(max(0, b - 2), b)] + [(b, 60 + b) for b in range(60)] + [(3, 150)]
+    assert levels(160, dense) == {i: i if i < 60 else i - 59 if i < 120 else 4 if i == 150 else 0 for i in range(160)}
+    with pytest.raises(ValueError):
+        levels(400, [*star, (30, 0)])
