@@ -138,44 +138,52 @@ def code_symbol_lookups(spark, d):
 
 @query("code_call_edges", f"WITH {_CODE}, {_CALLS} SELECT caller, callee, file AS call_site_file, line::INT AS call_site_line, resolved, callee_file, callee_line::INT AS callee_line FROM k")
 def code_call_edges(spark, d):
-    files, found, calls = _parsed(spark, d)
-    return symbols.call_edges(found, calls, files).drop("call_text")
+    return _call_edges(*_parsed(spark, d)).drop("call_text")
 
 
 @query("code_dependency_edges", f"""WITH {_CODE}
 SELECT module AS source, unnest(['os', 'sys', 'pkg.m' || xx, 'pkg.m' || yy]) AS target, unnest(['import', 'import', 'from_import', 'from_import']) AS import_type, unnest(['os', 'sys', 'f' || x || ' as alias' || n, 'm' || yy]) AS imported_names, unnest([false, false, true, true]) AS resolved FROM m""")
 def code_dependency_edges(spark, d):
-    files, rows, _ = _parsed(spark, d)
+    files, rows = _parsed(spark, d)
     found = symbols.dependency_edges(rows, files)
     return found.select("source", "target", "import_type", F.array_join("imported_names", ",").alias("imported_names"), "resolved")
 
 
-def _parsed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The files and their stored symbols and calls: graphs read them many times, and each file is parsed once."""
+def _parsed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The files and their stored symbols: graphs read them many times, and each file is parsed once."""
     files = materialize(repository(spark, d), "code-files")
-    return files, materialize(parse.symbols(files), "code-symbols"), materialize(parse.calls(files), "code-calls")
+    return files, materialize(parse.symbols(files), "code-symbols")
 
 
-def _table_and_edges(spark, d):
-    files, found, calls = _parsed(spark, d)
-    return symbols.symbol_table(found), symbols.call_edges(found, calls, files), symbols.dependency_edges(found, files)
+def _call_edges(files: DataFrame, found: DataFrame) -> DataFrame:
+    return symbols.call_edges(found, materialize(parse.calls(files), "code-calls"), files)
+
+
+def _table(found: DataFrame) -> DataFrame:
+    """The stored symbol table: its readers take it several times."""
+    return materialize(symbols.symbol_table(found), "code-table")
+
+
+def _calls_edges(files: DataFrame, found: DataFrame, table: DataFrame) -> DataFrame:
+    """Each side of a call is looked up and joined back, so the calls are resolved once and stored."""
+    return symbols.calls_edges(materialize(_call_edges(files, found), "code-call-edges"), table)
 
 
 @query("code_graph_nodes", f"""WITH {_CODE}
 SELECT 'module:' || module AS id, 'Module' AS label, 'm' || nn AS name, 'module' AS type, file AS file_path FROM m
 UNION ALL SELECT id, CASE WHEN type = 'class' THEN 'Class' ELSE 'Function' END, short, type, file FROM t WHERE type <> 'import'""")
 def code_graph_nodes(spark, d):
-    return symbols.graph_nodes(_table_and_edges(spark, d)[0]).select("id", "label", "name", "type", "file_path")
+    return symbols.graph_nodes(_table(_parsed(spark, d)[1])).select("id", "label", "name", "type", "file_path")
 
 
 @query("code_contains_edges", f"WITH {_CODE} SELECT coalesce(o.id, 'module:' || t.module) AS source_id, t.id AS target_id FROM t LEFT JOIN t o ON o.qualified = t.parent WHERE t.type <> 'import'")
 def code_contains_edges(spark, d):
-    return symbols.contains_edges(_table_and_edges(spark, d)[0]).select("source_id", "target_id")
+    return symbols.contains_edges(_table(_parsed(spark, d)[1])).select("source_id", "target_id")
 
 
 @query("code_inherits_edges", f"WITH {_CODE} SELECT t.id AS source_id, o.id AS target_id FROM m JOIN t ON t.module = m.module AND t.type = 'class' JOIN t o ON o.short = 'C' || m.zz AND o.type = 'class'")
 def code_inherits_edges(spark, d):
-    return symbols.inherits_edges(_table_and_edges(spark, d)[0]).select("source_id", "target_id")
+    return symbols.inherits_edges(_table(_parsed(spark, d)[1])).select("source_id", "target_id")
 
 
 @query("code_calls_edges", f"""WITH {_CODE}, {_CALLS},
@@ -183,32 +191,34 @@ a AS (SELECT t.id, t.file, t.name FROM t WHERE type IN ('function', 'method')),
 SELECT a.id AS source_id, b.id AS target_id, h.line::INT AS call_site_line FROM h JOIN a ON a.name = h.caller AND a.file = h.file JOIN a b ON b.name = h.callee AND (b.name NOT LIKE 'C%' OR b.file = h.file)""")
 def code_calls_edges(spark, d):
     """A method is known by its short name, so a caller ``C.make`` is found through ``make`` in its own file."""
-    table, calls, _ = _table_and_edges(spark, d)
-    return symbols.calls_edges(calls, table).select("source_id", "target_id", "call_site_line")
+    files, found = _parsed(spark, d)
+    return _calls_edges(files, found, _table(found)).select("source_id", "target_id", "call_site_line")
 
 
 @query("code_imports_edges", f"WITH {_CODE} SELECT 'module:' || module AS source_id, 'module:' || unnest(['os', 'sys', 'pkg.m' || xx, 'pkg.m' || yy]) AS target_id, unnest(['', '', 'pkg/m' || xx || '.py', 'pkg/m' || yy || '.py']) AS target_file FROM m")
 def code_imports_edges(spark, d):
-    return symbols.imports_edges(_table_and_edges(spark, d)[2]).select("source_id", "target_id", "target_file")
+    files, found = _parsed(spark, d)
+    return symbols.imports_edges(symbols.dependency_edges(found, files)).select("source_id", "target_id", "target_file")
 
 
 @query("code_graph_traversal", f"""WITH {_CODE}
 SELECT 'module:pkg.m' || xx AS id, 1 AS distance FROM m WHERE n = 3 UNION SELECT 'module:pkg.m' || yy, 1 FROM m WHERE n = 3""")
 def code_graph_traversal(spark, d):
     """Outgoing IMPORTS edges only, of one module of the stored code graph (imports from outside have no node)."""
-    table, calls, imports = _table_and_edges(spark, d)
+    files, found = _parsed(spark, d)
+    table = _table(found)
     nodes, edges = symbols.graph_of(table)
     kept = ["source_id", "target_id", "type"]
     graph = store.GraphStore(spark.createDataFrame([], nodes.schema), spark.createDataFrame([], edges.select(*kept).schema))
     graph.put_nodes(nodes)
-    for part in (edges, symbols.calls_edges(calls, table), symbols.imports_edges(imports)):
+    for part in (edges, _calls_edges(files, found, table), symbols.imports_edges(symbols.dependency_edges(found, files))):
         graph.put_edges(part.select(*kept))
     return traverse.neighbors(graph.nodes, graph.edges, "module:pkg.m03", direction="out", edge_types=["IMPORTS"]).select("id", "distance")
 
 
 @query("code_node_results", f"WITH {_CODE} SELECT id, qualified AS symbol, type AS symbol_type, signature AS text FROM t WHERE type = 'class' UNION ALL SELECT 'module:' || module, module, 'module', module FROM m")
 def code_node_results(spark, d):
-    nodes = symbols.graph_nodes(_table_and_edges(spark, d)[0]).where("type in ('class', 'module')")
+    nodes = symbols.graph_nodes(_table(_parsed(spark, d)[1])).where("type in ('class', 'module')")
     return traverse.as_results(nodes).select("id", "symbol", "symbol_type", "text")
 
 
