@@ -117,14 +117,14 @@ def code_chunks_split(spark, d):
 
 @query("code_symbol_table", f"WITH {_CODE} SELECT id AS symbol_id, short AS name, qualified AS qualified_name, module, parent AS parent_symbol FROM t")
 def code_symbol_table(spark, d):
-    return symbols.symbol_table(parse.symbols(repository(spark, d))).select("symbol_id", "name", "qualified_name", "module", "parent_symbol")
+    return symbols.symbol_table(_parsed(spark, d)[1]).select("symbol_id", "name", "qualified_name", "module", "parent_symbol")
 
 
 @query("code_symbol_lookups", f"""WITH {_CODE}
 SELECT 'exact' AS kind, id FROM t WHERE short = 'make' UNION ALL SELECT 'qualified', id FROM t WHERE qualified = 'pkg.m03.f28' UNION ALL SELECT 'regex', id FROM t WHERE regexp_matches(short, '^f1.5$') OR regexp_matches(qualified, '^f1.5$')
 UNION ALL SELECT 'file', id FROM t WHERE file = 'pkg/m07.py'""")
 def code_symbol_lookups(spark, d):
-    table = symbols.symbol_table(parse.symbols(repository(spark, d)))
+    table = _table(_parsed(spark, d)[1])
     found = {
         "exact": symbols.lookup_exact(table, "make"), "qualified": symbols.lookup_qualified(table, "pkg.m03.f28"),
         "regex": symbols.lookup_regex(table, "^f1.5$"), "file": symbols.lookup_file(table, "pkg/m07.py"),
